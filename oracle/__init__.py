@@ -1,5 +1,5 @@
 """Independent SQL for every registered query, run by DuckDB over the same tables."""
 
-from oracle import star
+from oracle import generated, star
 
-ORACLE = {**star.ORACLE}
+ORACLE = {**star.ORACLE, **generated.ORACLE}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators import sales
+from tidemark.plans import generate
 from tidemark.sources.star import Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +94,54 @@ def orders_by_status(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def customers_preview(spark: SparkSession, folder: str) -> DataFrame:
     return sales.preview(Star(spark, folder).customers, 10, ["customer_id"])
+
+
+# Generated data, one row or order per row of a given table
+
+
+AS_OF = "2026-01-01"
+
+
+def _ids(star: Star, table: str, key: str) -> DataFrame:
+    return star.base(table).select((F.col(key) + 1).alias("id"))
+
+
+def _generated_products(star: Star) -> DataFrame:
+    return generate.products(generate.organizations(_ids(star, "supplier", "s_suppkey")), AS_OF)
+
+
+def _generated_orders(star: Star) -> DataFrame:
+    return generate.orders(
+        _ids(star, "orders", "o_orderkey"), star.row_total("customer"), star.row_total("supplier"), AS_OF
+    )
+
+
+@query
+def gen_organizations(spark: SparkSession, folder: str) -> DataFrame:
+    return generate.organizations(_ids(Star(spark, folder), "supplier", "s_suppkey"))
+
+
+@query
+def gen_products(spark: SparkSession, folder: str) -> DataFrame:
+    return _generated_products(Star(spark, folder))
+
+
+@query
+def gen_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return generate.customers(_ids(Star(spark, folder), "customer", "c_custkey"), AS_OF)
+
+
+@query
+def gen_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return _generated_orders(Star(spark, folder))
+
+
+@query
+def gen_order_items(spark: SparkSession, folder: str) -> DataFrame:
+    star = Star(spark, folder)
+    return generate.order_items(_generated_orders(star), _generated_products(star))
+
+
+@query
+def gen_employees(spark: SparkSession, folder: str) -> DataFrame:
+    return generate.employees(_ids(Star(spark, folder), "customer", "c_custkey"), AS_OF)
