@@ -13,7 +13,7 @@ s_products AS (
 ),
 s_customers AS (
   SELECT c_custkey AS customer_id, c_name AS customer_name, n_name AS country,
-         c_mktsegment AS customer_segment
+         c_acctbal AS account_balance, c_mktsegment AS customer_segment
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 ),
 s_orders AS (
@@ -38,7 +38,7 @@ s_order_items AS (
 ORACLE = {
     "orders_with_customers": STAR
     + """SELECT o.customer_id, order_id, org_id, order_date, total_amount, num_items, order_status,
-                customer_name, country, customer_segment
+                customer_name, country, account_balance, customer_segment
          FROM s_orders o JOIN s_customers c ON o.customer_id = c.customer_id""",
     "order_items_with_products": STAR
     + """SELECT i.product_id, order_item_id, order_id, quantity, unit_price, subtotal, org_id,
@@ -46,7 +46,7 @@ ORACLE = {
          FROM s_order_items i JOIN s_products p ON i.product_id = p.product_id""",
     "order_chain": STAR
     + """SELECT g.org_id, o.customer_id, order_id, order_date, total_amount, num_items, order_status,
-                customer_name, c.country AS customer_country, customer_segment, org_name, industry,
+                customer_name, c.country AS customer_country, account_balance, customer_segment, org_name, industry,
                 g.country AS org_country
          FROM s_orders o JOIN s_customers c ON o.customer_id = c.customer_id
               JOIN s_organizations g ON o.org_id = g.org_id""",

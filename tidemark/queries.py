@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidemark.functions.hashing import choice, digest, number
 from tidemark.operators import sales
-from tidemark.plans import generate
-from tidemark.sources.star import Star
+from tidemark.plans import generate, governance, refresh
+from tidemark.session import workspace
+from tidemark.sources import folders, lake, metadata, snapshots
+from tidemark.sources.schemas import LAKE_TABLES, schema_of
+from tidemark.sources.star import BASE_DDL, Star
+from tidemark.streaming import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,3 +152,288 @@ def gen_order_items(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def gen_employees(spark: SparkSession, folder: str) -> DataFrame:
     return generate.employees(_ids(Star(spark, folder), "customer", "c_custkey"), AS_OF)
+
+
+# Reading, writing and table lifecycle: each writes below a fresh folder and returns what
+# is read back
+
+
+def _namespace(spark: SparkSession, purpose: str) -> tuple[str, str]:
+    """A fresh catalog namespace and the folder it keeps its tables in."""
+    location = workspace(spark, purpose)
+    name = f"tidemark_{purpose}_{location.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION {lake.literal(location)}")
+    return name, location
+
+
+@query
+def parquet_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    base = workspace(spark, "folders")
+    tables = Star(spark, folder).tables()
+    lake.LakeWriter(base, "parquet").write_all(tables)
+    # The star views have fewer columns than the declared tables, so read what is stored.
+    stored = lake.LakeReader(spark, base, "parquet", schemas={}).read_all()
+    return sales.order_items_with_products(stored["order_items"], stored["products"])
+
+
+@query
+def table_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    name, location = _namespace(spark, "tables")
+    lake.LakeWriter(location, namespace=name).write_all(Star(spark, folder).tables())
+    stored = lake.LakeReader(spark, namespace=name).read_all()
+    return sales.order_chain(stored["orders"], stored["customers"], stored["organizations"])
+
+
+@query
+def partitioned_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{workspace(spark, 'dated')}/orders"
+    rows = Star(spark, folder).orders.withColumn("load_date", F.trunc("order_date", "month"))
+    lake.write_dated_folder(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def cross_source_order_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders from a catalog table, customers from a Parquet folder."""
+    star = Star(spark, folder)
+    name, location = _namespace(spark, "cross")
+    lake.replace_table(star.orders, f"{name}.orders", location=f"{location}/orders")
+    customers = spark.read.parquet(lake.write_folder(star.customers, f"{location}/landing/customers"))
+    return sales.customer_order_counts(spark.table(f"{name}.orders"), customers, ["customer_name"])
+
+
+FIRST_COMMIT = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
+SECOND_COMMIT = datetime.datetime(2026, 2, 1, tzinfo=datetime.UTC)
+
+
+def _order_snapshots(spark: SparkSession, folder: str) -> str:
+    """Finished orders first, all orders a month later."""
+    root = f"{workspace(spark, 'snapshots')}/orders"
+    rows = Star(spark, folder).orders
+    snapshots.append_snapshot(sales.with_status(rows, "F"), root, FIRST_COMMIT, "append")
+    snapshots.append_snapshot(rows, root, SECOND_COMMIT)
+    return root
+
+
+@query
+def snapshot_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    root = _order_snapshots(spark, folder)
+    return snapshots.read_as_of(spark, root, FIRST_COMMIT + datetime.timedelta(days=3))
+
+
+@query
+def snapshot_history(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshots.snapshot_history(spark, _order_snapshots(spark, folder))
+
+
+@query
+def register_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Register the five folders, let the orders gain a column, register again."""
+    name, location = _namespace(spark, "register")
+    tables = Star(spark, folder).tables()
+    early = sales.with_status(tables["orders"], "F").drop("num_items")
+    late = tables["orders"].where(F.col("order_status") != "F")
+    for table, frame in {**tables, "orders": early}.items():
+        lake.write_folder(frame, f"{location}/{table}")
+    folders.register_folders(spark, location, LAKE_TABLES, name)
+    late.write.mode("append").parquet(f"{location}/orders")
+    results = folders.register_folders(spark, location, LAKE_TABLES, name)
+    registered = {table: spark.table(f"{name}.{table}") for table in LAKE_TABLES}
+    return results.join(sales.table_row_counts(registered), "table_name").select(
+        "table_name", "status", F.concat_ws(",", "added_columns").alias("added_columns"), "row_count"
+    )
+
+
+def _lake_namespace(spark: SparkSession, folder: str) -> str:
+    name, location = _namespace(spark, "source")
+    lake.LakeWriter(location, namespace=name).write_all(Star(spark, folder).tables())
+    return name
+
+
+@query
+def replicate_status(spark: SparkSession, folder: str) -> DataFrame:
+    source = _lake_namespace(spark, folder)
+    target, location = _namespace(spark, "replica")
+    return refresh.refresh_tables(spark, source, target, location=location).drop("error")
+
+
+@query
+def audit_log(spark: SparkSession, folder: str) -> DataFrame:
+    source = _lake_namespace(spark, folder)
+    target, location = _namespace(spark, "audited")
+    refresh.refresh_with_audit(
+        spark, source, target, f"{target}.audit_stats", "run-1", location=location, audited_at=FIRST_COMMIT
+    )
+    # The namespaces have random names, so only the table part is comparable.
+    return spark.table(f"{target}.audit_stats").withColumns(
+        {column: F.substring_index(column, ".", -1) for column in ("source_table", "target_table")}
+    )
+
+
+# Governance
+
+
+@query
+def pii_columns_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """Marked columns with tag, mask and the number of values that the tag covers."""
+    tables = Star(spark, folder).tables()
+    schemas = {table: frame.schema for table, frame in tables.items()}
+    marked = {table: names for table, schema in schemas.items() if (names := governance.marked_columns(schema))}
+    preview = governance.pii_columns(governance.column_catalog(spark, schemas, "lake"))
+    return preview.join(governance.covered_values(tables, marked), ["table_name", "column_name"])
+
+
+@query
+def pii_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Tag rows of the marked columns with the row count of their table."""
+    tables = Star(spark, folder).tables()
+    catalog = governance.column_catalog(spark, {table: frame.schema for table, frame in tables.items()}, "lake")
+    counts = sales.table_row_counts(tables).withColumnRenamed("table_name", "object_name")
+    return governance.comment_tags(catalog, "LAKE").join(counts, "object_name")
+
+
+@query
+def customers_masked_reader(spark: SparkSession, folder: str) -> DataFrame:
+    return governance.mask_by_comment(Star(spark, folder).customers, governance.READER_ROLE)
+
+
+@query
+def customers_masked_pii_reader(spark: SparkSession, folder: str) -> DataFrame:
+    return governance.mask_by_comment(Star(spark, folder).customers, governance.PII_READER_ROLE)
+
+
+@query
+def synthetic_customers_masked_reader(spark: SparkSession, folder: str) -> DataFrame:
+    rows = generate.customers(_ids(Star(spark, folder), "customer", "c_custkey"), AS_OF)
+    return governance.mask_by_comment(rows, governance.READER_ROLE)
+
+
+def _masked_directory(spark: SparkSession, folder: str, role: str) -> DataFrame:
+    """Store an employee directory with its classification as a property, read it under a role."""
+    name, location = _namespace(spark, "directory")
+    table = f"{name}.employee_directory_poc"
+    rows = generate.employees(_ids(Star(spark, folder), "customer", "c_custkey"), AS_OF)
+    governance.write_classified(
+        rows, table, governance.EMPLOYEE_CLASSIFICATION, "synthetic-poc", f"{location}/employee_directory_poc"
+    )
+    return governance.read_masked_table(spark, table, role)
+
+
+@query
+def directory_masked_reader(spark: SparkSession, folder: str) -> DataFrame:
+    return _masked_directory(spark, folder, governance.READER_ROLE)
+
+
+@query
+def directory_masked_pii_reader(spark: SparkSession, folder: str) -> DataFrame:
+    return _masked_directory(spark, folder, governance.PII_READER_ROLE)
+
+
+def _directory(org_id: Column) -> Column:
+    return F.concat(F.lit("directory_"), org_id.cast("string"))
+
+
+def _metadata_documents(star: Star) -> DataFrame:
+    """One metadata document per product for the employee directory of its organization.
+
+    The classes differ per document and include unknown ones; every tenth document holds a
+    broken map, and every other one spells the column names in capitals.
+    """
+    labels = ["PII", "pii", "UNCLASSIFIED_PII", "none", "internal"]
+    key = F.col("product_id")
+    columns = schema_of("employee_directory_poc").fieldNames()
+    upper = key % 2 == 1
+    entries = []
+    for position, column in enumerate(columns):
+        label = choice(number(f"d{position // 4}", position % 4), labels)
+        entries += [F.when(upper, F.lit(column.upper())).otherwise(F.lit(column)), label]
+    classes = F.when(key % 10 == 3, F.lit('{"email": ')).otherwise(metadata.canonical_json(F.create_map(*entries)))
+    properties = F.create_map(
+        F.lit(governance.CLASSIFICATION_PROPERTY),
+        classes,
+        F.lit(governance.CLASSIFICATION_SCHEMA_PROPERTY),
+        F.lit(governance.CLASSIFICATION_SCHEMA),
+        F.lit(governance.TAG_PROPERTY),
+        F.lit("PII"),
+    )
+    drawn = star.products.select(
+        "org_id", "product_id", *[digest(7, f"classes{i}", "product_id").alias(f"d{i}") for i in range(3)]
+    )
+    return drawn.select(
+        _directory(F.col("org_id")).alias("table_name"),
+        F.timestamp_seconds(F.lit(1767225600) + key).cast("timestamp_ntz").alias("modified"),
+        F.to_json(F.struct(properties.alias("properties"))).alias("value"),
+    )
+
+
+def _newest_properties(star: Star) -> DataFrame:
+    newest = metadata.newest_per_table(_metadata_documents(star), "table_name", "modified")
+    return metadata.with_properties(newest)
+
+
+@query
+def property_classification(spark: SparkSession, folder: str) -> DataFrame:
+    """The classification in the newest metadata document of every directory."""
+    return _newest_properties(Star(spark, folder)).select(
+        "table_name",
+        "modified",
+        metadata.json_property("properties", governance.CLASSIFICATION_PROPERTY).alias("pii_classification_json"),
+        metadata.json_property("properties", governance.CLASSIFICATION_SCHEMA_PROPERTY).alias("pii_schema"),
+        metadata.json_property("properties", governance.TAG_PROPERTY).alias("pii_tag"),
+    )
+
+
+@query
+def property_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Column tags of every organization's employee directory."""
+    star = Star(spark, folder)
+    columns = F.array(
+        *[
+            F.struct(F.lit(field.name).alias("column_name"), F.lit(field.dataType.simpleString()).alias("data_type"))
+            for field in schema_of("employee_directory_poc").fields
+        ]
+    )
+    catalog = star.base("supplier").select(
+        F.lit("lake").alias("table_schema"), _directory(F.col("s_suppkey")).alias("table_name"), F.inline(columns)
+    )
+    return governance.property_tags(_newest_properties(star), catalog, "LAKE")
+
+
+# Streaming
+
+
+EVENT_DDL = (
+    "event_id BIGINT NOT NULL, ts TIMESTAMP_NTZ NOT NULL, user_id BIGINT, event_type STRING, value DOUBLE, "
+    "k INT NOT NULL"
+)
+
+
+def _land_events(spark: SparkSession, folder: str) -> str:
+    """Stream the events as messages; error events come as plain text instead of JSON."""
+    location = workspace(spark, "landing")
+    # The glob makes the source take one file as well as a folder of files.
+    events = spark.readStream.schema(BASE_DDL["events"]).parquet(f"{folder.rstrip('/')}/events.parque[t]")
+    document = F.to_json(
+        F.struct(
+            "event_id",
+            F.col("ts").cast("string").alias("ts"),
+            "user_id",
+            "event_type",
+            "value",
+            F.get_json_object("props", "$.k").cast("int").alias("k"),
+        )
+    )
+    plain = F.concat_ws(" ", F.lit("error"), "event_id", "props")
+    messages = events.select(F.when(F.col("event_type") == "error", plain).otherwise(document).alias("value"))
+    landing.land(messages, StructType.fromDDL(EVENT_DDL), f"{location}/events", f"{location}/checkpoint").awaitTermination()
+    return f"{location}/events"
+
+
+@query
+def land_events(spark: SparkSession, folder: str) -> DataFrame:
+    return landing.landed(spark, StructType.fromDDL(EVENT_DDL), _land_events(spark, folder))
+
+
+@query
+def quarantine_events(spark: SparkSession, folder: str) -> DataFrame:
+    return landing.quarantined(spark, _land_events(spark, folder))

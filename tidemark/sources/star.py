@@ -84,6 +84,7 @@ class Star:
                 _pii(F.col("c_custkey"), "customer_id"),
                 _pii(F.col("c_name"), "customer_name"),
                 _pii(F.col("n_name"), "country"),
+                _pii(F.col("c_acctbal"), "account_balance"),
                 F.col("c_mktsegment").alias("customer_segment"),
             )
         )
