@@ -1,6 +1,6 @@
 """Classification, tags and masked reads."""
 
-from oracle.generated import CUSTOMERS, EMPLOYEES, md5, num, pick
+from oracle.generated import CUSTOMERS, EMPLOYEES, num, pick
 from oracle.star import STAR
 
 MASK = "'***PII MASKED***'"
@@ -38,12 +38,10 @@ COLUMNS = (
 LABELS = ["PII", "pii", "UNCLASSIFIED_PII", "none", "internal"]
 
 
-def label(position):
-    return pick(num(md5(7, f"classes{position // 4}", "p_partkey"), position % 4), LABELS)
+def label(column):
+    return pick(num(7, column, "p_partkey"), LABELS)
 
 
-CLASSES = "(VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(COLUMNS)) + ") AS c(i, column_name)"
-
 # The newest document of an organization is the one of its highest part key.
 NEWEST = """newest AS (
   SELECT p_partkey % (SELECT count(*) FROM supplier) AS org_id, max(p_partkey) AS p_partkey
@@ -53,15 +51,15 @@ NEWEST = """newest AS (
 ENTRIES = (
     "entries AS ("
     + " UNION ALL ".join(
-        f"SELECT org_id, p_partkey, '{column}' AS column_name, {label(position)} AS label FROM newest"
-        for position, column in enumerate(COLUMNS)
+        f"SELECT org_id, p_partkey, '{column}' AS column_name, {label(column)} AS label FROM newest"
+        for column in COLUMNS
     )
     + ")"
 )
 
 JSON_TEXT = " || ',' || ".join(
     f"""'"' || CASE WHEN p_partkey % 2 = 1 THEN upper('{column}') ELSE '{column}' END || '":"'
-        || {label(COLUMNS.index(column))} || '"'"""
+        || {label(column)} || '"'"""
     for column in sorted(COLUMNS)
 )
 

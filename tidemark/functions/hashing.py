@@ -1,39 +1,49 @@
 """Reproducible pseudo-random numbers from row keys.
 
-The numbers depend on the seed and the key only, so they are the same for every
+The numbers depend on the seed and the keys only, so they are the same for every
 partitioning and after a task is run again.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def digest(seed: int, stream: str, *keys: str | Column) -> Column:
-    """One digest per seed, named stream and key; ``number`` draws four numbers from it."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(stream), *[_text(key) for key in keys]))
+def draw(seed: int, stream: str, *keys: str | Column) -> Column:
+    """A number in 0..2^31 for every named stream and combination of BIGINT keys."""
+    salt = F.lit(seed * 2**32 + zlib.crc32(stream.encode())).cast("bigint")
+    return F.xxhash64(salt, *keys).bitwiseAND(F.lit(2**31 - 1))
 
 
-def _text(key: str | Column) -> Column:
-    return (F.col(key) if isinstance(key, str) else key).cast("string")
+def below(value: Column, limit: int | Column) -> Column:
+    """A draw scaled into 0..limit-1; no division, so it compiles to little code."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    return F.shiftright(value * limit.cast("bigint"), 31)
 
 
-def number(digest_column: str | Column, slot: int) -> Column:
-    """The 32-bit number in slot 0 to 3 of a digest."""
-    column = F.col(digest_column) if isinstance(digest_column, str) else digest_column
-    return F.conv(F.substring(column, 1 + 8 * slot, 8), 16, 10).cast("bigint")
+def bits(value: str | Column, offset: int, width: int) -> Column:
+    """``width`` bits of a draw, to get several small numbers out of one."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.shiftright(column, offset).bitwiseAND(F.lit(2**width - 1))
 
 
 def between(value: Column, low: int, high: int) -> Column:
-    """``value`` folded into low..high, both included."""
-    return value % F.lit(high - low + 1) + F.lit(low)
+    """A draw scaled into low..high, both included."""
+    return below(value, high - low + 1) + F.lit(low)
 
 
 def choice(value: Column, options: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(option) for option in options]), between(value, 1, len(options)).cast("int"))
+    """A draw as one of the options."""
+    return option(below(value, len(options)), options)
+
+
+def option(position: Column, options: Sequence[str]) -> Column:
+    """The option at a position counted from 0."""
+    return F.element_at(F.array(*[F.lit(text) for text in options]), (position + 1).cast("int"))
 
 
 def days_before(as_of: str, value: Column, low: int, high: int) -> Column:

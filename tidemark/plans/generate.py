@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import between, choice, days_before, digest, number
+from tidemark.functions.hashing import below, between, bits, choice, days_before, draw, option
 from tidemark.functions.money import MONEY
 from tidemark.functions.skew import join_hot_keys, number_within
 from tidemark.sources.schemas import schema_of
@@ -92,73 +92,73 @@ def organizations(org_ids: DataFrame) -> DataFrame:
     )
 
 
-# Which products an organization sells follows from its id: 2 to 4 categories, visited
-# from a start with a step that is prime to the number of categories, and in each of them
-# 1 to 3 names, visited in the same way.
+# Which products an organization sells follows from a draw on its id: 2 to 4 categories,
+# visited from a start with a step that is prime to the number of categories. A draw on
+# organization and category gives its 1 to 3 names in the same way. Each draw is split
+# into small numbers, which keeps the code of an order, with up to five products, below the
+# 8000 bytes up to which the JVM compiles a method.
 
 
-def _category_count(org_digest: str | Column) -> Column:
-    return between(number(org_digest, 0), 2, 4)
+def _org_draw(seed: int, org: str) -> Column:
+    return draw(seed, "categories", org)
 
 
-def _category(org_digest: str | Column, turn: Column) -> Column:
-    return (number(org_digest, 1) + turn * between(number(org_digest, 2), 1, len(CATEGORIES) - 1)) % len(CATEGORIES)
+def _category_count(org_draw: str) -> Column:
+    return F.shiftright(bits(org_draw, 0, 10) * 3, 10) + 2
 
 
-def _name_count(category_digest: str | Column) -> Column:
-    return between(number(category_digest, 0), 1, 3)
+def _category(org_draw: str, turn: Column) -> Column:
+    start = F.shiftright(bits(org_draw, 10, 10) * len(CATEGORIES), 10)
+    step = bits(org_draw, 20, 2) + 1
+    return (start + turn * step) % len(CATEGORIES)
 
 
-def _name(category_digest: str | Column, turn: Column) -> Column:
-    step = number(category_digest, 2) % 2 * 2 + 1
-    return (number(category_digest, 1) + turn * step) % NAMES_PER_CATEGORY
+def _category_draw(seed: int, org: str, category: str) -> Column:
+    return draw(seed, "names", org, category)
 
 
-def _product_id(org_id: Column, category: Column, name: Column) -> Column:
-    return (org_id - 1) * PRODUCT_SLOTS + category * NAMES_PER_CATEGORY + name + 1
+def _name_count(category_draw: str) -> Column:
+    return F.shiftright(bits(category_draw, 0, 10) * 3, 10) + 1
 
 
-def _price_cents(product_digest: str | Column) -> Column:
-    return between(number(product_digest, 0), 1000, 50000)
+def _name(category_draw: str, turn: Column) -> Column:
+    step = bits(category_draw, 12, 1) * 2 + 1
+    return (bits(category_draw, 10, 2) + turn * step).bitwiseAND(F.lit(NAMES_PER_CATEGORY - 1))
+
+
+def _product_id(org: str, category: str, name: Column) -> Column:
+    return (F.col(org) - 1) * PRODUCT_SLOTS + F.col(category) * NAMES_PER_CATEGORY + name + 1
+
+
+def _price_cents(seed: int, product: str | Column) -> Column:
+    return between(draw(seed, "price", product), 1000, 50000)
+
+
+def _turns(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
 
 
 def products(organization_rows: DataFrame, as_of_date: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """2 to 4 categories per organization with 1 to 3 distinct names each."""
-    names = F.array(*[F.array(*[F.lit(name) for name in PRODUCT_NAMES[category]]) for category in CATEGORIES])
-    categories = (
-        organization_rows.select("org_id", digest(seed, "org", "org_id").alias("org_digest"))
-        .select(
-            "org_id",
-            "org_digest",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), _category_count("org_digest") - 1)).alias("turn"),
-        )
-        .select("org_id", _category("org_digest", F.col("turn")).alias("category_no"))
-        .withColumn("category_digest", digest(seed, "category", "org_id", "category_no"))
-    )
     offers = (
-        categories.select(
-            "org_id",
-            "category_no",
-            "category_digest",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), _name_count("category_digest") - 1)).alias("turn"),
-        )
-        .withColumn("name_no", _name("category_digest", F.col("turn")))
-        .withColumn("product_id", _product_id(F.col("org_id"), F.col("category_no"), F.col("name_no")))
-        .withColumn("product_digest", digest(seed, "product", "product_id"))
+        organization_rows.select("org_id", _org_draw(seed, "org_id").alias("org_draw"))
+        .select("org_id", "org_draw", _turns(_category_count("org_draw")).alias("turn"))
+        .select("org_id", _category("org_draw", F.col("turn")).alias("category_no"))
+        .withColumn("category_draw", _category_draw(seed, "org_id", "category_no"))
+        .select("org_id", "category_no", "category_draw", _turns(_name_count("category_draw")).alias("turn"))
+        .withColumn("name_no", _name("category_draw", F.col("turn")))
+        .withColumn("product_id", _product_id("org_id", "category_no", F.col("name_no")))
     )
+    all_names = [name for category in CATEGORIES for name in PRODUCT_NAMES[category]]
     return conform(
         offers.select(
             "product_id",
             "org_id",
-            F.element_at(
-                F.element_at(names, (F.col("category_no") + 1).cast("int")), (F.col("name_no") + 1).cast("int")
-            ).alias("product_name"),
-            F.element_at(
-                F.array(*[F.lit(category) for category in CATEGORIES]), (F.col("category_no") + 1).cast("int")
-            ).alias("category"),
-            (_price_cents("product_digest") / F.lit(100.0)).alias("price"),
-            between(number("product_digest", 1), 10, 1000).alias("stock_quantity"),
-            days_before(as_of_date, number("product_digest", 2), 1, 365).alias("created_date"),
+            option(F.col("category_no") * NAMES_PER_CATEGORY + F.col("name_no"), all_names).alias("product_name"),
+            option(F.col("category_no"), CATEGORIES).alias("category"),
+            (_price_cents(seed, "product_id") / F.lit(100.0)).alias("price"),
+            between(draw(seed, "stock", "product_id"), 10, 1000).alias("stock_quantity"),
+            days_before(as_of_date, draw(seed, "created", "product_id"), 1, 365).alias("created_date"),
         ),
         "products",
     )
@@ -167,28 +167,22 @@ def products(organization_rows: DataFrame, as_of_date: str, seed: int = DEFAULT_
 def customers(customer_ids: DataFrame, as_of_date: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """Customers whose personal data is made up and marked as such."""
     key = F.col("id")
-    rows = customer_ids.select(
-        "id",
-        digest(seed, "customer", "id").alias("d1"),
-        digest(seed, "address", "id").alias("d2"),
-        digest(seed, "contact", "id").alias("d3"),
-    )
-    phone = (number("d3", 0) * 65536 + number("d3", 1) % 65536) % F.lit(8_000_000_000) + F.lit(2_000_000_000)
+    phone = (draw(seed, "phone", key) * 65536 + draw(seed, "phone end", key) % 65536) % F.lit(8_000_000_000)
     return conform(
-        rows.select(
+        customer_ids.select(
             key.alias("customer_id"),
-            choice(number("d1", 0), FIRST_NAMES).alias("first_name"),
-            choice(number("d1", 1), LAST_NAMES).alias("last_name"),
+            choice(draw(seed, "first", key), FIRST_NAMES).alias("first_name"),
+            choice(draw(seed, "last", key), LAST_NAMES).alias("last_name"),
             F.format_string("customer_%d@example.com", key).alias("email"),
-            F.format_string("+1%d", phone).alias("phone"),
-            days_before(as_of_date, number("d1", 2), 18 * 365, 80 * 365).alias("date_of_birth"),
-            F.concat_ws(" ", key + 100, choice(number("d2", 0), STREET_NAMES)).alias("address_line1"),
+            F.format_string("+1%d", phone + F.lit(2_000_000_000)).alias("phone"),
+            days_before(as_of_date, draw(seed, "birth", key), 18 * 365, 80 * 365).alias("date_of_birth"),
+            F.concat_ws(" ", key + 100, choice(draw(seed, "street", key), STREET_NAMES)).alias("address_line1"),
             F.format_string("FAKE-%04d", key).alias("postal_code"),
             F.format_string("FAKE-NID-%06d", key).alias("national_id"),
-            choice(number("d2", 1), CITIES).alias("city"),
-            choice(number("d2", 2), COUNTRIES).alias("country"),
-            days_before(as_of_date, number("d2", 3), 1, 730).alias("signup_date"),
-            choice(number("d1", 3), CUSTOMER_SEGMENTS).alias("customer_segment"),
+            choice(draw(seed, "city", key), CITIES).alias("city"),
+            choice(draw(seed, "country", key), COUNTRIES).alias("country"),
+            days_before(as_of_date, draw(seed, "signup", key), 1, 730).alias("signup_date"),
+            choice(draw(seed, "segment", key), CUSTOMER_SEGMENTS).alias("customer_segment"),
         ),
         "customers",
     )
@@ -207,63 +201,46 @@ def orders(
     organizations; the first one is the order's organization. The lines of the order are
     drawn separately, so they need not add up to the amount.
     """
-    customer_total = F.lit(customer_total) if isinstance(customer_total, int) else customer_total
     organization_total = F.lit(organization_total) if isinstance(organization_total, int) else organization_total
     rows = order_ids.select(
         F.col("id").alias("order_id"),
-        digest(seed, "order", "id").alias("d"),
-        digest(seed, "basket", "id").alias("basket"),
-        customer_total.cast("bigint").alias("customer_total"),
-        organization_total.cast("bigint").alias("organization_total"),
-    ).select(
-        "order_id",
-        "organization_total",
-        (number("d", 0) % F.col("customer_total") + 1).alias("customer_id"),
-        between(number("d", 1), 1, MAX_ITEMS).alias("num_items"),
-        number("d", 2).alias("date_no"),
-        number("d", 3).alias("status_no"),
-        number("basket", 0).alias("org_no"),
-        number("basket", 1).alias("category_turn"),
-        number("basket", 2).alias("name_turn"),
+        (below(draw(seed, "customer of order", "id"), customer_total) + 1).alias("customer_id"),
+        between(draw(seed, "item count", "id"), 1, MAX_ITEMS).alias("num_items"),
+        organization_total.cast("bigint").alias("orgs"),
+        below(draw(seed, "organization of order", "id"), organization_total).alias("org_no"),
+        draw(seed, "product of order", "id").alias("pick_draw"),
     )
-    picks = range(MAX_ITEMS)
-    # With few organizations a pick comes round to one again; it then takes its next category.
-    lap = {i: F.floor(F.lit(i) / F.col("organization_total")) for i in picks}
-    org = {i: (F.col("org_no") + i) % F.col("organization_total") + 1 for i in picks}
-    rows = rows.withColumns({f"org_{i}": org[i] for i in picks})
-    rows = rows.withColumns({f"od_{i}": digest(seed, "org", f"org_{i}") for i in picks})
-    rows = rows.withColumns({f"categories_{i}": _category_count(f"od_{i}") for i in picks})
-    rows = rows.withColumns(
-        {
-            f"category_{i}": _category(f"od_{i}", (F.col("category_turn") + lap[i]) % F.col(f"categories_{i}"))
-            for i in picks
-        }
-    )
-    rows = rows.withColumns({f"cd_{i}": digest(seed, "category", f"org_{i}", f"category_{i}") for i in picks})
-    rows = rows.withColumns(
-        {
-            f"product_{i}": _product_id(
-                F.col(f"org_{i}"),
-                F.col(f"category_{i}"),
-                _name(f"cd_{i}", F.col("name_turn") % _name_count(f"cd_{i}")),
-            )
-            for i in picks
-        }
+    taken = []
+    for i in range(MAX_ITEMS):
+        org, category, product = f"org_{i}", f"category_{i}", f"product_{i}"
+        org_draw, category_draw = f"org_draw_{i}", f"category_draw_{i}"
+        count = _category_count(org_draw)
+        # With few organizations a pick comes round to one again; it then takes its next category.
+        lap = F.expr(f"{i} div orgs")
+        turn = (F.shiftright(bits("pick_draw", 0, 10) * count, 10) + lap) % count
+        name_turn = F.shiftright(bits("pick_draw", 10, 10) * _name_count(category_draw), 10)
+        rows = (
+            rows.withColumn(org, (F.col("org_no") + i) % F.col("orgs") + 1)
+            .withColumn(org_draw, _org_draw(seed, org))
+            .withColumn(category, _category(org_draw, turn))
+            .withColumn(category_draw, _category_draw(seed, org, category))
+            .withColumn(product, _product_id(org, category, _name(category_draw, name_turn)))
+        )
+        taken.append(F.when((F.lit(i) < F.col("num_items")) & (lap < count), F.col(product)))
+    cents = F.aggregate(
+        F.array_compact(F.array(*taken)),
+        F.lit(0).cast("bigint"),
+        lambda total, product: total + _price_cents(seed, product),
     )
-    rows = rows.withColumns({f"pd_{i}": digest(seed, "product", f"product_{i}") for i in picks})
-    cents = F.lit(0).cast("bigint")
-    for i in picks:
-        taken = (F.lit(i) < F.col("num_items")) & (lap[i] < F.col(f"categories_{i}"))
-        cents = cents + F.when(taken, _price_cents(f"pd_{i}")).otherwise(0)
     return conform(
         rows.select(
             "order_id",
             "customer_id",
             F.col("org_0").alias("org_id"),
-            days_before(as_of_date, F.col("date_no"), 1, 365).alias("order_date"),
+            days_before(as_of_date, draw(seed, "order date", "order_id"), 1, 365).alias("order_date"),
             (cents / F.lit(100.0)).alias("total_amount"),
             "num_items",
-            choice(F.col("status_no"), ORDER_STATUSES).alias("order_status"),
+            choice(draw(seed, "status", "order_id"), ORDER_STATUSES).alias("order_status"),
         ),
         "orders",
     )
@@ -290,8 +267,8 @@ def order_items(
         .withColumn(
             "line", F.explode(F.when(F.col("wanted") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("wanted") - 1)))
         )
-        .withColumn("position", (number(digest(seed, "lines", "order_id"), 0) + F.col("line")) % F.col("available"))
-        .withColumn("quantity", between(number(digest(seed, "quantity", "order_id", "line"), 0), 1, 5))
+        .withColumn("position", (below(draw(seed, "first line", "order_id"), F.col("available")) + F.col("line")) % F.col("available"))
+        .withColumn("quantity", between(draw(seed, "quantity", "order_id", "line"), 1, 5))
         .select("order_id", "org_id", "line", "position", "quantity")
     )
     return conform(
@@ -309,21 +286,18 @@ def order_items(
 
 def employees(employee_ids: DataFrame, as_of_date: str, seed: int = EMPLOYEE_SEED) -> DataFrame:
     key = F.col("id")
-    rows = employee_ids.select(
-        "id", digest(seed, "employee", "id").alias("d1"), digest(seed, "position", "id").alias("d2")
-    )
     return conform(
-        rows.select(
+        employee_ids.select(
             key.alias("employee_id"),
-            choice(number("d1", 0), FIRST_NAMES).alias("first_name"),
-            choice(number("d1", 1), LAST_NAMES).alias("last_name"),
+            choice(draw(seed, "first", key), FIRST_NAMES).alias("first_name"),
+            choice(draw(seed, "last", key), LAST_NAMES).alias("last_name"),
             F.format_string("employee_%d@example.com", key).alias("email"),
             F.format_string("+1-FAKE-%07d", key).alias("phone"),
-            choice(number("d2", 0), EMPLOYEE_DEPARTMENTS).alias("department"),
-            choice(number("d2", 1), EMPLOYEE_JOB_TITLES).alias("job_title"),
-            choice(number("d1", 2), COUNTRIES).alias("country"),
-            choice(number("d2", 2), EMPLOYEE_TYPES).alias("employment_type"),
-            days_before(as_of_date, number("d2", 3), 30, 3650).alias("hire_date"),
+            choice(draw(seed, "department", key), EMPLOYEE_DEPARTMENTS).alias("department"),
+            choice(draw(seed, "title", key), EMPLOYEE_JOB_TITLES).alias("job_title"),
+            choice(draw(seed, "country", key), COUNTRIES).alias("country"),
+            choice(draw(seed, "type", key), EMPLOYEE_TYPES).alias("employment_type"),
+            days_before(as_of_date, draw(seed, "hired", key), 30, 3650).alias("hire_date"),
         ),
         "employee_directory_poc",
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.hashing import choice, digest, number
+from tidemark.functions.hashing import choice, draw
 from tidemark.operators import sales
 from tidemark.plans import generate, governance, refresh
 from tidemark.session import workspace
@@ -344,8 +344,8 @@ def _metadata_documents(star: Star) -> DataFrame:
     columns = schema_of("employee_directory_poc").fieldNames()
     upper = key % 2 == 1
     entries = []
-    for position, column in enumerate(columns):
-        label = choice(number(f"d{position // 4}", position % 4), labels)
+    for column in columns:
+        label = choice(draw(7, column, "product_id"), labels)
         entries += [F.when(upper, F.lit(column.upper())).otherwise(F.lit(column)), label]
     classes = F.when(key % 10 == 3, F.lit('{"email": ')).otherwise(metadata.canonical_json(F.create_map(*entries)))
     properties = F.create_map(
@@ -356,12 +356,9 @@ def _metadata_documents(star: Star) -> DataFrame:
         F.lit(governance.TAG_PROPERTY),
         F.lit("PII"),
     )
-    drawn = star.products.select(
-        "org_id", "product_id", *[digest(7, f"classes{i}", "product_id").alias(f"d{i}") for i in range(3)]
-    )
-    return drawn.select(
+    return star.products.select(
         _directory(F.col("org_id")).alias("table_name"),
-        F.timestamp_seconds(F.lit(1767225600) + key).cast("timestamp_ntz").alias("modified"),
+        (F.lit("2026-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=key)).alias("modified"),
         F.to_json(F.struct(properties.alias("properties"))).alias("value"),
     )
 
