@@ -25,10 +25,7 @@ s_orders AS (
   ) ON o_orderkey = l_orderkey
 ),
 s_order_items AS (
-  SELECT md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-               CAST(l_quantity AS INTEGER), CAST(l_extendedprice AS DECIMAL(18,2)),
-               CAST(l_discount AS DECIMAL(18,2)), CAST(l_tax AS DECIMAL(18,2)),
-               l_returnflag, l_linestatus, CAST(l_shipdate AS DATE))) AS order_item_id,
+  SELECT md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)) AS order_item_id,
          l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
          l_extendedprice / l_quantity AS unit_price, l_extendedprice AS subtotal
   FROM lineitem

@@ -1,0 +1,184 @@
+"""Invariants of the generated dataset."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions.hashing import below, draw
+from tidemark.functions.money import MONEY
+from tidemark.plans import generate
+from tidemark.sources.schemas import LAKE_TABLES, schema_of
+
+AS_OF = "2026-01-01"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return generate.dataset(spark, AS_OF, organization_count=7, customer_count=100, order_count=2_000)
+
+
+def same(left, right):
+    return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def test_tables_have_the_declared_columns(tables):
+    assert tuple(tables) == LAKE_TABLES
+    for table, frame in tables.items():
+        declared = schema_of(table)
+        assert [(f.name, f.dataType, f.metadata) for f in frame.schema] == [
+            (f.name, f.dataType, f.metadata) for f in declared
+        ]
+        assert frame.where(" OR ".join(f"{f.name} IS NULL" for f in declared)).isEmpty()
+
+
+def test_keys_are_unique_and_references_close(tables):
+    for table, key in [
+        ("organizations", "org_id"),
+        ("products", "product_id"),
+        ("customers", "customer_id"),
+        ("orders", "order_id"),
+        ("order_items", "order_item_id"),
+    ]:
+        assert tables[table].select(key).distinct().count() == tables[table].count()
+    for child, parent, key in [
+        ("products", "organizations", "org_id"),
+        ("orders", "organizations", "org_id"),
+        ("orders", "customers", "customer_id"),
+        ("order_items", "orders", "order_id"),
+        ("order_items", "products", "product_id"),
+    ]:
+        assert tables[child].join(tables[parent], key, "left_anti").isEmpty()
+
+
+def test_base_organizations(tables):
+    rows = {row.org_id: (row.org_name, row.industry, row.country) for row in tables["organizations"].collect()}
+    assert [rows[i] for i in range(1, 6)] == generate.ORGANIZATIONS
+    assert rows[6] == ("Tech Corp 6", "Technology", "USA")
+
+
+def test_product_ranges(spark):
+    products = generate.products(generate.organizations(generate.ids(spark, 500)), AS_OF)
+    per_category = products.groupBy("org_id", "category").agg(
+        F.count("product_id").alias("n"), F.count_distinct("product_name").alias("names")
+    )
+    assert {row.n for row in per_category.select("n").distinct().collect()} == {1, 2, 3}
+    assert per_category.where("n <> names").isEmpty()
+    categories = per_category.groupBy("org_id").count().select("count").distinct().collect()
+    assert {row["count"] for row in categories} == {2, 3, 4}
+    assert products.select("category").distinct().count() == len(generate.CATEGORIES)
+    assert products.select("product_name").distinct().count() == generate.PRODUCT_SLOTS
+    bounds = products.agg(F.min("price"), F.max("price"), F.min("stock_quantity"), F.max("stock_quantity")).first()
+    assert bounds[0] >= 10 and bounds[1] <= 500 and bounds[2] >= 10 and bounds[3] <= 1000
+    names = {name: category for category, group in generate.PRODUCT_NAMES.items() for name in group}
+    assert all(names[row.product_name] == row.category for row in products.collect())
+
+
+def test_dates_and_domains(tables):
+    orders, customers = tables["orders"], tables["customers"]
+    ages = customers.select(F.date_diff(F.lit(AS_OF).cast("date"), "date_of_birth").alias("days")).agg(
+        F.min("days"), F.max("days")
+    ).first()
+    assert ages[0] >= 18 * 365 and ages[1] <= 80 * 365
+    assert orders.where("order_date >= '2026-01-01' OR order_date < '2025-01-01'").isEmpty()
+    assert {row[0] for row in orders.select("order_status").distinct().collect()} == set(generate.ORDER_STATUSES)
+    assert {row[0] for row in orders.select("num_items").distinct().collect()} == {1, 2, 3, 4, 5}
+    assert customers.where("NOT phone RLIKE '^[+]1[2-9][0-9]{9}$'").isEmpty()
+    first = customers.where("customer_id = 7").first()
+    assert (first.email, first.postal_code, first.national_id) == (
+        "customer_7@example.com",
+        "FAKE-0007",
+        "FAKE-NID-000007",
+    )
+    assert first.address_line1.startswith("107 ")
+
+
+def test_lines_are_distinct_products_of_the_orders_organization(tables):
+    sizes = tables["products"].groupBy("org_id").agg(F.count("product_id").alias("available"))
+    lines = tables["order_items"].join(tables["products"].withColumnRenamed("org_id", "line_org"), "product_id")
+    per_order = lines.groupBy("order_id").agg(
+        F.count("product_id").alias("n"),
+        F.count_distinct("product_id").alias("distinct_products"),
+        F.min("line_org").alias("low"),
+        F.max("line_org").alias("high"),
+    )
+    checked = tables["orders"].join(per_order, "order_id").join(sizes, "org_id")
+    assert checked.count() == 2_000
+    assert checked.where("n <> distinct_products OR low <> org_id OR high <> org_id").isEmpty()
+    assert checked.where("n <> least(num_items, available)").isEmpty()
+    assert lines.where("unit_price <> price OR quantity NOT BETWEEN 1 AND 5").isEmpty()
+    exact = (F.col("unit_price").cast(MONEY) * F.col("quantity")).cast("double")
+    assert lines.where(F.col("subtotal") != exact).isEmpty()
+
+
+def test_order_amount_is_a_sum_of_distinct_product_prices(spark):
+    """Brute force for one item per order, bounds for the others."""
+    products = {row.product_id: row for row in generate.products(generate.organizations(generate.ids(spark, 3)), AS_OF).collect()}
+    by_org = {}
+    for row in products.values():
+        by_org.setdefault(row.org_id, []).append(row.price)
+    for row in generate.orders(generate.ids(spark, 500), 10, 3, AS_OF).collect():
+        if row.num_items == 1:
+            assert row.total_amount in by_org[row.org_id]
+        everything = sorted(price for prices in by_org.values() for price in prices)
+        assert sum(everything[: row.num_items]) - 0.005 <= row.total_amount
+        assert row.total_amount <= sum(everything[-row.num_items :]) + 0.005
+
+
+def test_same_rows_for_every_partitioning_and_run(spark, tables):
+    one = generate.orders(generate.ids(spark, 2_000).repartition(1), 100, 7, AS_OF)
+    assert same(one, tables["orders"])
+    assert same(generate.dataset(spark, AS_OF, 7, 100, 2_000)["order_items"], tables["order_items"])
+    assert not same(generate.orders(generate.ids(spark, 2_000), 100, 7, AS_OF, seed=43), tables["orders"])
+
+
+def test_larger_dataset_extends_the_smaller_one(spark):
+    small = generate.customers(generate.ids(spark, 50), AS_OF)
+    large = generate.customers(generate.ids(spark, 500), AS_OF)
+    assert small.exceptAll(large).isEmpty()
+
+
+def test_organization_without_products_has_no_lines(spark):
+    orders = spark.createDataFrame([(1, 1, 5), (2, 2, 5), (3, 3, 0)], "order_id BIGINT, org_id BIGINT, num_items INT")
+    products = spark.createDataFrame(
+        [(10, 1, 1.5), (11, 1, 2.5), (30, 3, 1.0)], "product_id BIGINT, org_id BIGINT, price DOUBLE"
+    )
+    lines = generate.order_items(orders, products)
+    assert {(row.order_id, row.product_id) for row in lines.collect()} == {(1, 10), (1, 11)}
+
+
+def test_too_many_items_fail_instead_of_being_cut(spark):
+    orders = spark.createDataFrame([(1, 1, 6)], "order_id BIGINT, org_id BIGINT, num_items INT")
+    products = spark.createDataFrame([(10, 1, 1.5)], "product_id BIGINT, org_id BIGINT, price DOUBLE")
+    with pytest.raises(Exception, match="max_items=5"):
+        generate.order_items(orders, products).collect()
+    assert generate.order_items(orders, products, max_items=6).count() == 1
+
+
+def test_lines_with_one_hot_organization(spark):
+    orders = spark.range(1, 6_001).select(
+        F.col("id").alias("order_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("org_id"),
+        F.lit(2).alias("num_items"),
+    )
+    products = generate.products(generate.organizations(generate.ids(spark, 6_000)), AS_OF)
+    lines = generate.order_items(orders, products)
+    assert lines.select("order_id", "product_id").distinct().count() == lines.count() == 12_000
+
+
+def test_employees(spark):
+    rows = generate.employees(generate.ids(spark, 100), AS_OF)
+    assert [f.name for f in rows.schema] == schema_of("employee_directory_poc").fieldNames()
+    assert rows.where("employee_id = 3").first().phone == "+1-FAKE-0000003"
+    assert all(not field.metadata for field in rows.schema)
+
+
+def test_draws_are_even_and_independent(spark):
+    """Pairs of draws over consecutive ids fill a 10 by 10 table evenly (chi-square, 99 degrees)."""
+    n = 200_000
+    pairs = (
+        spark.range(n)
+        .select(below(draw(42, "first", "id"), 10).alias("a"), below(draw(42, "last", "id"), 10).alias("b"))
+        .groupBy("a", "b")
+        .count()
+        .collect()
+    )
+    assert len(pairs) == 100
+    assert sum((row["count"] - n / 100) ** 2 / (n / 100) for row in pairs) < 160

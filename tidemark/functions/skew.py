@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import below, draw
+
 # A hot key holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE of
 # them: that bounds both the broadcast below and the copies made of the other side.
 HOT_SHARE = 1000
@@ -31,13 +33,14 @@ def join_hot_keys(
 
 
 def number_within(frame: DataFrame, group: str, key: str, name: str, blocks: int = 1009) -> DataFrame:
-    """Number the rows of each group from 0, in the order of (key modulo blocks, key).
+    """Number the rows of each group from 0, in the order of (block, key).
 
-    Rows are ranked inside blocks of a group, and the ranks are then shifted by the sizes
-    of the group's earlier blocks. No task sees more of a group than one block of it, or
-    its block sizes. ``key`` must be unique in its group.
+    The key's hash puts a row into one of the group's blocks. Rows are ranked inside their
+    block, and the ranks are then shifted by the sizes of the group's earlier blocks. No
+    task sees more of a group than one block of it, or its block sizes. ``key`` must be
+    unique in its group.
     """
-    blocked = frame.withColumn("_block", F.pmod(F.col(key), F.lit(blocks)))
+    blocked = frame.withColumn("_block", below(draw(0, "block", key), blocks))
     earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(group, "_block")

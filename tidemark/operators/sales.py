@@ -118,8 +118,13 @@ def preview(frame: DataFrame, limit: int = 10, order_by: list[str] | None = None
     return (frame.orderBy(*order_by) if order_by else frame).limit(limit)
 
 
+def row_total(frame: DataFrame) -> DataFrame:
+    """One row with the frame's row count."""
+    return frame.agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def _scalar_count(frame: DataFrame) -> Column:
-    return frame.select(F.count(F.lit(1))).scalar()
+    return row_total(frame).scalar()
 
 
 def dataset_summary(
@@ -150,8 +155,6 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per table with its row count, answered from Parquet footers where possible."""
     counts = None
     for name, frame in tables.items():
-        one = frame.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count"
-        )
+        one = row_total(frame).select(F.lit(name).alias("table_name"), "row_count")
         counts = one if counts is None else counts.unionAll(one)
     return counts

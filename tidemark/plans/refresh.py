@@ -5,13 +5,12 @@ from __future__ import annotations
 import datetime
 import logging
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.audit import audit_rows, create_audit_table, write_audit
+from tidemark.session import side_by_side
 from tidemark.sources.lake import ensure_table, quote, replace_table, row_count
 from tidemark.sources.schemas import LAKE_TABLES
 
@@ -47,10 +46,7 @@ def refresh_tables(
     provider: str = "parquet",
     concurrency: int = 4,
 ) -> DataFrame:
-    """Refresh every table; one that fails is reported and does not stop the others.
-
-    Tables are refreshed side by side, so that a small one does not leave the cluster idle.
-    """
+    """Refresh every table; one that fails is reported and does not stop the others."""
 
     def one(table: str) -> tuple:
         try:
@@ -67,8 +63,7 @@ def refresh_tables(
         status = "OK" if source_rows == target_rows else "ROW_MISMATCH"
         return (table, status, source_rows, target_rows, None)
 
-    with ThreadPoolExecutor(max_workers=concurrency) as pool:
-        results = list(pool.map(inheritable_thread_target(spark)(one), tables))
+    results = side_by_side(spark, one, tables, concurrency)
     return spark.createDataFrame(results, RESULT_DDL)
 
 

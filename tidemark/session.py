@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+R = TypeVar("R")
+
 # Adaptive execution sizes shuffle partitions at run time, splits skewed join partitions
 # and splits or merges the partitions of a REBALANCE before a write.
 SESSION_CONF = {
@@ -43,3 +50,11 @@ def workspace(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def side_by_side(
+    spark: SparkSession, function: Callable[[T], R], items: Iterable[T], concurrency: int = 4
+) -> list[R]:
+    """Run independent Spark jobs at the same time, so that a small one leaves no cores idle."""
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(function), items))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
+from tidemark.session import side_by_side
 from tidemark.sources.schemas import LAKE_TABLES, TABLE_DDL
 
 FORMATS = ("parquet", "table")
@@ -71,8 +72,13 @@ def comment_of(field: StructField) -> str | None:
 
 
 def apply_column_comments(spark: SparkSession, frame: DataFrame, name: str) -> int:
-    """Persist field comments as column comments; returns how many were applied."""
-    commented = [field for field in frame.schema.fields if comment_of(field)]
+    """Persist field comments that the table does not have yet; returns how many."""
+    stored = {field.name.lower(): comment_of(field) for field in spark.table(quote(name)).schema.fields}
+    commented = [
+        field
+        for field in frame.schema.fields
+        if comment_of(field) and comment_of(field) != stored[field.name.lower()]
+    ]
     for field in commented:
         spark.sql(
             f"ALTER TABLE {quote(name)} ALTER COLUMN {quote(field.name)} "
@@ -253,8 +259,13 @@ class LakeWriter:
             provider=self.provider,
         )
 
-    def write_all(self, tables: Mapping[str, DataFrame]) -> dict[str, str]:
-        return {table: self.write(frame, table) for table, frame in tables.items()}
+    def write_all(self, tables: Mapping[str, DataFrame], concurrency: int = 4) -> dict[str, str]:
+        """Write every table; returns where each of them went."""
+        if not tables:
+            return {}
+        spark = next(iter(tables.values())).sparkSession
+        written = side_by_side(spark, lambda item: self.write(item[1], item[0]), tables.items(), concurrency)
+        return dict(zip(tables, written))
 
 
 class LakeReader:
