@@ -1,0 +1,45 @@
+"""Snapshots and reads as of a time."""
+
+import datetime
+
+import pytest
+
+from tidemark.sources import snapshots
+
+UTC = datetime.UTC
+JAN = datetime.datetime(2026, 1, 1, tzinfo=UTC)
+FEB = datetime.datetime(2026, 2, 1, tzinfo=UTC)
+
+
+@pytest.fixture
+def root(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    assert snapshots.append_snapshot(spark.range(3), path, JAN, "append") == 1
+    assert snapshots.append_snapshot(spark.range(5), path, FEB) == 2
+    return path
+
+
+def test_as_of_picks_the_newest_snapshot_not_after(spark, root):
+    day = datetime.timedelta(days=1)
+    assert snapshots.read_as_of(spark, root, JAN).count() == 3
+    assert snapshots.read_as_of(spark, root, FEB - day).count() == 3
+    assert snapshots.read_as_of(spark, root, FEB).count() == 5
+    assert snapshots.read_as_of(spark, root, FEB + day).count() == 5
+    with pytest.raises(ValueError, match="no snapshot"):
+        snapshots.read_as_of(spark, root, JAN - day)
+
+
+def test_history(spark, root):
+    rows = snapshots.snapshot_history(spark, root).orderBy("snapshot_id").collect()
+    assert [(r.snapshot_id, r.operation, r.row_count) for r in rows] == [(1, "append", 3), (2, "overwrite", 5)]
+
+
+def test_history_before_the_first_snapshot_is_empty(spark, tmp_path):
+    assert snapshots.snapshot_history(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_interrupted_snapshot_is_never_seen(spark, root):
+    spark.range(100).write.parquet(f"{root}/data/snapshot_id=3")
+    assert snapshots.read_as_of(spark, root, FEB).count() == 5
+    assert snapshots.append_snapshot(spark.range(7), root, FEB) == 3
+    assert snapshots.read_as_of(spark, root, FEB).count() == 7

@@ -26,7 +26,7 @@ from pyspark.sql.types import (
     VarcharType,
 )
 
-from tidemark.sources.lake import comment_of, quote, replace_table, table_properties
+from tidemark.sources.lake import comment_of, list_tables, quote, replace_table, table_properties
 from tidemark.sources.metadata import json_property
 from tidemark.sources.schemas import PII_COMMENT
 
@@ -93,7 +93,7 @@ def column_catalog(spark: SparkSession, schemas: Mapping[str, StructType], table
 
 def catalog_of_namespace(spark: SparkSession, namespace: str) -> DataFrame:
     """The column catalog of every table in a namespace, from metadata only."""
-    tables = [row["tableName"] for row in spark.sql(f"SHOW TABLES IN {quote(namespace)}").collect() if not row["isTemporary"]]
+    tables = [row["tableName"] for row in list_tables(spark, namespace).collect()]
     schemas = {table: spark.table(quote(f"{namespace}.{table}")).schema for table in tables}
     return column_catalog(spark, schemas, namespace)
 

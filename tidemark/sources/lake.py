@@ -170,7 +170,8 @@ def ensure_table(
 
 
 def list_tables(spark: SparkSession, namespace: str) -> DataFrame:
-    return spark.sql(f"SHOW TABLES IN {quote(namespace)}").select("namespace", "tableName")
+    """The tables of a namespace, without temporary views."""
+    return spark.sql(f"SHOW TABLES IN {quote(namespace)}").where("NOT isTemporary").select("namespace", "tableName")
 
 
 def row_count(spark: SparkSession, table: str, namespace: str = "default") -> int:
