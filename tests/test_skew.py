@@ -18,19 +18,19 @@ def _orders(spark, rows=60_000):
 def test_join_hot_keys_equals_the_plain_join(spark):
     facts = _orders(spark)
     lookup = facts.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).where("customer_id % 7 <> 1")
-    salted = join_hot_keys(facts, lookup, "customer_id", "order_id", splits=16)
+    salted = join_hot_keys(facts, lookup, "customer_id", "order_id", partitions=64)
     plain = facts.join(lookup, "customer_id")
     assert salted.columns == plain.columns
     assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
 
 
-def test_hot_key_is_spread_over_tasks(spark, monkeypatch):
+def test_hot_key_is_spread_over_tasks(spark):
     facts = _orders(spark)
     lookup = facts.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = join_hot_keys(facts, lookup, "customer_id", "order_id", splits=64)
+        joined = join_hot_keys(facts, lookup, "customer_id", "order_id", partitions=300)
         hot = joined.where("customer_id = 0").groupBy(F.spark_partition_id().alias("task")).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

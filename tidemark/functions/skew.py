@@ -7,29 +7,30 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import below, draw
 
-# A hot key holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE of
-# them: that bounds both the broadcast below and the copies made of the other side.
-HOT_SHARE = 1000
-
 
 def join_hot_keys(
-    facts: DataFrame, lookup: DataFrame, on: str, spread_by: str, splits: int = 1024
+    facts: DataFrame, lookup: DataFrame, on: str, spread_by: str, partitions: int | None = None
 ) -> DataFrame:
-    """Inner join that spreads every hot value of ``on`` over ``splits`` shuffle keys.
+    """Inner join that spreads the rows of a hot key over several shuffle keys.
 
     Adaptive execution splits skewed join partitions by itself when both sides come
     straight from a shuffle. This is for joins where one side is an aggregate, which it
-    leaves alone. Rows of a hot key are spread by ``spread_by``, a column that differs
-    among them; only the hot keys' lookup rows are copied.
+    leaves alone. A key is hot when it holds more rows than one of ``partitions`` shuffle
+    partitions should; its rows are spread by ``spread_by``, a column that differs among
+    them, over as many shuffle keys as it would fill partitions, and its lookup rows are
+    copied to each. There are fewer hot keys than partitions, which bounds the broadcast,
+    and with a unique lookup key fewer than two copies per partition.
     """
-    counts = facts.groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
+    if partitions is None:
+        partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = facts.groupBy(on).agg((F.count(F.lit(1)) * partitions).alias("_rows"))
     total = facts.select(F.count(F.lit(1))).scalar()
-    hot = counts.where(F.col("_rows") * HOT_SHARE > total).select(on, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(splits))).otherwise(F.lit(0))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
-    salted_facts = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", salt.cast("int"))
+    hot = counts.where(F.col("_rows") > total).select(on, F.ceil(F.col("_rows") / total).alias("_splits"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_splits")), F.lit(0).cast("bigint"))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_splits", F.lit(1).cast("bigint")) - 1)
+    salted_facts = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", salt)
     salted_lookup = lookup.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts))
-    return salted_facts.drop("_hot").join(salted_lookup.drop("_hot"), [on, "_salt"]).drop("_salt")
+    return salted_facts.drop("_splits").join(salted_lookup.drop("_splits"), [on, "_salt"]).drop("_salt")
 
 
 def number_within(frame: DataFrame, group: str, key: str, name: str, blocks: int = 1009) -> DataFrame:

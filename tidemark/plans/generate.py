@@ -190,8 +190,8 @@ def customers(customer_ids: DataFrame, as_of_date: str, seed: int = DEFAULT_SEED
 
 def orders(
     order_ids: DataFrame,
-    customer_total: int | Column,
-    organization_total: int | Column,
+    customer_total: int,
+    organization_total: int,
     as_of_date: str,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
@@ -201,12 +201,10 @@ def orders(
     organizations; the first one is the order's organization. The lines of the order are
     drawn separately, so they need not add up to the amount.
     """
-    organization_total = F.lit(organization_total) if isinstance(organization_total, int) else organization_total
     rows = order_ids.select(
         F.col("id").alias("order_id"),
         (below(draw(seed, "customer of order", "id"), customer_total) + 1).alias("customer_id"),
         between(draw(seed, "item count", "id"), 1, MAX_ITEMS).alias("num_items"),
-        organization_total.cast("bigint").alias("orgs"),
         below(draw(seed, "organization of order", "id"), organization_total).alias("org_no"),
         draw(seed, "product of order", "id").alias("pick_draw"),
     )
@@ -216,17 +214,17 @@ def orders(
         org_draw, category_draw = f"org_draw_{i}", f"category_draw_{i}"
         count = _category_count(org_draw)
         # With few organizations a pick comes round to one again; it then takes its next category.
-        lap = F.expr(f"{i} div orgs")
+        lap = i // organization_total
         turn = (F.shiftright(bits("pick_draw", 0, 10) * count, 10) + lap) % count
         name_turn = F.shiftright(bits("pick_draw", 10, 10) * _name_count(category_draw), 10)
         rows = (
-            rows.withColumn(org, (F.col("org_no") + i) % F.col("orgs") + 1)
+            rows.withColumn(org, (F.col("org_no") + i) % organization_total + 1)
             .withColumn(org_draw, _org_draw(seed, org))
             .withColumn(category, _category(org_draw, turn))
             .withColumn(category_draw, _category_draw(seed, org, category))
             .withColumn(product, _product_id(org, category, _name(category_draw, name_turn)))
         )
-        taken.append(F.when((F.lit(i) < F.col("num_items")) & (lap < count), F.col(product)))
+        taken.append(F.when((F.col("num_items") > i) & (count > lap), F.col(product)))
     cents = F.aggregate(
         F.array_compact(F.array(*taken)),
         F.lit(0).cast("bigint"),

@@ -119,7 +119,7 @@ def _generated_products(star: Star) -> DataFrame:
 
 def _generated_orders(star: Star) -> DataFrame:
     return generate.orders(
-        _ids(star, "orders", "o_orderkey"), star.row_total("customer"), star.row_total("supplier"), AS_OF
+        _ids(star, "orders", "o_orderkey"), star.base("customer").count(), star.base("supplier").count(), AS_OF
     )
 
 
