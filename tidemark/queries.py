@@ -233,8 +233,7 @@ def register_folders(spark: SparkSession, folder: str) -> DataFrame:
     tables = Star(spark, folder).tables()
     early = sales.with_status(tables["orders"], "F").drop("num_items")
     late = tables["orders"].where(F.col("order_status") != "F")
-    for table, frame in {**tables, "orders": early}.items():
-        lake.write_folder(frame, f"{location}/{table}")
+    lake.LakeWriter(location, "parquet").write_all({**tables, "orders": early})
     folders.register_folders(spark, location, LAKE_TABLES, name)
     late.write.mode("append").parquet(f"{location}/orders")
     results = folders.register_folders(spark, location, LAKE_TABLES, name)

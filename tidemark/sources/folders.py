@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import side_by_side
 from tidemark.sources.lake import column_ddl, literal, quote
 
 log = logging.getLogger(__name__)
@@ -46,19 +47,18 @@ def register_folder(spark: SparkSession, namespace: str, table: str, path: str)
 
 
 def register_folders(
-    spark: SparkSession, base_path: str, tables: Sequence[str], namespace: str
+    spark: SparkSession, base_path: str, tables: Sequence[str], namespace: str, concurrency: int = 4
 ) -> DataFrame:
     """Register every folder; a missing one is only logged, a failing one does not stop the rest."""
-    results = []
-    for table in tables:
+
+    def one(table: str) -> tuple:
         try:
             status, added = register_folder(spark, namespace, table, f"{base_path.rstrip('/')}/{table}")
-            results.append((table, status, added, None))
-        except AnalysisException as error:
-            missing = error.getCondition() == "PATH_NOT_FOUND"
-            log.warning("folder of %s: %s", table, error)
-            results.append((table, "MISSING" if missing else "FAILED", [], None if missing else str(error)))
+            return (table, status, added, None)
         except Exception as error:
             log.warning("folder of %s: %s", table, error)
-            results.append((table, "FAILED", [], str(error)))
-    return spark.createDataFrame(results, RESULT_DDL)
+            if isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND":
+                return (table, "MISSING", [], None)
+            return (table, "FAILED", [], str(error))
+
+    return spark.createDataFrame(side_by_side(spark, one, tables, concurrency), RESULT_DDL)
