@@ -17,7 +17,7 @@ from tidemark.session import build_session  # noqa: E402
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = [name for name in os.environ.get("BENCH_QUERIES", "").split(",") if name] or list(REGISTRY)
     spark = build_session(
         "tidemark-bench",
