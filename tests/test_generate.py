@@ -175,7 +175,7 @@ def test_draws_are_even_and_independent(spark):
     n = 200_000
     pairs = (
         spark.range(n)
-        .select(below(draw(42, "first", "id"), 10).alias("a"), below(draw(42, "last", "id"), 10).alias("b"))
+        .selectExpr(f"{below(draw(42, 'first', 'id'), 10)} AS a", f"{below(draw(42, 'last', 'id'), 10)} AS b")
         .groupBy("a", "b")
         .count()
         .collect()

@@ -1,7 +1,9 @@
-"""Reproducible pseudo-random numbers from row keys.
+"""Reproducible pseudo-random numbers from row keys, as Spark SQL text.
 
 The numbers depend on the seed and the keys only, so they are the same for every
-partitioning and after a task is run again.
+partitioning and after a task is run again. The functions return text for ``selectExpr``
+and ``expr``: a wide generated row is then analyzed in one go, where building it from
+Column objects takes longer than running it.
 """
 
 from __future__ import annotations
@@ -9,42 +11,38 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def draw(seed: int, stream: str, *keys: str | Column) -> Column:
+def draw(seed: int, stream: str, *keys: str) -> str:
     """A number in 0..2^31 for every named stream and combination of BIGINT keys."""
-    salt = F.lit(seed * 2**32 + zlib.crc32(stream.encode())).cast("bigint")
-    return F.xxhash64(salt, *keys).bitwiseAND(F.lit(2**31 - 1))
+    salt = seed * 2**32 + zlib.crc32(stream.encode())
+    return f"(xxhash64({salt}L, {', '.join(keys)}) & {2**31 - 1}L)"
 
 
-def below(value: Column, limit: int | Column) -> Column:
+def below(value: str, limit: int | str) -> str:
     """A draw scaled into 0..limit-1; no division, so it compiles to little code."""
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    return F.shiftright(value * limit.cast("bigint"), 31)
+    return f"shiftright({value} * CAST({limit} AS BIGINT), 31)"
+
 
+def between(value: str, low: int, high: int) -> str:
+    """A draw scaled into low..high, both included."""
+    return f"({below(value, high - low + 1)} + {low}L)"
 
-def bits(value: str | Column, offset: int, width: int) -> Column:
+
+def bits(value: str, offset: int, width: int) -> str:
     """``width`` bits of a draw, to get several small numbers out of one."""
-    column = F.col(value) if isinstance(value, str) else value
-    return F.shiftright(column, offset).bitwiseAND(F.lit(2**width - 1))
+    return f"(shiftright({value}, {offset}) & {2**width - 1}L)"
 
 
-def between(value: Column, low: int, high: int) -> Column:
-    """A draw scaled into low..high, both included."""
-    return below(value, high - low + 1) + F.lit(low)
+def option(position: str, options: Sequence[str]) -> str:
+    """The option at a position counted from 0."""
+    texts = ", ".join("'" + text.replace("'", "\\'") + "'" for text in options)
+    return f"element_at(array({texts}), CAST({position} + 1L AS INT))"
 
 
-def choice(value: Column, options: Sequence[str]) -> Column:
+def choice(value: str, options: Sequence[str]) -> str:
     """A draw as one of the options."""
     return option(below(value, len(options)), options)
 
 
-def option(position: Column, options: Sequence[str]) -> Column:
-    """The option at a position counted from 0."""
-    return F.element_at(F.array(*[F.lit(text) for text in options]), (position + 1).cast("int"))
-
-
-def days_before(as_of: str, value: Column, low: int, high: int) -> Column:
-    return F.date_sub(F.lit(as_of).cast("date"), between(value, low, high).cast("int"))
+def days_before(as_of: str, value: str, low: int, high: int) -> str:
+    return f"date_sub(DATE'{as_of}', CAST({between(value, low, high)} AS INT))"

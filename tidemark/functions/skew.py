@@ -41,7 +41,7 @@ def number_within(frame: DataFrame, group: str, key: str, name: str, blocks: int
     task sees more of a group than one block of it, or its block sizes. ``key`` must be
     unique in its group.
     """
-    blocked = frame.withColumn("_block", below(draw(0, "block", key), blocks))
+    blocked = frame.withColumn("_block", F.expr(below(draw(0, "block", f"`{key}`"), blocks)))
     earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(group, "_block")

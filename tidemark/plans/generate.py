@@ -7,7 +7,7 @@ organization and amounts are computed from hashes on the row itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import below, between, bits, choice, days_before, draw, option
@@ -76,19 +76,17 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
 
 def organizations(org_ids: DataFrame) -> DataFrame:
     """The five base organizations; further ids repeat them with the id in the name."""
-    base = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(industry).alias("industry"), F.lit(country).alias("country"))
-            for name, industry, country in ORGANIZATIONS
-        ]
-    )
-    template = F.element_at(base, ((F.col("id") - 1) % len(ORGANIZATIONS) + 1).cast("int"))
-    rows = org_ids.select(F.col("id").alias("org_id"), template.alias("template"))
-    name = F.when(F.col("org_id") <= len(ORGANIZATIONS), F.col("template.name")).otherwise(
-        F.concat_ws(" ", "template.name", "org_id")
-    )
+    names, industries, countries = zip(*ORGANIZATIONS)
+    template = f"((id - 1) % {len(ORGANIZATIONS)})"
+    name = option(template, names)
     return conform(
-        rows.select("org_id", name.alias("org_name"), "template.industry", "template.country"), "organizations"
+        org_ids.selectExpr(
+            "id AS org_id",
+            f"IF(id <= {len(ORGANIZATIONS)}, {name}, concat_ws(' ', {name}, id)) AS org_name",
+            f"{option(template, industries)} AS industry",
+            f"{option(template, countries)} AS country",
+        ),
+        "organizations",
     )
 
 
@@ -99,66 +97,62 @@ def organizations(org_ids: DataFrame) -> DataFrame:
 # 8000 bytes up to which the JVM compiles a method.
 
 
-def _org_draw(seed: int, org: str) -> Column:
+def _org_draw(seed: int, org: str) -> str:
     return draw(seed, "categories", org)
 
 
-def _category_count(org_draw: str) -> Column:
-    return F.shiftright(bits(org_draw, 0, 10) * 3, 10) + 2
+def _category_count(org_draw: str) -> str:
+    return f"(shiftright({bits(org_draw, 0, 10)} * 3L, 10) + 2L)"
 
 
-def _category(org_draw: str, turn: Column) -> Column:
-    start = F.shiftright(bits(org_draw, 10, 10) * len(CATEGORIES), 10)
-    step = bits(org_draw, 20, 2) + 1
-    return (start + turn * step) % len(CATEGORIES)
+def _category(org_draw: str, turn: str) -> str:
+    start = f"shiftright({bits(org_draw, 10, 10)} * {len(CATEGORIES)}L, 10)"
+    step = f"({bits(org_draw, 20, 2)} + 1L)"
+    return f"(({start} + {turn} * {step}) % {len(CATEGORIES)}L)"
 
 
-def _category_draw(seed: int, org: str, category: str) -> Column:
+def _category_draw(seed: int, org: str, category: str) -> str:
     return draw(seed, "names", org, category)
 
 
-def _name_count(category_draw: str) -> Column:
-    return F.shiftright(bits(category_draw, 0, 10) * 3, 10) + 1
+def _name_count(category_draw: str) -> str:
+    return f"(shiftright({bits(category_draw, 0, 10)} * 3L, 10) + 1L)"
 
 
-def _name(category_draw: str, turn: Column) -> Column:
-    step = bits(category_draw, 12, 1) * 2 + 1
-    return (bits(category_draw, 10, 2) + turn * step).bitwiseAND(F.lit(NAMES_PER_CATEGORY - 1))
+def _name(category_draw: str, turn: str) -> str:
+    step = f"({bits(category_draw, 12, 1)} * 2L + 1L)"
+    return f"(({bits(category_draw, 10, 2)} + {turn} * {step}) & {NAMES_PER_CATEGORY - 1}L)"
 
 
-def _product_id(org: str, category: str, name: Column) -> Column:
-    return (F.col(org) - 1) * PRODUCT_SLOTS + F.col(category) * NAMES_PER_CATEGORY + name + 1
+def _product_id(org: str, category: str, name: str) -> str:
+    return f"(({org} - 1L) * {PRODUCT_SLOTS}L + {category} * {NAMES_PER_CATEGORY}L + {name} + 1L)"
 
 
-def _price_cents(seed: int, product: str | Column) -> Column:
+def _price_cents(seed: int, product: str) -> str:
     return between(draw(seed, "price", product), 1000, 50000)
 
 
-def _turns(count: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
-
-
 def products(organization_rows: DataFrame, as_of_date: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """2 to 4 categories per organization with 1 to 3 distinct names each."""
     offers = (
-        organization_rows.select("org_id", _org_draw(seed, "org_id").alias("org_draw"))
-        .select("org_id", "org_draw", _turns(_category_count("org_draw")).alias("turn"))
-        .select("org_id", _category("org_draw", F.col("turn")).alias("category_no"))
-        .withColumn("category_draw", _category_draw(seed, "org_id", "category_no"))
-        .select("org_id", "category_no", "category_draw", _turns(_name_count("category_draw")).alias("turn"))
-        .withColumn("name_no", _name("category_draw", F.col("turn")))
-        .withColumn("product_id", _product_id("org_id", "category_no", F.col("name_no")))
+        organization_rows.selectExpr("org_id", f"{_org_draw(seed, 'org_id')} AS org_draw")
+        .selectExpr("org_id", "org_draw", f"explode(sequence(0L, {_category_count('org_draw')} - 1L)) AS turn")
+        .selectExpr("org_id", f"{_category('org_draw', 'turn')} AS category_no")
+        .selectExpr("*", f"{_category_draw(seed, 'org_id', 'category_no')} AS category_draw")
+        .selectExpr("*", f"explode(sequence(0L, {_name_count('category_draw')} - 1L)) AS turn")
+        .selectExpr("*", f"{_name('category_draw', 'turn')} AS name_no")
+        .selectExpr("*", f"{_product_id('org_id', 'category_no', 'name_no')} AS product_id")
     )
     all_names = [name for category in CATEGORIES for name in PRODUCT_NAMES[category]]
     return conform(
-        offers.select(
+        offers.selectExpr(
             "product_id",
             "org_id",
-            option(F.col("category_no") * NAMES_PER_CATEGORY + F.col("name_no"), all_names).alias("product_name"),
-            option(F.col("category_no"), CATEGORIES).alias("category"),
-            (_price_cents(seed, "product_id") / F.lit(100.0)).alias("price"),
-            between(draw(seed, "stock", "product_id"), 10, 1000).alias("stock_quantity"),
-            days_before(as_of_date, draw(seed, "created", "product_id"), 1, 365).alias("created_date"),
+            f"{option(f'(category_no * {NAMES_PER_CATEGORY} + name_no)', all_names)} AS product_name",
+            f"{option('category_no', CATEGORIES)} AS category",
+            f"{_price_cents(seed, 'product_id')} / 100.0D AS price",
+            f"{between(draw(seed, 'stock', 'product_id'), 10, 1000)} AS stock_quantity",
+            f"{days_before(as_of_date, draw(seed, 'created', 'product_id'), 1, 365)} AS created_date",
         ),
         "products",
     )
@@ -166,23 +160,26 @@ def products(organization_rows: DataFrame, as_of_date: str, seed: int = DEFAULT_
 
 def customers(customer_ids: DataFrame, as_of_date: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """Customers whose personal data is made up and marked as such."""
-    key = F.col("id")
-    phone = (draw(seed, "phone", key) * 65536 + draw(seed, "phone end", key) % 65536) % F.lit(8_000_000_000)
+
+    def random(stream: str) -> str:
+        return draw(seed, stream, "id")
+
+    phone = f"({random('phone')} * 65536L + {random('phone end')} % 65536L) % 8000000000L + 2000000000L"
     return conform(
-        customer_ids.select(
-            key.alias("customer_id"),
-            choice(draw(seed, "first", key), FIRST_NAMES).alias("first_name"),
-            choice(draw(seed, "last", key), LAST_NAMES).alias("last_name"),
-            F.format_string("customer_%d@example.com", key).alias("email"),
-            F.format_string("+1%d", phone + F.lit(2_000_000_000)).alias("phone"),
-            days_before(as_of_date, draw(seed, "birth", key), 18 * 365, 80 * 365).alias("date_of_birth"),
-            F.concat_ws(" ", key + 100, choice(draw(seed, "street", key), STREET_NAMES)).alias("address_line1"),
-            F.format_string("FAKE-%04d", key).alias("postal_code"),
-            F.format_string("FAKE-NID-%06d", key).alias("national_id"),
-            choice(draw(seed, "city", key), CITIES).alias("city"),
-            choice(draw(seed, "country", key), COUNTRIES).alias("country"),
-            days_before(as_of_date, draw(seed, "signup", key), 1, 730).alias("signup_date"),
-            choice(draw(seed, "segment", key), CUSTOMER_SEGMENTS).alias("customer_segment"),
+        customer_ids.selectExpr(
+            "id AS customer_id",
+            f"{choice(random('first'), FIRST_NAMES)} AS first_name",
+            f"{choice(random('last'), LAST_NAMES)} AS last_name",
+            "format_string('customer_%d@example.com', id) AS email",
+            f"format_string('+1%d', {phone}) AS phone",
+            f"{days_before(as_of_date, random('birth'), 18 * 365, 80 * 365)} AS date_of_birth",
+            f"concat_ws(' ', id + 100, {choice(random('street'), STREET_NAMES)}) AS address_line1",
+            "format_string('FAKE-%04d', id) AS postal_code",
+            "format_string('FAKE-NID-%06d', id) AS national_id",
+            f"{choice(random('city'), CITIES)} AS city",
+            f"{choice(random('country'), COUNTRIES)} AS country",
+            f"{days_before(as_of_date, random('signup'), 1, 730)} AS signup_date",
+            f"{choice(random('segment'), CUSTOMER_SEGMENTS)} AS customer_segment",
         ),
         "customers",
     )
@@ -201,44 +198,44 @@ def orders(
     organizations; the first one is the order's organization. The lines of the order are
     drawn separately, so they need not add up to the amount.
     """
-    rows = order_ids.select(
-        F.col("id").alias("order_id"),
-        (below(draw(seed, "customer of order", "id"), customer_total) + 1).alias("customer_id"),
-        between(draw(seed, "item count", "id"), 1, MAX_ITEMS).alias("num_items"),
-        below(draw(seed, "organization of order", "id"), organization_total).alias("org_no"),
-        draw(seed, "product of order", "id").alias("pick_draw"),
+    rows = order_ids.selectExpr(
+        "id AS order_id",
+        f"{below(draw(seed, 'customer of order', 'id'), customer_total)} + 1L AS customer_id",
+        f"{between(draw(seed, 'item count', 'id'), 1, MAX_ITEMS)} AS num_items",
+        f"{below(draw(seed, 'organization of order', 'id'), organization_total)} AS org_no",
+        f"{draw(seed, 'product of order', 'id')} AS pick_draw",
     )
-    taken = []
-    for i in range(MAX_ITEMS):
-        org, category, product = f"org_{i}", f"category_{i}", f"product_{i}"
-        org_draw, category_draw = f"org_draw_{i}", f"category_draw_{i}"
-        count = _category_count(org_draw)
-        # With few organizations a pick comes round to one again; it then takes its next category.
-        lap = i // organization_total
-        turn = (F.shiftright(bits("pick_draw", 0, 10) * count, 10) + lap) % count
-        name_turn = F.shiftright(bits("pick_draw", 10, 10) * _name_count(category_draw), 10)
-        rows = (
-            rows.withColumn(org, (F.col("org_no") + i) % organization_total + 1)
-            .withColumn(org_draw, _org_draw(seed, org))
-            .withColumn(category, _category(org_draw, turn))
-            .withColumn(category_draw, _category_draw(seed, org, category))
-            .withColumn(product, _product_id(org, category, _name(category_draw, name_turn)))
+    # Each step names its results, so that the next one does not compute them again.
+    picks = range(MAX_ITEMS)
+    # With few organizations a pick comes round to one again; it then takes its next category.
+    lap = [i // organization_total for i in picks]
+    count = [_category_count(f"org_draw_{i}") for i in picks]
+    turn = [f"((shiftright({bits('pick_draw', 0, 10)} * {count[i]}, 10) + {lap[i]}L) % {count[i]})" for i in picks]
+    name_turn = [f"shiftright({bits('pick_draw', 10, 10)} * {_name_count(f'category_draw_{i}')}, 10)" for i in picks]
+    rows = (
+        rows.selectExpr("*", *[f"(org_no + {i}L) % {organization_total}L + 1L AS org_{i}" for i in picks])
+        .selectExpr("*", *[f"{_org_draw(seed, f'org_{i}')} AS org_draw_{i}" for i in picks])
+        .selectExpr("*", *[f"{_category(f'org_draw_{i}', turn[i])} AS category_{i}" for i in picks])
+        .selectExpr("*", *[f"{_category_draw(seed, f'org_{i}', f'category_{i}')} AS category_draw_{i}" for i in picks])
+        .selectExpr(
+            "*",
+            *[
+                f"{_product_id(f'org_{i}', f'category_{i}', _name(f'category_draw_{i}', name_turn[i]))} AS product_{i}"
+                for i in picks
+            ],
         )
-        taken.append(F.when((F.col("num_items") > i) & (count > lap), F.col(product)))
-    cents = F.aggregate(
-        F.array_compact(F.array(*taken)),
-        F.lit(0).cast("bigint"),
-        lambda total, product: total + _price_cents(seed, product),
     )
+    taken = ", ".join(f"IF(num_items > {i} AND {count[i]} > {lap[i]}, product_{i}, NULL)" for i in picks)
+    cents = f"aggregate(array_compact(array({taken})), 0L, (total, product) -> total + {_price_cents(seed, 'product')})"
     return conform(
-        rows.select(
+        rows.selectExpr(
             "order_id",
             "customer_id",
-            F.col("org_0").alias("org_id"),
-            days_before(as_of_date, draw(seed, "order date", "order_id"), 1, 365).alias("order_date"),
-            (cents / F.lit(100.0)).alias("total_amount"),
+            "org_0 AS org_id",
+            f"{days_before(as_of_date, draw(seed, 'order date', 'order_id'), 1, 365)} AS order_date",
+            f"{cents} / 100.0D AS total_amount",
             "num_items",
-            choice(draw(seed, "status", "order_id"), ORDER_STATUSES).alias("order_status"),
+            f"{choice(draw(seed, 'status', 'order_id'), ORDER_STATUSES)} AS order_status",
         ),
         "orders",
     )
@@ -255,47 +252,53 @@ def order_items(
     """
     sizes = product_rows.groupBy("org_id").agg(F.count(F.lit(1)).alias("available"))
     numbered = number_within(product_rows.select("org_id", "product_id", "price"), "org_id", "product_id", "position")
-    wanted = F.when(
-        F.col("num_items") > max_items,
-        F.raise_error(F.lit(f"an order has more than max_items={max_items} items")).cast("bigint"),
-    ).otherwise(F.least(F.col("num_items").cast("bigint"), F.col("available")))
+    too_many = f"raise_error('an order has more than max_items={max_items} items')"
     lines = (
         join_hot_keys(order_rows.select("order_id", "org_id", "num_items"), sizes, "org_id", "order_id")
-        .withColumn("wanted", wanted)
-        .withColumn(
-            "line", F.explode(F.when(F.col("wanted") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("wanted") - 1)))
+        .selectExpr(
+            "order_id",
+            "org_id",
+            "available",
+            f"IF(num_items > {max_items}, CAST({too_many} AS BIGINT), least(num_items, available)) AS wanted",
+        )
+        .selectExpr("order_id", "org_id", "available", "explode(IF(wanted > 0, sequence(0L, wanted - 1L), NULL)) AS line")
+        .selectExpr(
+            "order_id",
+            "org_id",
+            "line",
+            f"({below(draw(seed, 'first line', 'order_id'), 'available')} + line) % available AS position",
+            f"{between(draw(seed, 'quantity', 'order_id', 'line'), 1, 5)} AS quantity",
         )
-        .withColumn("position", (below(draw(seed, "first line", "order_id"), F.col("available")) + F.col("line")) % F.col("available"))
-        .withColumn("quantity", between(draw(seed, "quantity", "order_id", "line"), 1, 5))
-        .select("order_id", "org_id", "line", "position", "quantity")
     )
     return conform(
-        lines.join(numbered, ["org_id", "position"]).select(
-            ((F.col("order_id") - 1) * max_items + F.col("line") + 1).alias("order_item_id"),
+        lines.join(numbered, ["org_id", "position"]).selectExpr(
+            f"(order_id - 1L) * {max_items} + line + 1L AS order_item_id",
             "order_id",
             "product_id",
             "quantity",
-            F.col("price").alias("unit_price"),
-            (F.col("price").cast(MONEY) * F.col("quantity")).cast("double").alias("subtotal"),
+            "price AS unit_price",
+            f"CAST(CAST(price AS {MONEY}) * quantity AS DOUBLE) AS subtotal",
         ),
         "order_items",
     )
 
 
 def employees(employee_ids: DataFrame, as_of_date: str, seed: int = EMPLOYEE_SEED) -> DataFrame:
-    key = F.col("id")
+    def random(stream: str) -> str:
+        return draw(seed, stream, "id")
+
     return conform(
-        employee_ids.select(
-            key.alias("employee_id"),
-            choice(draw(seed, "first", key), FIRST_NAMES).alias("first_name"),
-            choice(draw(seed, "last", key), LAST_NAMES).alias("last_name"),
-            F.format_string("employee_%d@example.com", key).alias("email"),
-            F.format_string("+1-FAKE-%07d", key).alias("phone"),
-            choice(draw(seed, "department", key), EMPLOYEE_DEPARTMENTS).alias("department"),
-            choice(draw(seed, "title", key), EMPLOYEE_JOB_TITLES).alias("job_title"),
-            choice(draw(seed, "country", key), COUNTRIES).alias("country"),
-            choice(draw(seed, "type", key), EMPLOYEE_TYPES).alias("employment_type"),
-            days_before(as_of_date, draw(seed, "hired", key), 30, 3650).alias("hire_date"),
+        employee_ids.selectExpr(
+            "id AS employee_id",
+            f"{choice(random('first'), FIRST_NAMES)} AS first_name",
+            f"{choice(random('last'), LAST_NAMES)} AS last_name",
+            "format_string('employee_%d@example.com', id) AS email",
+            "format_string('+1-FAKE-%07d', id) AS phone",
+            f"{choice(random('department'), EMPLOYEE_DEPARTMENTS)} AS department",
+            f"{choice(random('title'), EMPLOYEE_JOB_TITLES)} AS job_title",
+            f"{choice(random('country'), COUNTRIES)} AS country",
+            f"{choice(random('type'), EMPLOYEE_TYPES)} AS employment_type",
+            f"{days_before(as_of_date, random('hired'), 30, 3650)} AS hire_date",
         ),
         "employee_directory_poc",
     )

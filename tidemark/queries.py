@@ -344,7 +344,7 @@ def _metadata_documents(star: Star) -> DataFrame:
     upper = key % 2 == 1
     entries = []
     for column in columns:
-        label = choice(draw(7, column, "product_id"), labels)
+        label = F.expr(choice(draw(7, column, "product_id"), labels))
         entries += [F.when(upper, F.lit(column.upper())).otherwise(F.lit(column)), label]
     classes = F.when(key % 10 == 3, F.lit('{"email": ')).otherwise(metadata.canonical_json(F.create_map(*entries)))
     properties = F.create_map(
