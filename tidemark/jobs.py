@@ -1,4 +1,4 @@
-"""The batch jobs, for spark-submit or ``python -m tidemark.jobs``.
+"""The batch jobs, for spark-submit.
 
 generate   make the five related tables, write them, report on them
 directory  make the employee directory and store its classification as table properties
