@@ -1,6 +1,7 @@
 """Reading and writing folders and catalog tables."""
 
 import uuid
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,40 @@ def test_hot_day_is_written_whole(spark, tmp_path):
     assert same(back, rows)
     scan = back.where("load_date = DATE'2026-01-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(load_date" in scan
+
+
+def test_names_and_their_catalogs(spark):
+    assert lake.quote("a.`b`.c d") == "`a`.`b`.`c d`"
+    assert lake.qualified("db", "t") == "db.t" and lake.qualified("db", "x.t") == "x.t"
+    assert lake.is_session_catalog(spark, "t") and lake.is_session_catalog(spark, "db.t")
+    assert lake.is_session_catalog(spark, "spark_catalog.db.t")
+    assert not lake.is_session_catalog(spark, "other.db.t")
+    spark.conf.set("spark.sql.catalog.named", "some.Catalog")
+    try:
+        assert not lake.is_session_catalog(spark, "named.t")
+    finally:
+        spark.conf.unset("spark.sql.catalog.named")
+
+
+def test_replacing_catalog_gets_one_atomic_call(spark):
+    """No such catalog is available here, so only the calls are checked."""
+    frame = mock.MagicMock()
+    frame.sparkSession = spark
+    lake.replace_table(
+        frame, "other.db.t", location="s3a://b/t", properties={"p": 1}, provider="fmt", column_comments=False
+    )
+    frame.writeTo.assert_called_once_with("`other`.`db`.`t`")
+    writer = frame.writeTo.return_value.using
+    writer.assert_called_once_with("fmt")
+    calls = str(writer.return_value.mock_calls)
+    assert "tableProperty('p', '1')" in calls and "tableProperty('location', 's3a://b/t')" in calls
+    assert calls.count("createOrReplace()") == 1 and not frame.write.mock_calls
+    with pytest.raises(ValueError):
+        lake.replace_table(frame, "other.db.t", bucket_by=(4, ["k"]))
+
+
+def test_folders_with_int_keys_can_be_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A", "I", "UK")], "org_id INT, org_name STRING, industry STRING, country STRING")
+    lake.write_folder(rows, f"{tmp_path}/organizations")
+    stored = lake.LakeReader(spark, str(tmp_path), "parquet").read("organizations")
+    assert tuple(stored.first()) == (1, "A", "I", "UK") and stored.dtypes[0] == ("org_id", "bigint")

@@ -1,5 +1,7 @@
 """Hot keys: whole results, and no task that holds a hot key alone."""
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.skew import join_hot_keys, number_within
@@ -76,3 +78,18 @@ def test_number_within_counts_every_group_from_zero(spark):
     assert all(sorted(positions) == list(range(len(positions))) for positions in found.values())
     again = number_within(frame.repartition(3), "group", "key", "position", blocks=13)
     assert numbered.exceptAll(again).isEmpty()
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    keys=st.lists(st.integers(0, 4) | st.none(), max_size=30),
+    lookup=st.lists(st.integers(0, 6), max_size=8),
+    partitions=st.integers(1, 40),
+)
+def test_any_keys_join_like_the_plain_join(spark, keys, lookup, partitions):
+    """Small inputs of every shape: empty sides, missing keys, repeated lookup keys."""
+    facts = spark.createDataFrame(list(enumerate(keys)), "id BIGINT, k BIGINT")
+    other = spark.createDataFrame([(key, f"v{n}") for n, key in enumerate(lookup)], "k BIGINT, v STRING")
+    found = join_hot_keys(facts, other, "k", "id", partitions).collect()
+    expected = [(key, row, f"v{n}") for row, key in enumerate(keys) for n, entry in enumerate(lookup) if key == entry]
+    assert sorted(tuple(row) for row in found) == sorted(expected)

@@ -30,6 +30,19 @@ SESSION_CONF = {
 }
 
 
+ADVISORY_BYTES = 128 * 2**20
+
+
+def sizing(shuffle_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job whose largest shuffle moves about ``shuffle_bytes``.
+
+    Adaptive execution merges small shuffle partitions but does not split evenly large
+    ones, so there must be enough of them from the start.
+    """
+    partitions = max(2 * cores, -(-shuffle_bytes // ADVISORY_BYTES))
+    return {"spark.sql.shuffle.partitions": str(partitions)}
+
+
 def build_session(app_name: str = "tidemark", extra: dict[str, str] | None = None) -> SparkSession:
     """Create a session; catalogs and master come from ``extra`` or from spark-submit."""
     builder = SparkSession.builder.appName(app_name)

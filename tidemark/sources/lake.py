@@ -97,9 +97,10 @@ def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
 
 
 def is_session_catalog(spark: SparkSession, name: str) -> bool:
-    parts = name.split(".")
-    catalog = parts[0] if len(parts) > 2 else spark.catalog.currentCatalog()
-    return catalog.strip("`") == "spark_catalog"
+    """Whether a table name, with or without its catalog, is in Spark's own catalog."""
+    first, *rest = [part.strip("`") for part in name.split(".")]
+    names_catalog = len(rest) > 1 or (rest and spark.conf.get(f"spark.sql.catalog.{first}", None) is not None)
+    return (first if names_catalog else spark.catalog.currentCatalog()) == "spark_catalog"
 
 
 def replace_table(
