@@ -1,6 +1,6 @@
 """Classification, tags and masked reads."""
 
-from oracle.generated import CUSTOMERS, EMPLOYEES, num, pick
+from oracle.generated import CUSTOMERS, EMPLOYEES, below, num, pick
 from oracle.star import STAR
 
 MASK = "'***PII MASKED***'"
@@ -42,20 +42,35 @@ def label(column):
     return pick(num(7, column, "p_partkey"), LABELS)
 
 
-# The newest document of an organization is the one of its highest part key.
-NEWEST = """newest AS (
-  SELECT p_partkey % (SELECT count(*) FROM supplier) AS org_id, max(p_partkey) AS p_partkey
+
+
+BROKEN = f"({below(num(7, 'broken', 'p_partkey'), 10)} = 0)"
+
+
+def documents(name, pick):
+    """One document per organization: that of its highest or lowest part key."""
+    return f"""{name} AS (
+  SELECT p_partkey % (SELECT count(*) FROM supplier) AS org_id, {pick}(p_partkey) AS p_partkey
   FROM part GROUP BY 1
 )"""
 
-ENTRIES = (
-    "entries AS ("
-    + " UNION ALL ".join(
-        f"SELECT org_id, p_partkey, '{column}' AS column_name, {label(column)} AS label FROM newest"
+
+def tags(name, source):
+    """The tags that the documents of ``source`` give."""
+    entries = " UNION ALL ".join(
+        f"SELECT org_id, p_partkey, '{column}' AS column_name, {label(column)} AS label FROM {source}"
         for column in COLUMNS
     )
-    + ")"
-)
+    return f"""{name} AS (
+  SELECT 'GOVERNANCE' AS tag_database, 'CLASSIFICATION' AS tag_schema,
+         'PII_CLASSIFICATION' AS tag_name, upper(label) AS tag_value, 'LAKE' AS object_database,
+         'lake' AS object_schema, 'directory_' || org_id AS object_name, column_name
+  FROM ({entries}) WHERE NOT {BROKEN} AND label <> 'internal'
+)"""
+
+
+NEWEST = documents("newest", "max")
+NEWEST_TAGS = tags("newest_tags", "newest")
 
 JSON_TEXT = " || ',' || ".join(
     f"""'"' || CASE WHEN p_partkey % 2 = 1 THEN upper('{column}') ELSE '{column}' END || '":"'
@@ -86,13 +101,15 @@ ORACLE = {
     "property_classification": f"""WITH {NEWEST}
         SELECT 'directory_' || org_id AS table_name,
                make_timestamp((1767225600 + p_partkey) * 1000000) AS modified,
-               CASE WHEN p_partkey % 10 = 3 THEN '{{"email": '
+               CASE WHEN {BROKEN} THEN '{{"email": '
                     ELSE '{{' || {JSON_TEXT} || '}}' END AS pii_classification_json,
                'column-classification-v1' AS pii_schema, 'PII' AS pii_tag
         FROM newest""",
-    "property_tags": f"""WITH {NEWEST}, {ENTRIES}
-        SELECT 'GOVERNANCE' AS tag_database, 'CLASSIFICATION' AS tag_schema,
-               'PII_CLASSIFICATION' AS tag_name, upper(label) AS tag_value, 'LAKE' AS object_database,
-               'lake' AS object_schema, 'directory_' || org_id AS object_name, column_name
-        FROM entries WHERE p_partkey % 10 <> 3 AND label <> 'internal'""",
+    "property_tags": f"WITH {NEWEST}, {NEWEST_TAGS} SELECT * FROM newest_tags",
+    "property_tag_totals": f"""WITH {NEWEST}, {NEWEST_TAGS}
+        SELECT tag_name, tag_value, count(*) AS tagged_columns, count(DISTINCT object_name) AS tagged_tables
+        FROM newest_tags GROUP BY 1, 2""",
+    "retagged_columns": f"""WITH {NEWEST}, {NEWEST_TAGS}, {documents("oldest", "min")}, {tags("oldest_tags", "oldest")}
+        SELECT * FROM newest_tags UNION ALL
+        SELECT * FROM oldest_tags WHERE object_name NOT IN (SELECT object_name FROM newest_tags)""",
 }

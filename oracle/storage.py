@@ -33,4 +33,7 @@ ORACLE = {
         FROM events WHERE event_type <> 'error'""",
     "quarantine_events": """
         SELECT 'error ' || event_id || ' ' || props AS raw FROM events WHERE event_type = 'error'""",
+    "landing_counts": """
+        SELECT CASE WHEN event_type = 'error' THEN 'quarantined' ELSE 'valid' END AS verdict, count(*) AS messages
+        FROM events GROUP BY 1""",
 }

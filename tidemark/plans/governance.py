@@ -218,6 +218,14 @@ def tag_references(tags: DataFrame, tag_name: str, schema: str | None = None, ta
     return found.orderBy("object_schema", "object_name", "column_name")
 
 
+def tag_totals(tags: DataFrame) -> DataFrame:
+    """Tagged columns and tables per tag value."""
+    per_table = tags.groupBy("tag_name", "tag_value", "object_schema", "object_name").agg(F.count(F.lit(1)).alias("n"))
+    return per_table.groupBy("tag_name", "tag_value").agg(
+        F.sum("n").alias("tagged_columns"), F.count(F.lit(1)).alias("tagged_tables")
+    )
+
+
 def verification_queries(catalog: DataFrame, tags_table: str) -> DataFrame:
     """One query text per table that lists its tagged columns."""
 

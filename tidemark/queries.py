@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.hashing import choice, draw
+from tidemark.functions.hashing import below, choice, draw
 from tidemark.operators import sales
 from tidemark.plans import generate, governance, refresh
 from tidemark.session import workspace
@@ -335,7 +335,7 @@ def _directory(org_id: Column) -> Column:
 def _metadata_documents(star: Star) -> DataFrame:
     """One metadata document per product for the employee directory of its organization.
 
-    The classes differ per document and include unknown ones; every tenth document holds a
+    The classes differ per document and include unknown ones; one document in ten holds a
     broken map, and every other one spells the column names in capitals.
     """
     labels = ["PII", "pii", "UNCLASSIFIED_PII", "none", "internal"]
@@ -346,7 +346,8 @@ def _metadata_documents(star: Star) -> DataFrame:
     for column in columns:
         label = F.expr(choice(draw(7, column, "product_id"), labels))
         entries += [F.when(upper, F.lit(column.upper())).otherwise(F.lit(column)), label]
-    classes = F.when(key % 10 == 3, F.lit('{"email": ')).otherwise(metadata.canonical_json(F.create_map(*entries)))
+    broken = F.expr(below(draw(7, "broken", "product_id"), 10)) == 0
+    classes = F.when(broken, F.lit('{"email": ')).otherwise(metadata.canonical_json(F.create_map(*entries)))
     properties = F.create_map(
         F.lit(governance.CLASSIFICATION_PROPERTY),
         classes,
@@ -379,20 +380,41 @@ def property_classification(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
-def property_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """Column tags of every organization's employee directory."""
-    star = Star(spark, folder)
+def _directory_catalog(star: Star) -> DataFrame:
+    """The columns of every organization's employee directory."""
     columns = F.array(
         *[
             F.struct(F.lit(field.name).alias("column_name"), F.lit(field.dataType.simpleString()).alias("data_type"))
             for field in schema_of("employee_directory_poc").fields
         ]
     )
-    catalog = star.base("supplier").select(
+    return star.base("supplier").select(
         F.lit("lake").alias("table_schema"), _directory(F.col("s_suppkey")).alias("table_name"), F.inline(columns)
     )
-    return governance.property_tags(_newest_properties(star), catalog, "LAKE")
+
+
+@query
+def property_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Column tags of every organization's employee directory."""
+    star = Star(spark, folder)
+    return governance.property_tags(_newest_properties(star), _directory_catalog(star), "LAKE")
+
+
+@query
+def property_tag_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return governance.tag_totals(property_tags(spark, folder))
+
+
+@query
+def retagged_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags from the oldest document of every directory, then again from the newest.
+
+    A directory whose newest document holds a broken map keeps its old tags.
+    """
+    star = Star(spark, folder)
+    oldest = _metadata_documents(star).groupBy("table_name").agg(F.min_by("value", "modified").alias("value"))
+    first = governance.property_tags(metadata.with_properties(oldest), _directory_catalog(star), "LAKE")
+    return governance.retag(first, property_tags(spark, folder))
 
 
 # Streaming
@@ -433,3 +455,8 @@ def land_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def quarantine_events(spark: SparkSession, folder: str) -> DataFrame:
     return landing.quarantined(spark, _land_events(spark, folder))
+
+
+@query
+def landing_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return landing.landing_counts(spark, _land_events(spark, folder))
