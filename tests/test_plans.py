@@ -51,6 +51,8 @@ LAZY = [
     "customers_masked_reader",
     "property_classification",
     "property_tags",
+    "property_tag_totals",
+    "retagged_columns",
 ]
 
 
