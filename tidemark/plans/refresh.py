@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.audit import audit_rows, create_audit_table, write_audit
 from tidemark.session import side_by_side
-from tidemark.sources.lake import ensure_table, quote, replace_table, row_count
+from tidemark.sources.lake import ensure_table, is_session_catalog, quote, replace_table, row_count
 from tidemark.sources.schemas import LAKE_TABLES
 
 log = logging.getLogger(__name__)
@@ -24,17 +24,24 @@ def refresh_table(
 ) -> tuple[int, int]:
     """Replace ``target`` by the rows of ``source``; returns both row counts.
 
-    The source is counted while it is written. The count sits in the stage that writes,
-    where Spark counts every task once even if an executor is lost; the target is counted
-    from what can be read back.
+    The source is counted while it is written, in the stage that writes: there Spark counts
+    every task once even if an executor is lost. Another catalog may shuffle before it
+    writes, where a repeated task would count twice, so there the source is counted first.
+    The target is counted from what can be read back.
     """
     if source == target:
         raise ValueError(f"{source} cannot be refreshed from itself")
     ensure_table(spark, source, target, provider=provider, location=location)
-    written = Observation()
-    rows = spark.table(quote(source)).observe(written, F.count(F.lit(1)).alias("rows"))
-    replace_table(rows, target, location=location, provider=provider)
-    return written.get["rows"], row_count(spark, target)
+    rows = spark.table(quote(source))
+    if is_session_catalog(spark, target):
+        written = Observation()
+        observed = rows.observe(written, F.count(F.lit(1)).alias("rows"))
+        replace_table(observed, target, location=location, provider=provider)
+        source_rows = written.get["rows"]
+    else:
+        source_rows = rows.count()
+        replace_table(rows, target, location=location, provider=provider)
+    return source_rows, row_count(spark, target)
 
 
 def refresh_tables(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql.types import StructField
 from tidemark.session import side_by_side
 from tidemark.sources.schemas import LAKE_TABLES, TABLE_DDL
 
+log = logging.getLogger(__name__)
+
 FORMATS = ("parquet", "table")
 
 
@@ -236,6 +239,7 @@ class LakeWriter:
         except Exception:
             if self.on_error == "raise":
                 raise
+            log.exception("table %s.%s not written, falling back to a folder", self.namespace, table)
             # Beside the table's own folder, which the failed write may have touched.
             folder = f"{self.base_path}/{table}_fallback"
             if load_date:

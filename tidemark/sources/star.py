@@ -117,13 +117,25 @@ class Star:
 
     @property
     def order_items(self) -> DataFrame:
-        """Order lines, identified by a digest of order, part, supplier and line number.
+        """Order lines, identified by a digest of the whole line.
 
-        Order key and line number alone repeat in the base table. Numbering the lines of
-        an order would need one task per order, however large the order is; a digest needs
-        no shuffle and survives recomputation.
+        The keys of a line repeat in the base table; only whole lines do not. Numbering the
+        lines of an order would need one task per order, however large the order is; a
+        digest needs no shuffle and survives recomputation.
         """
-        line = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+        hundredths = [F.rint(F.col(name) * 100).cast("bigint") for name in ("l_extendedprice", "l_discount", "l_tax")]
+        line = F.concat_ws(
+            "|",
+            "l_orderkey",
+            "l_partkey",
+            "l_suppkey",
+            "l_linenumber",
+            F.col("l_quantity").cast("int"),
+            *hundredths,
+            "l_returnflag",
+            "l_linestatus",
+            F.unix_date(F.col("l_shipdate").cast("date")),
+        )
         return self.base("lineitem").select(
             F.md5(line).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"),
