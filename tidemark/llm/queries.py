@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, mixing, packing, rules, substring, token_files
+from tidemark.llm import chat, exact, jaccard, lines, mixing, packing, rules, substring, token_files
 from tidemark.llm.storage import documents, saved
 from tidemark.session import workspace
 
@@ -30,6 +30,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir), host="source")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(exact.with_row_id(documents(spark, sf_dir)))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_lines(exact.with_row_id(documents(spark, sf_dir))).drop("kept_text")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -59,8 +68,10 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_files": op6_token_files,
     "op8_chat_format": op8_chat_format,
+    "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
