@@ -20,7 +20,7 @@ other. Of rows that repeat id and text exactly one stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import saved
@@ -34,13 +34,12 @@ def _numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
     return saved(named, "block-names")
 
 
-def _name_blocks(docs: DataFrame, block_bytes: int, fingerprint) -> DataFrame:
-    """``row_id``, ``doc_id``, ``digest``, ``n``, ``i``, ``name``: the named blocks of each text."""
+def _blocks(docs: DataFrame, block_bytes: int, fingerprint) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     last = F.greatest(F.floor((F.octet_length(data) - 1) / block_bytes).cast("int"), F.lit(0))
-    blocks = (
+    return (
         docs.select(
-            "row_id",
+            F.monotonically_increasing_id().alias("row_id"),
             "doc_id",
             F.sha2(data, 256).alias("digest"),
             F.transform(
@@ -50,24 +49,27 @@ def _name_blocks(docs: DataFrame, block_bytes: int, fingerprint) -> DataFrame:
         .select("row_id", "doc_id", "digest", F.size("blocks").alias("n"), F.posexplode("blocks").alias("i", "block"))
         .withColumn("print", fingerprint(F.col("block")))
     )
+
+
+def _name_blocks(docs: DataFrame, block_bytes: int, fingerprint) -> DataFrame:
+    """``row_id``, ``doc_id``, ``digest``, ``n``, ``i``, ``name``: the named blocks of each text.
+
+    Row ids are given out by one scan and written with the names, so that it does not matter
+    how later scans are split.
+    """
+    blocks = _blocks(docs, block_bytes, fingerprint)
     names = _numbered(blocks.select("print", "block").distinct(), ["block"])
     by_print = names.groupBy("print").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("same"))
-    narrow = ["row_id", "doc_id", "digest", "n", "i", "name"]
-    found = (
-        blocks.select("row_id", "doc_id", F.when(F.col("i") == 0, F.col("digest")).alias("digest"), "n", "i", "print")
-        .join(saved(by_print, "block-prints"), "print")
-        .withColumn("name", F.when(F.col("same") == 1, F.col("name")))
-    )
-    found = saved(found.select(*narrow, "print"), "blocks")
-    shared = by_print.where("same > 1").select("print")
-    if shared.isEmpty():
+    found = blocks.drop("block").join(saved(by_print, "block-prints"), "print")
+    found = saved(found.withColumn("name", F.when(F.col("same") == 1, F.col("name"))).drop("same"), "blocks")
+    if found.where("name IS NULL").isEmpty():
         return found.drop("print")
-    unclear = (
-        blocks.join(shared, "print", "left_semi")
-        .join(names, ["print", "block"])
-        .withColumn("digest", F.when(F.col("i") == 0, F.col("digest")))
-    )
-    return saved(found.where("name IS NOT NULL").select(narrow).unionByName(unclear.select(narrow)), "blocks")
+    # A fingerprint stands for several blocks: these rows find their names by the blocks.
+    place = ["digest", "i"]
+    shared = found.where("name IS NULL").drop("name")
+    content = blocks.join(shared.select(place).distinct(), place, "left_semi").select(*place, "block").distinct()
+    clear = shared.join(content, place).join(names, ["print", "block"]).drop("block")
+    return saved(found.where("name IS NOT NULL").unionByName(clear).drop("print"), "blocks")
 
 
 def _name_pairs(names: DataFrame) -> DataFrame:
@@ -103,25 +105,15 @@ def text_names(
     return result
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """Number the rows. ``docs`` must give the same rows in the same partitions each time, as a scan does."""
-    return docs.withColumn("row_id", F.monotonically_increasing_id())
-
-
 def exact_duplicates(
-    docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint: "Column" = F.xxhash64
+    docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint=F.xxhash64
 ) -> DataFrame:
-    """The verdict on each row of ``docs``, which has ``row_id``, ``doc_id`` and ``text``.
-
-    Of equal texts the row with the largest ``doc_id`` stays, and of those the one with the
-    largest ``row_id``.
-    """
+    """The verdict on each row of ``docs``: of equal texts one row with the largest ``doc_id`` stays."""
     named = text_names(docs, block_bytes, fingerprint)
     groups = named.groupBy("n", "name").agg(
         F.max(F.struct("doc_id", "row_id")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
     return named.join(saved(groups, "copies"), ["n", "name"]).select(
-        "row_id",
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.links import SIGNATURE, linked, signature_rows
-from tidemark.llm.storage import saved
+from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
 
 SHINGLE = 5
@@ -50,7 +50,7 @@ FREQUENT_SHARE = 1000
 #: Shingles that are counted together before the counts are sent.
 COUNT_AT_ONCE = 2_000_000
 
-SETS = "row_id long, doc_id long, n_shingles long, node long, token long, sets long"
+SETS = "last_id boolean, id long, digest long, n_shingles long, node long, token long, sets long"
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -82,7 +82,8 @@ def _collect(share: int):
         often = times >= max(2, len(held) // share)
         token, times = token[often].view(np.int64), times[often]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token), pa.array(times)], names=names)
+        key = [pa.nulls(len(token), pa.bool_()), none, none]
+        return pa.RecordBatch.from_arrays([*key, none, none, pa.array(token), pa.array(times)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
@@ -93,8 +94,9 @@ def _collect(share: int):
                 nodes = np.array([_name(s) for s in sets], dtype=np.uint64)
                 none = pa.nulls(len(sets), pa.int64())
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                columns = [part.column("row_id"), part.column("doc_id"), pa.array(sizes), pa.array(nodes.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*columns, none, none], names=names)
+                key = [part.column(name) for name in names[:3]]
+                columns = [*key, pa.array(sizes), pa.array(nodes.view(np.int64)), none, none]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 for tokens, node in zip(sets, nodes.tolist()):
                     if len(tokens) and node not in seen:
                         seen.add(node)
@@ -179,16 +181,13 @@ def _similar(pivots: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE) -> DataFrame:
-    """``row_id``, ``doc_id``, ``n_shingles`` and ``component_id`` of each row, and the component's node.
+    """The columns of ``KEY``, ``n_shingles``, ``component_id`` and ``component`` of each row of ``docs``.
 
-    ``docs`` has ``row_id``, ``doc_id`` and ``text``.
+    ``component`` names the component; it is null for a document without words.
     """
-    spark = docs.sparkSession
-    texts = docs.select(
-        "row_id", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    texts = keyed(docs, whole_text())
     collected = saved(texts.mapInArrow(_collect(frequent_share), SETS), "sets")
-    sets = collected.where("node IS NOT NULL").select("row_id", "doc_id", "n_shingles", "node")
+    sets = collected.where("node IS NOT NULL").select(*KEY, "n_shingles", "node")
     total = sets.where("n_shingles > 0").count()
     often = (
         collected.where("token IS NOT NULL")
@@ -198,30 +197,18 @@ def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE) -> Da
         .select("token")
     )
     tokens = np.array([row[0] for row in often.collect()], dtype=np.int64).view(np.uint64)
-    frequent = spark.sparkContext.broadcast(np.sort(tokens))
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(tokens))
     signatures = texts.select("text").mapInArrow(_signatures(frequent), SIGNATURE)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        rows = sets.join(nodes, "node").groupBy("node").agg(F.min("row_id").alias("row_id"))
-        return texts.select("row_id", "text").join(rows, "row_id").select("node", "text")
+        one = sets.join(nodes, "node").groupBy("node").agg(F.min(F.struct(*KEY)).alias("one")).select("node", "one.*")
+        return texts.join(one, KEY).select("node", "text").dropDuplicates(["node"])
 
     labels = linked(signatures, texts_of, compatible, _prepare, _similar)
     # Equal sets are one node; sets that are linked with no other are their own component.
-    labelled = saved(
-        sets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled"
-    )
-    empty = F.col("n_shingles") == 0
-    least = saved(labelled.where(~empty).groupBy("component").agg(F.min("doc_id").alias("least")), "smallest")
-    alone = labelled.where(empty).select(
-        "row_id",
-        "doc_id",
-        "n_shingles",
-        F.col("doc_id").alias("component_id"),
-        F.lit(None).cast("long").alias("component"),
-    )
-    return (
-        labelled.where(~empty)
-        .join(least, "component")
-        .select("row_id", "doc_id", "n_shingles", F.col("least").alias("component_id"), "component")
-        .unionByName(alone)
-    )
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")
+    labelled = saved(sets.join(labels, "node", "left").select(*KEY, "n_shingles", component), "labelled")
+    least = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min(doc_id()).alias("least"))
+    of_component = labelled.join(saved(least, "smallest"), "component", "left")
+    smallest = F.when(F.col("component").isNull(), doc_id()).otherwise(F.col("least"))
+    return of_component.select(*KEY, "n_shingles", smallest.alias("component_id"), "component")

@@ -17,7 +17,8 @@ shuffle, so a line that a third of all texts repeat is sent once from each. With
 lines, n^2 / 2^65 are expected to share a name with another.
 
 Results for odd input: null counts as the empty text; a null id is larger than every other;
-rows that repeat an id are in the order of their row ids.
+texts that share an id are in the order of a hash; rows that repeat id and text are one document
+and each get its result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.links import SIGNATURE, linked, signature_rows
-from tidemark.llm.storage import saved
+from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, mix
 
 EDITS = 2
@@ -40,7 +41,7 @@ LEAST_BYTES = 24
 #: Distinct lines that a task remembers before it starts afresh; results do not depend on it.
 REMEMBERED = 500_000
 
-LINES = "row_id long, doc_id long, line int, node long"
+LINES = "last_id boolean, id long, digest long, line int, node long"
 TEXTS = "node long, text string"
 #: Cells of text that one pass of the edit distance holds, unless a single line is longer.
 CELLS = 1 << 21
@@ -129,12 +130,11 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(has_word)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("row_id").take(pa.array(row[at])),
-                    part.column("doc_id").take(pa.array(row[at])),
+                    *(part.column(name).take(pa.array(row[at])) for name in ("last_id", "id", "digest")),
                     pa.array(line[at].astype(np.int32)),
                     pa.array(_names(data, begin[at], end[at]).view(np.int64)),
                 ],
-                names=["row_id", "doc_id", "line", "node"],
+                names=["last_id", "id", "digest", "line", "node"],
             )
 
 
@@ -259,7 +259,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_components(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
     """``node`` and ``component`` of every line that is a near copy of a different one."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(whole_text())
     signatures = texts.mapInArrow(_signatures(edits, least), SIGNATURE)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -272,23 +272,19 @@ def line_components(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTE
 
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``.
-
-    ``docs`` has ``row_id``, ``doc_id`` and ``text``.
-    """
-    texts = docs.select(
-        "row_id", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    """``doc_id``, ``n_lines``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``."""
+    texts = keyed(docs, whole_text())
     labels = line_components(texts, edits, least)
-    lines = texts.mapInArrow(_line_rows, LINES).join(labels, "node", "left")
-    lines = saved(lines.select("row_id", "doc_id", "line", F.coalesce("component", "node").alias("component")), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id", "line")
+    component = F.coalesce("component", "node").alias("component")
+    lines = texts.mapInArrow(_line_rows, LINES).join(labels, "node", "left").select(*KEY, "line", component)
+    lines = saved(lines, "lines")
+    place = F.struct(*KEY, "line")
     first = lines.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     first = saved(first.where("n > 1").select("component", "first"), "first-lines")
-    repeated = (F.col("row_id") != F.col("first.row_id")) | (F.col("line") != F.col("first.line"))
-    gone = lines.join(first, "component").where(repeated).groupBy("row_id").agg(F.collect_list("line").alias("gone"))
+    repeated = lines.join(first, "component").where(place != F.col("first"))
+    gone = repeated.groupBy(KEY).agg(F.collect_set("line").alias("gone"))
     return (
-        texts.join(gone, "row_id", "left")
-        .select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+        texts.join(gone, KEY, "left")
+        .select(doc_id(), "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
         .mapInArrow(_apply, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
     )

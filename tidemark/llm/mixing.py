@@ -102,22 +102,21 @@ def mix(
 ) -> DataFrame:
     """How often each row of ``docs`` is taken.
 
-    ``docs`` has ``doc_id``, ``source``, ``text`` and may have ``row_id``. ``quality`` is a
-    positive weight over its columns.
+    ``docs`` has ``doc_id``, ``source`` and ``text``. ``quality`` is a positive weight over
+    its columns.
     """
     size = word_count()
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     draw = (F.conv(F.substring(code, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    row = ["row_id"] if "row_id" in docs.columns else []
-    keyed = docs.select(
-        *row,
+    keys = docs.select(
         "doc_id",
         "source",
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"),
         size.alias("size"),
         (-F.ln(draw) / (quality_weight(size) if quality is None else quality)).alias("key"),
     ).withColumn("step", F.floor(F.log2("key") * steps))
-    keyed = saved(keyed, "keys")
-    by_step = saved(keyed.groupBy("source", "step").agg(F.sum("size").alias("step_size")), "steps")
+    keys = saved(keys, "keys")
+    by_step = saved(keys.groupBy("source", "step").agg(F.sum("size").alias("step_size")), "steps")
     goal = targets(
         by_step.groupBy("source").agg(F.sum("step_size").alias("source_size")), weights, most_epochs
     )
@@ -129,7 +128,7 @@ def mix(
     inside = (
         Window.partitionBy("source", "step").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = keys.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("step") == F.col("plan_step"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -139,9 +138,9 @@ def mix(
         .withColumn("epochs", epochs)
         .withColumn("copies", F.col("epochs") + F.when(first, 1).otherwise(0))
         .select(
-            *row,
             "doc_id",
             "source",
+            "digest",
             "size",
             "source_size",
             "target",

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.skew import number_within
-from tidemark.llm.storage import saved
+from tidemark.llm.storage import saved, whole_text
 from tidemark.llm.tokens import Encoder, read_tokenizer
 from tidemark.llm.words import chunks
 
@@ -35,7 +35,7 @@ CAPACITY = 4096
 #: Slots that one row of the plan stands for at most while it is spread out.
 SPREAD = 1 << 16
 
-PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first long, sequence_id long, offset long, count long"
 
 
@@ -58,7 +58,6 @@ def _cut(definition, end: int, capacity: int):
                 crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(edge.tolist(), length.tolist())]
                 rows = pa.array(owner)
                 columns = [
-                    part.column("row_id").take(rows),
                     part.column("doc_id").take(rows),
                     pa.array(piece.astype(np.int32)),
                     pa.array(start),
@@ -106,9 +105,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each row of ``docs``, which has ``row_id``, ``doc_id`` and ``text``."""
+    """The pieces of each row of ``docs``, which has ``doc_id`` and ``text``."""
     definition = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
-    texts = docs.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text())
     cut = texts.mapInArrow(_cut(definition, end, capacity), PIECES)
     return saved(cut.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
 

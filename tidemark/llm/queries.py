@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, jaccard, lines, mixing, packing, rules, substring, token_files
-from tidemark.llm.storage import documents, saved
+from tidemark.llm import chat, exact, jaccard, lines, mixing, packing, quality_model, rules, substring, token_files
+from tidemark.llm.storage import doc_id, documents, saved
 from tidemark.session import workspace
 
 #: The pattern of a word, for SQL.
@@ -19,7 +19,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(exact.with_row_id(documents(spark, sf_dir))).drop("row_id")
+    return exact.exact_duplicates(documents(spark, sf_dir))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +31,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(exact.with_row_id(documents(spark, sf_dir)))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(documents(spark, sf_dir)).select(doc_id(), "n_shingles", "component_id")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.remove_lines(exact.with_row_id(documents(spark, sf_dir))).drop("kept_text")
+    return lines.remove_lines(documents(spark, sf_dir)).drop("kept_text")
 
 
 def tokenizer_path() -> str:
@@ -51,6 +50,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_model.learn(docs, labels.select("doc_id", labels["quality"].alias("label")))
+    return quality_model.score(docs, model)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -59,8 +65,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = exact.with_row_id(documents(spark, sf_dir))
-    return packing.pack(docs, tokenizer_path(), end=1).drop("row_id")
+    return packing.pack(documents(spark, sf_dir), tokenizer_path(), end=1)
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -70,6 +75,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_files": op6_token_files,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,

@@ -145,10 +145,21 @@ def rejected_hosts(judged: DataFrame, host: str, most_failing: float = MOST_FAIL
 
 
 def judge(docs: DataFrame, host: str, most_failing: float = MOST_FAILING) -> DataFrame:
-    """The measures, ``base_failed`` and ``kept`` of each row of ``docs``, with its ``doc_id`` and ``row_id``."""
-    row = [name for name in ("row_id", "doc_id") if name in docs.columns]
-    judged = saved(measure(docs.select(*row, F.col(host).alias("host"), "text")), "measures")
+    """``doc_id``, the measures, ``base_failed`` and ``kept`` of each row of ``docs``."""
+    judged = saved(measure(docs.select("doc_id", F.col(host).alias("host"), "text")), "measures")
     bad = rejected_hosts(judged, "host", most_failing).withColumnRenamed("host", "bad_host")
     kept = ~F.col("base_failed") & F.col("bad_host").isNull()
     verdicts = judged.join(bad, F.col("host") == F.col("bad_host"), "left")
     return verdicts.withColumn("kept", kept).drop("host", "bad_host")
+
+
+def accepted(docs: DataFrame, host: str, most_failing: float = MOST_FAILING) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    The texts are measured once for the hosts and once to be filtered, where they are, so
+    that no text is shuffled.
+    """
+    texts = docs.select(F.col(host).alias("host"), "text", F.struct(*docs.columns).alias("document"))
+    bad = rejected_hosts(measure(texts.select("host", "text")), "host", most_failing)
+    passed = measure(texts).where(~F.col("base_failed"))
+    return passed.join(bad, "host", "left_anti").select("document.*")

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import KEY, doc_id, keyed, whole_text
 from tidemark.llm.words import Words, chunks, inside, joined, mix, windows
 
 WINDOW = 20
 BASE = 5
 NAME_BYTES = 6
-LAST = np.int64(2**63 - 1)
 
 _CANDIDATE = "anchor long, last_id boolean, id long, digest long, start long, names binary, covered int"
 _COVER = "id long, last_id boolean, digest long, start long, covered int"
@@ -195,7 +195,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
     """Runs of windows (``start``, ``covered`` many) that also start earlier, by document.
 
-    ``docs`` has ``id`` (null as 0 with ``last_id``), ``digest`` and ``text``.
+    ``docs`` has the columns of ``KEY`` and ``text``.
     """
     found = docs.select("id", "last_id", "digest", "text").mapInArrow(_candidates(window, base), _CANDIDATE)
     settled = found.where("anchor IS NULL").select("id", "last_id", "digest", "start", "covered")
@@ -251,23 +251,17 @@ def _kept(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``."""
-    keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"),
-        F.col("doc_id").isNull().alias("last_id"),
-        F.xxhash64("text").alias("digest"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    key = ["id", "last_id", "digest"]
+    texts = keyed(docs, whole_text())
     covers = (
-        repeated_windows(keyed, window, base)
-        .groupBy(key)
+        repeated_windows(texts, window, base)
+        .groupBy(KEY)
         .agg(F.collect_list(F.struct("start", "covered")).alias("covers"))
     )
     empty = F.array().cast("array<long>")
     return (
-        keyed.join(covers, key, "left")
+        texts.join(covers, KEY, "left")
         .select(
-            *key,
+            *KEY,
             "text",
             F.coalesce(F.col("covers.start"), empty).alias("starts"),
             F.coalesce(F.col("covers.covered").cast("array<long>"), empty).alias("lengths"),
@@ -276,7 +270,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
             _kept(window),
             "id long, last_id boolean, digest long, n_words long, n_removed long, kept_sha256 string, kept_text string",
         )
-        .select(
-            F.when(~F.col("last_id"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text"
-        )
+        .select(doc_id(), "n_words", "n_removed", "kept_sha256", "kept_text")
     )

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simple8b
+from tidemark.llm.storage import whole_text
 from tidemark.llm.tokens import Encoder, read_tokenizer
 from tidemark.llm.words import chunks
 
@@ -119,7 +120,7 @@ def write(
     ordered = (
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce("text", F.lit("")).alias("text"),
+            whole_text(),
             F.col("doc_id").isNull().alias("last"),
             F.xxhash64("text").alias("digest"),
         )
