@@ -78,17 +78,20 @@ class Pieces:
 
     def __init__(self, data: np.ndarray):
         with np.errstate(over="ignore"):
-            powers = np.full(len(data) + 1, BASE, dtype=np.uint64)
-            powers[0] = 1
-            self.powers = np.cumprod(powers, dtype=np.uint64)
-            self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
             codes = mix(np.arange(1, 257, dtype=np.uint64))[data]
-            np.cumsum(codes * self.powers[:-1], dtype=np.uint64, out=self.sums[1:])
-        self.total = len(data)
+            self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(codes * self._powers(BASE, len(data)), dtype=np.uint64, out=self.sums[1:])
+            self.inverse = self._powers(pow(int(BASE), -1, 2**64), len(data) + 1)
+
+    @staticmethod
+    def _powers(base: int, count: int) -> np.ndarray:
+        powers = np.full(count, base, dtype=np.uint64)
+        powers[:1] = 1
+        return np.cumprod(powers, dtype=np.uint64)
 
     def hashes(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        # Brought to the same power by multiplying, which needs no division.
-        return mix((self.sums[begin + length] - self.sums[begin]) * self.powers[self.total - begin])
+        # Divided by the power of the place, so that equal pieces have one hash wherever they stand.
+        return mix((self.sums[begin + length] - self.sums[begin]) * self.inverse[begin])
 
 
 def _segment(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
