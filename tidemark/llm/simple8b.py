@@ -25,14 +25,18 @@ def _selectors(values: np.ndarray) -> np.ndarray:
     best = np.full(values.shape, 15, dtype=np.int8)
     best[values >= np.uint64(1 << 60)] = ESCAPE
     for selector in range(14, 0, -1):
-        fits = values < np.uint64(1) << np.uint64(BITS[selector]) if BITS[selector] else values == 0
-        # How many numbers from here on fit; the padding at the end of a block does.
-        wide = np.concatenate((~fits, np.ones((blocks, 1), dtype=bool)), axis=1)
-        stop = np.where(wide, np.arange(length + 1), length + 1)
-        stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1][:, :length]
-        room = stop - np.arange(length)
-        least = np.minimum(COUNTS[selector], length - np.arange(length))
-        best[room >= least] = selector
+        count = COUNTS[selector]
+        too_wide = values >= np.uint64(1) << np.uint64(BITS[selector]) if BITS[selector] else values != 0
+        # A block with fewer narrow numbers than the word would hold has no place for it; at a
+        # block's end a word for fewer, wider numbers does as well.
+        rows = np.flatnonzero(length - np.count_nonzero(too_wide, axis=1) >= min(count, length))
+        if not len(rows):
+            continue
+        wide = np.zeros((len(rows), length + 1), dtype=np.int16)
+        np.cumsum(too_wide[rows], axis=1, dtype=np.int16, out=wide[:, 1:])
+        stop = np.minimum(np.arange(length) + count, length)
+        fits = wide[:, stop] == wide[:, :length]
+        best[rows] = np.where(fits, np.int8(selector), best[rows])
     return best
 
 

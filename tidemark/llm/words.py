@@ -48,6 +48,15 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def distinct_pieces(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each piece of bytes that stand end to end its number among the distinct ones, and these."""
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), buffers).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
 class Words:
     """The words of some texts: ``starts``, ``ends`` in ``data``; ``bounds`` gives each text's range."""
 
@@ -77,15 +86,7 @@ class Words:
 
     def encoded(self) -> tuple[np.ndarray, pa.Array]:
         """For each word its number in a list of the distinct words, and that list (as bytes)."""
-        lengths = self.ends - self.starts
-        offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
-        np.cumsum(lengths, out=offsets[1:])
-        packed = self.data[self.in_word]
-        words = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
-        )
-        coded = words.dictionary_encode()
-        return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        return distinct_pieces(self.data[self.in_word], self.ends - self.starts)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
