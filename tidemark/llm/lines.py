@@ -79,15 +79,17 @@ class Pieces:
     def __init__(self, data: np.ndarray):
         with np.errstate(over="ignore"):
             codes = mix(np.arange(1, 257, dtype=np.uint64))[data]
+            codes *= self._powers(BASE, len(data))
             self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(codes * self._powers(BASE, len(data)), dtype=np.uint64, out=self.sums[1:])
+            np.cumsum(codes, out=self.sums[1:])
+            del codes
             self.inverse = self._powers(pow(int(BASE), -1, 2**64), len(data) + 1)
 
     @staticmethod
     def _powers(base: int, count: int) -> np.ndarray:
         powers = np.full(count, base, dtype=np.uint64)
         powers[:1] = 1
-        return np.cumprod(powers, dtype=np.uint64)
+        return np.cumprod(powers, out=powers)
 
     def hashes(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         # Divided by the power of the place, so that equal pieces have one hash wherever they stand.
