@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.links import SIGNATURE, linked, signature_rows
+from tidemark.llm.links import PACKED, buckets_for, few, linked, packed_signatures
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
 
@@ -50,7 +50,9 @@ FREQUENT_SHARE = 1000
 #: Shingles that are counted together before the counts are sent.
 COUNT_AT_ONCE = 2_000_000
 
-SETS = "last_id boolean, id long, digest long, n_shingles long, node long, token long, sets long"
+SETS = "last_id boolean, id long, digest long, n_shingles long, node long, sketch binary, token long, sets long"
+#: Cells of a sketch, of 2 bits each.
+CELLS = 1024
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -74,6 +76,32 @@ def _name(tokens: np.ndarray) -> np.uint64:
         return mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))]))[0]
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The size of a set, and how many of its shingles are in each cell, up to 3."""
+    cells = np.minimum(np.bincount((tokens >> np.uint64(54)).astype(np.int64), minlength=CELLS), 3).astype(np.uint8)
+    packed = cells[0::4] | cells[1::4] << 2 | cells[2::4] << 4 | cells[3::4] << 6
+    return len(tokens).to_bytes(4, "little") + packed.tobytes()
+
+
+def plausible(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
+    """Which pairs of sets could link: what is over in a cell of one is not in the other."""
+    flags = []
+    for begin in range(0, len(lefts), 4096):
+        x, y = (
+            np.frombuffer(b"".join(side[begin : begin + 4096]), np.uint8).reshape(-1, 4 + CELLS // 4)
+            for side in (lefts, rights)
+        )
+        n, m = (np.ascontiguousarray(side[:, :4]).view(np.uint32).ravel().astype(np.int64) for side in (x, y))
+        over, under = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+        for shift in (0, 2, 4, 6):
+            a, b = ((side[:, 4:] >> shift & 3).astype(np.int8) for side in (x, y))
+            over += np.maximum(a - b, 0).sum(axis=1)
+            under += np.maximum(b - a, 0).sum(axis=1)
+        most = np.minimum(n - over, m - under)
+        flags.append(100 * most >= 75 * (n + m - most))
+    return np.concatenate(flags)
+
+
 def _collect(share: int):
     names = [field.split()[0] for field in SETS.split(", ")]
 
@@ -83,7 +111,8 @@ def _collect(share: int):
         token, times = token[often].view(np.int64), times[often]
         none = pa.nulls(len(token), pa.int64())
         key = [pa.nulls(len(token), pa.bool_()), none, none]
-        return pa.RecordBatch.from_arrays([*key, none, none, pa.array(token), pa.array(times)], names=names)
+        blank = pa.nulls(len(token), pa.binary())
+        return pa.RecordBatch.from_arrays([*key, none, none, blank, pa.array(token), pa.array(times)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
@@ -95,7 +124,8 @@ def _collect(share: int):
                 none = pa.nulls(len(sets), pa.int64())
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 key = [part.column(name) for name in names[:3]]
-                columns = [*key, pa.array(sizes), pa.array(nodes.view(np.int64)), none, none]
+                drawn = pa.array([sketch(s) for s in sets], pa.binary())
+                columns = [*key, pa.array(sizes), pa.array(nodes.view(np.int64)), drawn, none, none]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 for tokens, node in zip(sets, nodes.tolist()):
                     if len(tokens) and node not in seen:
@@ -123,7 +153,7 @@ def signature(tokens: np.ndarray, is_frequent: np.ndarray) -> np.ndarray:
     return np.concatenate((single, joined(extended[:-1], extended[1:])))
 
 
-def _signatures(frequent):
+def _signatures(frequent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = np.concatenate((frequent.value, [np.uint64(2**64 - 1)])), set()
         for batch in batches:
@@ -144,8 +174,9 @@ def _signatures(frequent):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if keys:
-                    key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes).view(np.int64)
-                    yield signature_rows(key, np.concatenate(sizes), node)
+                    yield from packed_signatures(
+                        np.concatenate(keys), np.concatenate(sizes), np.concatenate(nodes), buckets
+                    )
 
     return run
 
@@ -188,7 +219,7 @@ def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE) -> Da
     texts = keyed(docs, whole_text())
     collected = saved(texts.mapInArrow(_collect(frequent_share), SETS), "sets")
     sets = collected.where("node IS NOT NULL").select(*KEY, "n_shingles", "node")
-    total = sets.where("n_shingles > 0").count()
+    total, shingles = sets.where("n_shingles > 0").agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
     often = (
         collected.where("token IS NOT NULL")
         .groupBy("token")
@@ -198,13 +229,18 @@ def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE) -> Da
     )
     tokens = np.array([row[0] for row in often.collect()], dtype=np.int64).view(np.uint64)
     frequent = docs.sparkSession.sparkContext.broadcast(np.sort(tokens))
-    signatures = texts.select("text").mapInArrow(_signatures(frequent), SIGNATURE)
+    # A set has about a quarter as many signatures as shingles.
+    buckets = buckets_for(docs.sparkSession, (shingles or 0) // 4)
+    signatures = texts.select("text").mapInArrow(_signatures(frequent, buckets), PACKED)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        one = sets.join(nodes, "node").groupBy("node").agg(F.min(F.struct(*KEY)).alias("one")).select("node", "one.*")
-        return texts.join(one, KEY).select("node", "text").dropDuplicates(["node"])
+        one = sets.join(few(nodes), "node").groupBy("node").agg(F.min(F.struct(*KEY)).alias("one"))
+        one = saved(one.select("node", "one.*"), "nodes")
+        return saved(texts.join(few(one), KEY).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    labels = linked(signatures, texts_of, compatible, _prepare, _similar)
+    sketches = collected.where("n_shingles > 2").select("node", F.col("sketch").alias("text"))
+    sketches = saved(sketches.dropDuplicates(["node"]), "sketches")
+    labels = linked(signatures, texts_of, compatible, _prepare, _similar, sketches, plausible)
     # Equal sets are one node; sets that are linked with no other are their own component.
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")
     labelled = saved(sets.join(labels, "node", "left").select(*KEY, "n_shingles", component), "labelled")

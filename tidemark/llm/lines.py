@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.links import SIGNATURE, linked, signature_rows
+from tidemark.llm.links import PACKED, buckets_for, few, linked, packed_signatures
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, mix
 
@@ -160,12 +160,12 @@ def _distinct(batches: Iterator[pa.RecordBatch], least: int):
             yield data, begin[where[new]], end[where[new]], names[new]
 
 
-def _signatures(edits: int, least: int):
+def _signatures(edits: int, least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, begin, end, names in _distinct(batches, least):
             if len(names):
                 keys, owner = signatures_of(begin, end, Pieces(data), edits)
-                yield signature_rows(keys.view(np.int64), (end - begin)[owner], names.view(np.int64)[owner])
+                yield from packed_signatures(keys, (end - begin)[owner], names[owner], buckets)
 
     return run
 
@@ -262,14 +262,19 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def line_components(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
-    """``node`` and ``component`` of every line that is a near copy of a different one."""
+def line_components(docs: DataFrame, lines: int, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+    """``node`` and ``component`` of every line that is a near copy of a different one.
+
+    ``lines`` is about how many lines there are; it sizes the shuffle alone.
+    """
     texts = docs.select(whole_text())
-    signatures = texts.mapInArrow(_signatures(edits, least), SIGNATURE)
+    # Segments of a line's own length, and pieces at some places for every shorter one.
+    buckets = buckets_for(docs.sparkSession, lines * (edits + 1) * (edits + 2))
+    signatures = texts.mapInArrow(_signatures(edits, least, buckets), PACKED)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        found = texts.mapInArrow(_texts(least), TEXTS)
-        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        found = texts.mapInArrow(_texts(least), TEXTS).join(few(nodes), "node", "left_semi")
+        return saved(found.dropDuplicates(["node"]), "texts")
 
     return linked(
         signatures, texts_of, compatible(edits), _prepare, lambda lefts, rights: within_edits(lefts, rights, edits)
@@ -279,10 +284,10 @@ def line_components(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTE
 def remove_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``."""
     texts = keyed(docs, whole_text())
-    labels = line_components(texts, edits, least)
+    lines = saved(texts.mapInArrow(_line_rows, LINES), "lines")
+    labels = line_components(texts, lines.count(), edits, least)
     component = F.coalesce("component", "node").alias("component")
-    lines = texts.mapInArrow(_line_rows, LINES).join(labels, "node", "left").select(*KEY, "line", component)
-    lines = saved(lines, "lines")
+    lines = saved(lines.join(labels, "node", "left").select(*KEY, "line", component), "lines")
     place = F.struct(*KEY, "line")
     first = lines.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     first = saved(first.where("n > 1").select("component", "first"), "first-lines")

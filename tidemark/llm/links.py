@@ -14,8 +14,9 @@ listing all pairs of those that share one:
 A pair that is never compared is in one component already, so the components are exactly
 those of all similar pairs. Large groups of near copies end after the first step.
 
-Signature rows are sorted within their partitions and read as a stream: the first two steps
-keep one row of each signature at a time, the third the nodes of one signature.
+Signatures are sent packed, in buckets of about a million by their high bits; a task holds one
+bucket at a time. What the later steps read is sorted: the second step keeps one row of
+each signature at a time, the third the nodes of one signature.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -34,9 +35,13 @@ from tidemark.llm.storage import saved
 PIVOT_ROWS = 256
 #: Rows of the third step's blocks of pairs.
 BLOCK = 1024
+#: Signatures in a bucket, about.
+BUCKET_SIGNATURES = 1 << 20
+#: A table of nodes (of a few numbers a row) with more rows is not broadcast.
+FEW_ROWS = 300_000
 
-#: A node's row for one signature, compared with node ``a``; heads of a chunk have themselves.
-SIGNATURE = "deal long, key long, size int, node long, a long, a_size int"
+#: Signatures of one chunk that go to one bucket, packed.
+PACKED = "bucket int, packed binary"
 STAR = "key long, a long, a_size int, b long, b_size int, fits boolean"
 PAIR = "a long, b long"
 
@@ -45,11 +50,12 @@ def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 
 
-def signature_rows(key: np.ndarray, size: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """The signatures of one chunk's nodes, combined before the shuffle.
+def packed_signatures(key: np.ndarray, size: np.ndarray, node: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The signatures of one chunk's nodes, combined and packed before the shuffle.
 
-    Of the nodes that share a signature only the first by size, the head, is dealt by the
-    signature; the others carry the head along and are dealt by themselves.
+    Of the nodes that share a signature only the first by size, the head, goes to the
+    signature's bucket; the others are packed with their heads and go anywhere. A bucket gets
+    its signatures in order, with the places of their nodes in a list of the nodes.
     """
     order = np.lexsort((node, size, key))
     key, size, node = key[order], size[order].astype(np.int32), node[order]
@@ -58,40 +64,93 @@ def signature_rows(key: np.ndarray, size: np.ndarray, node: np.ndarray) -> pa.Re
     new = head.copy()
     new[1:] |= node[1:] != node[:-1]
     first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-    deal = np.where(head, key, node)
-    columns = (deal, key, size, node, node[first], size[first])
-    return _batch(SIGNATURE, *(column[new] for column in columns))
+    rest = np.flatnonzero(new & ~head)
+    parts = []
+    if len(rest):
+        at = np.concatenate((first[rest], rest))
+        parts.append((int(key[0] % np.uint64(buckets)), _pack(key[rest], node[at], size[at])))
+    key, size, node = key[head], size[head], node[head]
+    # The high bits of a signature are its bucket, so buckets follow each other.
+    bucket = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(key))
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        parts.append((int(bucket[begin]), _pack(key[begin:end], node[begin:end], size[begin:end])))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())],
+        names=["bucket", "packed"],
+    )
 
 
-def _stars(compatible: Callable):
-    """Compare each head with the first head of its signature; rows are sorted by key, size, node."""
+def _pack(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> bytes:
+    """Ascending keys as differences, the nodes once each, and every row's place among them."""
+    nodes, first, place = np.unique(node, return_index=True, return_inverse=True)
+    steps = np.diff(key, prepend=np.uint64(0))
+    # Bytes of one weight stand together, where the high ones are mostly zero.
+    planes = steps.view(np.uint8).reshape(-1, 8).T
+    head = np.array([len(key), len(nodes), len(node)], dtype=np.uint32)
+    sizes = size[first].astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+    places = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+    raw = b"".join((head.tobytes(), planes.tobytes(), nodes.tobytes(), sizes.tobytes(), places.tobytes()))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, size and node of the first head of the key at the end of the last batch
-        for batch in batches:
-            key, size, node, a, a_size = (batch.column(i).to_numpy() for i in range(5))
-            done = a != node
-            if done.any():
-                yield star(key[done], a[done], a_size[done], node[done], size[done])
-            key, size, node = key[~done], size[~done], node[~done]
-            if not len(key):
-                continue
-            if last is not None:
-                key, size, node = (np.append(x, y) for x, y in zip(last, (key, size, node)))
-            head = np.ones(len(key), dtype=bool)
-            head[1:] = key[1:] != key[:-1]
-            first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-            other = node != node[first]
-            # Repeated rows of a node stand next to each other.
-            other[1:] &= head[1:] | (node[1:] != node[:-1])
-            at = np.flatnonzero(other)
-            if len(at):
-                yield star(key[at], node[first[at]], size[first[at]], node[at], size[at])
-            last = key[first[-1]], size[first[-1]], node[first[-1]]
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    keys, nodes, rows = np.frombuffer(raw, np.uint32, 3).tolist()
+
+    def planes(at: int, count: int, width: int) -> np.ndarray:
+        data = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, -1).T
+        return np.ascontiguousarray(data).view(np.uint64 if width == 8 else np.uint32).ravel()
+
+    key = np.cumsum(planes(12, keys, 8), dtype=np.uint64)
+    node = np.frombuffer(raw, np.uint64, nodes, 12 + 8 * keys)
+    at = 12 + 8 * keys + 8 * nodes
+    size, place = planes(at, nodes, 4), planes(at + 4 * nodes, rows, 4)
+    return key, node[place], size[place].astype(np.int32)
+
+
+def _stars(compatible: Callable):
+    """Compare each head of a bucket with the first head of its signature."""
 
     def star(key, a, a_size, b, b_size) -> pa.RecordBatch:
         fits = compatible(np.minimum(a_size, b_size), np.maximum(a_size, b_size))
-        return _batch(STAR, key, a, a_size.astype(np.int32), b, b_size.astype(np.int32), fits)
+        return _batch(STAR, key.view(np.int64), a.view(np.int64), a_size, b.view(np.int64), b_size, fits)
+
+    def of_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, node, size = (np.concatenate(column) for column in zip(*parts))
+        order = np.argsort(key, kind="stable")
+        same = np.zeros(len(key) + 1, dtype=bool)
+        same[1:-1] = key[order[1:]] == key[order[:-1]]
+        # Most signatures are one node's alone.
+        order = order[same[1:] | same[:-1]]
+        order = order[np.lexsort((node[order], size[order], key[order]))]
+        key, node, size = key[order], node[order], size[order]
+        head = np.ones(len(key), dtype=bool)
+        head[1:] = key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+        other = node != node[first]
+        # Repeated rows of a node stand next to each other.
+        other[1:] &= head[1:] | (node[1:] != node[:-1])
+        at = np.flatnonzero(other)
+        if len(at):
+            yield star(key[at], node[first[at]], size[first[at]], node[at], size[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, node, size = _unpack(packed)
+                if len(node) > len(key):  # heads and the nodes that they were compared with
+                    half = len(key)
+                    yield star(key, node[:half], size[:half], node[half:], size[half:])
+                    continue
+                if number != bucket and parts:
+                    yield from of_bucket(parts)
+                    parts = []
+                bucket = number
+                parts.append((key, node, size))
+        if parts:
+            yield from of_bucket(parts)
 
     return run
 
@@ -201,30 +260,43 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, similar: Cal
     )
 
 
+def buckets_for(spark: SparkSession, signatures: int) -> int:
+    """So many buckets that one holds about a million signatures, and each task has one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signatures // BUCKET_SIGNATURES))
+
+
+def few(frame: DataFrame) -> DataFrame:
+    """Hint to broadcast a written table if it has few rows; a larger one is shuffled."""
+    return F.broadcast(frame) if frame.count() <= FEW_ROWS else frame
+
+
 def linked(
     signatures: DataFrame,
     texts_of: Callable[[DataFrame], DataFrame],
     compatible: Callable,
     prepare: Callable,
     similar: Callable,
+    sketches: DataFrame | None = None,
+    plausible: Callable | None = None,
 ) -> DataFrame:
     """``node`` and ``component`` of every node that is similar to another.
 
-    ``signatures`` has the rows of ``signature_rows``. ``texts_of`` gives ``node`` and
-    ``text`` for a table of distinct nodes. ``compatible`` tells which smaller and larger
-    sizes (arrays) could belong to similar nodes. ``prepare`` and ``similar`` are those of ``verified``.
+    ``signatures`` has the rows of ``packed_signatures``. ``texts_of`` gives ``node`` and
+    ``text`` for a written table of distinct nodes. ``compatible`` tells which smaller and
+    larger sizes (arrays) could belong to similar nodes. ``prepare`` and ``similar`` are those
+    of ``verified``. With ``sketches`` (``node`` and ``text``, some bytes for each) a pair's
+    texts are only fetched if ``plausible`` says of their sketches that they could be similar.
     """
     stars = (
-        signatures.repartition("deal")
-        .select("key", "size", "node", "a", "a_size")
-        .sortWithinPartitions("key", "size", "node")
-        .mapInArrow(_stars(compatible), STAR)
+        signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars(compatible), STAR)
     )
     stars = saved(stars, "stars")
-    met = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    texts = saved(texts_of(met), "candidates")
 
     def edges_of(pairs: DataFrame) -> DataFrame:
+        if sketches is not None:
+            pairs = saved(verified(pairs, sketches, _sketches, plausible), "plausible")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        texts = texts_of(saved(ends.distinct(), "nodes"))
         return saved(verified(pairs, texts, prepare, similar), "edges")
 
     compared = saved(stars.where("fits").select("a", "b").distinct(), "compared")
@@ -260,3 +332,7 @@ def linked(
             labels = components(edges)
         compared = compared.unionByName(more)
     return labels
+
+
+def _sketches(sketches: pa.Array) -> list[bytes]:
+    return sketches.to_pylist()
