@@ -17,6 +17,7 @@ from tidemark.llm import (
     exact,
     jaccard,
     lines,
+    links,
     mixing,
     packing,
     quality_model,
@@ -228,6 +229,9 @@ def test_edit_distance_and_segments():
         for b, flag in zip(others, flags):
             assert flag == (brute.edit_distance(a, b) <= edits)
             if flag:
+                both = np.array(a + b, dtype=np.uint8)
+                hints = lines.hints_of(both, np.array([0, len(a)]), np.array([len(a), len(both)])).view(np.int64)
+                assert lines.hints_agree(edits)(hints[:1], hints[1:])[0]
                 begin, end = np.array([0, len(a)]), np.array([len(a), len(a) + len(b)])
                 keys, owner = lines.signatures_of(begin, end, lines.Pieces(np.array(a + b, dtype=np.uint8)), edits)
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
@@ -455,3 +459,38 @@ def test_empty_tables(spark, nothing):
         packing.pack(nothing, tokenizer_path(), 1),
     ):
         assert frame.count() == 0
+
+
+def test_packed_signatures_round_trip():
+    rng = np.random.default_rng(6)
+    key = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
+    key = np.concatenate((key, key[:700], key[:300]))
+    node = rng.integers(0, 2**63, 90, dtype=np.uint64)[rng.integers(0, 90, len(key))]
+    size = (node % np.uint64(700)).astype(np.int64) + 3
+    found, heads = set(), {}
+    for batch in links.packed_signatures(key, size, node, 16):
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, nodes, sizes = links._unpack(packed)
+            half = len(keys) if len(nodes) > len(keys) else 0
+            for k, n, s in zip(keys.tolist(), nodes[half:].tolist(), sizes[half:].tolist()):
+                found.add((k, s, n))
+            if not half:
+                assert all((k >> 40) * 16 >> 24 == bucket for k in keys.tolist())
+                heads.update(zip(keys.tolist(), nodes.tolist()))
+    assert found == set(zip(key.tolist(), size.tolist(), node.tolist()))
+    assert set(heads) == set(key.tolist())
+
+
+def test_sketches_never_lose_a_link():
+    rng = np.random.default_rng(7)
+    for size in (3, 40, 700, 9000):
+        base = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        others = []
+        for _ in range(40):
+            kept = base[rng.random(len(base)) < rng.choice((0.7, 0.85, 0.95))]
+            others.append(np.unique(np.append(kept, rng.integers(0, 2**64, size // 10, dtype=np.uint64))))
+        flags = jaccard.plausible([jaccard.sketch(base)] * 40, [jaccard.sketch(o) for o in others])
+        linked = jaccard._similar([base] * 40, others)
+        assert not (linked & ~flags).any()
+    unlike = [np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(50)]
+    assert not jaccard.plausible([jaccard.sketch(unlike[0])] * 49, [jaccard.sketch(u) for u in unlike[1:]]).any()

@@ -41,7 +41,7 @@ LEAST_BYTES = 24
 #: Distinct lines that a task remembers before it starts afresh; results do not depend on it.
 REMEMBERED = 500_000
 
-LINES = "last_id boolean, id long, digest long, line int, node long"
+LINES = "last_id boolean, id long, digest long, line int, node long, bytes int, hint long"
 TEXTS = "node long, text string"
 #: Cells of text that one pass of the edit distance holds, unless a single line is longer.
 CELLS = 1 << 21
@@ -73,6 +73,31 @@ def _names(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.fromiter((digest(view[a:b]) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
 
 
+def hints_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Counts of 8 kinds of bytes in each line, as the digits of a number to base 256.
+
+    An edit changes two digits by one at most, whatever carries there are.
+    """
+    one = np.uint64(1) << (np.uint64(8) * (np.arange(256, dtype=np.uint64) & np.uint64(7)))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(one[data], out=sums[1:])
+    return sums[end] - sums[begin]
+
+
+def hints_agree(edits: int):
+    def agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rest = left.view(np.uint64) - right.view(np.uint64)
+        changes = np.zeros(len(rest), dtype=np.int64)
+        for _ in range(8):
+            # The lowest digit as one of -128 to 127; what is left has one digit less.
+            digit = (rest & np.uint64(255)).astype(np.uint8).view(np.int8).astype(np.int64)
+            changes += np.abs(digit)
+            rest = (rest - digit.view(np.uint64)) >> np.uint64(8)
+        return changes <= 2 * edits
+
+    return agree
+
+
 class Pieces:
     """Hashes of any pieces of some bytes, from sums over all bytes before each place."""
 
@@ -138,8 +163,10 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     *(part.column(name).take(pa.array(row[at])) for name in ("last_id", "id", "digest")),
                     pa.array(line[at].astype(np.int32)),
                     pa.array(_names(data, begin[at], end[at]).view(np.int64)),
+                    pa.array((end[at] - begin[at]).astype(np.int32)),
+                    pa.array(hints_of(data, begin[at], end[at]).view(np.int64)),
                 ],
-                names=["last_id", "id", "digest", "line", "node"],
+                names=[field.split()[0] for field in LINES.split(", ")],
             )
 
 
@@ -262,14 +289,15 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def line_components(docs: DataFrame, lines: int, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+def line_components(docs: DataFrame, lines: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
     """``node`` and ``component`` of every line that is a near copy of a different one.
 
-    ``lines`` is about how many lines there are; it sizes the shuffle alone.
+    ``lines`` has the rows of ``LINES`` of the same documents.
     """
     texts = docs.select(whole_text())
     # Segments of a line's own length, and pieces at some places for every shorter one.
-    buckets = buckets_for(docs.sparkSession, lines * (edits + 1) * (edits + 2))
+    buckets = buckets_for(docs.sparkSession, lines.count() * (edits + 1) * (edits + 2))
+    hints = lines.where(F.col("bytes") >= least).select("node", "hint").distinct()
     signatures = texts.mapInArrow(_signatures(edits, least, buckets), PACKED)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -277,7 +305,13 @@ def line_components(docs: DataFrame, lines: int, edits: int = EDITS, least: int
         return saved(found.dropDuplicates(["node"]), "texts")
 
     return linked(
-        signatures, texts_of, compatible(edits), _prepare, lambda lefts, rights: within_edits(lefts, rights, edits)
+        signatures,
+        texts_of,
+        compatible(edits),
+        _prepare,
+        lambda lefts, rights: within_edits(lefts, rights, edits),
+        hints=saved(hints, "hints"),
+        agree=hints_agree(edits),
     )
 
 
@@ -285,7 +319,7 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES)
     """``doc_id``, ``n_lines``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``."""
     texts = keyed(docs, whole_text())
     lines = saved(texts.mapInArrow(_line_rows, LINES), "lines")
-    labels = line_components(texts, lines.count(), edits, least)
+    labels = line_components(texts, lines, edits, least)
     component = F.coalesce("component", "node").alias("component")
     lines = saved(lines.join(labels, "node", "left").select(*KEY, "line", component), "lines")
     place = F.struct(*KEY, "line")

@@ -155,19 +155,20 @@ def _stars(compatible: Callable):
     return run
 
 
-def _neighbours(compatible: Callable):
-    """Of rows (key, size, node, component) in that order: neighbours in different components."""
+def _neighbours(compatible: Callable, agree: Callable):
+    """Of rows (key, size, node, component, hint) in that order: neighbours in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns = [batch.column(i).to_numpy() for i in range(5)]
             if last is not None:
-                columns = [np.concatenate(([x], y)) for x, y in zip(last, columns)]
-            key, size, node, component = columns
+                columns = [np.append(x, y) for x, y in zip(last, columns)]
+            key, size, node, component, hint = columns
             near = (key[1:] == key[:-1]) & (component[1:] != component[:-1]) & compatible(size[:-1], size[1:])
+            near &= agree(hint[:-1], hint[1:])
             at = np.flatnonzero(near)
             if len(at):
                 a, b = node[at], node[at + 1]
@@ -177,10 +178,10 @@ def _neighbours(compatible: Callable):
     return run
 
 
-def _all_pairs(compatible: Callable):
-    """Of rows (key, size, node, component) in that order: all pairs in different components."""
+def _all_pairs(compatible: Callable, agree: Callable):
+    """Of rows (key, size, node, component, hint) in that order: all pairs in different components."""
 
-    def of_key(size: np.ndarray, node: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def of_key(size, node, component, hint) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(node), BLOCK):
             for j in range(i, len(node), BLOCK):
                 left, right = slice(i, i + BLOCK), slice(j, j + BLOCK)
@@ -193,6 +194,8 @@ def _all_pairs(compatible: Callable):
                 if i == j:
                     wanted &= np.triu(np.ones(wanted.shape, dtype=bool), 1)
                 x, y = np.nonzero(wanted)
+                agreed = agree(hint[left][x], hint[right][y])
+                x, y = x[agreed], y[agreed]
                 if len(x):
                     a, b = node[left][x], node[right][y]
                     yield _batch(PAIR, np.minimum(a, b), np.maximum(a, b))
@@ -202,7 +205,7 @@ def _all_pairs(compatible: Callable):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns = [batch.column(i).to_numpy() for i in range(5)]
             edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
             for begin, end in zip(np.append(0, edges), np.append(edges, batch.num_rows)):
                 part = [column[begin:end] for column in columns]
@@ -278,6 +281,8 @@ def linked(
     similar: Callable,
     sketches: DataFrame | None = None,
     plausible: Callable | None = None,
+    hints: DataFrame | None = None,
+    agree: Callable = lambda left, right: np.ones(len(left), dtype=bool),
 ) -> DataFrame:
     """``node`` and ``component`` of every node that is similar to another.
 
@@ -286,6 +291,8 @@ def linked(
     larger sizes (arrays) could belong to similar nodes. ``prepare`` and ``similar`` are those
     of ``verified``. With ``sketches`` (``node`` and ``text``, some bytes for each) a pair's
     texts are only fetched if ``plausible`` says of their sketches that they could be similar.
+    With ``hints`` (``node`` and ``hint``, a number) the later steps leave out pairs of which
+    ``agree`` says that they cannot be.
     """
     stars = (
         signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars(compatible), STAR)
@@ -316,12 +323,16 @@ def linked(
         if shared.isEmpty():
             break
         labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if hints is None:
+            labelled = labelled.withColumn("hint", F.lit(0).cast("long"))
+        else:
+            labelled = labelled.join(hints, "node")
         known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = (
-            labelled.select("key", "size", "node", "component")
+            labelled.select("key", "size", "node", "component", "hint")
             .repartition("key")
             .sortWithinPartitions("key", "size", "node")
-            .mapInArrow(pairs_of(compatible), PAIR)
+            .mapInArrow(pairs_of(compatible, agree), PAIR)
             .distinct()
             .join(known, ["a", "b"], "left_anti")
         )
