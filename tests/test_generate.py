@@ -110,17 +110,30 @@ def test_lines_are_distinct_products_of_the_orders_organization(tables):
 
 
 def test_order_amount_is_a_sum_of_distinct_product_prices(spark):
-    """Brute force for one item per order, bounds for the others."""
-    products = {row.product_id: row for row in generate.products(generate.organizations(generate.ids(spark, 3)), AS_OF).collect()}
-    by_org = {}
-    for row in products.values():
-        by_org.setdefault(row.org_id, []).append(row.price)
-    for row in generate.orders(generate.ids(spark, 500), 10, 3, AS_OF).collect():
-        if row.num_items == 1:
-            assert row.total_amount in by_org[row.org_id]
-        everything = sorted(price for prices in by_org.values() for price in prices)
-        assert sum(everything[: row.num_items]) - 0.005 <= row.total_amount
-        assert row.total_amount <= sum(everything[-row.num_items :]) + 0.005
+    """Every order is exactly min(num_items, products) distinct products, by trying all combinations."""
+    for organizations in (1, 2, 3, 4, 5, 7, 10):
+        for seed in (42, 44, 47) if organizations < 4 else (42,):
+            rows = generate.products(generate.organizations(generate.ids(spark, organizations)), AS_OF, seed).collect()
+            cents = {}
+            for row in rows:
+                cents.setdefault(row.org_id, []).append(round(row.price * 100))
+            orders = generate.orders(generate.ids(spark, 25), 10, organizations, AS_OF, seed).collect()
+            for row in orders:
+                # The organizations that an order can reach from its own.
+                near = {(row.org_id - 1 + i) % organizations + 1 for i in range(3)}
+                prices = [price for org in near for price in cents[org]]
+                sums = {0: {0}}
+                for price in prices:
+                    for count in range(min(4, len(sums) - 1), -1, -1):
+                        sums.setdefault(count + 1, set()).update(total + price for total in sums[count])
+                wanted = min(row.num_items, len(rows))
+                assert round(row.total_amount * 100) in sums[wanted]
+
+
+def test_more_keys_than_32_bits(spark):
+    orders = generate.orders(generate.ids(spark, 3000), 10**10, 10**10, AS_OF)
+    found = orders.agg(F.max("customer_id"), F.max("org_id"), F.count_distinct("customer_id")).first()
+    assert 2**33 < found[0] <= 10**10 and 2**33 < found[1] <= 10**10 and found[2] == 3000
 
 
 def test_same_rows_for_every_partitioning_and_run(spark, tables):

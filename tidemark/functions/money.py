@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+#: Wide enough to hold fractions of a cent until the sum is rounded.
+EXACT = "decimal(28,8)"
 
 
 def money_total(column: str) -> Column:
-    """Exact sum of a double money column, as a decimal with two digits.
+    """Exact sum of a double money column, rounded once, to two digits.
 
-    Summing whole cents avoids the costly conversion of every double to a decimal.
+    Values that are not numbers (NaN, infinite) count as missing, like NULL.
     """
-    cents = F.rint(F.col(column) * 100).cast("bigint").cast("decimal(18,0)")
-    return F.sum(cents) * F.lit(Decimal("0.01"))
+    return F.round(F.sum(F.expr(f"try_cast(`{column}` AS {EXACT})")), 2)

@@ -93,8 +93,7 @@ def organizations(org_ids: DataFrame) -> DataFrame:
 # Which products an organization sells follows from a draw on its id: 2 to 4 categories,
 # visited from a start with a step that is prime to the number of categories. A draw on
 # organization and category gives its 1 to 3 names in the same way. Each draw is split
-# into small numbers, which keeps the code of an order, with up to five products, below the
-# 8000 bytes up to which the JVM compiles a method.
+# into small numbers, so one is enough for each organization and category.
 
 
 def _org_draw(seed: int, org: str) -> str:
@@ -128,6 +127,14 @@ def _product_id(org: str, category: str, name: str) -> str:
     return f"(({org} - 1L) * {PRODUCT_SLOTS}L + {category} * {NAMES_PER_CATEGORY}L + {name} + 1L)"
 
 
+def _product_ids(seed: int, org: str, org_draw: str) -> str:
+    """An organization's products in the order of its categories and their names."""
+    categories = f"transform(sequence(0L, {_category_count(org_draw)} - 1L), turn -> {_category(org_draw, 'turn')})"
+    drawn = f"transform({categories}, no -> named_struct('no', no, 'd', {_category_draw(seed, org, 'no')}))"
+    name = _product_id(org, "c.no", _name("c.d", "turn"))
+    return f"flatten(transform({drawn}, c -> transform(sequence(0L, {_name_count('c.d')} - 1L), turn -> {name})))"
+
+
 def _price_cents(seed: int, product: str) -> str:
     return between(draw(seed, "price", product), 1000, 50000)
 
@@ -164,7 +171,7 @@ def customers(customer_ids: DataFrame, as_of_date: str, seed: int = DEFAULT_SEED
     def random(stream: str) -> str:
         return draw(seed, stream, "id")
 
-    phone = f"({random('phone')} * 65536L + {random('phone end')} % 65536L) % 8000000000L + 2000000000L"
+    phone = f"{random('phone')} % 8000000000L + 2000000000L"
     return conform(
         customer_ids.selectExpr(
             "id AS customer_id",
@@ -194,9 +201,10 @@ def orders(
 ) -> DataFrame:
     """Orders over customers 1..customer_total and the products of organizations 1..organization_total.
 
-    An order's amount is the price of 1 to 5 distinct products, taken from consecutive
-    organizations; the first one is the order's organization. The lines of the order are
-    drawn separately, so they need not add up to the amount.
+    An order's amount is the price of its ``num_items`` distinct products, or of all products
+    if there are fewer: from a place in its organization's list on, then those of the next
+    organizations, and from the last organization on to the first. The lines of the order
+    are drawn separately, so they need not add up to the amount.
     """
     rows = order_ids.selectExpr(
         "id AS order_id",
@@ -205,28 +213,19 @@ def orders(
         f"{below(draw(seed, 'organization of order', 'id'), organization_total)} AS org_no",
         f"{draw(seed, 'product of order', 'id')} AS pick_draw",
     )
-    # Each step names its results, so that the next one does not compute them again.
-    picks = range(MAX_ITEMS)
-    # With few organizations a pick comes round to one again; it then takes its next category.
-    lap = [i // organization_total for i in picks]
-    count = [_category_count(f"org_draw_{i}") for i in picks]
-    turn = [f"((shiftright({bits('pick_draw', 0, 10)} * {count[i]}, 10) + {lap[i]}L) % {count[i]})" for i in picks]
-    name_turn = [f"shiftright({bits('pick_draw', 10, 10)} * {_name_count(f'category_draw_{i}')}, 10)" for i in picks]
+    # An organization has at least two products, so three of them have enough from any place on.
+    turns = range(3)
     rows = (
-        rows.selectExpr("*", *[f"(org_no + {i}L) % {organization_total}L + 1L AS org_{i}" for i in picks])
-        .selectExpr("*", *[f"{_org_draw(seed, f'org_{i}')} AS org_draw_{i}" for i in picks])
-        .selectExpr("*", *[f"{_category(f'org_draw_{i}', turn[i])} AS category_{i}" for i in picks])
-        .selectExpr("*", *[f"{_category_draw(seed, f'org_{i}', f'category_{i}')} AS category_draw_{i}" for i in picks])
-        .selectExpr(
-            "*",
-            *[
-                f"{_product_id(f'org_{i}', f'category_{i}', _name(f'category_draw_{i}', name_turn[i]))} AS product_{i}"
-                for i in picks
-            ],
-        )
+        rows.selectExpr("*", *[f"(org_no + {i}L) % {organization_total}L + 1L AS org_{i}" for i in turns])
+        .selectExpr("*", *[f"{_org_draw(seed, f'org_{i}')} AS org_draw_{i}" for i in turns])
+        .selectExpr("*", *[f"{_product_ids(seed, f'org_{i}', f'org_draw_{i}')} AS products_{i}" for i in turns])
     )
-    taken = ", ".join(f"IF(num_items > {i} AND {count[i]} > {lap[i]}, product_{i}, NULL)" for i in picks)
-    cents = f"aggregate(array_compact(array({taken})), 0L, (total, product) -> total + {_price_cents(seed, 'product')})"
+    # With fewer organizations a list comes round again; no product is taken twice.
+    lists = [f"products_{i}" for i in turns]
+    available = " + ".join(f"size({products})" for products in lists[: min(organization_total, len(lists))])
+    start = f"CAST({below('pick_draw', 'size(products_0)')} AS INT) + 1"
+    taken = f"slice(concat({', '.join(lists)}), {start}, CAST(least(num_items, {available}) AS INT))"
+    cents = f"aggregate({taken}, 0L, (total, product) -> total + {_price_cents(seed, 'product')})"
     return conform(
         rows.selectExpr(
             "order_id",
