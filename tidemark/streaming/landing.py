@@ -2,36 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    ByteType,
+    DataType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StringType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
-CORRUPT = "_corrupt_record"
 VALID = "valid"
 QUARANTINED = "quarantined"
+VERDICT = "_verdict"
+RAW = "_raw_message"
+BATCH = "_batch"
+RESERVED = (VERDICT, RAW, BATCH)
+
+# JSON kinds that a declared type is read from, as Spark names them.
+WHOLE = "^(BIGINT|DECIMAL\\(\\d+,0\\))$"
+NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL\\(.*\\))$"
+TEXT = "^STRING$"
+KINDS = {
+    StringType: TEXT,
+    BooleanType: "^BOOLEAN$",
+    ByteType: WHOLE,
+    ShortType: WHOLE,
+    IntegerType: WHOLE,
+    LongType: WHOLE,
+    FloatType: NUMBER,
+    DoubleType: NUMBER,
+    DecimalType: NUMBER,
+    DateType: TEXT,
+    TimestampType: TEXT,
+    TimestampNTZType: TEXT,
+}
+
+
+def _kinds(data_type: DataType) -> str:
+    try:
+        return KINDS[type(data_type)]
+    except KeyError:
+        raise ValueError(f"messages cannot have fields of type {data_type.simpleString()}") from None
+
+
+def _check(schema: StructType) -> None:
+    names = [field.name.lower() for field in schema.fields]
+    taken = [name for name in names if name in RESERVED]
+    if taken or len(set(names)) < len(names) or any("'" in name or "`" in name for name in names):
+        raise ValueError(f"field names must be distinct, without quotes and none of {RESERVED}")
+
+
+def _whole(body: Column) -> Column:
+    """The message as a variant, NULL unless all of it is one JSON object.
+
+    The parser stops at the end of the first value. Inside an array and inside an object
+    that end is not the end of the text, and no tail closes both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"m":'), body, F.lit("}")))
+    one = F.try_variant_get(listed, "$[1]", "variant").isNull() & named.isNotNull()
+    message = F.try_variant_get(listed, "$[0]", "variant")
+    return F.when(one & F.schema_of_variant(message).startswith("OBJECT"), message)
 
 
 def judge(messages: DataFrame, schema: StructType, body: str = "value") -> DataFrame:
     """Parse every message once; columns of ``schema``, the raw text and a verdict.
 
-    A message is valid when it is JSON, every field has the declared type and no field
-    declared NOT NULL is missing. The raw text is kept for quarantined messages only.
+    A message is valid when all of it is one JSON object without repeated keys, every field
+    is of its declared kind and fits it (a number is no text, a text no number), and no
+    field declared NOT NULL is missing. The raw text is kept for quarantined messages and
+    for valid ones with fields that the schema does not name, so nothing is lost.
     """
-    lenient = StructType([*schema.fields]).add(CORRUPT, StringType())
-    parsed = messages.select(
-        F.col(body).alias("raw"),
-        F.from_json(body, lenient, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("row"),
-    )
-    valid = F.col("row").isNotNull() & F.col(f"row.{CORRUPT}").isNull()
-    for field in schema.fields:
-        if not field.nullable:
-            valid = valid & F.col(f"row.{field.name}").isNotNull()
-    judged = parsed.select("raw", "row", F.coalesce(valid, F.lit(False)).alias("ok"))
+    _check(schema)
+    parsed = messages.select(F.col(body).alias(RAW), _whole(F.col(body)).alias("_message"))
+
+    parts, ok = [], F.col("_message").isNotNull()
+    for i, field in enumerate(schema.fields):
+        path = f"$['{field.name}']"
+        parts.append(F.try_variant_get("_message", path, "variant").alias(f"_variant_{i}"))
+        parts.append(F.try_variant_get("_message", path, "string").alias(f"_text_{i}"))
+    parsed = parsed.select(RAW, "_message", *parts)
+    values = []
+    for i, field in enumerate(schema.fields):
+        kind = F.schema_of_variant(f"_variant_{i}")
+        missing = F.col(f"_variant_{i}").isNull() | (kind == "VOID")
+        read = F.expr(f"try_cast(_text_{i} AS {field.dataType.simpleString()})")
+        fits = kind.rlike(_kinds(field.dataType)) & read.isNotNull()
+        ok = ok & F.coalesce((missing & F.lit(field.nullable)) | (~missing & fits), F.lit(False))
+        values.append(read)
+    judged = parsed.select("*", F.coalesce(ok, F.lit(False)).alias("_ok"))
+    names = F.array(*[F.lit(field.name) for field in schema.fields]).cast("array<string>")
+    more = F.size(F.array_except(F.json_object_keys(RAW), names)) > 0
     return judged.select(
-        *[F.when(F.col("ok"), F.col(f"row.{field.name}")).alias(field.name) for field in schema.fields],
-        F.when(~F.col("ok"), F.col("raw")).alias("raw"),
-        F.when(F.col("ok"), VALID).otherwise(QUARANTINED).alias("verdict"),
+        *[F.when(F.col("_ok"), read).alias(field.name) for field, read in zip(schema.fields, values)],
+        F.when(~F.col("_ok") | more, F.col(RAW)).alias(RAW),
+        F.when(F.col("_ok"), VALID).otherwise(QUARANTINED).alias(VERDICT),
     )
 
 
@@ -40,15 +116,18 @@ def land(
 ) -> StreamingQuery:
     """Start landing everything that is available now, then stop.
 
-    One file sink partitioned by verdict takes both kinds, so a message is parsed and
-    written once and both sides are committed together, exactly once after a restart.
-    The source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` sets the batch size.
+    Every batch is written to a folder of its own, named by the batch and overwritten if the
+    batch is run again, so a message lands exactly once after a restart, and no list of all
+    files ever written is kept. A message is parsed and written once; the folders are split by
+    verdict. The source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` sets the batch size.
     """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy(VERDICT).parquet(f"{target.rstrip('/')}/{BATCH}={number}")
+
     return (
         judge(messages, schema, body)
-        .writeStream.format("parquet")
-        .partitionBy("verdict")
-        .option("path", target)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -56,20 +135,23 @@ def land(
 
 
 def landed(spark: SparkSession, schema: StructType, target: str) -> DataFrame:
-    """The valid rows; only their partition is read."""
-    return _read(spark, schema, target, VALID).select(*schema.fieldNames())
+    """The valid rows; only their partitions are read."""
+    return _read(spark, schema, target).where(F.col(VERDICT) == VALID).select(*schema.fieldNames())
 
 
 def quarantined(spark: SparkSession, target: str) -> DataFrame:
-    return _read(spark, StructType(), target, QUARANTINED).select("raw")
+    return _read(spark, StructType(), target).where(F.col(VERDICT) == QUARANTINED).select(F.col(RAW).alias("raw"))
 
 
-def _read(spark: SparkSession, schema: StructType, target: str, verdict: str) -> DataFrame:
-    full = StructType([*schema.fields]).add("raw", StringType()).add("verdict", StringType())
-    return spark.read.schema(full).parquet(target).where(F.col("verdict") == verdict)
+def _read(spark: SparkSession, schema: StructType, target: str) -> DataFrame:
+    full = StructType([*schema.fields]).add(RAW, StringType()).add(BATCH, LongType()).add(VERDICT, StringType())
+    return spark.read.schema(full).parquet(target)
 
 
 def landing_counts(spark: SparkSession, target: str) -> DataFrame:
     """Messages per verdict."""
-    full = StructType().add("raw", StringType()).add("verdict", StringType())
-    return spark.read.schema(full).parquet(target).groupBy("verdict").agg(F.count(F.lit(1)).alias("messages"))
+    return (
+        _read(spark, StructType(), target)
+        .groupBy(F.col(VERDICT).alias("verdict"))
+        .agg(F.count(F.lit(1)).alias("messages"))
+    )
