@@ -2,6 +2,7 @@
 
 from oracle.generated import CUSTOMERS, EMPLOYEES, below, num, pick
 from oracle.star import STAR
+from tidemark.plans.governance import EMPLOYEE_CLASSIFICATION
 
 MASK = "'***PII MASKED***'"
 PROPERTY_MASK = "'***PII PROPERTY MASKED***'"
@@ -32,9 +33,7 @@ TAGS = STAR + " UNION ALL ".join(
     for table, column, *_ in MARKED
 )
 
-COLUMNS = (
-    "employee_id first_name last_name email phone department job_title country employment_type hire_date"
-).split()
+COLUMNS = list(EMPLOYEE_CLASSIFICATION)
 LABELS = ["PII", "pii", "UNCLASSIFIED_PII", "none", "internal"]
 
 
@@ -83,6 +82,12 @@ def directory(*masked):
     return "SELECT * REPLACE (" + ", ".join(f"{PROPERTY_MASK} AS {c}" for c in masked) + f") FROM ({EMPLOYEES})"
 
 
+DATED = """
+WITH dated AS (
+  SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CAST(last AS DATE) AS last_order_date
+  FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) ON c_custkey = o_custkey
+)"""
+
 ORACLE = {
     "pii_columns_preview": PREVIEW,
     "pii_tags": TAGS,
@@ -111,5 +116,31 @@ ORACLE = {
         FROM newest_tags GROUP BY 1, 2""",
     "retagged_columns": f"""WITH {NEWEST}, {NEWEST_TAGS}, {documents("oldest", "min")}, {tags("oldest_tags", "oldest")}
         SELECT * FROM newest_tags UNION ALL
-        SELECT * FROM oldest_tags WHERE object_name NOT IN (SELECT object_name FROM newest_tags)""",
+        SELECT * FROM oldest_tags ANTI JOIN newest_tags USING (object_name, column_name)""",
+    "masked_by_both_routes": STAR
+    + f"""SELECT CAST(NULL AS BIGINT) AS customer_id, {MASK} AS customer_name, {MASK} AS country, account_balance,
+                 segment AS customer_segment
+          FROM (SELECT *, {PROPERTY_MASK} AS segment FROM s_customers
+                UNION ALL SELECT *, customer_segment FROM s_customers)""",
+    "refresh_twice": STAR
+    + f"""SELECT CAST(NULL AS BIGINT) AS customer_id, {PROPERTY_MASK} AS customer_name, {MASK} AS country,
+                 account_balance, {PROPERTY_MASK} AS customer_segment FROM s_customers""",
+    "newest_metadata_files": f"""{DATED}
+        SELECT 'v2.metadata.json' AS file_name, column_name, class, covered_values FROM (
+            SELECT 'c_name' AS column_name, 'PII' AS class, count(c_name) AS covered_values FROM dated
+            UNION ALL SELECT 'c_custkey', 'unclassified_pii', count(c_custkey) FROM dated
+            UNION ALL SELECT 'c_nationkey', 'NONE', count(c_nationkey) FROM dated
+            UNION ALL SELECT 'last_order_date', 'PII', count(last_order_date) FROM dated)""",
+    "tag_masked_reader": f"""{DATED}
+        SELECT CAST(NULL AS BIGINT) AS c_custkey, {PROPERTY_MASK} AS c_name, c_nationkey, c_mktsegment,
+               CAST(NULL AS DATE) AS last_order_date FROM dated""",
+    "tag_masked_pii_reader": f"{DATED} SELECT * FROM dated",
+    "tag_report": STAR
+    + """SELECT CAST(5 AS BIGINT) AS tagged_columns, CAST(1 AS BIGINT) AS skipped_columns,
+                (SELECT count(*) FROM s_customers) + (SELECT count(*) FROM s_orders) AS covered_rows""",
+    "tag_references": f"WITH {NEWEST}, {NEWEST_TAGS} SELECT * FROM newest_tags WHERE object_name = 'directory_1'",
+    "verification_texts": """
+        SELECT replace('SELECT * FROM lake.tags WHERE object_schema = "lake" AND object_name = "directory_'
+               || s_suppkey || '" AND upper(tag_name) = "PII" ORDER BY column_name', '"', chr(39)) AS verification_sql
+        FROM supplier""",
 }

@@ -25,11 +25,8 @@ s_orders AS (
   ) ON o_orderkey = l_orderkey
 ),
 s_order_items AS (
-  SELECT md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-               CAST(l_quantity AS INTEGER), CAST(round(l_extendedprice * 100) AS BIGINT),
-               CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT),
-               l_returnflag, l_linestatus,
-               date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))) AS order_item_id,
+  SELECT md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+               l_discount, l_tax, l_returnflag, l_linestatus, CAST(l_shipdate AS TIMESTAMP))) AS order_item_id,
          l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS INTEGER) AS quantity,
          l_extendedprice / l_quantity AS unit_price, l_extendedprice AS subtotal
   FROM lineitem

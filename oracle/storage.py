@@ -1,33 +1,46 @@
 """Writers, table lifecycle and landing: the source query is what must be read back."""
 
+from oracle.generated import ORACLE as GENERATED
 from oracle.star import ORACLE as STAR_ORACLE
 from oracle.star import STAR
 
 FIRST = "TIMESTAMP '2026-01-01 00:00:00'"
-SECOND = "TIMESTAMP '2026-02-01 00:00:00'"
 COUNTS = f"({STAR_ORACLE['table_row_counts']})"
+ROUNDTRIP = f"SELECT table_name, row_count AS source_rows, row_count AS stored_rows, true AS same FROM {COUNTS}"
 
 ORACLE = {
-    "parquet_roundtrip": STAR_ORACLE["order_items_with_products"],
-    "table_roundtrip": STAR_ORACLE["order_chain"],
+    "parquet_roundtrip": ROUNDTRIP,
+    "table_roundtrip": ROUNDTRIP,
+    "declared_folder_read": f"""
+        SELECT table_name, rows AS source_rows, rows AS stored_rows, true AS same FROM (
+            SELECT 'organizations' AS table_name, count(*) AS rows FROM supplier
+            UNION ALL SELECT 'products', count(*) FROM ({GENERATED['gen_products']})
+            UNION ALL SELECT 'customers', count(*) FROM customer
+            UNION ALL SELECT 'orders', count(*) FROM orders)""",
+    "fallback_write": STAR + "SELECT * FROM s_orders",
     "partitioned_roundtrip": STAR
     + "SELECT *, CAST(date_trunc('month', order_date) AS DATE) AS load_date FROM s_orders",
-    "snapshot_as_of": STAR + "SELECT * FROM s_orders WHERE order_status = 'F'",
-    "snapshot_history": f"""
-        SELECT CAST(1 AS BIGINT) AS snapshot_id, {FIRST} AS committed_at, 'append' AS operation,
-               count(*) FILTER (WHERE o_orderstatus = 'F') AS row_count FROM orders
-        UNION ALL SELECT 2, {SECOND}, 'overwrite', count(*) FROM orders""",
+    "load_as_of": STAR
+    + """, loads AS (SELECT *, CAST(date_trunc('month', order_date) AS DATE) AS load_date FROM s_orders)
+         SELECT * FROM loads WHERE load_date = (SELECT max(load_date) FROM loads WHERE load_date <= DATE '1996-05-17')""",
     "register_folders": f"""
-        SELECT table_name, 'UPDATED' AS status,
+        SELECT table_name, CASE WHEN table_name = 'orders' THEN 'UPDATED' ELSE 'UNCHANGED' END AS status,
                CASE WHEN table_name = 'orders' THEN 'num_items' ELSE '' END AS added_columns, row_count
         FROM {COUNTS}""",
     "replicate_status": f"""
         SELECT table_name, 'OK' AS status, row_count AS source_rows, row_count AS target_rows FROM {COUNTS}""",
     "audit_log": f"""
         SELECT {FIRST} AS audit_ts, 'run-1' AS job_run_id, table_name AS source_table,
-               row_count AS source_row_count, table_name AS target_table, row_count AS target_row_count,
-               'COMPLETE' AS sync_status, CAST(NULL AS VARCHAR) AS error_message
-        FROM {COUNTS}""",
+               CASE WHEN table_name <> 'products' THEN row_count END AS source_row_count, table_name AS target_table,
+               CASE WHEN table_name <> 'products' THEN row_count END AS target_row_count,
+               CASE WHEN table_name <> 'products' THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS sync_status,
+               CASE WHEN table_name = 'products' THEN 'failed' END AS error_message
+        FROM {COUNTS} WHERE table_name <> 'order_items'""",
+    "refresh_partial_failure": f"""
+        SELECT 'PARTIAL FAILURE' AS overall_status, CAST(3 AS BIGINT) AS ok_tables,
+               CAST(0 AS BIGINT) AS mismatched_tables, CAST(1 AS BIGINT) AS failed_tables,
+               CAST(sum(row_count) AS BIGINT) AS copied_rows
+        FROM {COUNTS} WHERE table_name NOT IN ('order_items', 'products')""",
     "land_events": """
         SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
         FROM events WHERE event_type <> 'error'""",
@@ -36,4 +49,5 @@ ORACLE = {
     "landing_counts": """
         SELECT CASE WHEN event_type = 'error' THEN 'quarantined' ELSE 'valid' END AS verdict, count(*) AS messages
         FROM events GROUP BY 1""",
+    "strict_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }

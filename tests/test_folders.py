@@ -40,4 +40,5 @@ def test_register_merge_miss_and_fail(spark, namespace, tmp_path):
     assert second["retyped"].status == "FAILED" and "bigint in the table" in second["retyped"].error
     assert spark.table(f"{namespace}.grows").where("b IS NULL").count() == 2
     assert spark.table(f"{namespace}.grows").count() == 5
-    assert register()["grows"].added_columns == []
+    third = register()["grows"]
+    assert third.status == "UNCHANGED" and third.added_columns == []

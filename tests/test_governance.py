@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.plans import generate, governance
+from tidemark.plans import generate, governance, refresh
 from tidemark.plans.governance import PII_READER_ROLE, READER_ROLE
 from tidemark.sources import lake
 from tidemark.sources.schemas import TABLE_DDL, schema_of
@@ -77,13 +77,14 @@ def test_tags_and_report(catalog):
     assert governance.tag_references(tags, "OTHER").isEmpty()
 
 
-def test_retagging_replaces_stale_rows(spark, catalog):
+def test_retagging_sets_columns_anew_and_removes_none(spark, catalog):
     tags = governance.comment_tags(catalog, "LAKE")
-    stale = tags.where("column_name = 'a'").withColumn("column_name", F.lit("dropped"))
+    old = tags.where("column_name = 'a'").withColumn("tag_value", F.lit("OLD"))
+    unmatched = tags.where("column_name = 'a'").withColumn("column_name", F.lit("no_longer_matched"))
     other = tags.where("object_name = 'orders'").withColumn("object_name", F.lit("untouched"))
-    result = governance.retag(stale.unionAll(other), tags)
-    assert result.count() == 11
-    assert result.where("column_name = 'dropped'").isEmpty()
+    result = governance.retag(old.unionAll(unmatched).unionAll(other), tags)
+    assert result.count() == 12 and result.where("tag_value = 'OLD'").isEmpty()
+    assert result.where("column_name = 'no_longer_matched'").count() == 1
     again = governance.retag(result, tags)
     assert again.exceptAll(result).isEmpty() and result.exceptAll(again).isEmpty()
 
@@ -163,6 +164,8 @@ def test_parse_classes():
     columns = ["email", "phone", "city"]
     text = '{"EMAIL":"pii","phone":"unclassified_pii","city":"bogus","other":"PII"}'
     assert governance.parse_classes(text, columns) == {"email": "PII", "phone": "UNCLASSIFIED_PII"}
+    # A JSON null is no class, in this route and in that of the tags.
+    assert governance.parse_classes('{"email":null,"phone":"none"}', columns) == {"phone": "NONE"}
     for broken in (None, "", "{", "[1]", "7"):
         assert governance.parse_classes(broken, columns) == {}
 
@@ -182,6 +185,61 @@ def test_classified_table_is_read_under_both_roles(spark, namespace):
     assert governance.read_masked_table(spark, name, PII_READER_ROLE).exceptAll(rows).isEmpty()
 
 
+@pytest.mark.parametrize("text", ['{"email": ', '{"customer_segment":"PII"}', "{}", '{"email":"NONE"}'])
+def test_a_classification_uncovers_nothing_that_comments_mark(spark, namespace, text):
+    name = f"{namespace}.customers"
+    rows = generate.customers(generate.ids(spark, 5), "2026-01-01")
+    lake.replace_table(rows, name, properties={governance.CLASSIFICATION_PROPERTY: text})
+    row = governance.read_masked_table(spark, name, READER_ROLE).first()
+    assert row.email == row.national_id == "***PII MASKED***" and row.customer_id is None
+    segment = "***PII PROPERTY MASKED***" if "segment" in text else None
+    assert segment is None or row.customer_segment == segment
+    assert governance.read_masked_table(spark, name, PII_READER_ROLE).exceptAll(rows).isEmpty()
+
+
+def test_reader_sees_no_marked_value_after_two_refreshes(spark, namespace):
+    people = generate.employees(generate.ids(spark, 10), "2026-01-01")
+    governance.write_classified(people, f"{namespace}.source", governance.EMPLOYEE_CLASSIFICATION, "poc")
+    customers = generate.customers(generate.ids(spark, 5), "2026-01-01")
+    lake.replace_table(customers, f"{namespace}.marked")
+    for _ in range(2):
+        for table in ("source", "marked"):
+            refresh.refresh_table(spark, f"{namespace}.{table}", f"{namespace}.{table}_copy")
+            copy = governance.read_masked_table(spark, f"{namespace}.{table}_copy", READER_ROLE)
+            assert not copy.isEmpty()
+            assert copy.where("email NOT LIKE '***%' OR phone NOT LIKE '***%' OR first_name NOT LIKE '***%'").isEmpty()
+    # The target keeps its own properties as well, and a source that lost its own uncovers nothing.
+    lake.set_properties(spark, f"{namespace}.source_copy", {"keeper": "x"})
+    spark.sql(f"ALTER TABLE {namespace}.source UNSET TBLPROPERTIES ('{governance.CLASSIFICATION_PROPERTY}')")
+    refresh.refresh_table(spark, f"{namespace}.source", f"{namespace}.source_copy")
+    assert lake.table_properties(spark, f"{namespace}.source_copy")["keeper"] == "x"
+    copy = governance.read_masked_table(spark, f"{namespace}.source_copy", READER_ROLE)
+    assert copy.where("email NOT LIKE '***%'").isEmpty()
+
+
+def test_masks_from_tags(spark, frame, catalog):
+    columns = "tag_name STRING, tag_value STRING, object_schema STRING, object_name STRING, column_name STRING"
+    rows = [
+        ("PII", "PII", "db", "t", "a"),
+        ("PII_CLASSIFICATION", "PII", "DB", "T", "B"),
+        ("PII_CLASSIFICATION", "UNCLASSIFIED_PII", "db", "t", "d"),
+        ("PII_CLASSIFICATION", "NONE", "db", "t", "h"),
+        ("PII_CLASSIFICATION", "PII", "db", "t", "i"),
+        ("PII", "PII", "db", "t", "i"),
+        ("PII_CLASSIFICATION", "PII", "db", "other", "j"),
+        ("OWNER", "PII", "db", "t", "k"),
+    ]
+    tags = spark.createDataFrame(rows, columns)
+    row = governance.mask_by_tags(frame, tags, "db", "t", READER_ROLE).where("h IS NOT NULL").first()
+    assert (row.a, row.b, row.d, row.i) == ("***PII MASKED***", None, None, "***PII PROPERTY MASKED***")
+    assert (row.h, row.j, row.k, row.c) == ("h", "j", "k", decimal.Decimal("1.50"))
+    revealed = governance.mask_by_tags(frame, tags, "db", "t", PII_READER_ROLE)
+    assert revealed.exceptAll(frame).isEmpty() and revealed.schema == frame.schema
+    # The tags that comments give mask the table as its comments do.
+    by_tags = governance.mask_by_tags(frame, governance.comment_tags(catalog, "LAKE"), "db", "t", READER_ROLE)
+    assert by_tags.exceptAll(governance.mask_by_comment(frame, READER_ROLE)).isEmpty()
+
+
 def test_table_without_classification_uses_comments(spark, namespace):
     lake.replace_table(generate.customers(generate.ids(spark, 5), "2026-01-01"), f"{namespace}.customers")
     row = governance.read_masked_table(spark, f"{namespace}.customers", READER_ROLE).first()

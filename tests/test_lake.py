@@ -85,7 +85,7 @@ def test_replacing_keeps_properties_and_comments(spark, namespace):
     lake.replace_table(second, name, properties={"a.b": '{"k":"v"}'})
     assert spark.table(name).columns == ["k", "v"] and spark.table(name).count() == 2
     properties = lake.table_properties(spark, name)
-    assert properties["a.b"] == '{"k":"v"}' and "n" not in properties
+    assert properties["a.b"] == '{"k":"v"}' and properties["n"] == "1"
     assert lake.comment_of(spark.table(name).schema["k"]) == note
 
 
@@ -131,18 +131,88 @@ def test_ensure_table_copies_columns_once(spark, tables, namespace, tmp_path):
 def test_bucketed_tables_join_without_a_shuffle(spark, namespace):
     left = spark.range(1000).select(F.col("id").alias("order_id"), F.lit(1).alias("a"))
     right = spark.range(1000).select(F.col("id").alias("order_id"), F.lit(2).alias("b"))
-    lake.replace_table(left, f"{namespace}.l", bucket_by=(4, ["order_id"]))
-    lake.replace_table(right, f"{namespace}.r", bucket_by=(4, ["order_id"]))
+    lake.write_bucketed(left, f"{namespace}.l", 4, ["order_id"])
+    lake.write_bucketed(right, f"{namespace}.r", 4, ["order_id"])
     joined = spark.table(f"{namespace}.l").join(spark.table(f"{namespace}.r").hint("merge"), "order_id")
     assert joined.count() == 1000
     assert "Exchange hashpartitioning(order_id" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
-def test_table_cannot_be_replaced_from_itself(spark, namespace):
-    lake.replace_table(spark.range(3), f"{namespace}.t")
-    with pytest.raises(Exception):
-        lake.replace_table(spark.table(f"{namespace}.t"), f"{namespace}.t")
-    assert spark.table(f"{namespace}.t").count() == 3
+@pytest.mark.parametrize("place", [None, "out"])
+def test_table_can_be_replaced_from_itself(spark, namespace, tmp_path, place):
+    location = place and f"{tmp_path}/{place}/t"
+    name = f"{namespace}.t"
+    lake.replace_table(spark.range(3), name, location=location)
+    for _ in range(2):
+        lake.replace_table(spark.table(name).where("id > 0").union(spark.range(9, 10)), name)
+    assert {row.id for row in spark.table(name).collect()} == {1, 2, 9}
+
+
+@pytest.mark.parametrize("place", [None, "out"])
+def test_failed_replace_keeps_the_old_rows(spark, namespace, tmp_path, place):
+    location = place and f"{tmp_path}/{place}/t"
+    name = f"{namespace}.t"
+    lake.replace_table(spark.range(3), name, location=location, properties={"k": "v"})
+    before = lake.table_place(spark, name)[0]
+    failing = spark.range(100).select(F.expr("IF(id = 50, CAST(raise_error('no') AS BIGINT), id)").alias("id"))
+    for frame in (failing, failing.withColumn("more", F.lit(1))):
+        with pytest.raises(Exception, match="no"):
+            lake.replace_table(frame, name, location=location)
+        assert spark.table(name).count() == 3 and spark.table(name).columns == ["id"]
+        assert lake.table_properties(spark, name)["k"] == "v"
+    assert lake.table_place(spark, name)[0] == before
+
+
+@pytest.mark.parametrize("place", [None, "out"])
+def test_replacing_leaves_no_old_files(spark, namespace, tmp_path, place):
+    location = place and f"{tmp_path}/{place}/t"
+    name = f"{namespace}.t"
+    for n in (3, 4, 5):
+        lake.replace_table(spark.range(n), name, location=location)
+        assert spark.table(name).count() == n
+    lake.replace_table(spark.range(6).withColumn("more", F.lit("x")), name)
+    assert spark.table(name).columns == ["id", "more"] and spark.table(name).count() == 6
+    folder = lake.table_place(spark, name)[0].removeprefix("file:")
+    rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path)).count()
+    assert rows == 6 and spark.read.parquet(folder).count() == 6
+    if place:
+        assert folder.startswith(f"{location}/version-")
+
+
+def test_reader_always_finds_the_table(spark, namespace, tmp_path):
+    name = f"{namespace}.t"
+    lake.replace_table(spark.range(5), name, location=f"{tmp_path}/t")
+    for _ in range(3):
+        seen = spark.sql(f"SELECT count(*) FROM {name}")
+        lake.replace_table(spark.range(5), name, location=f"{tmp_path}/t")
+        assert spark.catalog.tableExists(name) and spark.table(name).count() == 5
+    assert seen.columns
+
+
+def test_comments_of_kept_columns_survive_other_columns(spark, namespace):
+    name = f"{namespace}.t"
+    marked = spark.range(2).select(F.col("id").alias("k", metadata={"comment": "PII=PII"}))
+    lake.replace_table(marked, name)
+    lake.replace_table(spark.range(2).select(F.col("id").alias("k"), F.lit(1).alias("v")), name)
+    assert lake.comment_of(spark.table(name).schema["k"]) == "PII=PII"
+
+
+def test_what_a_fallback_wrote_is_readable(spark, namespace, tmp_path):
+    writer = lake.LakeWriter(f"{tmp_path}/lake", namespace=namespace, provider="no_such_format", on_error="parquet")
+    assert lake.read_written(spark, writer.write(spark.range(4), "t")).count() == 4
+    assert not spark.catalog.tableExists(f"{namespace}.t")
+    place = lake.LakeWriter(f"{tmp_path}/lake", namespace=namespace).write(spark.range(3), "t")
+    assert lake.read_written(spark, place).count() == 3
+
+
+def test_rows_as_of_a_day(spark, tmp_path):
+    rows = spark.range(90).selectExpr("id", "date_add(DATE'2026-01-01', CAST(id % 3 AS INT) * 31) AS load_date")
+    path = lake.write_dated_folder(rows, f"{tmp_path}/t")
+    found = lake.read_as_of_date(spark, path, "2026-03-01")
+    assert {str(row.load_date) for row in found.collect()} == {"2026-02-01"} and found.count() == 30
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load_date" in plan and "2026-02-01" in plan
+    assert lake.read_as_of_date(spark, path, "2025-12-31").count() == 0
 
 
 def test_hot_day_is_written_whole(spark, tmp_path):
@@ -172,7 +242,11 @@ def test_names_and_their_catalogs(spark):
 def test_replacing_catalog_gets_one_atomic_call(spark):
     """No such catalog is available here, so only the calls are checked."""
     frame = mock.MagicMock()
-    frame.sparkSession = spark
+    frame.sparkSession.conf.get.side_effect = lambda key, default=None: default
+    frame.sparkSession.catalog.tableExists.return_value = True
+    kept = mock.MagicMock()
+    kept.collect.return_value = [{"key": "governance.x", "value": "y"}, {"key": "p", "value": "0"}]
+    frame.sparkSession.sql.return_value = kept
     lake.replace_table(
         frame, "other.db.t", location="s3a://b/t", properties={"p": 1}, provider="fmt", column_comments=False
     )
@@ -180,10 +254,9 @@ def test_replacing_catalog_gets_one_atomic_call(spark):
     writer = frame.writeTo.return_value.using
     writer.assert_called_once_with("fmt")
     calls = str(writer.return_value.mock_calls)
+    assert "tableProperty('governance.x', 'y')" in calls and "tableProperty('p', '0')" not in calls
     assert "tableProperty('p', '1')" in calls and "tableProperty('location', 's3a://b/t')" in calls
     assert calls.count("createOrReplace()") == 1 and not frame.write.mock_calls
-    with pytest.raises(ValueError):
-        lake.replace_table(frame, "other.db.t", bucket_by=(4, ["k"]))
 
 
 def test_folders_with_int_keys_can_be_read(spark, tmp_path):

@@ -35,6 +35,17 @@ def test_newest_file_wins(spark, folder):
     assert row.p == "new" and row.properties["n"] == "7" and row.file_path.endswith("v2.metadata.json")
 
 
+def test_files_in_subfolders_are_found(spark, folder, tmp_path):
+    deeper = tmp_path / "a" / "b"
+    deeper.mkdir(parents=True)
+    path = deeper / "v9.metadata.json"
+    path.write_text('{"properties": {"a.b": "newest"}}')
+    os.utime(path, (1_700_009_000, 1_700_009_000))
+    assert metadata.metadata_files(spark, folder).count() == 3
+    assert metadata.metadata_documents(spark, folder).count() == 3
+    assert metadata.newest_metadata(spark, folder).first().properties["a.b"] == "newest"
+
+
 def test_folder_without_metadata(spark, tmp_path):
     (tmp_path / "x.json").write_text("{}")
     with pytest.raises(FileNotFoundError):
@@ -49,6 +60,16 @@ def test_newest_per_table(spark):
     newest = metadata.with_properties(metadata.newest_per_table(documents, "table_name", "modified"))
     found = {row.table_name: (row.modified, row.properties) for row in newest.collect()}
     assert found == {"t": (2, {"k": "2"}), "u": (5, None)}
+    oldest = metadata.oldest_per_table(documents, "table_name", "modified").collect()
+    assert {row.table_name: row.modified for row in oldest} == {"t": 1, "u": 5}
+
+
+def test_newest_of_ties_and_repeated_documents(spark):
+    rows = [("t", 2, "a"), ("t", 2, "b"), ("t", 2, "b"), ("t", 2, "a"), ("u", None, "x")]
+    documents = spark.createDataFrame(rows, "table_name STRING, modified INT, value STRING")
+    found = metadata.newest_per_table(documents, "table_name", "modified").collect()
+    assert len([row for row in found if row.table_name == "t"]) == 1
+    assert found == metadata.newest_per_table(documents.repartition(3), "table_name", "modified").collect()
 
 
 def test_property_access_and_strict_parsing(spark):

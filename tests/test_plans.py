@@ -28,6 +28,13 @@ def scans(frame):
     return found
 
 
+def test_no_document_body_is_sorted(spark):
+    """Bodies are joined to the newest of every table, not kept in an aggregation of their own."""
+    for name in ("property_classification", "property_tags", "property_tag_totals", "retagged_columns"):
+        for line in physical(REGISTRY[name](spark, FOLDER)).splitlines():
+            assert not ("SortAggregate" in line and "value#" in line)
+
+
 LAZY = [
     "orders_with_customers",
     "order_items_with_products",

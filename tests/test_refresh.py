@@ -45,6 +45,27 @@ def test_one_failure_does_not_stop_the_others(spark, spaces):
     assert (overall.overall_status, overall.ok_tables, overall.failed_tables) == ("PARTIAL FAILURE", 4, 1)
 
 
+def test_a_failing_refresh_keeps_the_last_good_copy(spark, spaces, tmp_path):
+    source, target = spaces
+    refresh.refresh_tables(spark, source, target, ["orders"], location=f"{tmp_path}/copies")
+    place = lake.table_place(spark, f"{target}.orders")[0]
+    spark.sql(f"DROP TABLE {source}.orders")
+    broken = "SELECT *, CAST(raise_error('lost') AS BIGINT) AS more FROM VALUES (1) AS t(order_id)"
+    spark.sql(f"CREATE VIEW {source}.orders AS {broken}")
+    results = refresh.refresh_tables(spark, source, target, ["orders"], location=f"{tmp_path}/copies")
+    assert results.first().status == "FAILED"
+    assert spark.table(f"{target}.orders").count() == 10
+    assert lake.table_place(spark, f"{target}.orders")[0] == place
+
+
+def test_refreshing_keeps_the_location(spark, spaces, tmp_path):
+    source, target = spaces
+    refresh.refresh_table(spark, f"{source}.orders", f"{target}.orders", f"{tmp_path}/place/orders")
+    refresh.refresh_table(spark, f"{source}.orders", f"{target}.orders")
+    folder, managed, _ = lake.table_place(spark, f"{target}.orders")
+    assert folder.removeprefix("file:").startswith(f"{tmp_path}/place/orders/") and not managed
+
+
 def test_lost_rows_are_a_mismatch(spark, spaces, monkeypatch):
     source, target = spaces
     real = refresh.row_count

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidemark.functions.money import money_total
 from tidemark.operators import sales
 
 
@@ -118,3 +119,18 @@ def test_row_counts_and_preview(orders, lines):
     assert rows(sales.table_row_counts({"orders": orders, "none": lines.limit(0)})) == [("orders", 5), ("none", 0)]
     assert sales.preview(orders, 3).count() == 3
     assert [row.order_id for row in sales.preview(orders, 2, ["order_id"]).collect()] == [1, 2]
+
+
+def test_sums_are_rounded_once_and_survive_nan(spark):
+    rows = [(1, 0.125)] * 8 + [(2, float("nan")), (2, 1.5), (3, float("inf")), (4, None), (5, 1e12), (5, 0.01)]
+    totals = spark.createDataFrame(rows, "k INT, v DOUBLE").groupBy("k").agg(money_total("v").cast("double").alias("t"))
+    assert {row.k: row.t for row in totals.collect()} == {1: 1.0, 2: 1.5, 3: None, 4: None, 5: 1e12 + 0.01}
+
+
+def test_first_orders_without_customers_are_passed_over(spark):
+    orders = spark.range(200).selectExpr("id AS order_id", "IF(id < 90, -1, id) AS customer_id", "1.0D AS total_amount")
+    customers = spark.range(200).selectExpr("id AS customer_id", "CAST(id AS STRING) AS name")
+    found = sales.order_customer_list(orders, customers, ["name"], limit=20).collect()
+    assert [row.order_id for row in found] == list(range(90, 110))
+    few = sales.order_customer_list(orders, customers.where("customer_id = 150"), ["name"]).collect()
+    assert [row.order_id for row in few] == [150]

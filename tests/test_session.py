@@ -3,8 +3,6 @@
 import threading
 from types import SimpleNamespace
 
-import pytest
-
 from tidemark.session import side_by_side, sizing, workspace
 
 
@@ -27,10 +25,10 @@ def test_workspace_is_fresh_and_below_the_shared_folder(spark):
     assert workspace(fake("yarn", "s3a://shared/"), "x").startswith("s3a://shared/x-")
 
 
-def test_only_a_local_master_may_lack_a_shared_folder():
-    assert "tidemark-" in workspace(fake("local[8]"), "x")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        workspace(fake("yarn"), "x")
+def test_without_the_setting_the_warehouse_is_used():
+    settings = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": "s3a://warehouse/"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings[key]))
+    assert workspace(session, "x").startswith("s3a://warehouse/scratch/x-")
 
 
 def test_side_by_side_keeps_order_and_runs_together(spark):

@@ -103,6 +103,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     copy.add_argument("--target", required=True)
     copy.add_argument("--location")
     copy.add_argument("--audit-table")
+    copy.add_argument("--provider", default="parquet", help="table format of the copies and the audit table")
     copy.add_argument("--run-id", default=f"refresh-{datetime.datetime.now().isoformat()}")
 
     options = parser.parse_args(arguments)
@@ -125,7 +126,13 @@ def main(arguments: Sequence[str] | None = None) -> None:
     else:
         audit = options.audit_table or f"{options.target}.audit_stats"
         results = refresh.refresh_with_audit(
-            spark, options.source, options.target, audit, options.run_id, location=options.location
+            spark,
+            options.source,
+            options.target,
+            audit,
+            options.run_id,
+            location=options.location,
+            provider=options.provider,
         )
         log.info("%s", results.toPandas().to_string(index=False))
 

@@ -15,10 +15,13 @@ log = logging.getLogger(__name__)
 
 # Layout and commit settings of the audit table.
 AUDIT_PROPERTIES = {
+    "format-version": "2",
     "write.target-file-size-bytes": "134217728",
     "write.metadata.delete-after-commit.enabled": "true",
     "write.metadata.previous-versions-max": "10",
     "write.distribution-mode": "hash",
+    "write.sort-order": "audit_ts DESC",
+    "write.fanout.enabled": "true",
     "commit.retry.num-retries": "5",
     "commit.retry.min-wait-ms": "200",
     "commit.retry.max-wait-ms": "60000",

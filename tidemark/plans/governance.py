@@ -26,6 +26,7 @@ from pyspark.sql.types import (
     VarcharType,
 )
 
+from tidemark.session import side_by_side
 from tidemark.sources.lake import comment_of, list_tables, quote, replace_table, table_properties
 from tidemark.sources.metadata import json_property
 from tidemark.sources.schemas import PII_COMMENT
@@ -94,8 +95,8 @@ def column_catalog(spark: SparkSession, schemas: Mapping[str, StructType], table
 def catalog_of_namespace(spark: SparkSession, namespace: str) -> DataFrame:
     """The column catalog of every table in a namespace, from metadata only."""
     tables = [row["tableName"] for row in list_tables(spark, namespace).collect()]
-    schemas = {table: spark.table(quote(f"{namespace}.{table}")).schema for table in tables}
-    return column_catalog(spark, schemas, namespace)
+    schemas = side_by_side(spark, lambda table: spark.table(quote(f"{namespace}.{table}")).schema, tables)
+    return column_catalog(spark, dict(zip(tables, schemas)), namespace)
 
 
 def masking_policy(data_type: Column, tag: str = COMMENT_TAG) -> Column:
@@ -203,8 +204,8 @@ def property_tags(documents: DataFrame, catalog: DataFrame, database: str) -> Da
 
 
 def retag(existing: DataFrame, tags: DataFrame) -> DataFrame:
-    """``existing`` with the rows of the tags and tables in ``tags`` replaced."""
-    owner = ["tag_name", "object_database", "object_schema", "object_name"]
+    """``existing`` with the tags of the columns in ``tags`` set anew; no column loses a tag."""
+    owner = ["tag_name", "object_database", "object_schema", "object_name", "column_name"]
     return existing.join(tags.select(*owner).distinct(), owner, "left_anti").unionByName(tags)
 
 
@@ -304,6 +305,33 @@ def mask_by_class(
     return _masked(frame, hidden, PROPERTY_LITERAL, role, reveal_role, unsupported)
 
 
+def mask_by_tags(
+    frame: DataFrame,
+    tags: DataFrame,
+    schema: str,
+    table: str,
+    role: str,
+    reveal_role: str = PII_READER_ROLE,
+    unsupported: str = "keep",
+) -> DataFrame:
+    """Mask the columns that the tag rows of one table mark, by either kind of tag.
+
+    There is at most one row for each tag and column of the table. A column that both kinds
+    mark gets the property mask; a column that either marks is never shown.
+    """
+    rows = (
+        tags.where((F.lower("object_schema") == schema.lower()) & (F.lower("object_name") == table.lower()))
+        .where(F.upper("tag_value").isin(*MASKED_CLASSES))
+        .select(F.upper("tag_name").alias("tag"), F.lower("column_name").alias("column"))
+        .distinct()
+        .collect()
+    )
+    by_comment = {row["column"] for row in rows if row["tag"] == COMMENT_TAG}
+    by_property = {row["column"] for row in rows if row["tag"] == PROPERTY_TAG}
+    masked = _masked(frame, by_property, PROPERTY_LITERAL, role, reveal_role, unsupported)
+    return _masked(masked, by_comment - by_property, COMMENT_LITERAL, role, reveal_role, unsupported)
+
+
 def unsupported_columns(frame: DataFrame, columns: Sequence[str]) -> list[str]:
     """The given columns that have no mask for their type."""
     wanted = {column.lower() for column in columns}
@@ -343,7 +371,8 @@ def parse_classes(text: str | None, columns: Sequence[str]) -> dict[str, str]:
     classes: dict[str, str] = {}
     for key, value in entries.items():
         column, label = known.get(key.lower()), str(value).upper()
-        if column is None or label not in CLASSES:
+        # A JSON null is no class, as in ``property_tags``.
+        if column is None or value is None or label not in CLASSES:
             continue
         if column not in classes or CLASSES.index(label) > CLASSES.index(classes[column]):
             classes[column] = label
@@ -357,8 +386,13 @@ def table_classes(spark: SparkSession, name: str) -> dict[str, str]:
 
 
 def read_masked_table(spark: SparkSession, name: str, role: str, reveal_role: str = PII_READER_ROLE) -> DataFrame:
-    """A catalog table under a role: by its classification property, else by its comments."""
+    """A catalog table under a role: what its comments or its classification property mark is masked.
+
+    Either is enough, so a property that is broken or names other columns uncovers nothing.
+    """
     frame = spark.table(quote(name))
-    if CLASSIFICATION_PROPERTY in table_properties(spark, name):
-        return mask_by_class(frame, table_classes(spark, name), role, reveal_role)
-    return mask_by_comment(frame, role, reveal_role)
+    classes = table_classes(spark, name)
+    hidden = {column.lower() for column, value in classes.items() if value in MASKED_CLASSES}
+    marked = {column.lower() for column in marked_columns(frame.schema)} - hidden
+    masked = mask_by_class(frame, classes, role, reveal_role)
+    return _masked(masked, marked, COMMENT_LITERAL, role, reveal_role, "keep")

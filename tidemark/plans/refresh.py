@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.audit import audit_rows, create_audit_table, write_audit
 from tidemark.session import side_by_side
-from tidemark.sources.lake import ensure_table, is_session_catalog, quote, replace_table, row_count
+from tidemark.sources.lake import is_session_catalog, quote, replace_table, row_count, user_properties
 from tidemark.sources.schemas import LAKE_TABLES
 
 log = logging.getLogger(__name__)
 
+GOVERNANCE_PREFIX = "governance."
 RESULT_DDL = "table_name STRING, status STRING, source_rows BIGINT, target_rows BIGINT, error STRING"
 
 
+def _properties_of(spark: SparkSession, name: str) -> dict[str, str]:
+    """A table's properties; a temporary view has none."""
+    if "." not in name and spark.catalog.getTable(name).isTemporary:
+        return {}
+    return user_properties(spark, name)
+
+
 def refresh_table(
     spark: SparkSession, source: str, target: str, location: str | None = None, provider: str = "parquet"
 ) -> tuple[int, int]:
@@ -27,20 +35,21 @@ def refresh_table(
     The source is counted while it is written, in the stage that writes: there Spark counts
     every task once even if an executor is lost. Another catalog may shuffle before it
     writes, where a repeated task would count twice, so there the source is counted first.
-    The target is counted from what can be read back.
+    The target is counted from what can be read back. Properties that classify the source's
+    columns go with the rows, and the target keeps its own.
     """
     if source == target:
         raise ValueError(f"{source} cannot be refreshed from itself")
-    ensure_table(spark, source, target, provider=provider, location=location)
     rows = spark.table(quote(source))
+    carried = {k: v for k, v in _properties_of(spark, source).items() if k.startswith(GOVERNANCE_PREFIX)}
     if is_session_catalog(spark, target):
         written = Observation()
         observed = rows.observe(written, F.count(F.lit(1)).alias("rows"))
-        replace_table(observed, target, location=location, provider=provider)
+        replace_table(observed, target, location=location, provider=provider, properties=carried)
         source_rows = written.get["rows"]
     else:
         source_rows = rows.count()
-        replace_table(rows, target, location=location, provider=provider)
+        replace_table(rows, target, location=location, provider=provider, properties=carried)
     return source_rows, row_count(spark, target)
 
 
@@ -95,10 +104,11 @@ def refresh_with_audit(
     tables: Sequence[str] = LAKE_TABLES,
     location: str | None = None,
     audited_at: datetime.datetime | None = None,
+    provider: str = "parquet",
 ) -> DataFrame:
     """Refresh the tables, append one audit row per table, return the results."""
     log.info("start of run %s: %s to %s", run_id, source_namespace, target_namespace)
-    results = refresh_tables(spark, source_namespace, target_namespace, tables, location)
+    results = refresh_tables(spark, source_namespace, target_namespace, tables, location, provider)
     copies = results.select(
         F.concat(F.lit(f"{source_namespace}."), "table_name").alias("source_table"),
         F.col("source_rows").alias("source_row_count"),
@@ -107,7 +117,7 @@ def refresh_with_audit(
         F.col("error").alias("error_message"),
     )
     try:
-        create_audit_table(spark, audit_table, f"{location.rstrip('/')}/audit" if location else None)
+        create_audit_table(spark, audit_table, f"{location.rstrip('/')}/audit" if location else None, provider)
     except Exception:
         log.exception("audit table %s not created", audit_table)
     else:

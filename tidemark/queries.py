@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql.types import StructType
 from tidemark.functions.hashing import below, choice, draw
 from tidemark.operators import sales
 from tidemark.plans import generate, governance, refresh
-from tidemark.session import workspace
-from tidemark.sources import folders, lake, metadata, snapshots
+from tidemark.session import side_by_side, workspace
+from tidemark.sources import folders, lake, metadata
 from tidemark.sources.schemas import LAKE_TABLES, schema_of
 from tidemark.sources.star import BASE_DDL, Star
 from tidemark.streaming import landing
@@ -158,30 +159,98 @@ def gen_employees(spark: SparkSession, folder: str) -> DataFrame:
 # is read back
 
 
+NAMESPACE_PREFIX = "tidemark_"
+
+
 def _namespace(spark: SparkSession, purpose: str) -> tuple[str, str]:
     """A fresh catalog namespace and the folder it keeps its tables in."""
     location = workspace(spark, purpose)
-    name = f"tidemark_{purpose}_{location.rsplit('-', 1)[1]}"
+    name = f"{NAMESPACE_PREFIX}{purpose}_{location.rsplit('-', 1)[1]}"
     spark.sql(f"CREATE DATABASE {name} LOCATION {lake.literal(location)}")
     return name, location
 
 
+def drop_namespace(spark: SparkSession, name: str, location: str) -> None:
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+    lake.delete_folder(spark, location)
+
+
+def drop_namespaces(spark: SparkSession) -> int:
+    """Drop what the queries left in the catalog, once their results are no longer read."""
+    found = [row[0] for row in spark.sql(f"SHOW DATABASES LIKE '{NAMESPACE_PREFIX}*'").collect()]
+    for name in found:
+        detail = {row[0]: row[1] for row in spark.sql(f"DESCRIBE DATABASE {name}").collect()}
+        drop_namespace(spark, name, detail["Location"])
+    return len(found)
+
+
+def _fingerprint(frame: DataFrame) -> DataFrame:
+    """Row count and a sum over hashes of whole rows, which any changed value changes."""
+    row = F.xxhash64(*frame.columns).cast("decimal(38,0)")
+    return frame.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row), F.lit(0)).alias("digest"))
+
+
+def _compared(spark: SparkSession, tables: dict[str, DataFrame], stored: dict[str, DataFrame]) -> DataFrame:
+    """Per table the rows written and read back, and whether they are the same."""
+
+    def one(name: str) -> tuple:
+        source, target = _fingerprint(tables[name]).first(), _fingerprint(stored[name]).first()
+        return name, source["rows"], target["rows"], source == target
+
+    results = side_by_side(spark, one, tables)
+    return spark.createDataFrame(results, "table_name STRING, source_rows BIGINT, stored_rows BIGINT, same BOOLEAN")
+
+
 @query
 def parquet_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """All five tables as Parquet folders, compared row by row with what was written."""
     base = workspace(spark, "folders")
     tables = Star(spark, folder).tables()
     lake.LakeWriter(base, "parquet").write_all(tables)
     # The star views have fewer columns than the declared tables, so read what is stored.
     stored = lake.LakeReader(spark, base, "parquet", schemas={}).read_all()
-    return sales.order_items_with_products(stored["order_items"], stored["products"])
+    results = _compared(spark, tables, stored)
+    lake.delete_folder(spark, base)
+    return results
 
 
 @query
 def table_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """All five tables as catalog tables, compared row by row; nothing is left behind."""
     name, location = _namespace(spark, "tables")
-    lake.LakeWriter(location, namespace=name).write_all(Star(spark, folder).tables())
-    stored = lake.LakeReader(spark, namespace=name).read_all()
-    return sales.order_chain(stored["orders"], stored["customers"], stored["organizations"])
+    tables = Star(spark, folder).tables()
+    lake.LakeWriter(location, namespace=name).write_all(tables)
+    results = _compared(spark, tables, lake.LakeReader(spark, namespace=name).read_all())
+    drop_namespace(spark, name, location)
+    return results
+
+
+@query
+def declared_folder_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated tables as folders, read with their declared schemas."""
+    star = Star(spark, folder)
+    base = workspace(spark, "declared")
+    tables = {
+        "organizations": generate.organizations(_ids(star, "supplier", "s_suppkey")),
+        "products": _generated_products(star),
+        "customers": generate.customers(_ids(star, "customer", "c_custkey"), AS_OF),
+        "orders": _generated_orders(star),
+    }
+    lake.LakeWriter(base, "parquet").write_all(tables)
+    stored = {table: lake.LakeReader(spark, base, "parquet").read(table) for table in tables}
+    results = _compared(spark, tables, stored)
+    lake.delete_folder(spark, base)
+    return results
+
+
+@query
+def fallback_write(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders whose table cannot be written go to a folder, and are read from there."""
+    name, location = _namespace(spark, "fallback")
+    # A format that does not exist fails the table write.
+    writer = lake.LakeWriter(location, namespace=name, provider="no_such_format", on_error="parquet")
+    place = writer.write(Star(spark, folder).orders, "orders")
+    return lake.read_written(spark, place)
 
 
 @query
@@ -202,28 +271,17 @@ def cross_source_order_counts(spark: SparkSession, folder: str) -> DataFrame:
     return sales.customer_order_counts(spark.table(f"{name}.orders"), customers, ["customer_name"])
 
 
-FIRST_COMMIT = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
-SECOND_COMMIT = datetime.datetime(2026, 2, 1, tzinfo=datetime.UTC)
-
-
-def _order_snapshots(spark: SparkSession, folder: str) -> str:
-    """Finished orders first, all orders a month later."""
-    root = f"{workspace(spark, 'snapshots')}/orders"
-    rows = Star(spark, folder).orders
-    snapshots.append_snapshot(sales.with_status(rows, "F"), root, FIRST_COMMIT, "append")
-    snapshots.append_snapshot(rows, root, SECOND_COMMIT)
-    return root
-
-
-@query
-def snapshot_as_of(spark: SparkSession, folder: str) -> DataFrame:
-    root = _order_snapshots(spark, folder)
-    return snapshots.read_as_of(spark, root, FIRST_COMMIT + datetime.timedelta(days=3))
+AUDITED_AT = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
+AS_OF_DAY = "1996-05-17"
 
 
 @query
-def snapshot_history(spark: SparkSession, folder: str) -> DataFrame:
-    return snapshots.snapshot_history(spark, _order_snapshots(spark, folder))
+def load_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders of the newest load not after a day, from a folder split by load date."""
+    path = f"{workspace(spark, 'loads')}/orders"
+    rows = Star(spark, folder).orders.withColumn("load_date", F.trunc("order_date", "month"))
+    lake.write_dated_folder(rows, path)
+    return lake.read_as_of_date(spark, path, AS_OF_DAY)
 
 
 @query
@@ -243,30 +301,62 @@ def register_folders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _lake_namespace(spark: SparkSession, folder: str) -> str:
-    name, location = _namespace(spark, "source")
+def _sources(spark: SparkSession, folder: str, purpose: str) -> str:
+    """A namespace with the lake's tables, written once."""
+    name, location = _namespace(spark, purpose)
     lake.LakeWriter(location, namespace=name).write_all(Star(spark, folder).tables())
     return name
 
 
 @query
 def replicate_status(spark: SparkSession, folder: str) -> DataFrame:
-    source = _lake_namespace(spark, folder)
+    source = _sources(spark, folder, "source")
     target, location = _namespace(spark, "replica")
     return refresh.refresh_tables(spark, source, target, location=location).drop("error")
 
 
+def _part_of_lake(spark: SparkSession, folder: str, purpose: str) -> tuple[str, tuple[str, ...]]:
+    """A namespace with three of the tables, and a list that names one more."""
+    name, location = _namespace(spark, purpose)
+    star = Star(spark, folder)
+    tables = {"organizations": star.organizations, "customers": star.customers, "orders": star.orders}
+    lake.LakeWriter(location, namespace=name).write_all(tables)
+    return name, (*tables, "products")
+
+
 @query
 def audit_log(spark: SparkSession, folder: str) -> DataFrame:
-    source = _lake_namespace(spark, folder)
+    """The audit of a refresh in which one table is missing."""
+    source, tables = _part_of_lake(spark, folder, "source")
     target, location = _namespace(spark, "audited")
     refresh.refresh_with_audit(
-        spark, source, target, f"{target}.audit_stats", "run-1", location=location, audited_at=FIRST_COMMIT
+        spark, source, target, f"{target}.audit_stats", "run-1", tables, location, audited_at=AUDITED_AT
     )
     # The namespaces have random names, so only the table part is comparable.
-    return spark.table(f"{target}.audit_stats").withColumns(
-        {column: F.substring_index(column, ".", -1) for column in ("source_table", "target_table")}
-    )
+    names = {column: F.substring_index(column, ".", -1) for column in ("source_table", "target_table")}
+    failed = F.when(F.col("error_message").isNotNull(), "failed")
+    return spark.table(f"{target}.audit_stats").withColumns(names).withColumn("error_message", failed)
+
+
+@query
+def refresh_partial_failure(spark: SparkSession, folder: str) -> DataFrame:
+    """The overall status of a refresh in which one table is missing, with the rows copied."""
+    source, tables = _part_of_lake(spark, folder, "source")
+    target, location = _namespace(spark, "partial")
+    results = refresh.refresh_tables(spark, source, target, tables, location=location)
+    copied = results.agg(F.sum("target_rows").alias("copied_rows")).scalar()
+    return refresh.overall_status(results).withColumn("copied_rows", copied)
+
+
+@query
+def refresh_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """Classified customers, refreshed twice, read by a role that may not see them."""
+    name, location = _namespace(spark, "twice")
+    customers = Star(spark, folder).customers
+    governance.write_classified(customers, f"{name}.people", PEOPLE_CLASSES, "lake", f"{location}/people")
+    for _ in range(2):
+        refresh.refresh_table(spark, f"{name}.people", f"{name}.people_copy", f"{location}/people_copy")
+    return governance.read_masked_table(spark, f"{name}.people_copy", governance.READER_ROLE)
 
 
 # Governance
@@ -368,6 +458,102 @@ def _newest_properties(star: Star) -> DataFrame:
     return metadata.with_properties(newest)
 
 
+PEOPLE_CLASSES = {"customer_segment": "UNCLASSIFIED_PII", "customer_name": "PII", "country": "none"}
+
+
+@query
+def masked_by_both_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers marked by comments, in a table whose classification names another column.
+
+    What either marks is masked; a second table with a broken classification shows no more.
+    """
+    name, location = _namespace(spark, "routes")
+    customers = Star(spark, folder).customers
+    shown = []
+    for table, text in (("named", '{"customer_segment": "PII"}'), ("broken", '{"customer_segment": ')):
+        properties = {governance.CLASSIFICATION_PROPERTY: text}
+        lake.replace_table(customers, f"{name}.{table}", location=f"{location}/{table}", properties=properties)
+        shown.append(governance.read_masked_table(spark, f"{name}.{table}", governance.READER_ROLE))
+    return shown[0].unionByName(shown[1])
+
+
+def _customer_dates(star: Star) -> DataFrame:
+    """Customers with the day of their last order: text, numbers and a date."""
+    last_day = F.max("o_orderdate").cast("date").alias("last_order_date")
+    last = star.base("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(last_day)
+    customers = star.base("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return customers.join(last, "c_custkey", "left")
+
+
+CUSTOMER_CLASSES = {
+    "old": {"c_name": "NONE", "c_mktsegment": "PII"},
+    "new": {"C_NAME": "PII", "c_custkey": "unclassified_pii", "c_nationkey": "NONE", "last_order_date": "PII"},
+}
+
+
+def _customer_metadata(spark: SparkSession) -> str:
+    """Two metadata files of the customer table, the newer one deeper in the folder."""
+    folder = workspace(spark, "metadata")
+    for name, place in (("old", "v1.metadata.json"), ("new", "metadata/v2.metadata.json")):
+        properties = governance.classification_properties(CUSTOMER_CLASSES[name], "lake")
+        lake.write_text(spark, f"{folder}/{place}", json.dumps({"properties": properties}))
+    return folder
+
+
+@query
+def newest_metadata_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest metadata file of the customer table, and how many values each class covers."""
+    newest = metadata.newest_metadata(spark, _customer_metadata(spark))
+    rows = _customer_dates(Star(spark, folder))
+    counts = governance.covered_values({"customer": rows}, {"customer": rows.columns}).drop("table_name")
+    text = metadata.json_property("properties", governance.CLASSIFICATION_PROPERTY)
+    classes = newest.select(
+        F.substring_index("file_path", "/", -1).alias("file_name"),
+        F.explode(F.from_json(text, "map<string,string>")).alias("column_name", "class"),
+    )
+    return classes.withColumn("column_name", F.lower("column_name")).join(counts, "column_name")
+
+
+def _tag_masked(spark: SparkSession, folder: str, role: str) -> DataFrame:
+    """From metadata files to tags to a masked read of the customers."""
+    rows = _customer_dates(Star(spark, folder))
+    newest = metadata.newest_metadata(spark, _customer_metadata(spark))
+    catalog = governance.column_catalog(spark, {"customer": rows.schema}, "lake")
+    tags = governance.property_tags(newest.withColumn("table_name", F.lit("customer")), catalog, "LAKE")
+    return governance.mask_by_tags(rows, tags, "lake", "customer", role)
+
+
+@query
+def tag_masked_reader(spark: SparkSession, folder: str) -> DataFrame:
+    return _tag_masked(spark, folder, governance.READER_ROLE)
+
+
+@query
+def tag_masked_pii_reader(spark: SparkSession, folder: str) -> DataFrame:
+    return _tag_masked(spark, folder, governance.PII_READER_ROLE)
+
+
+@query
+def tag_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Marked columns, those without a mask, and the rows of the tables they are in."""
+    tables = Star(spark, folder).tables()
+    catalog = governance.column_catalog(spark, {table: frame.schema for table, frame in tables.items()}, "lake")
+    rows = sales.table_row_counts(tables).join(governance.pii_columns(catalog), "table_name", "left_semi")
+    return governance.tag_report(catalog).withColumn("covered_rows", rows.agg(F.sum("row_count")).scalar())
+
+
+@query
+def tag_references(spark: SparkSession, folder: str) -> DataFrame:
+    """The classified columns of one organization's directory."""
+    return governance.tag_references(property_tags(spark, folder), governance.PROPERTY_TAG, "lake", "directory_1")
+
+
+@query
+def verification_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A query text for each organization's directory."""
+    return governance.verification_queries(_directory_catalog(Star(spark, folder)), "lake.tags")
+
+
 @query
 def property_classification(spark: SparkSession, folder: str) -> DataFrame:
     """The classification in the newest metadata document of every directory."""
@@ -409,10 +595,11 @@ def property_tag_totals(spark: SparkSession, folder: str) -> DataFrame:
 def retagged_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Tags from the oldest document of every directory, then again from the newest.
 
-    A directory whose newest document holds a broken map keeps its old tags.
+    A column that the newest document does not class, or a directory where it is broken,
+    keeps its old tag.
     """
     star = Star(spark, folder)
-    oldest = _metadata_documents(star).groupBy("table_name").agg(F.min_by("value", "modified").alias("value"))
+    oldest = metadata.oldest_per_table(_metadata_documents(star), "table_name", "modified")
     first = governance.property_tags(metadata.with_properties(oldest), _directory_catalog(star), "LAKE")
     return governance.retag(first, property_tags(spark, folder))
 
@@ -460,3 +647,10 @@ def quarantine_events(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def landing_counts(spark: SparkSession, folder: str) -> DataFrame:
     return landing.landing_counts(spark, _land_events(spark, folder))
+
+
+@query
+def strict_json(spark: SparkSession, folder: str) -> DataFrame:
+    """The events' properties, parsed so that a broken one would fail the query."""
+    events = Star(spark, folder).base("events")
+    return events.select("event_id", metadata.required_json("props", "k BIGINT")["k"].alias("k"))

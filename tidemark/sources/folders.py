@@ -19,6 +19,7 @@ RESULT_DDL = "table_name STRING, status STRING, added_columns ARRAY<STRING>, err
 def register_folder(spark: SparkSession, namespace: str, table: str, path: str) -> tuple[str, list[str]]:
     """Create the table over ``path``, or add the columns that its files have gained.
 
+    The status is CREATED, UPDATED when columns were added, or UNCHANGED.
     The schema is merged from all files of the folder; Spark reads their footers in
     parallel. Columns of incompatible types make the merge, and so the call, fail.
     """
@@ -35,6 +36,7 @@ def register_folder(spark: SparkSession, namespace: str, table: str, path: str)
         if before is None:
             added.append(field)
         elif before.dataType != field.dataType:
+            # A table keeps its types: readers of the column would silently get others.
             raise TypeError(
                 f"column {field.name} is {before.dataType.simpleString()} in the table "
                 f"and {field.dataType.simpleString()} in the files"
@@ -43,7 +45,7 @@ def register_folder(spark: SparkSession, namespace: str, table: str, path: str)
         columns = ", ".join(column_ddl(field) for field in added)
         spark.sql(f"ALTER TABLE {quote(name)} ADD COLUMNS ({columns})")
     spark.catalog.refreshTable(name)
-    return "UPDATED", [field.name for field in added]
+    return "UPDATED" if added else "UNCHANGED", [field.name for field in added]
 
 
 def register_folders(

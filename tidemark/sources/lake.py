@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +108,96 @@ def is_session_catalog(spark: SparkSession, name: str) -> bool:
     return (first if names_catalog else spark.catalog.currentCatalog()) == "spark_catalog"
 
 
+#: Properties that a catalog keeps for itself.
+INTERNAL_PROPERTY = re.compile(r"^(spark\.sql\.|transient_lastDdlTime$|numFiles$|totalSize$|option\.|view\.)")
+
+
+def user_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    return {k: v for k, v in table_properties(spark, name).items() if not INTERNAL_PROPERTY.match(k)}
+
+
+def table_place(spark: SparkSession, name: str) -> tuple[str, bool, str]:
+    """Folder of a session-catalog table, whether Spark manages it, and its provider."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quote(name)}").collect()
+    detail = {row["col_name"]: row["data_type"] for row in rows}
+    return detail["Location"].rstrip("/"), detail["Type"] == "MANAGED", detail["Provider"].lower()
+
+
+def delete_folder(spark: SparkSession, folder: str, keep: str | None = None) -> None:
+    """Delete a folder, or all in it but ``keep``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if keep is None:
+        files.delete(path(folder), True)
+        return
+    for child in files.listStatus(path(folder)):
+        if child.getPath().getName() != keep.rsplit("/", 1)[1]:
+            files.delete(child.getPath(), True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, such as a metadata document, in any file system that Spark knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+VERSION = "/version-"
+
+
+def _replace_in_session_catalog(
+    frame: DataFrame, name: str, location: str | None, properties: Mapping[str, str], provider: str
+) -> None:
+    """Write to a fresh folder first; the table changes only when all rows are there.
+
+    A table with the same columns is switched by one change of its location, so readers
+    always find it. With other columns the new table takes the old one's name after that
+    is dropped, which readers may notice for a moment. Old files go last.
+    """
+    spark = frame.sparkSession
+    version = uuid.uuid4().hex
+    if not spark.catalog.tableExists(name):
+        writer = frame.write.format(provider)
+        if location:
+            writer = writer.option("path", f"{location.rstrip('/')}{VERSION}{version}")
+        writer.saveAsTable(quote(name))
+        set_properties(spark, name, properties)
+        return
+    old = spark.table(quote(name)).schema
+    folder, managed, old_provider = table_place(spark, name)
+    root = folder.split(VERSION)[0]
+    # A managed table's folder goes with the table, so the new one is put beside it.
+    fresh = f"{location.rstrip('/') if location else root}{VERSION if location or not managed else '-version-'}{version}"
+    try:
+        frame.write.format(provider).save(fresh)
+    except Exception:
+        delete_folder(spark, fresh)
+        raise
+    merged = {**user_properties(spark, name), **properties}
+    columns = [(field.name, field.dataType) for field in frame.schema.fields]
+    if columns == [(field.name, field.dataType) for field in old.fields] and provider.lower() == old_provider:
+        spark.sql(f"ALTER TABLE {quote(name)} SET LOCATION {literal(fresh)}")
+        set_properties(spark, name, merged)
+    else:
+        comments = {field.name.lower(): comment_of(field) for field in old.fields}
+        fields = []
+        for field in frame.schema.fields:
+            comment = comment_of(field) or comments.get(field.name.lower())
+            fields.append(StructField(field.name, field.dataType, True, {"comment": comment} if comment else {}))
+        following = f"{name}_{version}"
+        spark.sql(
+            f"CREATE TABLE {quote(following)} ({', '.join(map(column_ddl, fields))}) USING {provider} "
+            f"LOCATION {literal(fresh)}"
+        )
+        set_properties(spark, following, merged)
+        spark.sql(f"DROP TABLE {quote(name)}")
+        spark.sql(f"ALTER TABLE {quote(following)} RENAME TO {quote(name)}")
+    spark.catalog.refreshTable(quote(name))
+    inside = fresh.startswith(f"{folder}{VERSION}")
+    delete_folder(spark, folder, keep=fresh if inside else None)
+
+
 def replace_table(
     frame: DataFrame,
     name: str,
@@ -114,29 +206,22 @@ def replace_table(
     properties: Mapping[str, str] | None = None,
     column_comments: bool = True,
     provider: str = "parquet",
-    bucket_by: tuple[int, Sequence[str]] | None = None,
 ) -> str:
-    """Create the table or replace its rows, schema and properties.
+    """Create the table or replace its rows and columns, without a moment in which rows are lost.
 
-    A catalog that supports atomic replacement gets ``writeTo(...).createOrReplace()``.
-    The session catalog has no such operation; there the table is overwritten and its
-    properties and comments are set again, because overwriting drops them.
-    ``bucket_by`` co-locates tables that are joined on the bucket columns.
+    Properties that the table has are kept unless ``properties`` gives them anew, and so
+    are comments of columns that stay. A table that exists stays at its location unless
+    another one is given. A catalog that supports atomic replacement gets
+    ``writeTo(...).createOrReplace()``; the session catalog has no such operation, so there
+    the rows go to a fresh folder below the location and the table is switched to it.
     """
     spark = frame.sparkSession
     properties = dict(properties or {})
     if is_session_catalog(spark, name):
-        writer = frame.write.mode("overwrite").format(provider)
-        if location:
-            writer = writer.option("path", location)
-        if bucket_by:
-            buckets, columns = bucket_by
-            writer = writer.bucketBy(buckets, *columns).sortBy(*columns)
-        writer.saveAsTable(quote(name))
-        set_properties(spark, name, properties)
+        _replace_in_session_catalog(frame, name, location, properties, provider)
     else:
-        if bucket_by:
-            raise ValueError("bucket_by needs the session catalog")
+        if spark.catalog.tableExists(name):
+            properties = {**user_properties(spark, name), **properties}
         if location:
             properties["location"] = location
         replacement = frame.writeTo(quote(name)).using(provider)
@@ -148,6 +233,16 @@ def replace_table(
     return name
 
 
+def write_bucketed(frame: DataFrame, name: str, buckets: int, columns: Sequence[str]) -> str:
+    """Create a table whose joins and sums on ``columns`` need no shuffle.
+
+    All rows of a key are in one bucket, which adaptive execution cannot split: for keys
+    without a hot one only.
+    """
+    frame.write.bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(quote(name))
+    return name
+
+
 def column_ddl(field: StructField) -> str:
     comment = comment_of(field)
     ddl = f"{quote(field.name)} {field.dataType.simpleString()}"
@@ -240,7 +335,7 @@ class LakeWriter:
             if self.on_error == "raise":
                 raise
             log.exception("table %s.%s not written, falling back to a folder", self.namespace, table)
-            # Beside the table's own folder, which the failed write may have touched.
+            # Beside the table's own folder; what the failed write left there is gone.
             folder = f"{self.base_path}/{table}_fallback"
             if load_date:
                 return write_dated_folder(frame, folder, load_date)
@@ -304,3 +399,23 @@ class LakeReader:
 
     def read_all(self, tables: Sequence[str] = LAKE_TABLES) -> dict[str, DataFrame]:
         return {table: self.read(table) for table in tables}
+
+
+def read_written(spark: SparkSession, place: str) -> DataFrame:
+    """What ``LakeWriter.write`` wrote, from the place that it returned: a folder or a table."""
+    return spark.read.parquet(place) if "/" in place else spark.table(quote(place))
+
+
+def read_as_of_date(spark: SparkSession, path: str, day: str) -> DataFrame:
+    """The rows of the newest ``load_date`` of a dated folder that is not after ``day``.
+
+    Only file names are looked at to find it, and only its files are read.
+    """
+    dated = spark.read.parquet(path)
+    newest = dated.where(F.col("load_date") <= F.lit(day).cast("date")).agg(F.max("load_date")).first()[0]
+    return dated.where(F.col("load_date") == F.lit(newest).cast("date"))
+
+
+def read_table_as_of(spark: SparkSession, name: str, moment: str) -> DataFrame:
+    """A table as it was at ``moment``, in a catalog whose tables keep their versions."""
+    return spark.read.option("timestampAsOf", moment).table(quote(name))

@@ -10,19 +10,21 @@ DOCUMENT_DDL = "properties MAP<STRING, STRING>"
 
 
 def metadata_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Path and modification time of every metadata file; no file content is read."""
+    """Path and modification time of every metadata file below ``folder``; no file content is read."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", METADATA_GLOB)
+        .option("recursiveFileLookup", True)
         .load(folder)
         .select(F.col("path").alias("file_path"), F.col("modificationTime").alias("file_modification_time"))
     )
 
 
 def metadata_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Whole metadata files as text, with the file's path and modification time."""
+    """Whole metadata files as text, folders searched to any depth, with path and modification time."""
     return (
         spark.read.option("pathGlobFilter", METADATA_GLOB)
+        .option("recursiveFileLookup", True)
         .text(paths, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("file_path"),
@@ -53,14 +55,24 @@ def with_properties(documents: DataFrame, body: str = "value") -> DataFrame:
 
 
 def newest_per_table(documents: DataFrame, table: str, modified: str, body: str = "value") -> DataFrame:
-    """The newest document of every table.
+    """The newest document of every table; of several at that time, the one with the largest hash.
 
-    ``max_by`` keeps one document per table and task before the shuffle, so a table with
-    very many documents does not gather them anywhere.
+    The newest is found from time and hash alone, so no body is sorted or kept in an
+    aggregation; the bodies are then joined to it.
     """
-    return documents.groupBy(table).agg(
-        F.max(modified).alias(modified), F.max_by(body, F.struct(modified, body)).alias(body)
-    )
+    return _one_per_table(documents, table, modified, body, F.max)
+
+
+def oldest_per_table(documents: DataFrame, table: str, modified: str, body: str = "value") -> DataFrame:
+    """The oldest document of every table, found in the same way."""
+    return _one_per_table(documents, table, modified, body, F.min)
+
+
+def _one_per_table(documents: DataFrame, table: str, modified: str, body: str, pick) -> DataFrame:
+    ranked = documents.select(table, modified, body, F.xxhash64(body).alias("_rank"))
+    chosen = ranked.groupBy(table).agg(pick(F.struct(modified, "_rank")).alias("_chosen")).select(table, "_chosen.*")
+    # Equal documents of the same time are one.
+    return ranked.join(chosen, [table, modified, "_rank"]).drop("_rank").distinct()
 
 
 def json_property(properties: str | Column, key: str) -> Column:

@@ -30,6 +30,19 @@ def _pii(column: Column, name: str) -> Column:
     return column.alias(name, metadata={"comment": PII_COMMENT})
 
 
+def line_digest(columns: list[Column]) -> Column:
+    """An MD5 that tells apart any two different rows of ``columns``.
+
+    Every value counts in full: numbers with all their digits, times with their fractions,
+    and NULL unlike any text.
+    """
+    parts = []
+    for column in columns:
+        text = F.replace(F.replace(column.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+        parts.append(F.coalesce(text, F.lit("\\0")))
+    return F.md5(F.concat_ws("|", *parts))
+
+
 class Star:
     """Lake tables derived from the base tables in one folder."""
 
@@ -65,10 +78,16 @@ class Star:
 
         The base tables name a supplier per order line, not per part. Taking it from the
         lines would scan and shuffle the largest table for every read of the products.
+        Supplier keys must be 0 to n-1; others fail the query when ``org_id`` is read.
         """
+        total = self.row_total("supplier")
+        last = self.base("supplier").select(F.max("s_suppkey") + F.min("s_suppkey")).scalar()
+        org_id = F.when(last == total - 1, F.col("p_partkey") % total).otherwise(
+            F.raise_error(F.lit("supplier keys have gaps")).cast("bigint")
+        )
         return self.base("part").select(
             F.col("p_partkey").alias("product_id"),
-            (F.col("p_partkey") % self.row_total("supplier")).alias("org_id"),
+            org_id.alias("org_id"),
             F.col("p_name").alias("product_name"),
             F.col("p_type").alias("category"),
             F.col("p_retailprice").alias("price"),
@@ -123,25 +142,13 @@ class Star:
         lines of an order would need one task per order, however large the order is; a
         digest needs no shuffle and survives recomputation.
         """
-        hundredths = [F.rint(F.col(name) * 100).cast("bigint") for name in ("l_extendedprice", "l_discount", "l_tax")]
-        line = F.concat_ws(
-            "|",
-            "l_orderkey",
-            "l_partkey",
-            "l_suppkey",
-            "l_linenumber",
-            F.col("l_quantity").cast("int"),
-            *hundredths,
-            "l_returnflag",
-            "l_linestatus",
-            F.unix_date(F.col("l_shipdate").cast("date")),
-        )
-        return self.base("lineitem").select(
-            F.md5(line).alias("order_item_id"),
+        lines = self.base("lineitem")
+        return lines.select(
+            line_digest([F.col(name) for name in lines.columns]).alias("order_item_id"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+            F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"),
             F.col("l_extendedprice").alias("subtotal"),
         )
 
