@@ -47,12 +47,14 @@ from tidemark.llm.words import Words, chunks, joined, mix, windows
 SHINGLE = 5
 #: A shingle in one of so many sets is frequent.
 FREQUENT_SHARE = 1000
+#: Bytes of sketches that are compared in one go.
+SKETCH_BYTES = 1 << 20
 #: Shingles that are counted together before the counts are sent.
 COUNT_AT_ONCE = 2_000_000
 
 SETS = "last_id boolean, id long, digest long, n_shingles long, node long, sketch binary, token long, sets long"
-#: Cells of a sketch, of 2 bits each.
-CELLS = 1024
+#: A sketch has a cell of 2 bits for each two shingles at least.
+LEAST_CELLS = 64
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -77,29 +79,49 @@ def _name(tokens: np.ndarray) -> np.uint64:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """The size of a set, and how many of its shingles are in each cell, up to 3."""
-    cells = np.minimum(np.bincount((tokens >> np.uint64(54)).astype(np.int64), minlength=CELLS), 3).astype(np.uint8)
-    packed = cells[0::4] | cells[1::4] << 2 | cells[2::4] << 4 | cells[3::4] << 6
+    """The size of a set, and how many of its shingles are in each cell, up to 3.
+
+    A cell is a range of hashes. The number of cells is a power of two that grows with the
+    set, so a sketch says about as much of a large set as of a small one.
+    """
+    cells = LEAST_CELLS
+    while 2 * cells < len(tokens):
+        cells *= 2
+    place = (tokens >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=cells), 3).astype(np.uint8)
+    packed = counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6
     return len(tokens).to_bytes(4, "little") + packed.tobytes()
 
 
+def _cells(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and cells of sketches of one length."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    sizes = np.ascontiguousarray(rows[:, :4]).view(np.uint32).ravel().astype(np.int64)
+    counts = np.stack([rows[:, 4:] >> shift & 3 for shift in (0, 2, 4, 6)], axis=2)
+    return sizes, counts.reshape(len(sketches), -1).astype(np.int8)
+
+
 def plausible(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
     """Which pairs of sets could link: what is over in a cell of one is not in the other."""
-    flags = []
-    for begin in range(0, len(lefts), 4096):
-        x, y = (
-            np.frombuffer(b"".join(side[begin : begin + 4096]), np.uint8).reshape(-1, 4 + CELLS // 4)
-            for side in (lefts, rights)
-        )
-        n, m = (np.ascontiguousarray(side[:, :4]).view(np.uint32).ravel().astype(np.int64) for side in (x, y))
-        over, under = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
-        for shift in (0, 2, 4, 6):
-            a, b = ((side[:, 4:] >> shift & 3).astype(np.int8) for side in (x, y))
-            over += np.maximum(a - b, 0).sum(axis=1)
-            under += np.maximum(b - a, 0).sum(axis=1)
-        most = np.minimum(n - over, m - under)
-        flags.append(100 * most >= 75 * (n + m - most))
-    return np.concatenate(flags)
+    flags = np.zeros(len(lefts), dtype=bool)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, pair in enumerate(zip(lefts, rights)):
+        kinds.setdefault((len(pair[0]), len(pair[1])), []).append(i)
+    for kind, members in kinds.items():
+        step = max(1, SKETCH_BYTES // max(kind))
+        for begin in range(0, len(members), step):
+            some = members[begin : begin + step]
+            (n, x), (m, y) = _cells([lefts[i] for i in some]), _cells([rights[i] for i in some])
+            # Two neighbouring cells make one of the next smaller number of cells.
+            while x.shape[1] > y.shape[1]:
+                x = np.minimum(x[:, 0::2] + x[:, 1::2], 3)
+            while y.shape[1] > x.shape[1]:
+                y = np.minimum(y[:, 0::2] + y[:, 1::2], 3)
+            over = np.maximum(x - y, 0).sum(axis=1, dtype=np.int64)
+            under = np.maximum(y - x, 0).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n - over, m - under)
+            flags[some] = 100 * most >= 75 * (n + m - most)
+    return flags
 
 
 def _collect(share: int):

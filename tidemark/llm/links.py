@@ -35,6 +35,8 @@ from tidemark.llm.storage import saved
 PIVOT_ROWS = 256
 #: Rows of the third step's blocks of pairs.
 BLOCK = 1024
+#: Keys with so many rows at most are paired together.
+SHORT = 64
 #: Signatures in a bucket, about.
 BUCKET_SIGNATURES = 1 << 20
 #: A table of nodes (of a few numbers a row) with more rows is not broadcast.
@@ -200,20 +202,46 @@ def _all_pairs(compatible: Callable, agree: Callable):
                     a, b = node[left][x], node[right][y]
                     yield _batch(PAIR, np.minimum(a, b), np.maximum(a, b))
 
+    def of_short(key, size, node, component, hint) -> Iterator[pa.RecordBatch]:
+        """All pairs of keys with few rows: each row with the one 1, 2, ... places on, as far as its key goes."""
+        last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
+        end = last[np.searchsorted(last, np.arange(len(key)))]
+        left, step = np.arange(len(key)), 1
+        while True:
+            left = left[left + step <= end[left]]
+            if not len(left):
+                return
+            right = left + step
+            wanted = (component[left] != component[right]) & compatible(size[left], size[right])
+            wanted &= agree(hint[left], hint[right])
+            if wanted.any():
+                a, b = node[left[wanted]], node[right[wanted]]
+                yield _batch(PAIR, np.minimum(a, b), np.maximum(a, b))
+            step += 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[list[np.ndarray]] = []  # the rows of the key that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(i).to_numpy() for i in range(5)]
-            edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-            for begin, end in zip(np.append(0, edges), np.append(edges, batch.num_rows)):
-                part = [column[begin:end] for column in columns]
-                if held and held[0][0][0] != part[0][0]:
-                    whole = [np.concatenate(c) for c in zip(*held)]
-                    yield from of_key(*whole[1:])
-                    held = []
-                held.append(part)
+            key = columns[0]
+            if held and held[0][0][0] == key[0] == key[-1]:
+                held.append(columns)
+                continue
+            if held:
+                columns = [np.concatenate(c) for c in zip(*held, columns)]
+                key = columns[0]
+            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            length = np.diff(np.append(edges, len(key)))
+            held = [[column[edges[-1] :] for column in columns]]
+            edges, length = edges[:-1], length[:-1]
+            short = np.repeat(length <= SHORT, length)
+            done = [column[: len(short)][short] for column in columns]
+            if len(done[0]):
+                yield from of_short(*done)
+            for begin, rows in zip(edges[length > SHORT].tolist(), length[length > SHORT].tolist()):
+                yield from of_key(*[column[begin : begin + rows] for column in columns[1:]])
         if held:
             yield from of_key(*[np.concatenate(c) for c in zip(*held)][1:])
 
