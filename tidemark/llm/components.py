@@ -30,15 +30,20 @@ def _round(edges: DataFrame) -> DataFrame:
     return saved(small.unionByName(joined.select("u", F.col("m").alias("v"))).distinct(), "small")
 
 
+def _finished(edges: DataFrame) -> bool:
+    """Whether every node points once, at one that points nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("root")).unionAll(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("root").alias("root"))
+    return nodes.where((F.col("points") > 1) | (F.col("points") + F.col("root") > 1)).isEmpty()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node in the pairs ``a``, ``b``."""
     ends = pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges, before = saved(ends.distinct(), "edges"), None
-    while True:
-        # Two numbers stand for the edges; a wrapping sum of hashes does not fail.
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        edges, before = _round(edges), after
+    edges = saved(ends.distinct(), "edges")
+    while not _finished(edges):
+        edges = _round(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

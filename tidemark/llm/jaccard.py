@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.links import PACKED, buckets_for, few, linked, packed_signatures
+from tidemark.llm.links import HOT, PACKED, buckets_for, few, linked, packed_signatures
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
 
@@ -163,16 +163,16 @@ def _collect(share: int):
     return run
 
 
-def signature(tokens: np.ndarray, is_frequent: np.ndarray) -> np.ndarray:
-    """The index entries of a set: prefix shingles and combinations."""
+def signature(tokens: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The index entries of a set, prefix shingles and combinations, and whether it has all rare ones of a prefix."""
     size = len(tokens)
     differing = size - -(-3 * size // 4)
     rare, frequent = tokens[~is_frequent], tokens[is_frequent]
     single = rare[: differing + 1]
     if len(rare) > differing:
-        return single
+        return single, True
     extended = frequent[: size // 2 + 2]
-    return np.concatenate((single, joined(extended[:-1], extended[1:])))
+    return np.concatenate((single, joined(extended[:-1], extended[1:]))), False
 
 
 def _signatures(frequent, buckets: int):
@@ -189,9 +189,10 @@ def _signatures(frequent, buckets: int):
                     if int(node) in seen:
                         continue
                     seen.add(int(node))
-                    entries = signature(tokens, often[np.searchsorted(often, tokens)] == tokens)
+                    entries, whole = signature(tokens, often[np.searchsorted(often, tokens)] == tokens)
                     keys.append(entries)
-                    sizes.append(np.full(len(entries), len(tokens)))
+                    # The lowest bit of the size that is sent tells whether the prefix is whole.
+                    sizes.append(np.full(len(entries), 2 * len(tokens) + whole))
                     nodes.append(np.full(len(entries), node))
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -204,7 +205,23 @@ def _signatures(frequent, buckets: int):
 
 
 def compatible(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    return 100 * small.astype(np.int64) >= 75 * large.astype(np.int64)
+    return 100 * (small >> 1).astype(np.int64) >= 75 * (large >> 1).astype(np.int64)
+
+
+def needed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many rare prefix shingles two sets with whole prefixes share at least if they link.
+
+    Of the set whose prefix ends first in the common order, every shared shingle that is in
+    the prefix is in the other's as well. So the intersection, which has at least 3/7 of both
+    sizes, is at most what the prefixes share and what either set has behind its prefix.
+    """
+    x, y = (left >> 1).astype(np.int64), (right >> 1).astype(np.int64)
+
+    def behind(size: np.ndarray) -> np.ndarray:
+        return -(-3 * size // 4) - 1
+
+    need = -(-3 * (x + y) // 7) - np.maximum(behind(x), behind(y))
+    return np.where(left & right & 1, np.maximum(need, 1), 1)
 
 
 def _prepare(texts: pa.Array) -> list[np.ndarray]:
@@ -233,7 +250,7 @@ def _similar(pivots: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return flags
 
 
-def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE, hot: int = HOT) -> DataFrame:
     """The columns of ``KEY``, ``n_shingles``, ``component_id`` and ``component`` of each row of ``docs``.
 
     ``component`` names the component; it is null for a document without words.
@@ -262,7 +279,9 @@ def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE) -> Da
 
     sketches = collected.where("n_shingles > 2").select("node", F.col("sketch").alias("text"))
     sketches = saved(sketches.dropDuplicates(["node"]), "sketches")
-    labels = linked(signatures, texts_of, compatible, _prepare, _similar, sketches, plausible)
+    labels = linked(
+        signatures, texts_of, compatible, _prepare, _similar, sketches, plausible, needed=needed, hot=hot
+    )
     # Equal sets are one node; sets that are linked with no other are their own component.
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")
     labelled = saved(sets.join(labels, "node", "left").select(*KEY, "n_shingles", component), "labelled")

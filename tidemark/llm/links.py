@@ -8,15 +8,19 @@ listing all pairs of those that share one:
    ones are joined into components.
 2. Where a comparison failed, the nodes of that signature in different components are
    compared with their neighbours by size, and components are joined again.
-3. What is left are pairs of nodes that share a signature, are of compatible size and still
-   are in different components; these are all compared.
+3. The nodes of a signature that very many share are compared where they are: blocks of
+   them are brought together, by the smallest node of the signature, and joined as they are
+   found similar; only the links come out.
+4. What is left are pairs of nodes that share a signature, are of compatible size and still
+   are in different components. They are counted by the signatures that they share, which
+   must be enough to be similar, and compared.
 
 A pair that is never compared is in one component already, so the components are exactly
 those of all similar pairs. Large groups of near copies end after the first step.
 
 Signatures are sent packed, in buckets of about a million by their high bits; a task holds one
 bucket at a time. What the later steps read is sorted: the second step keeps one row of
-each signature at a time, the third the nodes of one signature.
+each signature at a time, the third two blocks of nodes, the fourth one signature's nodes.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ PIVOT_ROWS = 256
 BLOCK = 1024
 #: Keys with so many rows at most are paired together.
 SHORT = 64
+#: A signature that more nodes share goes through the third step.
+HOT = 512
+#: Nodes of a block of the third step.
+HOT_BLOCK = 2048
 #: Signatures in a bucket, about.
 BUCKET_SIGNATURES = 1 << 20
 #: A table of nodes (of a few numbers a row) with more rows is not broadcast.
@@ -46,6 +54,7 @@ FEW_ROWS = 300_000
 PACKED = "bucket int, packed binary"
 STAR = "key long, a long, a_size int, b long, b_size int, fits boolean"
 PAIR = "a long, b long"
+COUNTED = "a long, b long, need int"
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -180,8 +189,15 @@ def _neighbours(compatible: Callable, agree: Callable):
     return run
 
 
-def _all_pairs(compatible: Callable, agree: Callable):
-    """Of rows (key, size, node, component, hint) in that order: all pairs in different components."""
+def _all_pairs(compatible: Callable, agree: Callable, needed: Callable):
+    """Of rows (key, size, node, component, hint) in that order: all pairs in different components.
+
+    With each pair come the signatures that it needs to share to be similar.
+    """
+
+    def counted(a, b, a_size, b_size) -> pa.RecordBatch:
+        need = needed(a_size, b_size).astype(np.int32)
+        return _batch(COUNTED, np.minimum(a, b), np.maximum(a, b), need)
 
     def of_key(size, node, component, hint) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(node), BLOCK):
@@ -199,8 +215,7 @@ def _all_pairs(compatible: Callable, agree: Callable):
                 agreed = agree(hint[left][x], hint[right][y])
                 x, y = x[agreed], y[agreed]
                 if len(x):
-                    a, b = node[left][x], node[right][y]
-                    yield _batch(PAIR, np.minimum(a, b), np.maximum(a, b))
+                    yield counted(node[left][x], node[right][y], size[left][x], size[right][y])
 
     def of_short(key, size, node, component, hint) -> Iterator[pa.RecordBatch]:
         """All pairs of keys with few rows: each row with the one 1, 2, ... places on, as far as its key goes."""
@@ -215,8 +230,8 @@ def _all_pairs(compatible: Callable, agree: Callable):
             wanted = (component[left] != component[right]) & compatible(size[left], size[right])
             wanted &= agree(hint[left], hint[right])
             if wanted.any():
-                a, b = node[left[wanted]], node[right[wanted]]
-                yield _batch(PAIR, np.minimum(a, b), np.maximum(a, b))
+                x, y = left[wanted], right[wanted]
+                yield counted(node[x], node[y], size[x], size[y])
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,6 +306,64 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, similar: Cal
     )
 
 
+def _hot_links(groups: DataFrame, texts: DataFrame, prepare: Callable, similar: Callable, compatible, agree) -> DataFrame:
+    """Similar pairs that join the components of the nodes of each ``pivot``.
+
+    A group is cut into blocks, and every two of its blocks meet in a task.
+    """
+    sizes = groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(saved(sizes, "hot-sizes"), "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
+    rows = rows.withColumn("other", others).withColumns(
+        {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
+    )
+
+    def of_blocks(i: int, j: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        block, node, size, component, hint = (np.array(column, dtype=np.int64) for column in zip(*(r[:5] for r in rows)))
+        items = [row[5] for row in rows]
+        label = np.unique(component, return_inverse=True)[1]
+        a, b = [], []
+        for x in range(len(rows)):
+            if block[x] != i:
+                continue
+            wanted = (label != label[x]) & (block == j)
+            if i == j:
+                wanted[: x + 1] = False
+            wanted &= compatible(np.minimum(size, size[x]), np.maximum(size, size[x]))
+            at = np.flatnonzero(wanted)
+            at = at[agree(np.full(len(at), hint[x]), hint[at])]
+            if not len(at):
+                continue
+            for y in at[similar([items[x]] * len(at), [items[y] for y in at])].tolist():
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    a.append(node[x])
+                    b.append(node[y])
+        if a:
+            yield _batch(PAIR, np.array(a), np.array(b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(8)]
+            for pivot, i, j, *row, item in zip(*columns, prepare(batch.column(8))):
+                if (pivot, i, j) != group:
+                    if held:
+                        yield from of_blocks(group[1], group[2], held)
+                    group, held = (pivot, i, j), []
+                held.append((*row, item))
+        if held:
+            yield from of_blocks(group[1], group[2], held)
+
+    return (
+        rows.join(texts, "node")
+        .select("pivot", "i", "j", "block", "node", "size", "component", "hint", "text")
+        .repartition("pivot", "i", "j")
+        .sortWithinPartitions("pivot", "i", "j", "node")
+        .mapInArrow(run, PAIR)
+    )
+
+
 def buckets_for(spark: SparkSession, signatures: int) -> int:
     """So many buckets that one holds about a million signatures, and each task has one."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signatures // BUCKET_SIGNATURES))
@@ -311,6 +384,8 @@ def linked(
     plausible: Callable | None = None,
     hints: DataFrame | None = None,
     agree: Callable = lambda left, right: np.ones(len(left), dtype=bool),
+    needed: Callable = lambda left, right: np.ones(len(left)),
+    hot: int = HOT,
 ) -> DataFrame:
     """``node`` and ``component`` of every node that is similar to another.
 
@@ -320,7 +395,9 @@ def linked(
     of ``verified``. With ``sketches`` (``node`` and ``text``, some bytes for each) a pair's
     texts are only fetched if ``plausible`` says of their sketches that they could be similar.
     With ``hints`` (``node`` and ``hint``, a number) the later steps leave out pairs of which
-    ``agree`` says that they cannot be.
+    ``agree`` says that they cannot be. ``needed`` tells of arrays of sizes how many signatures
+    two nodes must share at least; a signature that more than ``hot`` nodes share is
+    handled by itself.
     """
     stars = (
         signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars(compatible), STAR)
@@ -347,29 +424,44 @@ def linked(
         .distinct(),
         "unclear",
     )
-    for pairs_of in (_neighbours, _all_pairs):
-        if shared.isEmpty():
-            break
-        labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if shared.isEmpty():
+        return labels
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if hints is None:
-            labelled = labelled.withColumn("hint", F.lit(0).cast("long"))
-        else:
-            labelled = labelled.join(hints, "node")
+            return rows.withColumn("hint", F.lit(0).cast("long"))
+        return rows.join(hints, "node")
+
+    def read_by_key(rows: DataFrame) -> DataFrame:
+        order = ["key", "size", "node"]
+        return labelled(rows).select(*order, "component", "hint").repartition("key").sortWithinPartitions(*order)
+
+    def fresh(pairs: DataFrame) -> DataFrame:
         known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = (
-            labelled.select("key", "size", "node", "component", "hint")
-            .repartition("key")
-            .sortWithinPartitions("key", "size", "node")
-            .mapInArrow(pairs_of(compatible, agree), PAIR)
-            .distinct()
-            .join(known, ["a", "b"], "left_anti")
-        )
-        more = saved(more, "compared")
-        found = edges_of(more)
+        return saved(pairs.join(known, ["a", "b"], "left_anti"), "compared")
+
+    def joined(found: DataFrame) -> None:
+        nonlocal edges, labels
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = components(edges)
-        compared = compared.unionByName(more)
+
+    near = fresh(read_by_key(shared).mapInArrow(_neighbours(compatible, agree), PAIR).distinct())
+    joined(edges_of(near))
+    compared = compared.unionByName(near)
+
+    per_key = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("size", "node")).alias("first"))
+    large = saved(per_key.where(F.col("n") > hot).select("key", F.col("first.node").alias("pivot")), "hot")
+    if not large.isEmpty():
+        groups = saved(labelled(shared.join(large, "key").select("pivot", "node", "size").distinct()), "hot-groups")
+        texts = texts_of(saved(groups.select("node").distinct(), "nodes"))
+        joined(saved(_hot_links(groups, texts, prepare, similar, compatible, agree), "edges"))
+        shared = saved(shared.join(large, "key", "left_anti"), "unclear")
+
+    pairs = read_by_key(shared).mapInArrow(_all_pairs(compatible, agree, needed), COUNTED)
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    joined(edges_of(fresh(pairs.where("n >= need").select("a", "b"))))
     return labels
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.storage import saved
 from tidemark.llm.words import Words, chunks, inside, mix, windows
@@ -33,7 +34,7 @@ SYMBOLS = b"#*$%&|<>"
 MOST_FAILING = 0.5
 STRONGEST_PRIOR = 1e6
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _per_text(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -115,13 +116,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text"]
             names = [name for name in part.schema.names if name != "text"]
             columns = kept + measured(part.column("text"))
-            yield pa.RecordBatch.from_arrays(columns, names=names + [m.split()[0] for m in MEASURES.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, names=names + MEASURES)
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but ``text``, the measures, and ``base_failed``."""
     others = [field for field in docs.schema.fields if field.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [MEASURES])
+    schema = StructType([*others, *(StructField(name, LongType()) for name in MEASURES)])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
     return texts.mapInArrow(_measure, schema).withColumn("base_failed", failed)
