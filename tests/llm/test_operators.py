@@ -28,7 +28,7 @@ from tidemark.llm import (
     tokens,
 )
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.storage import doc_id
+from tidemark.llm.storage import doc_id, keyed, whole_text
 from tidemark.session import workspace
 
 
@@ -45,6 +45,22 @@ def test_substring_in_other_window_lengths(odd, same):
     same(found, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.substring(rows, 7))
 
 
+def test_substring_deals_out_the_windows_of_hot_anchors(spark, odd, same):
+    """A phrase between words of each document's own: its anchors are shared, the windows are not."""
+    phrase = " ".join(f"p{i}" for i in range(12))
+    own = [" ".join(f"o{n}-{i}" for i in range(20)) for n in range(60)]
+    rows = [(n, f"{text} {phrase} {text[::-1]}", None) for n, text in enumerate(own)]
+    texts = keyed(frame_of(spark, rows), whole_text())
+    whole = substring.candidates(texts).groupBy("anchor").agg(F.sum("covered").alias("n"))
+    assert whole.agg(F.max("n")).first()[0] > 100
+    dealt = substring.candidates(texts, limit=40).where("anchor IS NOT NULL").groupBy("anchor")
+    assert dealt.agg(F.sum("covered").alias("n")).agg(F.max("n")).first()[0] <= 40
+    docs, odd_rows = odd
+    for limit in (1, 40):
+        found = substring.remove_repeats(docs, limit=limit)
+        same(found, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.substring(odd_rows))
+
+
 @pytest.mark.parametrize("block_bytes", [8, 4096])
 def test_exact(odd, same, block_bytes):
     docs, rows = odd

@@ -10,7 +10,12 @@ Doubling ends at the window length: a longer repeat covers no word that its wind
 that length do not cover, so no longer candidate can change the result.
 
 Before the shuffle each chunk of texts settles the windows that repeat inside it, so a
-passage that a third of all documents share reaches the shuffle once per chunk.
+passage that a third of all documents share reaches the shuffle once per chunk. Windows
+that straddle its edge differ in every document and yet have one of its few anchors, so
+the windows of each anchor are counted first (by ``BUCKETS`` remainders, which can only
+count too many). Those of an anchor with more than ``limit`` are sent one by one, by anchor
+and full-length name: equal windows still meet, and a task holds one name of them at a
+time. The group of any other anchor has ``limit`` windows at most, whatever the input.
 
 Names have 64 bits at the base and 48 more at full length, which are compared together.
 
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +42,13 @@ from tidemark.llm.words import Words, chunks, inside, joined, mix, windows
 WINDOW = 20
 BASE = 5
 NAME_BYTES = 6
+#: Windows that one anchor may have before they are dealt out by their names.
+ANCHOR_WINDOWS = 1 << 16
+#: Remainders of anchors whose windows are counted together.
+BUCKETS = 1 << 20
 
 _CANDIDATE = "anchor long, last_id boolean, id long, digest long, start long, names binary, covered int"
+_LOAD = "bucket int, windows long"
 _COVER = "id long, last_id boolean, digest long, start long, covered int"
 
 
@@ -62,53 +73,90 @@ def _runs(place: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _candidates(window: int, base: int):
+def _bucket(anchors: np.ndarray) -> np.ndarray:
+    # The low bits: anchors are the smallest names of several, so their high bits are uneven.
+    return (anchors & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for batch in batches:
+        table = pa.table(batch)
+        for first, last in chunks(batch.column("text")):
+            yield table.slice(first, last - first)
+
+
+def _windows_of(part: pa.Table, window: int, base: int):
+    """The windows of some texts: text, place, name and anchor (its place among all words and name), and which are settled."""
+    words = Words(part.column("text").combine_chunks())
+    counts = words.counts
+    hashes = words.hashes()
+    names = windows(hashes, window)
+    if len(names) == 0:
+        return None
+    small = windows(hashes, base)
+    valid = np.flatnonzero(inside(counts, window)[: len(names)])
+    if len(valid) == 0:
+        return None
+    ids, digests = part.column("id").to_numpy(), part.column("digest").to_numpy()
+    missing = part.column("last_id").to_numpy()
+    anchor_at = _anchors(small, window - base + 1)[valid]
+    text = np.repeat(np.arange(len(counts)), counts)[valid]
+    names = names[valid]
+    place = valid - words.bounds[text]
+    # A window settles the later ones of its name in this chunk; the earliest, and its
+    # equals in repeated rows, stay candidates.
+    by_document = np.lexsort((digests, ids, missing))
+    differs = np.zeros(len(counts), dtype=np.int64)
+    for values in (missing, ids, digests):
+        differs[1:] |= values[by_document][1:] != values[by_document][:-1]
+    rank = np.empty(len(counts), dtype=np.int64)
+    rank[by_document] = np.cumsum(differs)
+    when = (rank[text] << 32) | place
+    order = np.lexsort((when, names))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = names[order[1:]] != names[order[:-1]]
+    earliest = when[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    repeat = np.zeros(len(order), dtype=bool)
+    repeat[order] = when[order] > earliest
+    return text, place, names, anchor_at, small[anchor_at], repeat
+
+
+def _loads(window: int, base: int):
+    """How many windows a task would send for the anchors of each bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.table(batch)
-            for first, last in chunks(batch.column("text")):
-                part = table.slice(first, last - first)
-                yield from one(part)
+        load = np.zeros(BUCKETS, dtype=np.int64)
+        for part in _parts(batches):
+            if (found := _windows_of(part, window, base)) is not None:
+                *_, anchor, repeat = found
+                load += np.bincount(_bucket(anchor[~repeat]), minlength=BUCKETS)
+        some = np.flatnonzero(load)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(load[some])], names=["bucket", "windows"]
+        )
 
-    def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        words = Words(part.column("text").combine_chunks())
-        counts = words.counts
-        hashes = words.hashes()
-        names = windows(hashes, window)
-        if len(names) == 0:
-            return
-        small = windows(hashes, base)
-        valid = np.flatnonzero(inside(counts, window)[: len(names)])
-        if len(valid) == 0:
-            return
+    return run
+
+
+def _candidates(window: int, base: int, hot: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spread = np.zeros(BUCKETS, dtype=bool)
+        spread[hot.value] = True
+        for part in _parts(batches):
+            if (found := _windows_of(part, window, base)) is not None:
+                yield from one(part, spread, *found)
+
+    def one(part, spread, text, place, names, anchor_at, anchors, repeat) -> Iterator[pa.RecordBatch]:
         ids, digests = part.column("id").to_numpy(), part.column("digest").to_numpy()
         missing = part.column("last_id").to_numpy()
-        anchor_at = _anchors(small, window - base + 1)[valid]
-        text = np.repeat(np.arange(len(counts)), counts)[valid]
-        names = names[valid]
-        place = valid - words.bounds[text]
-        # A window settles the later ones of its name in this chunk; the earliest, and its
-        # equals in repeated rows, stay candidates.
-        by_document = np.lexsort((digests, ids, missing))
-        differs = np.zeros(len(counts), dtype=np.int64)
-        for values in (missing, ids, digests):
-            differs[1:] |= values[by_document][1:] != values[by_document][:-1]
-        rank = np.empty(len(counts), dtype=np.int64)
-        rank[by_document] = np.cumsum(differs)
-        when = (rank[text] << 32) | place
-        order = np.lexsort((when, names))
-        head = np.ones(len(order), dtype=bool)
-        head[1:] = names[order[1:]] != names[order[:-1]]
-        earliest = when[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        repeat = np.zeros(len(order), dtype=bool)
-        repeat[order] = when[order] > earliest
         for chosen, settled in ((np.flatnonzero(~repeat), False), (np.flatnonzero(repeat), True)):
             if len(chosen) == 0:
                 continue
             if settled:
                 heads = _runs(place[chosen], text[chosen])
             else:
-                heads = _runs(place[chosen], text[chosen], anchor_at[chosen])
+                alone = spread[_bucket(anchors[chosen])]
+                heads = _runs(place[chosen], text[chosen], anchor_at[chosen], np.where(alone, place[chosen], -1))
             length = np.diff(np.append(heads, len(chosen)))
             at = chosen[heads]
             rows = len(heads)
@@ -116,13 +164,14 @@ def _candidates(window: int, base: int):
                 packed = pa.nulls(rows, pa.binary())
                 anchor = pa.nulls(rows, pa.int64())
             else:
-                cut = np.ascontiguousarray(names[chosen]).view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
+                cut = np.zeros((len(chosen), 8), dtype=np.uint8)
+                cut[:, :NAME_BYTES] = np.ascontiguousarray(names[chosen]).view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES]
                 edges = np.zeros(rows + 1, dtype=np.int32)
                 np.cumsum(length * NAME_BYTES, out=edges[1:])
-                packed = pa.Array.from_buffers(
-                    pa.binary(), rows, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(cut))]
-                )
-                anchor = pa.array(small[anchor_at[at]].view(np.int64))
+                data = pa.py_buffer(np.ascontiguousarray(cut[:, :NAME_BYTES]))
+                packed = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(edges), data])
+                own = joined(anchors[at], cut.view(np.uint64).ravel()[heads])
+                anchor = pa.array(np.where(alone[heads], own, anchors[at]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     anchor,
@@ -192,12 +241,27 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
+def candidates(docs: DataFrame, window: int = WINDOW, base: int = BASE, limit: int = ANCHOR_WINDOWS) -> DataFrame:
+    """Runs of windows by what they must meet on (``anchor``); without one they are settled already.
+
+    At most ``limit`` different windows meet on one value. ``docs`` has the columns of
+    ``KEY`` and ``text``.
+    """
+    docs = docs.select("id", "last_id", "digest", "text")
+    loads = docs.mapInArrow(_loads(window, base), _LOAD).groupBy("bucket").agg(F.sum("windows").alias("windows"))
+    hot = [row["bucket"] for row in loads.where(F.col("windows") > limit).select("bucket").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(hot, dtype=np.int64))
+    return docs.mapInArrow(_candidates(window, base, shared), _CANDIDATE)
+
+
+def repeated_windows(
+    docs: DataFrame, window: int = WINDOW, base: int = BASE, limit: int = ANCHOR_WINDOWS
+) -> DataFrame:
     """Runs of windows (``start``, ``covered`` many) that also start earlier, by document.
 
     ``docs`` has the columns of ``KEY`` and ``text``.
     """
-    found = docs.select("id", "last_id", "digest", "text").mapInArrow(_candidates(window, base), _CANDIDATE)
+    found = candidates(docs, window, base, limit)
     settled = found.where("anchor IS NULL").select("id", "last_id", "digest", "start", "covered")
     compared = (
         found.where("anchor IS NOT NULL")
@@ -249,11 +313,13 @@ def _kept(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, base: int = BASE, limit: int = ANCHOR_WINDOWS
+) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``."""
     texts = keyed(docs, whole_text())
     covers = (
-        repeated_windows(texts, window, base)
+        repeated_windows(texts, window, base, limit)
         .groupBy(KEY)
         .agg(F.collect_list(F.struct("start", "covered")).alias("covers"))
     )
