@@ -61,6 +61,16 @@ def test_substring_deals_out_the_windows_of_hot_anchors(spark, odd, same):
         same(found, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.substring(odd_rows))
 
 
+def test_substring_of_repeated_rows(spark, same):
+    """The list of a document is as long as its own runs, however many rows repeat it."""
+    passage, tail = (" ".join(f"{k}{i}" for i in range(30)) for k in "pt")
+    rows = [(1, f"a {passage} b", None), *((None, f"{passage} {tail}", None) for _ in range(50)), (2, tail, None)]
+    docs = frame_of(spark, rows)
+    assert substring.covers(keyed(docs, whole_text())).agg(F.max(F.size("covers"))).first()[0] <= 30
+    expected = brute.substring([dict(zip(("doc_id", "text", "source"), row)) for row in rows])
+    same(substring.remove_repeats(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"], expected)
+
+
 @pytest.mark.parametrize("block_bytes", [8, 4096])
 def test_exact(odd, same, block_bytes):
     docs, rows = odd

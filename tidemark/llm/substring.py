@@ -94,23 +94,26 @@ def _windows_of(part: pa.Table, window: int, base: int):
     if len(names) == 0:
         return None
     small = windows(hashes, base)
-    valid = np.flatnonzero(inside(counts, window)[: len(names)])
-    if len(valid) == 0:
-        return None
     ids, digests = part.column("id").to_numpy(), part.column("digest").to_numpy()
     missing = part.column("last_id").to_numpy()
-    anchor_at = _anchors(small, window - base + 1)[valid]
-    text = np.repeat(np.arange(len(counts)), counts)[valid]
-    names = names[valid]
-    place = valid - words.bounds[text]
-    # A window settles the later ones of its name in this chunk; the earliest, and its
-    # equals in repeated rows, stay candidates.
     by_document = np.lexsort((digests, ids, missing))
     differs = np.zeros(len(counts), dtype=np.int64)
     for values in (missing, ids, digests):
         differs[1:] |= values[by_document][1:] != values[by_document][:-1]
     rank = np.empty(len(counts), dtype=np.int64)
     rank[by_document] = np.cumsum(differs)
+    # Rows that repeat a document have the same windows; one of them in a chunk is enough.
+    chosen = np.zeros(len(counts), dtype=bool)
+    chosen[by_document[:1]] = True
+    chosen[by_document[np.flatnonzero(differs)]] = True
+    valid = np.flatnonzero((inside(counts, window) & np.repeat(chosen, counts))[: len(names)])
+    if len(valid) == 0:
+        return None
+    anchor_at = _anchors(small, window - base + 1)[valid]
+    text = np.repeat(np.arange(len(counts)), counts)[valid]
+    names = names[valid]
+    place = valid - words.bounds[text]
+    # A window settles the later ones of its name in this chunk; the earliest stays a candidate.
     when = (rank[text] << 32) | place
     order = np.lexsort((when, names))
     head = np.ones(len(order), dtype=bool)
@@ -313,19 +316,26 @@ def _kept(window: int):
     return run
 
 
+def covers(texts: DataFrame, window: int = WINDOW, base: int = BASE, limit: int = ANCHOR_WINDOWS) -> DataFrame:
+    """The list of ``repeated_windows`` of each document: one run for a start at most, however many rows repeat it."""
+    return (
+        repeated_windows(texts, window, base, limit)
+        # Of runs that start at one place the longest covers the others.
+        .groupBy(*KEY, "start")
+        .agg(F.max("covered").alias("covered"))
+        .groupBy(KEY)
+        .agg(F.collect_list(F.struct("start", "covered")).alias("covers"))
+    )
+
+
 def remove_repeats(
     docs: DataFrame, window: int = WINDOW, base: int = BASE, limit: int = ANCHOR_WINDOWS
 ) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``."""
     texts = keyed(docs, whole_text())
-    covers = (
-        repeated_windows(texts, window, base, limit)
-        .groupBy(KEY)
-        .agg(F.collect_list(F.struct("start", "covered")).alias("covers"))
-    )
     empty = F.array().cast("array<long>")
     return (
-        texts.join(covers, KEY, "left")
+        texts.join(covers(texts, window, base, limit), KEY, "left")
         .select(
             *KEY,
             "text",
