@@ -1,13 +1,15 @@
 """Substring dedup: words in a passage that also starts earlier are removed.
 
-Method: level-wise doubling. A window of ``base`` words (5) is named by a hash; the name
-of a window of twice the length is the hash of its halves' names (5, 10, 20). A window of
-full length can only repeat if the base windows in it repeat, so it is compared by one of
-them alone: its anchor, the base window with the smallest name among those inside. Equal
-windows have equal anchors at equal places. Windows that share an anchor with no other are
-dropped as soon as the anchors meet; those left are compared by their full-length names.
-Doubling ends at the window length: a longer repeat covers no word that its windows of
-that length do not cover, so no longer candidate can change the result.
+Method: full-length names, partitioned by anchors. Every window of ``window`` words (20) of
+every text is named by a hash at once. Its anchor is the window of ``base`` words (5) with the
+smallest name among those inside: equal windows have equal anchors at equal places, so
+windows are dealt out by anchor, neighbours with one anchor as one row, and compared by
+their full-length names. A longer repeat covers no word that its windows do not cover.
+
+This is not level-wise doubling (count 5-word windows over all data, extend the repeated ones
+to 10 words, then to 20): no length is tested for repeats before the next, there is no
+10-word level, and windows of an anchor that nothing shares are named like all others.
+README.md says why, with figures.
 
 Before the shuffle each chunk of texts settles the windows that repeat inside it, so a
 passage that a third of all documents share reaches the shuffle once per chunk. Windows
