@@ -395,6 +395,17 @@ def test_classifier(spark, same, odd):
     assert len(alike) == 2 and alike[0] == alike[1]
 
 
+def test_classifier_learns_from_whole_texts(spark):
+    """Texts of more than 256 passages have them all; too many passages mean fewer texts."""
+    long = " ".join(f"w{i}" for i in range(300 * 64))
+    ids = [i for i in range(40) if brute.zlib.crc32(str(i).encode()) % 5][:6]
+    docs = frame_of(spark, [*((i, f"{long} {i}", None) for i in ids), (ids[0], f"{long} {ids[0]}", None)])
+    known = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, label int")
+    assert [len(bag) for _, _, bag in quality_model.training_bags(docs, known)] == [301] * 7
+    assert [len(bag) for _, _, bag in quality_model.training_bags(docs, known, passages=700)] == [301] * 3
+    assert quality_model.training_bags(docs, known.limit(0)) == []
+
+
 def test_classifier_gradients():
     rng = np.random.default_rng(1)
     model = quality_model.Model(5, rng)

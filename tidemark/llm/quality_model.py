@@ -5,9 +5,10 @@ kinds of characters and words in it. A hidden layer reads the encoding, gated at
 gives every passage a weight within its text, and the weighted sum of the hidden layers is
 scored: labels are known for texts only, and what a passage counts for is learned from them.
 
-The model is fitted on at most ``TRAIN_TEXTS`` labelled texts, chosen by a hash of the id,
-with at most ``TRAIN_PASSAGES`` passages spread evenly over each; both bounds hold for
-fitting alone and do not grow with the corpus. Scoring reads every passage of every text.
+The model is fitted on at most ``TRAIN_TEXTS`` labelled texts, in the order of a hash of the
+id, and on all passages of each: the sample ends with the text that brings it to
+``TRAIN_PASSAGES`` passages. Both bounds hold for fitting alone and do not grow with the
+corpus. Scoring reads every passage of every text.
 Only the text is an input. Fitting is seeded, so reruns agree.
 
 Results for odd input: a text without words is one empty passage; rows that repeat an id
@@ -17,6 +18,7 @@ both kinds every score is the share of label 1 (0.5 with no label).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from tidemark.llm.words import Words, chunks
 
 PASSAGE = 64
 TRAIN_TEXTS = 8000
-TRAIN_PASSAGES = 256
+TRAIN_PASSAGES = TRAIN_TEXTS * 256
 HIDDEN = 24
 ATTENTION = 12
 ROUNDS = 30
@@ -180,21 +182,24 @@ def fit(rows: np.ndarray, passages: np.ndarray, labels: np.ndarray, seed: int =
     return model
 
 
-def _training_rows(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end in chunks(batch.column("text")):
-                part = batch.slice(begin, end - begin)
-                rows, passages = encode_passages(part.column("text"))
-                bags, at = [], 0
-                for size in passages.tolist():
-                    some = np.unique(np.linspace(0, size - 1, min(size, most)).astype(np.int64))
-                    bags.append(rows[at + some].tobytes())
-                    at += size
-                columns = [part.column("doc_id"), part.column("label"), pa.array(bags, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "bag"])
+def _bag_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin, end in chunks(batch.column("text")):
+            part = batch.slice(begin, end - begin)
+            passages = np.maximum(-(-Words(part.column("text")).counts // PASSAGE), 1)
+            columns = [*(part.column(name) for name in ("doc_id", "label", "digest")), pa.array(passages, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "digest", "passages"])
+
 
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin, end in chunks(batch.column("text")):
+            part = batch.slice(begin, end - begin)
+            rows, passages = encode_passages(part.column("text"))
+            edge = np.concatenate(([0], np.cumsum(passages)))
+            bags = [rows[first:last].tobytes() for first, last in zip(edge[:-1], edge[1:])]
+            columns = [*(part.column(name) for name in ("doc_id", "label", "digest")), pa.array(bags, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "digest", "bag"])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -202,23 +207,43 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(remainder == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, passages: int = TRAIN_PASSAGES) -> Model:
-    """Fit on labelled rows (``doc_id``, ``label``) that are not held out."""
+def training_bags(
+    docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, passages: int = TRAIN_PASSAGES
+) -> list[tuple[int, int, np.ndarray]]:
+    """``doc_id``, ``label`` and the rows of all passages of each text to learn from."""
     usable = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out())
     # At most `texts` rows, in the order of a hash.
     chosen = usable.orderBy(F.md5(F.col("doc_id").cast("string")), "label").limit(texts)
     sample = docs.select("doc_id", whole_text()).join(F.broadcast(chosen), "doc_id")
-    bags = sample.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(
-        _training_rows(passages), "doc_id long, label int, bag binary"
+    sample = sample.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("label").cast("int").alias("label"),
+        F.xxhash64("text").alias("digest"),
+        "text",
     )
+    key = ["doc_id", "label", "digest"]
+    named = "doc_id long, label int, digest long"
+    sizes = sample.mapInArrow(_bag_sizes, f"{named}, passages long")
     # Rows that repeat a document would exceed the bound.
-    found = bags.orderBy("doc_id", "label", "bag").limit(texts).collect()
-    rows = [np.frombuffer(row["bag"], dtype=np.float32).reshape(-1, FEATURES) for row in found]
-    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    rows = sizes.orderBy(F.md5(F.col("doc_id").cast("string")), *key).limit(texts).collect()
+    before = np.cumsum([0, *(row["passages"] for row in rows)])
+    wanted = Counter(tuple(row[name] for name in key) for row, n in zip(rows, before) if n < passages)
+    # Repeated rows are fetched once.
+    listed = docs.sparkSession.createDataFrame(list(wanted), named)
+    fetched = sample.join(F.broadcast(listed), key).dropDuplicates(key).mapInArrow(_bags, f"{named}, bag binary")
+    bags = {tuple(row[name] for name in key): row["bag"] for row in fetched.collect()}
+    found = sorted((doc, label, bags[doc, label, digest]) for doc, label, digest in wanted.elements())
+    return [(doc, label, np.frombuffer(bag, dtype=np.float32).reshape(-1, FEATURES)) for doc, label, bag in found]
+
+
+def learn(docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, passages: int = TRAIN_PASSAGES) -> Model:
+    """Fit on labelled rows (``doc_id``, ``label``) that are not held out."""
+    found = training_bags(docs, labels, texts, passages)
+    rows = [bag for _, _, bag in found]
     return fit(
         np.concatenate(rows).astype(np.float64) if rows else np.zeros((0, FEATURES)),
-        sizes,
-        np.array([row["label"] for row in found], dtype=np.float64),
+        np.array([len(r) for r in rows], dtype=np.int64),
+        np.array([label for _, label, _ in found], dtype=np.float64),
     )
 
 
