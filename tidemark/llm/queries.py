@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, exact, jaccard, lines, mixing, packing, quality_model, rules, substring, token_files
+from tidemark.llm import (
+    alignment,
+    chat,
+    exact,
+    jaccard,
+    lines,
+    mixing,
+    packing,
+    quality_model,
+    rules,
+    substring,
+    token_files,
+)
 from tidemark.llm.storage import doc_id, documents, saved
 from tidemark.session import workspace
 
@@ -38,10 +50,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove_lines(documents(spark, sf_dir)).drop("kept_text")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +80,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), end=1)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align_documents(documents(spark, sf_dir), a, b)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,6 +96,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
 }
 
 ORACLE: dict[str, str] = {
