@@ -12,10 +12,12 @@ from tidemark.llm import (
     exact,
     jaccard,
     lines,
+    minmax,
     mixing,
     packing,
     quality_model,
     rules,
+    spelling,
     substring,
     token_files,
 )
@@ -85,6 +87,14 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), a, b)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +107,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_minmax_dedup": op13_minmax_dedup,
 }
 
 ORACLE: dict[str, str] = {
