@@ -8,7 +8,53 @@ FIRST = "TIMESTAMP '2026-01-01 00:00:00'"
 COUNTS = f"({STAR_ORACLE['table_row_counts']})"
 ROUNDTRIP = f"SELECT table_name, row_count AS source_rows, row_count AS stored_rows, true AS same FROM {COUNTS}"
 
+K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+# Events as messages of their type's topic, with what is wrong with them.
+TOPICS = f"""WITH topics AS (
+  SELECT *, {K} AS k, CASE WHEN event_type = 'error' THEN 'unknown topic'
+    WHEN event_type = 'signup' AND {K} = 3 THEN 'not one object'
+    WHEN event_type = 'purchase' AND ({K} % 2 = 1 OR value IS NULL) THEN 'fields do not fit'
+    WHEN event_type = 'view' AND (user_id IS NULL OR {K} IS NULL) THEN 'fields do not fit'
+    WHEN event_type <> 'error' AND ts IS NULL THEN 'fields do not fit' END AS reason
+  FROM events
+), newest AS (SELECT max(ts) AS newest FROM topics WHERE event_id % 2 = 0 AND reason IS NULL
+), placed AS (
+  SELECT *, reason IS NULL AND event_id % 2 = 1 AND ts < newest - INTERVAL 7 DAY AS late FROM topics, newest
+)"""
+TOPIC_ROW = """event_type AS topic, event_id, ts, CASE WHEN event_type <> 'purchase' THEN user_id END AS user_id,
+  CASE WHEN event_type IN ('purchase', 'signup') THEN value END AS value,
+  CASE WHEN event_type IN ('view', 'click') THEN CAST(k AS BIGINT) END AS k"""
+
+
+def _pair(topic, verdict, fields, forth, back):
+    """The rows of one pair: its fields, and how many messages the other version reads."""
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS field, '{c}' AS change, '{v}' AS field_verdict" for f, c, v in fields)
+    return f"""SELECT '{topic}' AS pair, '{verdict}' AS verdict, field, change, field_verdict,
+        (SELECT count(*) FROM kinds WHERE event_type = '{topic}' AND ({forth})) AS new_reads,
+        (SELECT count(*) FROM kinds WHERE event_type = '{topic}' AND NOT ({forth})) AS new_refuses,
+        (SELECT count(*) FROM kinds WHERE event_type = '{topic}' AND ({back})) AS old_reads,
+        (SELECT count(*) FROM kinds WHERE event_type = '{topic}' AND NOT ({back})) AS old_refuses FROM ({rows})"""
+
+
+PAIRS = [
+    ("view", "BACKWARD", [("event_id", "same", "FULL"), ("k", "widened", "BACKWARD"), ("value", "added", "FULL")], "true", "k <= 2"),
+    ("click", "FULL", [("event_id", "same", "FULL"), ("k", "same", "FULL"), ("user_id", "dropped", "FULL")], "true", "true"),
+    ("purchase", "FORWARD", [("event_id", "same", "FULL"), ("value", "made required", "FORWARD"), ("k", "added", "FULL")],
+     "k > 4 AND value IS NOT NULL", "true"),
+    ("signup", "NONE", [("event_id", "same", "FULL"), ("k", "retyped", "NONE")], "k IS NULL", "k IS NULL"),
+    ("error", "NONE", [("event_id", "same", "FULL"), ("k", "made optional", "BACKWARD"), ("day", "widened", "NONE")],
+     "k > 4", "false"),
+]
+
 ORACLE = {
+    "land_topics": f"{TOPICS} SELECT {TOPIC_ROW} FROM topics WHERE reason IS NULL",
+    "quarantine_topics": f"{TOPICS} SELECT event_type AS topic, reason, event_id FROM topics WHERE reason IS NOT NULL",
+    "redelivered_events": f"{TOPICS} SELECT {TOPIC_ROW} FROM placed WHERE reason IS NULL AND NOT late",
+    "redelivered_counts": f"""{TOPICS}
+        SELECT event_type AS topic, CASE WHEN reason IS NOT NULL THEN 'quarantined' WHEN late THEN 'late' ELSE 'valid' END
+            AS verdict, count(*) AS messages FROM placed GROUP BY 1, 2""",
+    "schema_compatibility": f"WITH kinds AS (SELECT *, {K} AS k FROM events) "
+    + " UNION ALL ".join(_pair(*pair) for pair in PAIRS),
     "parquet_roundtrip": ROUNDTRIP,
     "table_roundtrip": ROUNDTRIP,
     "declared_folder_read": f"""

@@ -1,0 +1,208 @@
+"""Many topics in one stream, redelivery and compatible schemas, on hand-made messages."""
+
+import itertools
+import json
+
+import pytest
+from pyspark.sql.types import StructType
+
+from tidemark.streaming import landing, topics
+
+DDL = {
+    "a": "id BIGINT NOT NULL, at TIMESTAMP, amount DOUBLE",
+    "b": "id BIGINT NOT NULL, at TIMESTAMP, amount DECIMAL(10,2) NOT NULL, name STRING",
+}
+
+
+@pytest.fixture
+def schemas():
+    return {topic: StructType.fromDDL(ddl) for topic, ddl in DDL.items()}
+
+
+def message(topic, key, at="2026-01-01 00:00:00", **more):
+    return topic, key, json.dumps({"id": int(key[1:]), "at": at, **more})
+
+
+def run(spark, schemas, base, rows, **more):
+    frame = spark.createDataFrame(rows, "topic string, key string, value string")
+    frame.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{base}/in")
+    topics.land(stream, schemas, f"{base}/out", f"{base}/checkpoint", **more).awaitTermination()
+    return {(row.topic, row.verdict): row.messages for row in topics.topic_counts(spark, f"{base}/out").collect()}
+
+
+def test_each_topic_has_its_own_schema(spark, schemas, tmp_path):
+    rows = [
+        message("a", "k1", amount=1.5),
+        message("a", "k2", name=7),  # topic a does not name it
+        message("b", "k3", amount=2.25, name="x"),
+        message("b", "k4", name="no amount"),
+        message("b", "k5", amount=1, name=7),
+        message("c", "k6"),
+        (None, "k7", "{}"),
+        ("a", "k8", '{"id": 8}] x'),
+        ("a", "k9", '{"id": 9, "id": 9}'),
+        ("a", "k10", None),
+        ("b", "k11", '{"id": 11, "amount": 123456789.25}'),
+    ]
+    counts = run(spark, schemas, str(tmp_path), rows)
+    assert counts == {
+        ("a", "valid"): 2,
+        ("a", "quarantined"): 3,
+        ("b", "valid"): 1,
+        ("b", "quarantined"): 3,
+        ("c", "quarantined"): 1,
+        (None, "quarantined"): 1,
+    }
+    a = topics.landed(spark, schemas["a"], f"{tmp_path}/out", "a")
+    assert a.columns == ["id", "at", "amount"] and {(r.id, r.amount) for r in a.collect()} == {(1, 1.5), (2, None)}
+    b = topics.landed(spark, schemas["b"], f"{tmp_path}/out", "b")
+    assert dict(b.dtypes)["amount"] == "decimal(10,2)" and [(r.id, str(r.amount)) for r in b.collect()] == [(3, "2.25")]
+    reasons = {(r.topic, r.reason) for r in topics.quarantined(spark, f"{tmp_path}/out").collect()}
+    assert reasons == {
+        ("a", topics.NOT_AN_OBJECT),
+        ("b", topics.BAD_FIELDS),
+        ("c", topics.UNKNOWN_TOPIC),
+        (None, topics.UNKNOWN_TOPIC),
+    }
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "_topic" in plan.split("PartitionFilters:")[1][:120] and "name__string" in plan and "amount__double" not in plan
+
+
+def test_rules_are_those_of_one_topic(spark):
+    """Every message of the landing tests gets the verdict that it gets there."""
+    from test_landing import BAD, DDL as ONE, GOOD
+
+    schema = StructType.fromDDL(ONE)
+    rows = [("t", text) for text in [*GOOD, *BAD, None]]
+    messages = spark.createDataFrame(rows, "topic string, value string")
+    found = topics.judge(messages, {"t": schema, "other": StructType.fromDDL("id INT, far DOUBLE NOT NULL")}).collect()
+    assert [row[landing.VERDICT] for row in found] == ["valid"] * len(GOOD) + ["quarantined"] * (len(BAD) + 1)
+    expected = {row.id: row for row in landing.judge(messages, schema).collect() if row.id is not None}
+    for row in found[: len(GOOD)]:
+        own = expected[row["id__bigint"]]
+        assert row[landing.RAW] == own[landing.RAW]
+        assert [row[topics.column_of(f)] for f in schema.fields] == [own[f.name] for f in schema.fields]
+
+
+def test_redelivered_messages_land_once_over_restarts(spark, schemas, tmp_path):
+    first = [message("a", f"k{i}", amount=i) for i in range(20)] + [("a", "bad", "no json"), ("a", None, "no key")]
+    options = {"key": "key"}
+    counts = run(spark, schemas, str(tmp_path), first + first, **options)
+    assert counts == {("a", "valid"): 20, ("a", "quarantined"): 2}
+    # The same keys in another topic, and one more.
+    again = first + [message("b", "k1", amount=1), message("a", "k99")]
+    counts = run(spark, schemas, str(tmp_path), again, **options)
+    assert counts == {("a", "valid"): 21, ("a", "quarantined"): 2, ("b", "valid"): 1}
+
+
+def test_late_rows_land_apart(spark, schemas, tmp_path):
+    options = {"key": "key", "time": "at", "lateness": "1 hour"}
+    base = str(tmp_path)
+    first = [message("a", "k1", "2026-01-01 10:00:00"), message("b", "k2", "2026-01-01 12:00:00", amount=1)]
+    # Before the first batch nothing is late, however old.
+    assert run(spark, schemas, base, [*first, message("a", "k3", "2020-01-01 00:00:00")], **options) == {
+        ("a", "valid"): 2,
+        ("b", "valid"): 1,
+    }
+    second = [message("a", "k4", "2026-01-01 10:59:59"), message("a", "k5", "2026-01-01 11:00:00"), message("a", "k3")]
+    second += [("a", "k6", json.dumps({"id": 6})), ("a", "k7", "bad")]
+    assert run(spark, schemas, base, second, **options) == {
+        ("a", "valid"): 4,
+        ("a", "late"): 1,
+        ("a", "quarantined"): 1,
+        ("b", "valid"): 1,
+    }
+    late = topics.landed(spark, schemas["a"], f"{base}/out", "a", topics.LATE)
+    assert [row.id for row in late.collect()] == [4]
+    # An older batch does not set the newest time back.
+    assert run(spark, schemas, base, [message("b", "k8", "2026-01-01 10:00:00", amount=2)], **options)[("b", "late")] == 1
+
+
+def test_a_batch_that_runs_again_comes_to_the_same_result(spark, schemas, tmp_path):
+    base, options = str(tmp_path), {"key": "key", "time": "at"}
+    run(spark, schemas, base, [message("a", "k1", "2026-01-01 10:00:00")], **options)
+    rows = [message("a", "k2", "2026-01-01 08:00:00"), message("a", "k3", "2026-01-02 00:00:00")]
+    counts = run(spark, schemas, base, rows, **options)
+    assert counts == {("a", "valid"): 2, ("a", "late"): 1}
+    # The last commit is lost, as after a crash between writing and committing.
+    commits = [p for p in (tmp_path / "checkpoint" / "commits").iterdir() if not p.name.startswith(".")]
+    last = max(commits, key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    stream = spark.readStream.schema("topic string, key string, value string").parquet(f"{base}/in")
+    topics.land(stream, schemas, f"{base}/out", f"{base}/checkpoint", **options).awaitTermination()
+    assert {(r.topic, r.verdict): r.messages for r in topics.topic_counts(spark, f"{base}/out").collect()} == counts
+
+
+def test_schemas_that_cannot_be_stored_together_are_refused(spark):
+    for ddls in (("id INT", "ID INT"), ("_topic INT",), ("a ARRAY<INT>",), ("_verdict INT",)):
+        with pytest.raises(ValueError):
+            topics._fields({str(i): StructType.fromDDL(ddl) for i, ddl in enumerate(ddls)})
+
+
+TYPES = ["TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL(4,1)", "DECIMAL(12,1)", "DECIMAL(20,0)",
+         "STRING", "BOOLEAN", "DATE", "TIMESTAMP"]
+# Values at the edges of each type, as JSON.
+VALUES = {
+    "TINYINT": ["127", "-128"],
+    "SMALLINT": ["32767"],
+    "INT": ["2147483647"],
+    "BIGINT": ["9223372036854775807"],
+    "FLOAT": ["1.5", "3e38"],
+    "DOUBLE": ["1e300", "0.1"],
+    "DECIMAL(4,1)": ["999.9"],
+    "DECIMAL(12,1)": ["99999999999.9"],
+    "DECIMAL(20,0)": ["99999999999999999999"],
+    "STRING": ['"text"', '"2026-01-01"'],
+    "BOOLEAN": ["true"],
+    "DATE": ['"2026-01-31"'],
+    "TIMESTAMP": ['"2026-01-31 10:11:12"'],
+}
+
+
+def test_verdicts_agree_with_replayed_messages(spark):
+    """Whatever a type lets in, the types that are said to read it do read unchanged."""
+    rows = [(kind, f'{{"v": {value}}}', value.strip('"')) for kind, values in VALUES.items() for value in values]
+    messages = spark.createDataFrame(rows, "kind string, value string, text string").cache()
+    refused = 0
+    for target in TYPES:
+        schema = StructType.fromDDL(f"v {target} NOT NULL")
+        judged = landing.judge(messages, schema).select(landing.VERDICT, "v").collect()
+        for (kind, _, text), row in zip(rows, judged):
+            source = StructType.fromDDL(f"v {kind} NOT NULL")
+            if topics.readable(source["v"].dataType, schema["v"].dataType):
+                assert row[0] == landing.VALID, (kind, target, text)
+                if target in ("TINYINT", "SMALLINT", "INT", "BIGINT", "DOUBLE", "STRING") or target.startswith("DEC"):
+                    assert type(row.v)(text) == row.v
+            refused += row[0] == landing.QUARANTINED
+    assert refused > 50
+
+
+def test_compatibility_of_nullable_added_and_dropped_fields():
+    def of(old, new):
+        return topics.compatibility(StructType.fromDDL(old), StructType.fromDDL(new))
+
+    assert of("a INT", "a INT") == topics.FULL
+    assert of("a INT", "a INT, b INT") == topics.FULL
+    assert of("a INT", "a INT, b INT NOT NULL") == topics.FORWARD
+    assert of("a INT, b INT NOT NULL", "a INT") == topics.BACKWARD
+    assert of("a INT", "a INT NOT NULL") == topics.FORWARD
+    assert of("a INT NOT NULL", "a BIGINT") == topics.BACKWARD
+    assert of("a INT, b BIGINT", "a BIGINT, b INT") == topics.NONE
+    assert of("a INT", "A INT") == topics.FULL  # one field dropped, another added, both optional
+    assert of("", "a INT NOT NULL") == topics.FORWARD
+    # Forward is backward with the schemas exchanged.
+    kinds = [f"v {kind}{null}" for kind in TYPES for null in ("", " NOT NULL")]
+    turned = {"BACKWARD": "FORWARD", "FORWARD": "BACKWARD", "FULL": "FULL", "NONE": "NONE"}
+    for old, new in itertools.product(kinds, kinds):
+        assert of(new, old) == turned[of(old, new)]
+
+
+def test_incompatible_versions_are_refused(schemas):
+    wider = StructType.fromDDL("id BIGINT NOT NULL, at TIMESTAMP, amount DOUBLE, note STRING")
+    assert topics.evolve(schemas, "a", wider, "FULL")["a"] == wider
+    with pytest.raises(ValueError, match="amount"):
+        topics.evolve(schemas, "a", StructType.fromDDL("id BIGINT NOT NULL, at TIMESTAMP, amount FLOAT"))
+    assert topics.evolve(schemas, "a", StructType.fromDDL("id STRING"), "NONE")["a"].fieldNames() == ["id"]
+    assert set(topics.evolve(schemas, "new", wider)) == {"a", "b", "new"}

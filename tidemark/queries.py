@@ -17,7 +17,7 @@ from tidemark.session import side_by_side, workspace
 from tidemark.sources import folders, lake, metadata
 from tidemark.sources.schemas import LAKE_TABLES, schema_of
 from tidemark.sources.star import BASE_DDL, Star
-from tidemark.streaming import landing
+from tidemark.streaming import landing, topics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -649,6 +649,157 @@ def landing_counts(spark: SparkSession, folder: str) -> DataFrame:
     return landing.landing_counts(spark, _land_events(spark, folder))
 
 
+TOPIC_DDL = {
+    "view": "event_id BIGINT NOT NULL, ts TIMESTAMP_NTZ NOT NULL, user_id BIGINT NOT NULL, k INT NOT NULL",
+    "click": "event_id BIGINT NOT NULL, ts TIMESTAMP_NTZ NOT NULL, user_id BIGINT, k BIGINT",
+    "purchase": "event_id BIGINT NOT NULL, ts TIMESTAMP_NTZ NOT NULL, value DOUBLE NOT NULL",
+    "signup": "event_id BIGINT NOT NULL, ts TIMESTAMP_NTZ NOT NULL, user_id BIGINT, value DOUBLE",
+}
+TOPIC_COLUMNS = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "value": "double", "k": "bigint"}
+
+
+def _topic_schemas() -> dict[str, StructType]:
+    return {topic: StructType.fromDDL(ddl) for topic, ddl in TOPIC_DDL.items()}
+
+
+def _event_k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _topic_messages(events: DataFrame) -> DataFrame:
+    """Events as messages of the topic that their type names; some of them are not as their topic asks.
+
+    Purchases with an odd ``k`` have their value as text, signups with ``k`` 3 are plain text,
+    and no schema is declared for errors.
+    """
+    as_text = (F.col("event_type") == "purchase") & (_event_k() % 2 == 1)
+    document = F.to_json(
+        F.struct(
+            "event_id",
+            F.col("ts").cast("string").alias("ts"),
+            F.when(F.col("event_type") != "purchase", F.col("user_id")).alias("user_id"),
+            F.when(as_text, F.lit("much")).alias("value_text"),
+            F.when(~as_text & F.col("event_type").isin("purchase", "signup"), F.col("value")).alias("value"),
+            F.when(F.col("event_type").isin("view", "click"), _event_k()).alias("k"),
+        )
+    )
+    document = F.replace(document, F.lit('"value_text"'), F.lit('"value"'))
+    plain = (F.col("event_type") == "signup") & (_event_k() == 3)
+    text = F.when(plain, F.concat_ws(" ", F.lit("signup"), "event_id")).otherwise(document)
+    return events.select(F.col("event_type").alias("topic"), F.col("event_id").alias("id"), text.alias("value"))
+
+
+def _land_topics(spark: SparkSession, folder: str) -> str:
+    location = workspace(spark, "topics")
+    events = spark.readStream.schema(BASE_DDL["events"]).parquet(f"{folder.rstrip('/')}/events.parque[t]")
+    landing_of = topics.land(_topic_messages(events), _topic_schemas(), f"{location}/topics", f"{location}/checkpoint")
+    landing_of.awaitTermination()
+    return f"{location}/topics"
+
+
+def _all_topics(spark: SparkSession, target: str, verdict: str) -> DataFrame:
+    """The rows of all topics with one verdict, with null for what a topic does not have."""
+    found = None
+    for topic, schema in _topic_schemas().items():
+        rows = topics.landed(spark, schema, target, topic, verdict)
+        own = [
+            (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in TOPIC_COLUMNS.items()
+        ]
+        rows = rows.select(F.lit(topic).alias("topic"), *own)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query
+def land_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid rows of four topics with different schemas, landed from one stream."""
+    return _all_topics(spark, _land_topics(spark, folder), landing.VALID)
+
+
+@query
+def quarantine_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Why messages were put in quarantine; their first number is the event's."""
+    found = topics.quarantined(spark, _land_topics(spark, folder))
+    return found.select("topic", "reason", F.regexp_extract("raw", r"(\d+)", 1).cast("bigint").alias("event_id"))
+
+
+def _redelivered(spark: SparkSession, folder: str) -> str:
+    """Two runs over one checkpoint: first the events with even ids, then all of them.
+
+    Valid ones that are a week or more behind the newest of the first run are late.
+    """
+    location = workspace(spark, "redelivered")
+    events = Star(spark, folder).base("events")
+    for part in (events.where("event_id % 2 = 0"), events):
+        _topic_messages(part).write.mode("append").parquet(f"{location}/in")
+        stream = spark.readStream.schema("topic string, id bigint, value string").parquet(f"{location}/in")
+        topics.land(
+            stream, _topic_schemas(), f"{location}/topics", f"{location}/checkpoint", key="id", time="ts", lateness="7 days"
+        ).awaitTermination()
+    return f"{location}/topics"
+
+
+@query
+def redelivered_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events that landed in time when many came twice, each once."""
+    return _all_topics(spark, _redelivered(spark, folder), landing.VALID)
+
+
+@query
+def redelivered_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return topics.topic_counts(spark, _redelivered(spark, folder))
+
+
+#: Two versions of the fields of each topic, besides the event's id.
+SCHEMA_PAIRS = {
+    "view": ("k INT NOT NULL", "k BIGINT NOT NULL, value DOUBLE"),
+    "click": ("k INT, user_id BIGINT", "k INT"),
+    "purchase": ("value DOUBLE", "value DOUBLE NOT NULL, k INT"),
+    "signup": ("k INT", "k STRING"),
+    "error": ("k INT NOT NULL, day DATE", "k INT, day STRING NOT NULL"),
+}
+
+
+def _versions(topic: str) -> tuple[Column, Column]:
+    """The documents of both versions: what a writer of each may well write."""
+    k, user, value = _event_k(), F.col("user_id"), F.col("value")
+    day = F.col("ts").cast("date").cast("string")
+    old, new = {
+        "view": ([k.alias("k")], [(k.cast("bigint") * 1_000_000_000).alias("k"), value]),
+        "click": ([k.alias("k"), user], [k.alias("k")]),
+        "purchase": ([F.when(k > 4, value).alias("value")], [value, k.alias("k")]),
+        "signup": ([k.alias("k")], [k.cast("string").alias("k")]),
+        "error": ([k.alias("k"), F.when(k > 4, day).alias("day")], [k.alias("k"), F.concat(F.lit("day "), day).alias("day")]),
+    }[topic]
+    return F.to_json(F.struct("event_id", *old)), F.to_json(F.struct("event_id", *new))
+
+
+@query
+def schema_compatibility(spark: SparkSession, folder: str) -> DataFrame:
+    """What two versions of each topic's schema can read of each other, and what they did read.
+
+    The events are written as messages under each version and read under the other.
+    """
+    events = Star(spark, folder).base("events")
+    pairs = {
+        topic: tuple(StructType.fromDDL(f"event_id BIGINT NOT NULL, {fields}") for fields in versions)
+        for topic, versions in SCHEMA_PAIRS.items()
+    }
+
+    def one(topic: str) -> tuple:
+        old, new = pairs[topic]
+        own = events.where(F.col("event_type") == topic)
+        by_old, by_new = _versions(topic)
+        forth = topics.replay(own.select(by_old.alias("value")), new).first()
+        back = topics.replay(own.select(by_new.alias("value")), old).first()
+        return topic, *forth, *back
+
+    counts = "pair string, new_reads bigint, new_refuses bigint, old_reads bigint, old_refuses bigint"
+    replayed = spark.createDataFrame(side_by_side(spark, one, pairs), counts)
+    return topics.compatibility_table(spark, pairs).join(replayed, "pair")
+
+
 @query
 def strict_json(spark: SparkSession, folder: str) -> DataFrame:
     """The events' properties, parsed so that a broken one would fail the query."""

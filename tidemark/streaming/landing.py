@@ -49,31 +49,36 @@ KINDS = {
 }
 
 
-def _kinds(data_type: DataType) -> str:
+def kinds_of(data_type: DataType) -> str:
     try:
         return KINDS[type(data_type)]
     except KeyError:
         raise ValueError(f"messages cannot have fields of type {data_type.simpleString()}") from None
 
 
-def _check(schema: StructType) -> None:
+def check_schema(schema: StructType) -> None:
     names = [field.name.lower() for field in schema.fields]
     taken = [name for name in names if name in RESERVED]
     if taken or len(set(names)) < len(names) or any("'" in name or "`" in name for name in names):
         raise ValueError(f"field names must be distinct, without quotes and none of {RESERVED}")
 
 
-def _whole(body: Column) -> Column:
-    """The message as a variant, NULL unless all of it is one JSON object.
+def whole_objects(messages: DataFrame, body: str, *more: Column | str) -> DataFrame:
+    """``RAW``, ``more``, and of messages that are one JSON object ``_message`` (a variant) and ``_keys``.
 
-    The parser stops at the end of the first value. Inside an array and inside an object
-    that end is not the end of the text, and no tail closes both.
+    The parser stops at the end of the first value, so what follows would go unseen. Each
+    message is put in a list before its own digest and parsed once: only if it is one
+    value is the digest, which no message can hold itself, the second value of the list.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"m":'), body, F.lit("}")))
-    one = F.try_variant_get(listed, "$[1]", "variant").isNull() & named.isNotNull()
-    message = F.try_variant_get(listed, "$[0]", "variant")
-    return F.when(one & F.schema_of_variant(message).startswith("OBJECT"), message)
+    text = F.col(body)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "'), F.md5(text), F.lit('"]')))
+    parsed = messages.select(*more, text.alias(RAW), listed.alias("_listed"), F.md5(text).alias("_digest"))
+    first = F.try_variant_get("_listed", "$[0]", "variant")
+    is_one = F.try_variant_get("_listed", "$[1]", "string") == F.col("_digest")
+    one = parsed.drop("_listed", "_digest").columns
+    parsed = parsed.select(*one, F.when(is_one, first).alias("_message"))
+    keys = F.map_keys(F.expr("try_cast(_message AS map<string, variant>)"))
+    return parsed.select(*one, "_message", keys.alias("_keys"))
 
 
 def judge(messages: DataFrame, schema: StructType, body: str = "value") -> DataFrame:
@@ -84,26 +89,25 @@ def judge(messages: DataFrame, schema: StructType, body: str = "value") -> DataF
     field declared NOT NULL is missing. The raw text is kept for quarantined messages and
     for valid ones with fields that the schema does not name, so nothing is lost.
     """
-    _check(schema)
-    parsed = messages.select(F.col(body).alias(RAW), _whole(F.col(body)).alias("_message"))
-
-    parts, ok = [], F.col("_message").isNotNull()
+    check_schema(schema)
+    parsed = whole_objects(messages, body)
+    parts, ok = [], F.col("_keys").isNotNull()
     for i, field in enumerate(schema.fields):
         path = f"$['{field.name}']"
         parts.append(F.try_variant_get("_message", path, "variant").alias(f"_variant_{i}"))
         parts.append(F.try_variant_get("_message", path, "string").alias(f"_text_{i}"))
-    parsed = parsed.select(RAW, "_message", *parts)
+    parsed = parsed.select(RAW, "_keys", *parts)
     values = []
     for i, field in enumerate(schema.fields):
         kind = F.schema_of_variant(f"_variant_{i}")
         missing = F.col(f"_variant_{i}").isNull() | (kind == "VOID")
         read = F.expr(f"try_cast(_text_{i} AS {field.dataType.simpleString()})")
-        fits = kind.rlike(_kinds(field.dataType)) & read.isNotNull()
+        fits = kind.rlike(kinds_of(field.dataType)) & read.isNotNull()
         ok = ok & F.coalesce((missing & F.lit(field.nullable)) | (~missing & fits), F.lit(False))
         values.append(read)
     judged = parsed.select("*", F.coalesce(ok, F.lit(False)).alias("_ok"))
     names = F.array(*[F.lit(field.name) for field in schema.fields]).cast("array<string>")
-    more = F.size(F.array_except(F.json_object_keys(RAW), names)) > 0
+    more = F.size(F.array_except("_keys", names)) > 0
     return judged.select(
         *[F.when(F.col("_ok"), read).alias(field.name) for field, read in zip(schema.fields, values)],
         F.when(~F.col("_ok") | more, F.col(RAW)).alias(RAW),
