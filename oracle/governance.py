@@ -117,6 +117,17 @@ ORACLE = {
     "retagged_columns": f"""WITH {NEWEST}, {NEWEST_TAGS}, {documents("oldest", "min")}, {tags("oldest_tags", "oldest")}
         SELECT * FROM newest_tags UNION ALL
         SELECT * FROM oldest_tags ANTI JOIN newest_tags USING (object_name, column_name)""",
+    "stored_tags": f"""WITH {NEWEST}, {NEWEST_TAGS}, {documents("oldest", "min")}, {tags("oldest_tags", "oldest")}
+        SELECT * FROM (SELECT * FROM newest_tags UNION ALL
+        SELECT * FROM oldest_tags ANTI JOIN newest_tags USING (object_name, column_name)) WHERE column_name <> 'phone'""",
+    "masked_by_stored_tags": f"""{DATED}
+        SELECT CAST(NULL AS BIGINT) AS c_custkey, {PROPERTY_MASK} AS c_name, c_nationkey, {PROPERTY_MASK} AS c_mktsegment,
+               CAST(NULL AS DATE) AS last_order_date, 'READER' AS role FROM dated
+        UNION ALL SELECT *, 'PII_READER' FROM dated""",
+    "masking_views": STAR
+    + f"""SELECT CAST(NULL AS BIGINT) AS customer_id, {MASK} AS customer_name, {PROPERTY_MASK} AS country,
+                 account_balance, {PROPERTY_MASK} AS customer_segment, 'READER' AS role FROM s_customers
+          UNION ALL SELECT *, 'PII_READER' FROM s_customers""",
     "masked_by_both_routes": STAR
     + f"""SELECT CAST(NULL AS BIGINT) AS customer_id, {MASK} AS customer_name, {MASK} AS country, account_balance,
                  segment AS customer_segment

@@ -252,3 +252,80 @@ def test_covered_values(spark):
     frame = spark.createDataFrame([(1, None), (2, "x")], "a INT, b STRING")
     rows = governance.covered_values({"t": frame}, {"t": ["a", "b"]}).collect()
     assert {(r.table_name, r.column_name, r.covered_values) for r in rows} == {("t", "a", 2), ("t", "b", 1)}
+
+
+def tag(column, value, table="t", schema="db", name=governance.PROPERTY_TAG):
+    return ("GOVERNANCE", "CLASSIFICATION", name, value, "LAKE", schema, table, column)
+
+
+def tags_of(spark, *rows):
+    names = "tag_database tag_schema tag_name tag_value object_database object_schema object_name column_name".split()
+    return spark.createDataFrame(list(rows), ", ".join(f"{n} string" for n in names))
+
+
+def stored(spark, name):
+    return {(r.object_schema, r.object_name, r.column_name): r.tag_value for r in spark.table(name).collect()}
+
+
+def test_stored_tags_are_set_by_column_and_last(spark, namespace, tmp_path):
+    name = f"{namespace}.tags"
+    first = tags_of(spark, tag("a", "PII"), tag("b", "NONE"), tag("x", "PII", "other"), tag("q", "PII", schema="far"))
+    governance.store_tags(first, name, location=f"{tmp_path}/tags")
+    again = tags_of(spark, tag("b", "PII"), tag("c", "NONE"))
+    for _ in range(2):
+        governance.store_tags(again, name)
+        assert stored(spark, name) == {
+            ("db", "t", "a"): "PII",
+            ("db", "t", "b"): "PII",
+            ("db", "t", "c"): "NONE",
+            ("db", "other", "x"): "PII",
+            ("far", "t", "q"): "PII",
+        }
+    # Table t lost column a and the other table is gone; nothing is known of the schema far.
+    left = governance.column_catalog(spark, {"T": StructType.fromDDL("B INT, c INT")}, "db")
+    governance.store_tags(again, name, left)
+    assert stored(spark, name) == {("db", "t", "b"): "PII", ("db", "t", "c"): "NONE", ("far", "t", "q"): "PII"}
+    # One tag a column of either kind.
+    governance.store_tags(tags_of(spark, tag("b", "PII", name=governance.COMMENT_TAG)), name)
+    assert spark.table(name).where("column_name = 'b'").count() == 2
+    # A failed replace leaves the tags as they were.
+    broken = tags_of(spark, tag("z", "PII")).withColumn("tag_value", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        governance.store_tags(broken, name)
+    assert spark.table(name).count() == 4
+
+
+def test_masking_views_look_up_the_role_when_read(spark, namespace, frame, schema, tmp_path):
+    columns = [F.col(f.name).alias(f.name, metadata=f.metadata) for f in schema.fields]
+    lake.replace_table(frame.select(*columns), f"{namespace}.t", location=f"{tmp_path}/t")
+    plain = spark.createDataFrame([(1, "o'neil")], "id INT, `odd ``name` STRING")
+    lake.replace_table(plain, f"{namespace}.u", location=f"{tmp_path}/u")
+    tags = tags_of(spark, tag("odd `name", "PII", "u", namespace), tag("h", "UNCLASSIFIED_PII", "T", namespace.upper()))
+    views = governance.create_masking_views(spark, namespace, tags)
+    assert views == ["t_masked", "u_masked"]
+    row = spark.table("t_masked").first()
+    assert (row.a, row.b, row.c, row.d) == (governance.COMMENT_LITERAL, None, None, None)
+    assert (row.e, row.h, row.j) == (2.5, governance.PROPERTY_LITERAL, "j")
+    assert spark.table("u_masked").first()[1] == governance.PROPERTY_LITERAL
+    assert spark.table("t_masked").schema["b"].dataType == frame.schema["b"].dataType
+    governance.set_role(spark, PII_READER_ROLE)
+    assert spark.table("u_masked").first()[1] == "o'neil"
+    assert spark.sql("SELECT a, b, h FROM t_masked ORDER BY b NULLS LAST").first() == ("x", 1, "h")
+    # Another role, a null and what only looks like the reader's role show nothing.
+    for role in ("'SYSADMIN'", "NULL", "'pii_reader'"):
+        spark.sql(f"SET VARIABLE {governance.ROLE_VARIABLE} = {role}")
+        assert spark.table("u_masked").first()[1] == governance.PROPERTY_LITERAL
+
+
+def test_masked_columns_of_a_view_are_not_read(spark, namespace, tmp_path):
+    rows = spark.createDataFrame([(1, "secret", "open")], f"id INT, name STRING {PII}, note STRING")
+    lake.replace_table(rows, f"{namespace}.p", location=f"{tmp_path}/p")
+    governance.create_masking_views(spark, namespace)
+
+    def read_schema():
+        plan = spark.table("p_masked")._jdf.queryExecution().executedPlan().toString()
+        return plan.split("ReadSchema:")[1].splitlines()[0]
+
+    assert "name" not in read_schema() and "note" in read_schema()
+    governance.set_role(spark, PII_READER_ROLE)
+    assert "name" in read_schema()

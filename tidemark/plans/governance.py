@@ -27,7 +27,7 @@ from pyspark.sql.types import (
 )
 
 from tidemark.session import side_by_side
-from tidemark.sources.lake import comment_of, list_tables, quote, replace_table, table_properties
+from tidemark.sources.lake import comment_of, list_tables, literal, quote, replace_table, table_properties
 from tidemark.sources.metadata import json_property
 from tidemark.sources.schemas import PII_COMMENT
 
@@ -209,6 +209,46 @@ def retag(existing: DataFrame, tags: DataFrame) -> DataFrame:
     return existing.join(tags.select(*owner).distinct(), owner, "left_anti").unionByName(tags)
 
 
+def of_existing_columns(tags: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``tags`` without those of columns that the schemas in ``catalog`` no longer have."""
+    named = catalog.select(
+        F.lower("table_schema").alias("_schema"), F.lower("table_name").alias("_table"), F.lower("column_name").alias("_column")
+    ).distinct()
+    same_schema = F.lower("object_schema") == F.col("_schema")
+    same_column = (
+        same_schema & (F.lower("object_name") == F.col("_table")) & (F.lower("column_name") == F.col("_column"))
+    )
+    elsewhere = tags.join(named.select("_schema").distinct(), same_schema, "left_anti")
+    return elsewhere.unionByName(tags.join(named, same_column, "left_semi"))
+
+
+def store_tags(tags: DataFrame, name: str, catalog: DataFrame | None = None, location: str | None = None) -> str:
+    """Set tags in a stored table by tag and column; running it again changes nothing.
+
+    Other columns keep the tags that they have, except, with ``catalog``, those that its
+    schemas no longer have. The table is replaced as a whole, so readers see all tags from
+    before or all from after.
+    """
+    spark = tags.sparkSession
+    if spark.catalog.tableExists(name):
+        tags = retag(spark.table(quote(name)), tags)
+    if catalog is not None:
+        tags = of_existing_columns(tags, catalog)
+    return replace_table(tags, name, location=location)
+
+
+def namespace_tags(spark: SparkSession, namespace: str, database: str) -> DataFrame:
+    """The tags that comments and classification properties give the columns of a namespace's tables."""
+    catalog = catalog_of_namespace(spark, namespace)
+    tables = [row["tableName"] for row in list_tables(spark, namespace).collect()]
+    texts = side_by_side(
+        spark, lambda t: table_properties(spark, f"{namespace}.{t}").get(CLASSIFICATION_PROPERTY), tables
+    )
+    documents = spark.createDataFrame(list(zip(tables, texts)), "table_name string, classes string")
+    documents = documents.select("table_name", F.create_map(F.lit(CLASSIFICATION_PROPERTY), "classes").alias("properties"))
+    return comment_tags(catalog, database).unionByName(property_tags(documents, catalog, database))
+
+
 def tag_references(tags: DataFrame, tag_name: str, schema: str | None = None, table: str | None = None) -> DataFrame:
     """The tagged columns of one table, of one schema or of the whole database."""
     found = tags.where(F.upper("tag_name") == tag_name.upper())
@@ -332,6 +372,66 @@ def mask_by_tags(
     return _masked(masked, by_comment - by_property, COMMENT_LITERAL, role, reveal_role, unsupported)
 
 
+ROLE_VARIABLE = "tidemark_role"
+
+
+def set_role(spark: SparkSession, role: str) -> None:
+    """The role under which this session reads masking views from now on."""
+    spark.sql(f"SET VARIABLE {ROLE_VARIABLE} = {literal(role)}")
+
+
+def masking_view(schema: StructType, source: str, by_property: set[str], by_comment: set[str], reveal_role: str) -> str:
+    """The query of a masking view: what it shows is decided by the session's role when it is read."""
+    columns = []
+    for field in schema.fields:
+        value, low = quote_name(field.name), field.name.lower()
+        if low in by_property | by_comment and (kind := family(field.dataType)) is not None:
+            text = literal(PROPERTY_LITERAL if low in by_property else COMMENT_LITERAL)
+            hidden = text if kind == "STRING" else f"CAST(NULL AS {field.dataType.simpleString()})"
+            # An unset role reveals nothing.
+            value = f"CASE WHEN session.{ROLE_VARIABLE} = {literal(reveal_role)} THEN {value} ELSE {hidden} END AS {value}"
+        columns.append(value)
+    return f"SELECT {', '.join(columns)} FROM {quote(source)}"
+
+
+def create_masking_views(
+    spark: SparkSession,
+    namespace: str,
+    tags: DataFrame | None = None,
+    suffix: str = "_masked",
+    role: str = READER_ROLE,
+    reveal_role: str = PII_READER_ROLE,
+) -> list[str]:
+    """A view of every table of a namespace that masks by the session's role; returns their names.
+
+    Columns are masked by what their comments and their tables' classification say, and by
+    ``tags``, for example a stored table of them. The role is looked up whenever a query over a
+    view is analyzed: one view shows different things after ``set_role``. Spark allows variables
+    in temporary views only, so each session makes its views from what is stored.
+    """
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {ROLE_VARIABLE} STRING DEFAULT {literal(role)}")
+    found = namespace_tags(spark, namespace, TAG_DATABASE)
+    if tags is not None:
+        found = found.unionByName(tags.where(F.lower("object_schema") == namespace.lower()).select(found.columns))
+    rows = (
+        found.where(F.upper("tag_value").isin(*MASKED_CLASSES))
+        .select(F.lower("object_name").alias("table"), F.upper("tag_name").alias("tag"), F.lower("column_name").alias("column"))
+        .distinct()
+        .collect()
+    )
+    marked: dict[tuple[str, str], set[str]] = {}
+    for row in rows:
+        marked.setdefault((row["table"], row["tag"]), set()).add(row["column"])
+    views = []
+    for table in [row["tableName"] for row in list_tables(spark, namespace).collect()]:
+        source = f"{namespace}.{table}"
+        by_property, by_comment = (marked.get((table.lower(), tag), set()) for tag in (PROPERTY_TAG, COMMENT_TAG))
+        query = masking_view(spark.table(quote(source)).schema, source, by_property, by_comment, reveal_role)
+        views.append(f"{table}{suffix}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {quote_name(views[-1])} AS {query}")
+    return views
+
+
 def unsupported_columns(frame: DataFrame, columns: Sequence[str]) -> list[str]:
     """The given columns that have no mask for their type."""
     wanted = {column.lower() for column in columns}

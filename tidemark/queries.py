@@ -604,6 +604,69 @@ def retagged_columns(spark: SparkSession, folder: str) -> DataFrame:
     return governance.retag(first, property_tags(spark, folder))
 
 
+@query
+def stored_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags of every directory in a stored table: from the oldest documents, then from the newest, twice.
+
+    Meanwhile the directories lose a column, and so the table its tags.
+    """
+    name, location = _namespace(spark, "tags")
+    star = Star(spark, folder)
+    catalog = _directory_catalog(star)
+    oldest = metadata.oldest_per_table(_metadata_documents(star), "table_name", "modified")
+    first = governance.property_tags(metadata.with_properties(oldest), catalog, "LAKE")
+    governance.store_tags(first, f"{name}.tags", catalog, f"{location}/tags")
+    left = catalog.where("column_name <> 'phone'")
+    newest = governance.property_tags(_newest_properties(star), left, "LAKE")
+    for _ in range(2):
+        governance.store_tags(newest, f"{name}.tags", left)
+    return spark.table(f"{name}.tags")
+
+
+@query
+def masked_by_stored_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers under both roles, masked by what a stored table of tags says after they were tagged anew."""
+    name, location = _namespace(spark, "tagged")
+    rows = _customer_dates(Star(spark, folder))
+    catalog = governance.column_catalog(spark, {"customer": rows.schema}, "lake")
+    for version in ("old", "new"):
+        properties = F.create_map(
+            F.lit(governance.CLASSIFICATION_PROPERTY), F.lit(json.dumps(CUSTOMER_CLASSES[version]))
+        )
+        documents = spark.range(1).select(F.lit("customer").alias("table_name"), properties.alias("properties"))
+        tags = governance.property_tags(documents, catalog, "LAKE")
+        governance.store_tags(tags, f"{name}.tags", catalog, f"{location}/tags")
+    stored = spark.table(f"{name}.tags")
+    shown = [
+        governance.mask_by_tags(rows, stored, "lake", "customer", role).withColumn("role", F.lit(role))
+        for role in (governance.READER_ROLE, governance.PII_READER_ROLE)
+    ]
+    return shown[0].unionByName(shown[1])
+
+
+@query
+def masking_views(spark: SparkSession, folder: str) -> DataFrame:
+    """One view of the customers, read under two roles of the session.
+
+    Comments mark some columns, the table's classification and a stored tag each another one.
+    """
+    name, location = _namespace(spark, "views")
+    customers = Star(spark, folder).customers
+    properties = governance.classification_properties({"customer_segment": "PII"}, "lake")
+    lake.replace_table(customers, f"{name}.customers", location=f"{location}/customers", properties=properties)
+    catalog = governance.catalog_of_namespace(spark, name)
+    one = F.create_map(F.lit(governance.CLASSIFICATION_PROPERTY), F.lit('{"COUNTRY": "unclassified_pii"}'))
+    documents = spark.range(1).select(F.lit("customers").alias("table_name"), one.alias("properties"))
+    tags = governance.property_tags(documents, catalog, "LAKE")
+    governance.store_tags(tags, f"{name}.tags", location=f"{location}/tags")
+    governance.create_masking_views(spark, name, spark.table(f"{name}.tags"))
+    shown = []
+    for role in (governance.READER_ROLE, governance.PII_READER_ROLE):
+        governance.set_role(spark, role)
+        shown.append(spark.table("customers_masked").withColumn("role", F.lit(role)))
+    return shown[0].unionByName(shown[1])
+
+
 # Streaming
 
 
