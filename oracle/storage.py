@@ -62,7 +62,8 @@ ORACLE = {
             SELECT 'organizations' AS table_name, count(*) AS rows FROM supplier
             UNION ALL SELECT 'products', count(*) FROM ({GENERATED['gen_products']})
             UNION ALL SELECT 'customers', count(*) FROM customer
-            UNION ALL SELECT 'orders', count(*) FROM orders)""",
+            UNION ALL SELECT 'orders', count(*) FROM orders
+            UNION ALL SELECT 'order_items', count(*) FROM ({GENERATED['gen_order_items']}))""",
     "fallback_write": STAR + "SELECT * FROM s_orders",
     "partitioned_roundtrip": STAR
     + "SELECT *, CAST(date_trunc('month', order_date) AS DATE) AS load_date FROM s_orders",
@@ -81,12 +82,31 @@ ORACLE = {
                CASE WHEN table_name <> 'products' THEN row_count END AS target_row_count,
                CASE WHEN table_name <> 'products' THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS sync_status,
                CASE WHEN table_name = 'products' THEN 'failed' END AS error_message
-        FROM {COUNTS} WHERE table_name <> 'order_items'""",
+        FROM {COUNTS}""",
     "refresh_partial_failure": f"""
-        SELECT 'PARTIAL FAILURE' AS overall_status, CAST(3 AS BIGINT) AS ok_tables,
+        SELECT 'PARTIAL FAILURE' AS overall_status, CAST(4 AS BIGINT) AS ok_tables,
                CAST(0 AS BIGINT) AS mismatched_tables, CAST(1 AS BIGINT) AS failed_tables,
                CAST(sum(row_count) AS BIGINT) AS copied_rows
-        FROM {COUNTS} WHERE table_name NOT IN ('order_items', 'products')""",
+        FROM {COUNTS} WHERE table_name <> 'products'""",
+    "column_differences": f"""
+        SELECT table_name, column_name, change, source_type, target_type, action, 'OK' AS status,
+               row_count AS source_rows, row_count AS target_rows
+        FROM {COUNTS} JOIN (VALUES
+            ('orders', 'customer_id', 'retyped', 'bigint', 'int', 'checked cast'),
+            ('orders', 'order_date', 'retyped', 'date', 'timestamp_ntz', 'cast'),
+            ('orders', 'num_items', 'retyped', 'int', 'bigint', 'cast'),
+            ('orders', 'note', 'gone', NULL, 'string', 'leave null'),
+            ('orders', 'order_status', 'added', 'string', NULL, 'create'),
+            ('customers', 'customer_id', 'added', 'bigint', NULL, 'create'),
+            ('customers', 'customer_name', 'added', 'string', NULL, 'create'),
+            ('customers', 'country', 'added', 'string', NULL, 'create'),
+            ('customers', 'account_balance', 'added', 'double', NULL, 'create'),
+            ('customers', 'customer_segment', 'added', 'string', NULL, 'create')
+        ) AS d (table_name, column_name, change, source_type, target_type, action) USING (table_name)""",
+    "conformed_refresh": STAR
+    + """SELECT order_id, CAST(customer_id AS INTEGER) AS customer_id, org_id, CAST(order_date AS TIMESTAMP) AS order_date,
+                total_amount, CAST(num_items AS BIGINT) AS num_items, CAST(NULL AS VARCHAR) AS note, order_status
+         FROM s_orders""",
     "land_events": """
         SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
         FROM events WHERE event_type <> 'error'""",

@@ -1,5 +1,7 @@
 """Invariants of the generated dataset."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,38 +111,68 @@ def test_lines_are_distinct_products_of_the_orders_organization(tables):
     assert lines.where(F.col("subtotal") != exact).isEmpty()
 
 
-def test_order_amount_is_a_sum_of_distinct_product_prices(spark):
-    """Every order is exactly min(num_items, products) distinct products, by trying all combinations."""
-    for organizations in (1, 2, 3, 4, 5, 7, 10):
-        for seed in (42, 44, 47) if organizations < 4 else (42,):
-            rows = generate.products(generate.organizations(generate.ids(spark, organizations)), AS_OF, seed).collect()
-            cents = {}
-            for row in rows:
-                cents.setdefault(row.org_id, []).append(round(row.price * 100))
-            orders = generate.orders(generate.ids(spark, 25), 10, organizations, AS_OF, seed).collect()
-            for row in orders:
-                # The organizations that an order can reach from its own.
-                near = {(row.org_id - 1 + i) % organizations + 1 for i in range(3)}
-                prices = [price for org in near for price in cents[org]]
-                sums = {0: {0}}
-                for price in prices:
-                    for count in range(min(4, len(sums) - 1), -1, -1):
-                        sums.setdefault(count + 1, set()).update(total + price for total in sums[count])
-                wanted = min(row.num_items, len(rows))
-                assert round(row.total_amount * 100) in sums[wanted]
+def drawn(stream, *keys):
+    text = ":".join(map(str, (f"42:{stream}", *keys)))
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def floyd(stream, key, wanted, total):
+    """Different numbers below ``total``, as Floyd draws them."""
+    found = []
+    for i in range(wanted):
+        last = total - wanted + i
+        number = drawn(stream, key, i) % (last + 1)
+        found.append(last if number in found else number)
+    return found
+
+
+def test_order_amount_is_the_price_of_different_products(spark):
+    for organizations in (1, 3, 10):
+        rows = generate.products(generate.organizations(generate.ids(spark, organizations)), AS_OF)
+        block = {row.product_id: int(hashlib.md5(f"0:block:{row.product_id}".encode()).hexdigest()[:15], 16) % 1009
+                 for row in rows.collect()}
+        cents = [round(row.price * 100) for row in sorted(rows.collect(), key=lambda r: (block[r.product_id], r.product_id))]
+        orders = generate.orders(generate.ids(spark, 200), rows, 10, organizations, AS_OF).collect()
+        assert len(orders) == 200
+        for row in orders:
+            picks = floyd("product of order", row.order_id, min(row.num_items, len(cents)), len(cents))
+            assert len(set(picks)) == len(picks)
+            assert round(row.total_amount * 100) == sum(cents[i] for i in picks)
+
+
+def test_orders_without_products(spark):
+    none = generate.products(generate.organizations(generate.ids(spark, 0)), AS_OF)
+    orders = generate.orders(generate.ids(spark, 5), none, 10, 1, AS_OF).collect()
+    assert [row.total_amount for row in orders] == [0.0] * 5
+
+
+def test_every_choice_of_products_is_as_likely(spark):
+    """Pairs and triples out of seven, and the places of one out of many."""
+    n = 140_000
+    for wanted, choices, limit in ((2, 21, 45), (3, 35, 65)):
+        rows = spark.range(n).selectExpr("id", f"{wanted} AS wanted", "7L AS total")
+        picked = generate.distinct_picks(rows, 42, "test", "id", "wanted", "total", 5)
+        found = picked.select(F.array_sort("picks").alias("p")).groupBy("p").count().collect()
+        assert len(found) == choices and all(len(set(row.p)) == wanted and 0 <= row.p[0] and row.p[-1] < 7 for row in found)
+        expected = n / choices
+        assert sum((row["count"] - expected) ** 2 / expected for row in found) < limit
+    rows = spark.range(20_000).selectExpr("id", "5 AS wanted", "3000L AS total")
+    reached = generate.distinct_picks(rows, 42, "test", "id", "wanted", "total", 5).select(F.explode("picks").alias("p"))
+    assert reached.distinct().count() == 3000 and reached.agg(F.max("p")).first()[0] == 2999
 
 
 def test_more_keys_than_32_bits(spark):
-    orders = generate.orders(generate.ids(spark, 3000), 10**10, 10**10, AS_OF)
+    products = generate.products(generate.organizations(generate.ids(spark, 3)), AS_OF)
+    orders = generate.orders(generate.ids(spark, 3000), products, 10**10, 10**10, AS_OF)
     found = orders.agg(F.max("customer_id"), F.max("org_id"), F.count_distinct("customer_id")).first()
     assert 2**33 < found[0] <= 10**10 and 2**33 < found[1] <= 10**10 and found[2] == 3000
 
 
 def test_same_rows_for_every_partitioning_and_run(spark, tables):
-    one = generate.orders(generate.ids(spark, 2_000).repartition(1), 100, 7, AS_OF)
+    one = generate.orders(generate.ids(spark, 2_000).repartition(1), tables["products"], 100, 7, AS_OF)
     assert same(one, tables["orders"])
     assert same(generate.dataset(spark, AS_OF, 7, 100, 2_000)["order_items"], tables["order_items"])
-    assert not same(generate.orders(generate.ids(spark, 2_000), 100, 7, AS_OF, seed=43), tables["orders"])
+    assert not same(generate.orders(generate.ids(spark, 2_000), tables["products"], 100, 7, AS_OF, seed=43), tables["orders"])
 
 
 def test_larger_dataset_extends_the_smaller_one(spark):

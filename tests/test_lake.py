@@ -1,5 +1,8 @@
 """Reading and writing folders and catalog tables."""
 
+import datetime
+import os
+import time
 import uuid
 from unittest import mock
 
@@ -163,20 +166,74 @@ def test_failed_replace_keeps_the_old_rows(spark, namespace, tmp_path, place):
     assert lake.table_place(spark, name)[0] == before
 
 
+NOW = datetime.timedelta(0)
+
+
 @pytest.mark.parametrize("place", [None, "out"])
-def test_replacing_leaves_no_old_files(spark, namespace, tmp_path, place):
+def test_replacing_leaves_no_old_files_once_they_are_removed(spark, namespace, tmp_path, place):
     location = place and f"{tmp_path}/{place}/t"
     name = f"{namespace}.t"
     for n in (3, 4, 5):
         lake.replace_table(spark.range(n), name, location=location)
         assert spark.table(name).count() == n
+    assert lake.remove_old_folders(spark, name) == []  # none went out of use a day ago
+    assert len(lake.remove_old_folders(spark, name, NOW)) == 2
     lake.replace_table(spark.range(6).withColumn("more", F.lit("x")), name)
     assert spark.table(name).columns == ["id", "more"] and spark.table(name).count() == 6
     folder = lake.table_place(spark, name)[0].removeprefix("file:")
+    lake.remove_old_folders(spark, name, NOW)
     rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path)).count()
     assert rows == 6 and spark.read.parquet(folder).count() == 6
+    assert lake.remove_old_folders(spark, name, NOW) == []
     if place:
         assert folder.startswith(f"{location}/version-")
+    else:
+        assert folder.count("version-") <= 1
+
+
+@pytest.mark.parametrize("place", [None, "out"])
+def test_a_scan_planned_before_a_replace_finishes_after_it(spark, namespace, tmp_path, place):
+    location, name = place and f"{tmp_path}/{place}/t", f"{namespace}.t"
+    lake.replace_table(spark.range(1000).repartition(8), name, location=location)
+    planned = spark.table(name).selectExpr("sum(id) AS total")
+    planned._jdf.queryExecution().executedPlan()
+    lake.replace_table(spark.range(5), name, location=location)
+    assert planned.first().total == 499500
+    assert len(lake.remove_old_folders(spark, name, NOW)) == 1
+    assert spark.table(name).count() == 5
+
+
+def test_only_folders_long_out_of_use_are_removed(spark, namespace, tmp_path):
+    name, location = f"{namespace}.t", f"{tmp_path}/t"
+    for n in (1, 2, 3):
+        lake.replace_table(spark.range(n), name, location=location)
+    current = lake.table_place(spark, name)[0].removeprefix("file:")
+    versions = sorted((p for p in (tmp_path / "t").iterdir()), key=lambda p: (p / "_SUCCESS").stat().st_mtime_ns)
+    assert str(versions[-1]) == current
+    # The first two were finished long ago; the second went out of use when the third was finished.
+    for age, version in zip((90, 80), versions):
+        past = time.time() - age * 3600
+        os.utime(version / "_SUCCESS", (past, past))
+    (tmp_path / "t" / "version-being-written").mkdir()
+    os.utime(tmp_path / "t" / "version-being-written", (time.time() + 60,) * 2)
+    (tmp_path / "t" / "someone-elses").mkdir()
+    removed = lake.remove_old_folders(spark, name, datetime.timedelta(days=1))
+    assert [path.rsplit("/", 1)[1] for path in removed] == [versions[0].name]
+    left = {p.name for p in (tmp_path / "t").iterdir()}
+    assert left == {versions[1].name, versions[2].name, "version-being-written", "someone-elses"}
+    assert spark.table(name).count() == 3
+
+
+def test_a_table_whose_files_are_in_its_root_can_be_replaced(spark, namespace, tmp_path):
+    """The location is given without the scheme that the catalog adds to it."""
+    name, location = f"{namespace}.t", f"{tmp_path}/t"
+    spark.range(4).write.parquet(location)
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{location}'")
+    lake.replace_table(spark.range(7), name, location=location)
+    assert spark.table(name).count() == 7
+    assert lake.remove_old_folders(spark, name) == []
+    assert lake.remove_old_folders(spark, name, NOW)
+    assert [p.name[:8] for p in (tmp_path / "t").iterdir()] == ["version-"] and spark.table(name).count() == 7
 
 
 def test_reader_always_finds_the_table(spark, namespace, tmp_path):

@@ -1,8 +1,8 @@
 """A related synthetic dataset of any size.
 
-Every table is a function of its ids, the seed and the reference date. Except for the
-order lines, which look up products, nothing is shuffled: an order's customer,
-organization and amounts are computed from hashes on the row itself.
+Every table is a function of its ids, the seed and the reference date. Orders and their
+lines draw products by their rank and look up the prices; nothing else is shuffled, as
+all other values are hashes on the row itself.
 """
 
 from __future__ import annotations
@@ -127,14 +127,6 @@ def _product_id(org: str, category: str, name: str) -> str:
     return f"(({org} - 1L) * {PRODUCT_SLOTS}L + {category} * {NAMES_PER_CATEGORY}L + {name} + 1L)"
 
 
-def _product_ids(seed: int, org: str, org_draw: str) -> str:
-    """An organization's products in the order of its categories and their names."""
-    categories = f"transform(sequence(0L, {_category_count(org_draw)} - 1L), turn -> {_category(org_draw, 'turn')})"
-    drawn = f"transform({categories}, no -> named_struct('no', no, 'd', {_category_draw(seed, org, 'no')}))"
-    name = _product_id(org, "c.no", _name("c.d", "turn"))
-    return f"flatten(transform({drawn}, c -> transform(sequence(0L, {_name_count('c.d')} - 1L), turn -> {name})))"
-
-
 def _price_cents(seed: int, product: str) -> str:
     return between(draw(seed, "price", product), 1000, 50000)
 
@@ -192,48 +184,63 @@ def customers(customer_ids: DataFrame, as_of_date: str, seed: int = DEFAULT_SEED
     )
 
 
+def distinct_picks(rows: DataFrame, seed: int, stream: str, key: str, wanted: str, total: str, most: int) -> DataFrame:
+    """``rows`` with ``picks``: ``wanted`` different numbers out of 0..total-1, every choice of them as likely.
+
+    The columns ``wanted`` (at most ``total`` and ``most``) and ``total`` are numbers. Floyd's way
+    takes one draw for each pick and no list of what there is to pick from: the draw for a pick
+    may be any of the first so many numbers, and if it has come before, the last of these is
+    taken, which cannot have come.
+    """
+    columns = rows.columns
+    last = [f"({total} - {wanted} + {i}L)" for i in range(most)]
+    numbers = [
+        f"IF({i} < {wanted}, {below(draw(seed, stream, key, str(i)), f'({last[i]} + 1L)')}, NULL) AS _number_{i}"
+        for i in range(most)
+    ]
+    rows = rows.selectExpr(*columns, *numbers)
+    for i in range(most):
+        earlier = ", ".join(f"_pick_{j}" for j in range(i))
+        pick = f"IF(_number_{i} IN ({earlier}), {last[i]}, _number_{i})" if i else "_number_0"
+        rows = rows.selectExpr("*", f"{pick} AS _pick_{i}")
+    return rows.selectExpr(*columns, f"array_compact(array({', '.join(f'_pick_{i}' for i in range(most))})) AS picks")
+
+
 def orders(
     order_ids: DataFrame,
+    product_rows: DataFrame,
     customer_total: int,
     organization_total: int,
     as_of_date: str,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """Orders over customers 1..customer_total and the products of organizations 1..organization_total.
+    """Orders of customers 1..customer_total with organizations 1..organization_total.
 
-    An order's amount is the price of its ``num_items`` distinct products, or of all products
-    if there are fewer: from a place in its organization's list on, then those of the next
-    organizations, and from the last organization on to the first. The lines of the order
-    are drawn separately, so they need not add up to the amount.
+    An order's amount is the price of ``num_items`` different ones of all products, or of all of
+    them if there are fewer. The lines of the order are drawn separately, from its
+    organization's products, so they need not add up to the amount.
     """
-    rows = order_ids.selectExpr(
-        "id AS order_id",
-        f"{below(draw(seed, 'customer of order', 'id'), customer_total)} + 1L AS customer_id",
-        f"{between(draw(seed, 'item count', 'id'), 1, MAX_ITEMS)} AS num_items",
-        f"{below(draw(seed, 'organization of order', 'id'), organization_total)} AS org_no",
-        f"{draw(seed, 'product of order', 'id')} AS pick_draw",
+    count = between(draw(seed, "item count", "order_id"), 1, MAX_ITEMS)
+    total = product_rows.select(F.count(F.lit(1))).scalar()
+    wanted = order_ids.select(F.col("id").alias("order_id"), total.alias("total"))
+    wanted = wanted.selectExpr("order_id", "total", f"least({count}, total) AS wanted")
+    picked = distinct_picks(wanted, seed, "product of order", "order_id", "wanted", "total", MAX_ITEMS)
+    cents = (F.col("price").cast(MONEY) * 100).cast("long").alias("cents")
+    numbered = number_within(product_rows.select(F.lit(0).alias("all"), "product_id", cents), "all", "product_id", "pick")
+    amounts = (
+        picked.select("order_id", F.explode_outer("picks").alias("pick"))
+        .join(numbered.select("pick", "cents"), "pick", "left")
+        .groupBy("order_id")
+        .agg(F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"))
     )
-    # An organization has at least two products, so three of them have enough from any place on.
-    turns = range(3)
-    rows = (
-        rows.selectExpr("*", *[f"(org_no + {i}L) % {organization_total}L + 1L AS org_{i}" for i in turns])
-        .selectExpr("*", *[f"{_org_draw(seed, f'org_{i}')} AS org_draw_{i}" for i in turns])
-        .selectExpr("*", *[f"{_product_ids(seed, f'org_{i}', f'org_draw_{i}')} AS products_{i}" for i in turns])
-    )
-    # With fewer organizations a list comes round again; no product is taken twice.
-    lists = [f"products_{i}" for i in turns]
-    available = " + ".join(f"size({products})" for products in lists[: min(organization_total, len(lists))])
-    start = f"CAST({below('pick_draw', 'size(products_0)')} AS INT) + 1"
-    taken = f"slice(concat({', '.join(lists)}), {start}, CAST(least(num_items, {available}) AS INT))"
-    cents = f"aggregate({taken}, 0L, (total, product) -> total + {_price_cents(seed, 'product')})"
     return conform(
-        rows.selectExpr(
+        amounts.selectExpr(
             "order_id",
-            "customer_id",
-            "org_0 AS org_id",
+            f"{below(draw(seed, 'customer of order', 'order_id'), customer_total)} + 1L AS customer_id",
+            f"{below(draw(seed, 'organization of order', 'order_id'), organization_total)} + 1L AS org_id",
             f"{days_before(as_of_date, draw(seed, 'order date', 'order_id'), 1, 365)} AS order_date",
-            f"{cents} / 100.0D AS total_amount",
-            "num_items",
+            "cents / 100.0D AS total_amount",
+            f"{count} AS num_items",
             f"{choice(draw(seed, 'status', 'order_id'), ORDER_STATUSES)} AS order_status",
         ),
         "orders",
@@ -243,31 +250,27 @@ def orders(
 def order_items(
     order_rows: DataFrame, product_rows: DataFrame, seed: int = DEFAULT_SEED, max_items: int = MAX_ITEMS
 ) -> DataFrame:
-    """Lines with distinct products of the order's organization.
+    """Lines with different products of the order's organization, every choice of them as likely.
 
-    An order gets ``num_items`` lines, or as many as its organization has products; the
-    lines take consecutive products from a start drawn per order. Works for any orders
-    and products; ``max_items`` must be at least the largest ``num_items``.
+    An order gets ``num_items`` lines, or as many as its organization has products. Works for
+    any orders and products; ``max_items`` must be at least the largest ``num_items``.
     """
     sizes = product_rows.groupBy("org_id").agg(F.count(F.lit(1)).alias("available"))
     numbered = number_within(product_rows.select("org_id", "product_id", "price"), "org_id", "product_id", "position")
     too_many = f"raise_error('an order has more than max_items={max_items} items')"
-    lines = (
-        join_hot_keys(order_rows.select("order_id", "org_id", "num_items"), sizes, "org_id", "order_id")
-        .selectExpr(
-            "order_id",
-            "org_id",
-            "available",
-            f"IF(num_items > {max_items}, CAST({too_many} AS BIGINT), least(num_items, available)) AS wanted",
-        )
-        .selectExpr("order_id", "org_id", "available", "explode(IF(wanted > 0, sequence(0L, wanted - 1L), NULL)) AS line")
-        .selectExpr(
-            "order_id",
-            "org_id",
-            "line",
-            f"({below(draw(seed, 'first line', 'order_id'), 'available')} + line) % available AS position",
-            f"{between(draw(seed, 'quantity', 'order_id', 'line'), 1, 5)} AS quantity",
-        )
+    offered = join_hot_keys(order_rows.select("order_id", "org_id", "num_items"), sizes, "org_id", "order_id").selectExpr(
+        "order_id",
+        "org_id",
+        "available",
+        f"IF(num_items > {max_items}, CAST({too_many} AS BIGINT), least(num_items, available)) AS wanted",
+    )
+    picked = distinct_picks(offered, seed, "product of line", "order_id", "wanted", "available", max_items)
+    lines = picked.select("order_id", "org_id", F.posexplode("picks").alias("line", "position")).selectExpr(
+        "order_id",
+        "org_id",
+        "CAST(line AS BIGINT) AS line",
+        "position",
+        f"{between(draw(seed, 'quantity', 'order_id', 'line'), 1, 5)} AS quantity",
     )
     return conform(
         lines.join(numbered, ["org_id", "position"]).selectExpr(
@@ -314,7 +317,7 @@ def dataset(
     """The five related tables."""
     org_rows = organizations(ids(spark, organization_count))
     product_rows = products(org_rows, as_of_date, seed)
-    order_rows = orders(ids(spark, order_count), customer_count, organization_count, as_of_date, seed)
+    order_rows = orders(ids(spark, order_count), product_rows, customer_count, organization_count, as_of_date, seed)
     return {
         "organizations": org_rows,
         "products": product_rows,

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.audit import audit_rows, create_audit_table, write_audit
+from tidemark.plans.reconcile import SAME, column_differences, conform
 from tidemark.session import side_by_side
-from tidemark.sources.lake import is_session_catalog, quote, replace_table, row_count, user_properties
+from tidemark.sources.lake import ensure_table, is_session_catalog, quote, replace_table, row_count, user_properties
 from tidemark.sources.schemas import LAKE_TABLES
 
 log = logging.getLogger(__name__)
@@ -28,10 +29,19 @@ def _properties_of(spark: SparkSession, name: str) -> dict[str, str]:
 
 
 def refresh_table(
-    spark: SparkSession, source: str, target: str, location: str | None = None, provider: str = "parquet"
+    spark: SparkSession,
+    source: str,
+    target: str,
+    location: str | None = None,
+    provider: str = "parquet",
+    columns: str = "source",
 ) -> tuple[int, int]:
     """Replace ``target`` by the rows of ``source``; returns both row counts.
 
+    A target that is not there is created first, with the source's columns and comments. One
+    that is takes over the source's columns, or with ``columns="target"`` keeps its own, with
+    what ``reconcile`` says about casts; if there is no safe one, the old rows stay.
+
     The source is counted while it is written, in the stage that writes: there Spark counts
     every task once even if an executor is lost. Another catalog may shuffle before it
     writes, where a repeated task would count twice, so there the source is counted first.
@@ -40,7 +50,16 @@ def refresh_table(
     """
     if source == target:
         raise ValueError(f"{source} cannot be refreshed from itself")
+    if columns not in ("source", "target"):
+        raise ValueError(f"columns must be 'source' or 'target', got {columns!r}")
     rows = spark.table(quote(source))
+    ensure_table(spark, source, target, provider=provider, location=location)
+    own = spark.table(quote(target)).schema
+    for difference in column_differences(rows.schema, own):
+        if difference.change != SAME:
+            log.info("%s and %s differ: %s", source, target, difference)
+    if columns == "target":
+        rows = conform(rows, own)
     carried = {k: v for k, v in _properties_of(spark, source).items() if k.startswith(GOVERNANCE_PREFIX)}
     if is_session_catalog(spark, target):
         written = Observation()
@@ -61,6 +80,7 @@ def refresh_tables(
     location: str | None = None,
     provider: str = "parquet",
     concurrency: int = 4,
+    columns: str = "source",
 ) -> DataFrame:
     """Refresh every table; one that fails is reported and does not stop the others."""
 
@@ -72,6 +92,7 @@ def refresh_tables(
                 f"{target_namespace}.{table}",
                 f"{location.rstrip('/')}/{table}" if location else None,
                 provider,
+                columns,
             )
         except Exception as error:
             log.warning("refresh of %s failed: %s", table, error)

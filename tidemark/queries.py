@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.hashing import below, choice, draw
 from tidemark.operators import sales
-from tidemark.plans import generate, governance, refresh
+from tidemark.plans import generate, governance, reconcile, refresh
 from tidemark.session import side_by_side, workspace
 from tidemark.sources import folders, lake, metadata
 from tidemark.sources.schemas import LAKE_TABLES, schema_of
@@ -119,9 +119,8 @@ def _generated_products(star: Star) -> DataFrame:
 
 
 def _generated_orders(star: Star) -> DataFrame:
-    return generate.orders(
-        _ids(star, "orders", "o_orderkey"), star.base("customer").count(), star.base("supplier").count(), AS_OF
-    )
+    totals = star.base("customer").count(), star.base("supplier").count()
+    return generate.orders(_ids(star, "orders", "o_orderkey"), _generated_products(star), *totals, AS_OF)
 
 
 @query
@@ -235,9 +234,10 @@ def declared_folder_read(spark: SparkSession, folder: str) -> DataFrame:
         "products": _generated_products(star),
         "customers": generate.customers(_ids(star, "customer", "c_custkey"), AS_OF),
         "orders": _generated_orders(star),
+        "order_items": generate.order_items(_generated_orders(star), _generated_products(star)),
     }
     lake.LakeWriter(base, "parquet").write_all(tables)
-    stored = {table: lake.LakeReader(spark, base, "parquet").read(table) for table in tables}
+    stored = lake.LakeReader(spark, base, "parquet").read_all()
     results = _compared(spark, tables, stored)
     lake.delete_folder(spark, base)
     return results
@@ -316,12 +316,11 @@ def replicate_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _part_of_lake(spark: SparkSession, folder: str, purpose: str) -> tuple[str, tuple[str, ...]]:
-    """A namespace with three of the tables, and a list that names one more."""
+    """A namespace with all tables but the products, and a list that names them as well."""
     name, location = _namespace(spark, purpose)
-    star = Star(spark, folder)
-    tables = {"organizations": star.organizations, "customers": star.customers, "orders": star.orders}
-    lake.LakeWriter(location, namespace=name).write_all(tables)
-    return name, (*tables, "products")
+    tables = Star(spark, folder).tables()
+    lake.LakeWriter(location, namespace=name).write_all({t: rows for t, rows in tables.items() if t != "products"})
+    return name, tuple(tables)
 
 
 @query
@@ -348,6 +347,40 @@ def refresh_partial_failure(spark: SparkSession, folder: str) -> DataFrame:
     return refresh.overall_status(results).withColumn("copied_rows", copied)
 
 
+#: What an older copy of the orders looks like.
+OLD_ORDERS = """order_id BIGINT, customer_id INT, org_id BIGINT, order_date TIMESTAMP_NTZ, total_amount DOUBLE,
+    num_items BIGINT, note STRING"""
+
+
+def _older_copy(spark: SparkSession, folder: str) -> tuple[str, str, str]:
+    """A source with orders and customers, and a target with an older copy of the orders."""
+    name, location = _namespace(spark, "newer")
+    star = Star(spark, folder)
+    lake.LakeWriter(location, namespace=name).write_all({"orders": star.orders, "customers": star.customers})
+    target, place = _namespace(spark, "older")
+    spark.sql(f"CREATE TABLE {target}.orders ({OLD_ORDERS}) USING parquet LOCATION {lake.literal(f'{place}/orders')}")
+    spark.sql(f"INSERT INTO {target}.orders VALUES (-1, 1, 1, TIMESTAMP_NTZ '2020-01-01 00:00:00', 1.5, 1, 'old')")
+    return name, target, place
+
+
+@query
+def column_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """How an older copy differs from its source, and the rows of both after a refresh that keeps its columns."""
+    source, target, place = _older_copy(spark, folder)
+    tables = ("orders", "customers")
+    found = reconcile.namespace_differences(spark, source, target, tables)
+    results = refresh.refresh_tables(spark, source, target, tables, place, columns="target")
+    return found.join(results.drop("error"), "table_name")
+
+
+@query
+def conformed_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders in a copy that kept its own columns and types."""
+    source, target, place = _older_copy(spark, folder)
+    refresh.refresh_table(spark, f"{source}.orders", f"{target}.orders", f"{place}/orders", columns="target")
+    return spark.table(f"{target}.orders")
+
+
 @query
 def refresh_twice(spark: SparkSession, folder: str) -> DataFrame:
     """Classified customers, refreshed twice, read by a role that may not see them."""

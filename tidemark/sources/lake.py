@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import logging
 import re
 import uuid
@@ -123,16 +124,16 @@ def table_place(spark: SparkSession, name: str) -> tuple[str, bool, str]:
     return detail["Location"].rstrip("/"), detail["Type"] == "MANAGED", detail["Provider"].lower()
 
 
-def delete_folder(spark: SparkSession, folder: str, keep: str | None = None) -> None:
-    """Delete a folder, or all in it but ``keep``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if keep is None:
-        files.delete(path(folder), True)
-        return
-    for child in files.listStatus(path(folder)):
-        if child.getPath().getName() != keep.rsplit("/", 1)[1]:
-            files.delete(child.getPath(), True)
+def _files(spark: SparkSession, folder: str):
+    """The file system of a folder, and its path with the scheme that the file system gives it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(path)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _files(spark, folder)
+    system.delete(path, True)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -144,6 +145,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 VERSION = "/version-"
+#: Of managed tables, whose folder goes with the table.
+BESIDE = "-version-"
 
 
 def _replace_in_session_catalog(
@@ -153,7 +156,8 @@ def _replace_in_session_catalog(
 
     A table with the same columns is switched by one change of its location, so readers
     always find it. With other columns the new table takes the old one's name after that
-    is dropped, which readers may notice for a moment. Old files go last.
+    is dropped, which readers may notice for a moment. The old folder stays for those who
+    still read it, until ``remove_old_folders``.
     """
     spark = frame.sparkSession
     version = uuid.uuid4().hex
@@ -166,9 +170,9 @@ def _replace_in_session_catalog(
         return
     old = spark.table(quote(name)).schema
     folder, managed, old_provider = table_place(spark, name)
-    root = folder.split(VERSION)[0]
+    root = re.sub(rf"({VERSION}|{BESIDE})[0-9a-f]{{32}}$", "", folder)
     # A managed table's folder goes with the table, so the new one is put beside it.
-    fresh = f"{location.rstrip('/') if location else root}{VERSION if location or not managed else '-version-'}{version}"
+    fresh = f"{location.rstrip('/') if location else root}{VERSION if location or not managed else BESIDE}{version}"
     try:
         frame.write.format(provider).save(fresh)
     except Exception:
@@ -194,8 +198,49 @@ def _replace_in_session_catalog(
         spark.sql(f"DROP TABLE {quote(name)}")
         spark.sql(f"ALTER TABLE {quote(following)} RENAME TO {quote(name)}")
     spark.catalog.refreshTable(quote(name))
-    inside = fresh.startswith(f"{folder}{VERSION}")
-    delete_folder(spark, folder, keep=fresh if inside else None)
+
+
+def _written(system, status) -> int:
+    """When a folder or file was finished, in milliseconds; stores need not date their folders."""
+    if status.isFile():
+        return status.getModificationTime()
+    inside = list(system.listStatus(status.getPath()))
+    done = [s.getModificationTime() for s in inside if s.getPath().getName() == "_SUCCESS"]
+    return max(done or [s.getModificationTime() for s in inside] or [status.getModificationTime()])
+
+
+def remove_old_folders(
+    spark: SparkSession, name: str, older_than: datetime.timedelta = datetime.timedelta(days=1)
+) -> list[str]:
+    """Delete what earlier replacements of a table left, if it went out of use so long ago; returns what.
+
+    A folder went out of use when the next one was finished. Folders newer than the table's own
+    stay, as a replacement may be writing them. Choose an age that no query lasts.
+    """
+    if not is_session_catalog(spark, name):
+        raise ValueError(f"{name} is in a catalog that keeps its own files")
+    folder = table_place(spark, name)[0]
+    system, current = _files(spark, folder)
+    parent, own = current.getParent(), current.getName()
+    if own.startswith(VERSION[1:]):
+        # The table's first files may be in the root itself.
+        found = [s for s in system.listStatus(parent) if s.isFile() or re.match(r"version-|[_.]|.+=", s.getPath().getName())]
+    elif BESIDE in own:
+        root = re.sub(rf"{BESIDE}[0-9a-f]{{32}}$", "", own)
+        found = [s for s in system.listStatus(parent) if re.match(rf"{re.escape(root)}({BESIDE}|$)", s.getPath().getName())]
+    else:
+        return []
+    times = {s.getPath().toString(): _written(system, s) for s in found}
+    now = times.pop(current.toString())
+    versions = sorted([t for path, t in times.items() if VERSION in path or BESIDE in path] + [now])
+    limit = (datetime.datetime.now(datetime.UTC) - older_than).timestamp() * 1000
+    removed = []
+    for path, written in times.items():
+        unused_since = next((t for t in versions if t > written), now)
+        if written <= now and unused_since <= limit:
+            system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+            removed.append(path)
+    return sorted(removed)
 
 
 def replace_table(

@@ -19,8 +19,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DataType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
+from tidemark.functions.types import lossless
 from tidemark.streaming import landing
 from tidemark.streaming.landing import BATCH, QUARANTINED, RAW, VALID, VERDICT, check_schema, kinds_of, whole_objects
 
@@ -221,44 +222,15 @@ def topic_counts(spark: SparkSession, target: str) -> DataFrame:
 # Compatibility of schemas
 
 
-WIDER: dict[str, tuple[str, ...]] = {
-    "tinyint": ("smallint", "int", "bigint", "float", "double"),
-    "smallint": ("int", "bigint", "float", "double"),
-    "int": ("bigint", "double"),
-    "bigint": (),
-    "float": ("double",),
-    "boolean": (),
-    "double": (),
-    "date": ("string",),
-    "timestamp": ("string",),
-    "timestamp_ntz": ("string",),
-    "string": (),
-}
-#: The decimal digits of whole numbers.
-DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
-
 BACKWARD, FORWARD, FULL, NONE = "BACKWARD", "FORWARD", "FULL", "NONE"
 
 
-def readable(written: DataType, read: DataType) -> bool:
-    """Whether every value of a field of one type is valid and unchanged for a field of another."""
-    source, target = written.simpleString(), read.simpleString()
-    if source == target or target in WIDER.get(source, ()):
-        return True
-    if target.startswith("decimal"):
-        whole = read.precision - read.scale
-        if source in DIGITS:
-            return whole >= DIGITS[source]
-        return source.startswith("decimal") and read.scale >= written.scale and whole >= written.precision - written.scale
-    return False
-
-
 def _reads(written: StructField | None, read: StructField | None) -> bool:
     if read is None:  # a field that the reader does not name stays in the raw message
         return True
     if written is None:
         return read.nullable
-    return readable(written.dataType, read.dataType) and (read.nullable or not written.nullable)
+    return lossless(written.dataType, read.dataType) and (read.nullable or not written.nullable)
 
 
 def _change(old: StructField | None, new: StructField | None) -> str:
@@ -267,9 +239,9 @@ def _change(old: StructField | None, new: StructField | None) -> str:
     if new is None:
         return "dropped"
     if old.dataType != new.dataType:
-        if readable(old.dataType, new.dataType):
+        if lossless(old.dataType, new.dataType):
             return "widened"
-        return "narrowed" if readable(new.dataType, old.dataType) else "retyped"
+        return "narrowed" if lossless(new.dataType, old.dataType) else "retyped"
     if old.nullable != new.nullable:
         return "made optional" if new.nullable else "made required"
     return "same"
