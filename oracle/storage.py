@@ -74,6 +74,25 @@ ORACLE = {
         SELECT table_name, CASE WHEN table_name = 'orders' THEN 'UPDATED' ELSE 'UNCHANGED' END AS status,
                CASE WHEN table_name = 'orders' THEN 'num_items' ELSE '' END AS added_columns, row_count
         FROM {COUNTS}""",
+    "register_grouped": STAR
+    + """SELECT order_id, customer_id, org_id, order_date, total_amount,
+                CASE WHEN order_id % 4 <> 0 THEN num_items END AS num_items,
+                CASE WHEN order_id % 4 <> 3 THEN order_status END AS order_status,
+                CASE order_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b old' WHEN 2 THEN 'c' ELSE '0 late' END AS folder,
+                CASE WHEN order_id % 2 = 0 THEN 'orders' ELSE 'orders_b_old' END AS table_name
+         FROM s_orders""",
+    "compacted_audit": STAR
+    + """SELECT count(*) AS late_rows, CAST(sum(order_id) AS BIGINT) AS late_ids, true AS had_many_files,
+                CAST(1 AS BIGINT) AS files
+         FROM s_orders WHERE order_date >= DATE '1997-01-01'""",
+    "changed_rows": STAR
+    + """SELECT order_id, 'changed' AS difference FROM s_orders
+         WHERE order_id % 1000 = 7 OR (order_id % 1000 = 8 AND order_status IS NOT NULL)
+         UNION ALL SELECT order_id, 'missing' FROM s_orders WHERE order_id % 1000 = 9
+         UNION ALL SELECT -order_id, 'extra' FROM s_orders WHERE order_id % 1000 = 9""",
+    "verified_refresh": f"""
+        SELECT table_name, 'OK' AS status, row_count AS source_rows, row_count AS target_rows,
+               CAST(NULL AS VARCHAR) AS error FROM {COUNTS}""",
     "replicate_status": f"""
         SELECT table_name, 'OK' AS status, row_count AS source_rows, row_count AS target_rows FROM {COUNTS}""",
     "audit_log": f"""

@@ -1,0 +1,105 @@
+"""Packing of small files, compaction of the audit table, and retried appends."""
+
+import datetime
+import types
+import uuid
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.plans import audit, layout
+from tidemark.sources import lake
+
+
+@given(st.lists(st.integers(0, 300), max_size=60), st.integers(1, 200))
+def test_packing_keeps_every_file_once_and_fills_bins(sizes, target):
+    bins = layout.packed(sizes, target)
+    assert sorted(i for members in bins for i in members) == list(range(len(sizes)))
+    for members in bins:
+        assert sum(sizes[i] for i in members) <= target or len([i for i in members if sizes[i]]) == 1
+    # Of any two bins at most one is half empty.
+    assert sum(sum(sizes[i] for i in members) <= target / 2 for members in bins) <= 1
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    name = f"ns_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{tmp_path}/db'")
+    audit.create_audit_table(spark, f"{name}.audit_stats", f"{tmp_path}/audit")
+    return f"{name}.audit_stats"
+
+
+def run_rows(spark, run, copies=3):
+    ddl = "source_table STRING, source_row_count BIGINT, target_table STRING, target_row_count BIGINT, error_message STRING"
+    rows = spark.createDataFrame([(f"t{i}", run, "c", run, None) for i in range(copies)], ddl)
+    when = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(hours=run)
+    return audit.audit_rows(rows, f"run-{run}", when)
+
+
+def test_fifty_runs_leave_few_files_and_all_rows(spark, table):
+    most = 0
+    for run in range(50):
+        assert audit.write_audit(run_rows(spark, run), table)
+        most = max(most, len(lake.table_files(spark, table)))
+    assert most <= layout.LEAST_SAVED + 1
+    assert spark.table(table).count() == 150
+    rows = spark.table(table).groupBy("job_run_id").count().collect()
+    assert len(rows) == 50 and {row["count"] for row in rows} == {3}
+    assert lake.table_properties(spark, table)[layout.ORDER_PROPERTY] == "audit_ts DESC"
+
+
+def scanned_rows(frame):
+    """The rows that came out of the scans of a query that has run, as the scan counts them."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        found = leaf.executedPlan().collectLeaves() if leaf.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else None
+        for node in [leaf] if found is None else [found.apply(k) for k in range(found.size())]:
+            total += node.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_a_filter_on_the_sort_order_skips_files(spark, table):
+    """With a target of a few rows a file, a filter on the time reads only the files that have it."""
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{layout.TARGET_PROPERTY}' = '20000')")
+    for run in range(20):
+        run_rows(spark, run, 400).coalesce(1).write.insertInto(table)
+    before, after = layout.compact_table(spark, table, least_saved=1)
+    assert before == 20 and 1 < after < 20
+    assert layout.compact_table(spark, table, least_saved=before) == (after, after)
+    late = spark.table(table).where("audit_ts >= TIMESTAMP '2026-01-01 18:00:00'").select("source_table")
+    assert late.count() == 800
+    assert 800 <= scanned_rows(late) < 8000
+    assert spark.table(table).count() == 8000
+
+
+def test_nothing_is_rewritten_for_few_files(spark, table):
+    audit.write_audit(run_rows(spark, 1), table)
+    files = lake.table_files(spark, table)
+    assert layout.compact_table(spark, table) == (len(files), len(files))
+    assert lake.table_files(spark, table) == files
+
+
+def test_an_append_is_tried_again(spark, table, monkeypatch):
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('commit.retry.num-retries' = '2')")
+    writer, failures, waits = type(spark.range(1).write), [OSError("busy"), OSError("busy")], []
+    real = writer.insertInto
+
+    def flaky(self, *args, **more):
+        if failures:
+            raise failures.pop()
+        return real(self, *args, **more)
+
+    monkeypatch.setattr(writer, "insertInto", flaky)
+    monkeypatch.setattr(audit, "time", types.SimpleNamespace(sleep=waits.append))
+    assert audit.write_audit(run_rows(spark, 1), table)
+    assert waits == [0.2, 0.4] and spark.table(table).count() == 3
+    failures += [OSError("down")] * 3
+    assert audit.write_audit(run_rows(spark, 2), table) is False
+    assert spark.table(table).count() == 3
+    assert spark.table(table).agg(F.max("job_run_id")).first()[0] == "run-1"

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime
 import logging
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.lake import literal, quote
+from tidemark.plans.layout import compact_table
+from tidemark.sources.lake import is_session_catalog, literal, quote, remove_old_folders, user_properties
 from tidemark.sources.schemas import TABLE_DDL, schema_of
 
 log = logging.getLogger(__name__)
@@ -59,11 +61,36 @@ def audit_rows(copies: DataFrame, run_id: str, audited_at: datetime.datetime | N
 
 
 def write_audit(rows: DataFrame, name: str) -> bool:
-    """Append one run's rows, newest first; a failure is logged and never stops the job."""
+    """Append one run's rows, newest first, with the table's own settings for retries and layout.
+
+    A failure is logged and never stops the job. When runs have left many small files, the table is
+    rewritten in few sorted ones, and what has been out of use for a day is removed.
+    """
+    spark = rows.sparkSession
     try:
+        settings = {**AUDIT_PROPERTIES, **user_properties(spark, name)}
+        attempts = 1 + int(settings["commit.retry.num-retries"])
+        wait, most = (int(settings[f"commit.retry.{bound}-wait-ms"]) / 1000 for bound in ("min", "max"))
         ordered = rows.select(*schema_of("audit_stats").fieldNames())
-        ordered.repartition("job_run_id").sortWithinPartitions(F.desc("audit_ts")).write.insertInto(quote(name))
-        return True
+        # The rows are made once, so a second attempt appends the same ones.
+        ordered = spark.createDataFrame(ordered.collect(), ordered.schema).coalesce(1).sortWithinPartitions(F.desc("audit_ts"))
+        for attempt in range(attempts):
+            try:
+                ordered.write.insertInto(quote(name))
+                break
+            except Exception:
+                if attempt == attempts - 1:
+                    raise
+                log.warning("audit rows not written to %s, trying again", name, exc_info=True)
+                time.sleep(min(wait * 2**attempt, most))
     except Exception:
         log.exception("audit rows not written to %s", name)
         return False
+    try:
+        if is_session_catalog(spark, name):
+            before, after = compact_table(spark, name)
+            if settings["write.metadata.delete-after-commit.enabled"] == "true" and after < before:
+                remove_old_folders(spark, name)
+    except Exception:
+        log.exception("audit table %s not compacted", name)
+    return True

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.hashing import below, choice, draw
 from tidemark.operators import sales
-from tidemark.plans import generate, governance, reconcile, refresh
+from tidemark.plans import audit, generate, governance, layout, reconcile, refresh, verify
 from tidemark.session import side_by_side, workspace
 from tidemark.sources import folders, lake, metadata
 from tidemark.sources.schemas import LAKE_TABLES, schema_of
@@ -301,6 +301,91 @@ def register_folders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def register_grouped(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders in subfolders of two kinds that do not fit together, registered as two tables; their rows.
+
+    One subfolder has a column more, one comes after the first call, and two write amounts as text.
+    """
+    name, location = _namespace(spark, "grouped")
+    orders = Star(spark, folder).orders
+    as_text = orders.withColumn("total_amount", F.col("total_amount").cast("decimal(18,2)").cast("string"))
+    parts = {
+        "a": orders.where("order_id % 4 = 0").drop("num_items"),
+        "b old": as_text.where("order_id % 4 = 1"),
+        "c": orders.where("order_id % 4 = 2"),
+    }
+    for part, rows in parts.items():
+        lake.write_folder(rows, f"{location}/orders/{part}")
+    folders.register_grouped(spark, name, "orders", f"{location}/orders")
+    lake.write_folder(as_text.where("order_id % 4 = 3").drop("order_status"), f"{location}/orders/0 late")
+    folders.register_grouped(spark, name, "orders", f"{location}/orders")
+    shown = []
+    for table in ("orders", "orders_b_old"):
+        rows = spark.table(f"{name}.{table}").withColumn("table_name", F.lit(table))
+        shown.append(rows.withColumn("total_amount", F.col("total_amount").cast("double")))
+    return shown[0].unionByName(shown[1], allowMissingColumns=True).withColumnRenamed("_folder", "folder")
+
+
+@query
+def compacted_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """An audit table after many appended runs, with one row for each order, and a rewrite in few files.
+
+    The rows that a filter on their time leaves, and how many files the table has.
+    """
+    name, location = _namespace(spark, "compacted")
+    table = f"{name}.audit_stats"
+    audit.create_audit_table(spark, table, f"{location}/audit")
+    orders = Star(spark, folder).orders
+    runs = 20
+    for run in range(runs):
+        some = orders.where(F.col("order_id") % runs == run).select(
+            F.col("order_date").cast("timestamp").alias("audit_ts"),
+            F.concat(F.lit("run-"), F.lit(run)).alias("job_run_id"),
+            F.lit("orders").alias("source_table"),
+            F.col("order_id").alias("source_row_count"),
+            F.lit("copy").alias("target_table"),
+            F.col("order_id").alias("target_row_count"),
+            F.lit("COMPLETE").alias("sync_status"),
+            F.lit(None).cast("string").alias("error_message"),
+        )
+        some.coalesce(1).write.insertInto(table)
+    before, after = layout.compact_table(spark, table)
+    late = spark.table(table).where("audit_ts >= TIMESTAMP '1997-01-01'")
+    sums = late.agg(F.count(F.lit(1)).alias("late_rows"), F.sum("source_row_count").alias("late_ids"))
+    return sums.select("*", F.lit(before >= runs).alias("had_many_files"), F.lit(after).cast("bigint").alias("files"))
+
+
+@query
+def changed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Which orders differ between a table and a copy with as many rows.
+
+    Some amounts were changed, some statuses lost, and for each missing order there is one too many.
+    """
+    orders = Star(spark, folder).orders
+    key = F.col("order_id")
+    amount = F.when(key % 1000 == 7, F.col("total_amount") + 1).otherwise(F.col("total_amount"))
+    status = F.when(key % 1000 != 8, F.col("order_status"))
+    copy = orders.withColumns({"total_amount": amount, "order_status": status})
+    copy = copy.withColumn("order_id", F.when(key % 1000 == 9, -key).otherwise(key))
+    return verify.differences(orders, copy, ["order_id"])
+
+
+@query
+def verified_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """A refresh whose contents are verified by key while it is written."""
+    source = _sources(spark, folder, "source")
+    target, location = _namespace(spark, "verified")
+    keys = {
+        "organizations": ["org_id"],
+        "products": ["product_id"],
+        "customers": ["customer_id"],
+        "orders": ["order_id"],
+        "order_items": ["order_item_id"],
+    }
+    return refresh.refresh_tables(spark, source, target, location=location, keys=keys)
+
+
 def _sources(spark: SparkSession, folder: str, purpose: str) -> str:
     """A namespace with the lake's tables, written once."""
     name, location = _namespace(spark, purpose)

@@ -25,6 +25,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.int96RebaseModeInWrite": "CORRECTED",
+    # Files keep the least and the largest of these, so filters on a time skip the others.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.sources.partitionOverwriteMode": "static",
 }
 

@@ -136,6 +136,17 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
+def table_files(spark: SparkSession, name: str) -> list[tuple[str, int]]:
+    """Path and bytes of each data file of a session-catalog table; no file is opened."""
+    system, folder = _files(spark, table_place(spark, name)[0])
+    found, listing = [], system.listFiles(folder, True)
+    while listing.hasNext():
+        status = listing.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            found.append((status.getPath().toString(), status.getLen()))
+    return sorted(found)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, such as a metadata document, in any file system that Spark knows."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
