@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from conftest import frame_of
 
-from tidemark.llm import minmax
+from tidemark.llm import links, minmax, sketches
 
 COLUMNS = ["doc_id", "n_shingles", "component_id", "kept"]
 
@@ -49,7 +49,7 @@ def copies(n=150, length=70):
     return rows
 
 
-@pytest.mark.parametrize("block_bytes", [500, minmax.BLOCK_BYTES])
+@pytest.mark.parametrize("block_bytes", [500, links.BLOCK_BYTES])
 def test_near_duplicates(spark, odd, same, block_bytes):
     rows = odd[1] + copies()
     docs = frame_of(spark, [(row["doc_id"], row["text"], row["source"]) for row in rows])
@@ -106,11 +106,13 @@ def test_sketches_rule_out_no_link():
         tokens = rng.integers(0, 2**64, shared + x + y, dtype=np.uint64)
         a = np.unique(tokens[: shared + x])
         b = np.unique(np.concatenate((tokens[:shared], tokens[shared + x :])))
-        links = bool(minmax.similar([a], [b])[0])
-        assert links == (100 * shared >= 80 * (shared + x + y))
-        flag = bool(minmax.plausible([minmax.sketch(a)], [minmax.sketch(b)])[0])
-        assert flag or not links
-        ruled_out += not flag and not links
+        is_link = bool(minmax.similar([a], [b])[0])
+        assert is_link == (100 * shared >= 80 * (shared + x + y))
+        per = int(rng.choice([1, 4, 16]))
+        similar = links.matched(lambda held: sketches.Sketches(held, 80))
+        flag = bool(similar([sketches.sketch(a, per)], [sketches.sketch(b, per)])[0])
+        assert flag or not is_link
+        ruled_out += not flag and not is_link
     assert ruled_out > 100
 
 

@@ -23,6 +23,7 @@ from tidemark.llm import (
     quality_model,
     rules,
     simple8b,
+    sketches,
     substring,
     token_files,
     tokens,
@@ -186,15 +187,13 @@ def test_signatures_meet():
         for tokens in (x, y):
             hashed = np.array(sorted((t * 0x9E3779B97F4A7C15 % 2**64, t) for t in tokens), dtype=object)
             values = np.array([h for h, _ in hashed], dtype=np.uint64)
-            entries, whole = jaccard.signature(values, np.array([t in frequent for _, t in hashed]))
-            found.append((set(entries.tolist()), np.array([2 * len(tokens) + whole])))
-        assert len(found[0][0] & found[1][0]) >= max(1, jaccard.needed(found[0][1], found[1][1])[0])
+            found.append(set(jaccard.signature(values, np.array([t in frequent for _, t in hashed])).tolist()))
+        assert found[0] & found[1]
 
 
-@pytest.mark.parametrize("hot", [3, 512])
-def test_links_between_pivots(spark, same, monkeypatch, hot):
+@pytest.mark.parametrize("block_bytes", [300, links.BLOCK_BYTES])
+def test_links_between_pivots(spark, same, block_bytes):
     """A chain whose ends are not similar, and a shared passage that many unlike texts have."""
-    monkeypatch.setattr(links, "HOT_BLOCK", 7)
     base = [f"w{i}" for i in range(200)]
     rows = []
     for i in range(30):  # each differs from the next by one word, from the last by many
@@ -202,7 +201,7 @@ def test_links_between_pivots(spark, same, monkeypatch, hot):
         rows.append((i, " ".join(text), None))
     for i in range(60):
         rows.append((100 + i, " ".join(base[:40] + [f"u{i}-{j}" for j in range(12)]), None))
-    found = jaccard.near_duplicates(frame_of(spark, rows), frequent_share=4, hot=hot)
+    found = jaccard.near_duplicates(frame_of(spark, rows), frequent_share=4, block_bytes=block_bytes)
     expected = brute.near([dict(zip(("doc_id", "text", "source"), r)) for r in rows])
     same(found.select(doc_id(), "component_id"), ["doc_id", "component_id"], [(e[0], e[2]) for e in expected])
 
@@ -522,6 +521,7 @@ def test_packed_signatures_round_trip():
 
 
 def test_sketches_never_lose_a_link():
+    plausible = links.matched(lambda held: sketches.Sketches(held, jaccard.SIMILARITY))
     rng = np.random.default_rng(7)
     for size in (3, 40, 700, 9000):
         base = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
@@ -529,8 +529,9 @@ def test_sketches_never_lose_a_link():
         for _ in range(40):
             kept = base[rng.random(len(base)) < rng.choice((0.7, 0.85, 0.95))]
             others.append(np.unique(np.append(kept, rng.integers(0, 2**64, size // 10, dtype=np.uint64))))
-        flags = jaccard.plausible([jaccard.sketch(base)] * 40, [jaccard.sketch(o) for o in others])
+        flags = plausible([sketches.sketch(base, jaccard.CELLS)] * 40, [sketches.sketch(o, jaccard.CELLS) for o in others])
         linked = jaccard._similar([base] * 40, others)
         assert not (linked & ~flags).any()
     unlike = [np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(50)]
-    assert not jaccard.plausible([jaccard.sketch(unlike[0])] * 49, [jaccard.sketch(u) for u in unlike[1:]]).any()
+    one, *rest = [sketches.sketch(u, jaccard.CELLS) for u in unlike]
+    assert not plausible([one] * 49, rest).any()

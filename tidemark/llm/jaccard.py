@@ -37,24 +37,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.links import HOT, PACKED, buckets_for, few, linked, packed_signatures
+from tidemark.llm.links import BLOCK_BYTES, PACKED, buckets_for, few, linked, packed_signatures, verified
+from tidemark.llm.sketches import Sketches, sketch
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
 
 SHINGLE = 5
 #: A shingle in one of so many sets is frequent.
 FREQUENT_SHARE = 1000
-#: Bytes of sketches that are compared in one go.
-SKETCH_BYTES = 1 << 20
+#: The intersection is at least so many hundredths of the union.
+SIMILARITY = 75
+#: Cells of a sketch for each shingle, at least.
+CELLS = 4
 #: Shingles that are counted together before the counts are sent.
 COUNT_AT_ONCE = 2_000_000
 
 SETS = "last_id boolean, id long, digest long, n_shingles long, node long, sketch binary, token long, sets long"
-#: A sketch has a cell of 2 bits for each two shingles at least.
-LEAST_CELLS = 64
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -78,52 +79,6 @@ def _name(tokens: np.ndarray) -> np.uint64:
         return mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))]))[0]
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """The size of a set, and how many of its shingles are in each cell, up to 3.
-
-    A cell is a range of hashes. The number of cells is a power of two that grows with the
-    set, so a sketch says about as much of a large set as of a small one.
-    """
-    cells = LEAST_CELLS
-    while 2 * cells < len(tokens):
-        cells *= 2
-    place = (tokens >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
-    counts = np.minimum(np.bincount(place, minlength=cells), 3).astype(np.uint8)
-    packed = counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6
-    return len(tokens).to_bytes(4, "little") + packed.tobytes()
-
-
-def _cells(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and cells of sketches of one length."""
-    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    sizes = np.ascontiguousarray(rows[:, :4]).view(np.uint32).ravel().astype(np.int64)
-    counts = np.stack([rows[:, 4:] >> shift & 3 for shift in (0, 2, 4, 6)], axis=2)
-    return sizes, counts.reshape(len(sketches), -1).astype(np.int8)
-
-
-def plausible(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
-    """Which pairs of sets could link: what is over in a cell of one is not in the other."""
-    flags = np.zeros(len(lefts), dtype=bool)
-    kinds: dict[tuple[int, int], list[int]] = {}
-    for i, pair in enumerate(zip(lefts, rights)):
-        kinds.setdefault((len(pair[0]), len(pair[1])), []).append(i)
-    for kind, members in kinds.items():
-        step = max(1, SKETCH_BYTES // max(kind))
-        for begin in range(0, len(members), step):
-            some = members[begin : begin + step]
-            (n, x), (m, y) = _cells([lefts[i] for i in some]), _cells([rights[i] for i in some])
-            # Two neighbouring cells make one of the next smaller number of cells.
-            while x.shape[1] > y.shape[1]:
-                x = np.minimum(x[:, 0::2] + x[:, 1::2], 3)
-            while y.shape[1] > x.shape[1]:
-                y = np.minimum(y[:, 0::2] + y[:, 1::2], 3)
-            over = np.maximum(x - y, 0).sum(axis=1, dtype=np.int64)
-            under = np.maximum(y - x, 0).sum(axis=1, dtype=np.int64)
-            most = np.minimum(n - over, m - under)
-            flags[some] = 100 * most >= 75 * (n + m - most)
-    return flags
-
-
 def _collect(share: int):
     names = [field.split()[0] for field in SETS.split(", ")]
 
@@ -146,7 +101,7 @@ def _collect(share: int):
                 none = pa.nulls(len(sets), pa.int64())
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 key = [part.column(name) for name in names[:3]]
-                drawn = pa.array([sketch(s) for s in sets], pa.binary())
+                drawn = pa.array([sketch(s, CELLS) for s in sets], pa.binary())
                 columns = [*key, pa.array(sizes), pa.array(nodes.view(np.int64)), drawn, none, none]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 for tokens, node in zip(sets, nodes.tolist()):
@@ -163,16 +118,16 @@ def _collect(share: int):
     return run
 
 
-def signature(tokens: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The index entries of a set, prefix shingles and combinations, and whether it has all rare ones of a prefix."""
+def signature(tokens: np.ndarray, is_frequent: np.ndarray) -> np.ndarray:
+    """The index entries of a set: rare shingles of its prefix, and combinations of frequent ones."""
     size = len(tokens)
     differing = size - -(-3 * size // 4)
     rare, frequent = tokens[~is_frequent], tokens[is_frequent]
     single = rare[: differing + 1]
     if len(rare) > differing:
-        return single, True
+        return single
     extended = frequent[: size // 2 + 2]
-    return np.concatenate((single, joined(extended[:-1], extended[1:]))), False
+    return np.concatenate((single, joined(extended[:-1], extended[1:])))
 
 
 def _signatures(frequent, buckets: int):
@@ -189,10 +144,9 @@ def _signatures(frequent, buckets: int):
                     if int(node) in seen:
                         continue
                     seen.add(int(node))
-                    entries, whole = signature(tokens, often[np.searchsorted(often, tokens)] == tokens)
+                    entries = signature(tokens, often[np.searchsorted(often, tokens)] == tokens)
                     keys.append(entries)
-                    # The lowest bit of the size that is sent tells whether the prefix is whole.
-                    sizes.append(np.full(len(entries), 2 * len(tokens) + whole))
+                    sizes.append(np.full(len(entries), len(tokens)))
                     nodes.append(np.full(len(entries), node))
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -204,24 +158,9 @@ def _signatures(frequent, buckets: int):
     return run
 
 
-def compatible(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    return 100 * (small >> 1).astype(np.int64) >= 75 * (large >> 1).astype(np.int64)
-
-
-def needed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many rare prefix shingles two sets with whole prefixes share at least if they link.
-
-    Of the set whose prefix ends first in the common order, every shared shingle that is in
-    the prefix is in the other's as well. So the intersection, which has at least 3/7 of both
-    sizes, is at most what the prefixes share and what either set has behind its prefix.
-    """
-    x, y = (left >> 1).astype(np.int64), (right >> 1).astype(np.int64)
-
-    def behind(size: np.ndarray) -> np.ndarray:
-        return -(-3 * size // 4) - 1
-
-    need = -(-3 * (x + y) // 7) - np.maximum(behind(x), behind(y))
-    return np.where(left & right & 1, np.maximum(need, 1), 1)
+def fits(left: Column, right: Column) -> Column:
+    """Whether sets of two sizes could link."""
+    return 100 * F.least(left, right).cast("long") >= SIMILARITY * F.greatest(left, right).cast("long")
 
 
 def _prepare(texts: pa.Array) -> list[np.ndarray]:
@@ -245,12 +184,12 @@ def _similar(pivots: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
         hits = np.concatenate(([0], np.cumsum(pivot[place] == tokens)))
         edges = np.concatenate(([0], np.cumsum(sizes)))
         both = hits[edges[1:]] - hits[edges[:-1]]
-        flags[begin:end] = 100 * both >= 75 * (sizes + len(pivot) - both)
+        flags[begin:end] = 100 * both >= SIMILARITY * (sizes + len(pivot) - both)
         begin = end
     return flags
 
 
-def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``KEY``, ``n_shingles``, ``component_id`` and ``component`` of each row of ``docs``.
 
     ``component`` names the component; it is null for a document without words.
@@ -278,10 +217,15 @@ def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE, hot:
         return saved(texts.join(few(one), KEY).select("node", "text").dropDuplicates(["node"]), "texts")
 
     sketches = collected.where("n_shingles > 2").select("node", F.col("sketch").alias("text"))
-    sketches = saved(sketches.dropDuplicates(["node"]), "sketches")
-    labels = linked(
-        signatures, texts_of, compatible, _prepare, _similar, sketches, plausible, needed=needed, hot=hot
-    )
+
+    def sketches_of(nodes: DataFrame) -> DataFrame:
+        return saved(sketches.join(few(nodes), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        return saved(verified(pairs, texts_of(saved(ends.distinct(), "nodes")), _prepare, _similar), "edges")
+
+    labels = linked(signatures, fits, sketches_of, lambda held: Sketches(held, SIMILARITY), confirm, block_bytes)
     # Equal sets are one node; sets that are linked with no other are their own component.
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")
     labelled = saved(sets.join(labels, "node", "left").select(*KEY, "n_shingles", component), "labelled")

@@ -3,33 +3,31 @@
 Two nodes may be similar only if they share a signature. Their components are found without
 listing all pairs of those that share one:
 
-1. Every node that shares a signature is compared with the smallest that does (a star; first
-   within its chunk of texts, then the chunks' smallest among each other), and the similar
-   ones are joined into components.
-2. Where a comparison failed, the nodes of that signature in different components are
-   compared with their neighbours by size, and components are joined again.
-3. The nodes of a signature that very many share are compared where they are: blocks of
-   them are brought together, by the smallest node of the signature, and joined as they are
-   found similar; only the links come out.
-4. What is left are pairs of nodes that share a signature, are of compatible size and still
-   are in different components. They are counted by the signatures that they share, which
-   must be enough to be similar, and compared.
-
-A pair that is never compared is in one component already, so the components are exactly
-those of all similar pairs. Large groups of near copies end after the first step.
+1. Each signature gets a pivot: of its nodes the one with most company, which is the number
+   of nodes in all signatures that it has. Of a group of near copies that is the one
+   nearest to their origin, to which nearly all link that link at all. Every node is compared
+   with its pivots, and the similar ones are joined into components.
+2. Where the nodes of a pivot are then in different components, those of different
+   components are compared inside tasks, in blocks of bounded size, by a matcher that works
+   on arrays. What it finds comes out, and is confirmed where the matcher only rules out.
+
+Two nodes that share a signature share its pivot. So a pair that is never compared is in one
+component already, and the components are exactly those of all similar pairs. The first step
+grows with the nodes and their signatures. The second compares what is left of a group pairwise,
+but lists no pairs that the matcher rules out.
 
 Signatures are sent packed, in buckets of about a million by their high bits; a task holds one
-bucket at a time. What the later steps read is sorted: the second step keeps one row of
-each signature at a time, the third two blocks of nodes, the fourth one signature's nodes.
+bucket at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -37,14 +35,8 @@ from tidemark.llm.storage import saved
 
 #: Members that one task compares with one pivot in a row; more are spread over salts.
 PIVOT_ROWS = 256
-#: Rows of the third step's blocks of pairs.
-BLOCK = 1024
-#: Keys with so many rows at most are paired together.
-SHORT = 64
-#: A signature that more nodes share goes through the third step.
-HOT = 512
-#: Nodes of a block of the third step.
-HOT_BLOCK = 2048
+#: Bytes in a block of members that are compared with each other.
+BLOCK_BYTES = 16 << 20
 #: Signatures in a bucket, about.
 BUCKET_SIGNATURES = 1 << 20
 #: A table of nodes (of a few numbers a row) with more rows is not broadcast.
@@ -52,9 +44,15 @@ FEW_ROWS = 300_000
 
 #: Signatures of one chunk that go to one bucket, packed.
 PACKED = "bucket int, packed binary"
-STAR = "key long, a long, a_size int, b long, b_size int, fits boolean"
+STAR = "key long, a long, a_size int, b long, b_size int"
 PAIR = "a long, b long"
-COUNTED = "a long, b long, need int"
+
+
+class Matcher(Protocol):
+    """Some payloads, held for comparing them with each other."""
+
+    def linkable(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the numbers ``others`` whose payloads match the one numbered ``i``."""
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -120,12 +118,11 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, node[place], size[place].astype(np.int32)
 
 
-def _stars(compatible: Callable):
-    """Compare each head of a bucket with the first head of its signature."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed signatures in the order of their buckets: each node with the first one of its signature."""
 
     def star(key, a, a_size, b, b_size) -> pa.RecordBatch:
-        fits = compatible(np.minimum(a_size, b_size), np.maximum(a_size, b_size))
-        return _batch(STAR, key.view(np.int64), a.view(np.int64), a_size, b.view(np.int64), b_size, fits)
+        return _batch(STAR, key.view(np.int64), a.view(np.int64), a_size, b.view(np.int64), b_size)
 
     def of_bucket(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, node, size = (np.concatenate(column) for column in zip(*parts))
@@ -146,121 +143,21 @@ def _stars(compatible: Callable):
         if len(at):
             yield star(key[at], node[first[at]], size[first[at]], node[at], size[at])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, parts = None, []
-        for batch in batches:
-            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, node, size = _unpack(packed)
-                if len(node) > len(key):  # heads and the nodes that they were compared with
-                    half = len(key)
-                    yield star(key, node[:half], size[:half], node[half:], size[half:])
-                    continue
-                if number != bucket and parts:
-                    yield from of_bucket(parts)
-                    parts = []
-                bucket = number
-                parts.append((key, node, size))
-        if parts:
-            yield from of_bucket(parts)
-
-    return run
-
-
-def _neighbours(compatible: Callable, agree: Callable):
-    """Of rows (key, size, node, component, hint) in that order: neighbours in different components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
+    bucket, parts = None, []
+    for batch in batches:
+        for number, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            key, node, size = _unpack(packed)
+            if len(node) > len(key):  # heads and the nodes that they stand for
+                half = len(key)
+                yield star(key, node[:half], size[:half], node[half:], size[half:])
                 continue
-            columns = [batch.column(i).to_numpy() for i in range(5)]
-            if last is not None:
-                columns = [np.append(x, y) for x, y in zip(last, columns)]
-            key, size, node, component, hint = columns
-            near = (key[1:] == key[:-1]) & (component[1:] != component[:-1]) & compatible(size[:-1], size[1:])
-            near &= agree(hint[:-1], hint[1:])
-            at = np.flatnonzero(near)
-            if len(at):
-                a, b = node[at], node[at + 1]
-                yield _batch(PAIR, np.minimum(a, b), np.maximum(a, b))
-            last = [column[-1] for column in columns]
-
-    return run
-
-
-def _all_pairs(compatible: Callable, agree: Callable, needed: Callable):
-    """Of rows (key, size, node, component, hint) in that order: all pairs in different components.
-
-    With each pair come the signatures that it needs to share to be similar.
-    """
-
-    def counted(a, b, a_size, b_size) -> pa.RecordBatch:
-        need = needed(a_size, b_size).astype(np.int32)
-        return _batch(COUNTED, np.minimum(a, b), np.maximum(a, b), need)
-
-    def of_key(size, node, component, hint) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(node), BLOCK):
-            for j in range(i, len(node), BLOCK):
-                left, right = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                if not compatible(size[left][-1:], size[right][:1])[0] and size[left][-1] < size[right][0]:
-                    break  # sizes ascend: no later block is compatible either
-                wanted = component[left, None] != component[None, right]
-                wanted &= compatible(
-                    np.minimum(size[left, None], size[None, right]), np.maximum(size[left, None], size[None, right])
-                )
-                if i == j:
-                    wanted &= np.triu(np.ones(wanted.shape, dtype=bool), 1)
-                x, y = np.nonzero(wanted)
-                agreed = agree(hint[left][x], hint[right][y])
-                x, y = x[agreed], y[agreed]
-                if len(x):
-                    yield counted(node[left][x], node[right][y], size[left][x], size[right][y])
-
-    def of_short(key, size, node, component, hint) -> Iterator[pa.RecordBatch]:
-        """All pairs of keys with few rows: each row with the one 1, 2, ... places on, as far as its key goes."""
-        last = np.append(np.flatnonzero(key[1:] != key[:-1]), len(key) - 1)
-        end = last[np.searchsorted(last, np.arange(len(key)))]
-        left, step = np.arange(len(key)), 1
-        while True:
-            left = left[left + step <= end[left]]
-            if not len(left):
-                return
-            right = left + step
-            wanted = (component[left] != component[right]) & compatible(size[left], size[right])
-            wanted &= agree(hint[left], hint[right])
-            if wanted.any():
-                x, y = left[wanted], right[wanted]
-                yield counted(node[x], node[y], size[x], size[y])
-            step += 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the rows of the key that may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy() for i in range(5)]
-            key = columns[0]
-            if held and held[0][0][0] == key[0] == key[-1]:
-                held.append(columns)
-                continue
-            if held:
-                columns = [np.concatenate(c) for c in zip(*held, columns)]
-                key = columns[0]
-            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            length = np.diff(np.append(edges, len(key)))
-            held = [[column[edges[-1] :] for column in columns]]
-            edges, length = edges[:-1], length[:-1]
-            short = np.repeat(length <= SHORT, length)
-            done = [column[: len(short)][short] for column in columns]
-            if len(done[0]):
-                yield from of_short(*done)
-            for begin, rows in zip(edges[length > SHORT].tolist(), length[length > SHORT].tolist()):
-                yield from of_key(*[column[begin : begin + rows] for column in columns[1:]])
-        if held:
-            yield from of_key(*[np.concatenate(c) for c in zip(*held)][1:])
-
-    return run
+            if number != bucket and parts:
+                yield from of_bucket(parts)
+                parts = []
+            bucket = number
+            parts.append((key, node, size))
+    if parts:
+        yield from of_bucket(parts)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, similar: Callable) -> DataFrame:
@@ -306,62 +203,84 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, similar: Cal
     )
 
 
-def _hot_links(groups: DataFrame, texts: DataFrame, prepare: Callable, similar: Callable, compatible, agree) -> DataFrame:
-    """Similar pairs that join the components of the nodes of each ``pivot``.
+def matched(matcher: Callable[[list[bytes]], Matcher]) -> Callable:
+    """A comparison for ``verified`` of pivots, the same one in a row, with others."""
+
+    def similar(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
+        flags = np.zeros(len(lefts), dtype=bool)
+        begin = 0
+        while begin < len(lefts):
+            end = begin
+            while end < len(lefts) and lefts[end] is lefts[begin]:
+                end += 1
+            held = matcher([lefts[begin], *rights[begin:end]])
+            flags[begin + held.linkable(0, np.arange(1, end - begin + 1)) - 1] = True
+            begin = end
+        return flags
+
+    return similar
+
+
+def as_bytes(payloads: pa.Array) -> list[bytes]:
+    return payloads.to_pylist()
 
-    A group is cut into blocks, and every two of its blocks meet in a task.
-    """
-    sizes = groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(saved(sizes, "hot-sizes"), "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
-    rows = rows.withColumn("other", others).withColumns(
-        {"i": F.least("block", "other"), "j": F.greatest("block", "other")}
-    )
+
+def _across(matcher: Callable[[list[bytes]], Matcher]) -> Callable:
+    """Of rows (pivot, i, j, block, node, component, payload): pairs of blocks i and j in different components."""
 
     def of_blocks(i: int, j: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        block, node, size, component, hint = (np.array(column, dtype=np.int64) for column in zip(*(r[:5] for r in rows)))
-        items = [row[5] for row in rows]
-        label = np.unique(component, return_inverse=True)[1]
+        block, node, component = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[:3])
+        held = matcher([row[3] for row in rows])
+        right = np.flatnonzero(block == j)
         a, b = [], []
-        for x in range(len(rows)):
-            if block[x] != i:
-                continue
-            wanted = (label != label[x]) & (block == j)
-            if i == j:
-                wanted[: x + 1] = False
-            wanted &= compatible(np.minimum(size, size[x]), np.maximum(size, size[x]))
-            at = np.flatnonzero(wanted)
-            at = at[agree(np.full(len(at), hint[x]), hint[at])]
-            if not len(at):
-                continue
-            for y in at[similar([items[x]] * len(at), [items[y] for y in at])].tolist():
-                if label[y] != label[x]:
-                    label[label == label[y]] = label[x]
-                    a.append(node[x])
-                    b.append(node[y])
+        for x in np.flatnonzero(block == i).tolist():
+            others = right[component[right] != component[x]]
+            others = others[others > x] if i == j else others
+            found = held.linkable(x, others) if len(others) else others
+            a.append(np.full(len(found), node[x]))
+            b.append(node[found])
         if a:
-            yield _batch(PAIR, np.array(a), np.array(b))
+            left, other = np.concatenate(a), np.concatenate(b)
+            yield _batch(PAIR, np.minimum(left, other), np.maximum(left, other))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(8)]
-            for pivot, i, j, *row, item in zip(*columns, prepare(batch.column(8))):
+            for pivot, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 if (pivot, i, j) != group:
                     if held:
-                        yield from of_blocks(group[1], group[2], held)
+                        yield from of_blocks(*group[1:], held)
                     group, held = (pivot, i, j), []
-                held.append((*row, item))
+                held.append(row)
         if held:
-            yield from of_blocks(group[1], group[2], held)
+            yield from of_blocks(*group[1:], held)
 
-    return (
-        rows.join(texts, "node")
-        .select("pivot", "i", "j", "block", "node", "size", "component", "hint", "text")
-        .repartition("pivot", "i", "j")
-        .sortWithinPartitions("pivot", "i", "j", "node")
-        .mapInArrow(run, PAIR)
-    )
+    return run
+
+
+def across(
+    members: DataFrame,
+    payloads: DataFrame,
+    matcher: Callable[[list[bytes]], Matcher],
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Pairs that match, of members of one ``pivot`` in different components.
+
+    ``members`` has ``pivot``, ``node`` and ``component``, ``payloads`` ``node`` and ``text``. The members
+    of a pivot are cut into blocks by the bytes of their payloads; every two blocks meet in a task.
+    """
+    ends = members.groupBy("pivot").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    unclear = saved(ends.where("least != most").select("pivot"), "unclear")
+    rows = members.join(unclear, "pivot").join(payloads.select("node", F.col("text").alias("payload")), "node")
+    rows = saved(rows, "members")
+    blocks = F.ceil(F.sum(F.length("payload")) / block_bytes).cast("int")
+    sizes = saved(rows.groupBy("pivot").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "member-blocks")
+    dealt = rows.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    dealt = dealt.select("pivot", i, j, "block", "node", "component", "payload")
+    ordered = dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node")
+    return ordered.mapInArrow(_across(matcher), PAIR).distinct()
 
 
 def buckets_for(spark: SparkSession, signatures: int) -> int:
@@ -374,96 +293,54 @@ def few(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= FEW_ROWS else frame
 
 
+def _central(shared: DataFrame) -> DataFrame:
+    """Pairs of a pivot ``a`` and another node ``b`` of one of its signatures, with their sizes."""
+    sizes = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    company = saved(shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")), "company")
+    ranked = saved(shared.join(company, "node").select("key", "node", "size", "company"), "ranked")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "node", "size")).alias("pivot"))
+    pivots = saved(pivots.select("key", F.col("pivot.node").alias("a"), F.col("pivot.size").alias("a_size")), "pivots")
+    pairs = ranked.join(pivots, "key").select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
+    return pairs.where("a != b").distinct()
+
+
 def linked(
     signatures: DataFrame,
-    texts_of: Callable[[DataFrame], DataFrame],
-    compatible: Callable,
-    prepare: Callable,
-    similar: Callable,
-    sketches: DataFrame | None = None,
-    plausible: Callable | None = None,
-    hints: DataFrame | None = None,
-    agree: Callable = lambda left, right: np.ones(len(left), dtype=bool),
-    needed: Callable = lambda left, right: np.ones(len(left)),
-    hot: int = HOT,
+    fits: Callable[[Column, Column], Column],
+    payloads_of: Callable[[DataFrame], DataFrame],
+    matcher: Callable[[list[bytes]], Matcher],
+    confirm: Callable[[DataFrame], DataFrame] | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``node`` and ``component`` of every node that is similar to another.
 
-    ``signatures`` has the rows of ``packed_signatures``. ``texts_of`` gives ``node`` and
-    ``text`` for a written table of distinct nodes. ``compatible`` tells which smaller and
-    larger sizes (arrays) could belong to similar nodes. ``prepare`` and ``similar`` are those
-    of ``verified``. With ``sketches`` (``node`` and ``text``, some bytes for each) a pair's
-    texts are only fetched if ``plausible`` says of their sketches that they could be similar.
-    With ``hints`` (``node`` and ``hint``, a number) the later steps leave out pairs of which
-    ``agree`` says that they cannot be. ``needed`` tells of arrays of sizes how many signatures
-    two nodes must share at least; a signature that more than ``hot`` nodes share is
-    handled by itself.
+    ``signatures`` has the rows of ``packed_signatures``. ``fits`` says of two sizes whether nodes of
+    them could be similar. ``payloads_of`` gives ``node`` and ``text`` (some bytes) for a written
+    table of distinct nodes, and ``matcher`` compares these. With ``confirm`` the matcher only rules
+    out: it takes pairs and gives those that are similar, written.
     """
-    stars = (
-        signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars(compatible), STAR)
-    )
+    stars = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, STAR)
     stars = saved(stars, "stars")
-
-    def edges_of(pairs: DataFrame) -> DataFrame:
-        if sketches is not None:
-            pairs = saved(verified(pairs, sketches, _sketches, plausible), "plausible")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-        texts = texts_of(saved(ends.distinct(), "nodes"))
-        return saved(verified(pairs, texts, prepare, similar), "edges")
-
-    compared = saved(stars.where("fits").select("a", "b").distinct(), "compared")
-    edges = edges_of(compared)
+    shared = stars.select("key", F.col("a").alias("node"), F.col("a_size").alias("size")).unionByName(
+        stars.select("key", F.col("b").alias("node"), F.col("b_size").alias("size"))
+    )
+    pairs = saved(_central(saved(shared.distinct(), "shared")), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    payloads = payloads_of(saved(ends.distinct(), "nodes"))
+
+    close = pairs.where(fits(F.col("a_size"), F.col("b_size"))).select("a", "b")
+    edges = saved(verified(close, payloads, as_bytes, matched(matcher)), "edges")
+    if confirm is not None:
+        edges = confirm(edges)
     labels = components(edges)
 
-    # Signatures of which not every node was found similar to its head.
-    unclear = stars.join(edges, ["a", "b"], "left_anti").select("key").distinct()
-    rows = stars.join(unclear, "key", "left_semi")
-    shared = saved(
-        rows.select("key", F.col("a_size").alias("size"), F.col("a").alias("node"))
-        .unionByName(rows.select("key", F.col("b_size").alias("size"), F.col("b").alias("node")))
-        .distinct(),
-        "unclear",
+    members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")).unionByName(
+        pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node")).distinct()
     )
-    if shared.isEmpty():
-        return labels
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if hints is None:
-            return rows.withColumn("hint", F.lit(0).cast("long"))
-        return rows.join(hints, "node")
-
-    def read_by_key(rows: DataFrame) -> DataFrame:
-        order = ["key", "size", "node"]
-        return labelled(rows).select(*order, "component", "hint").repartition("key").sortWithinPartitions(*order)
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        known = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return saved(pairs.join(known, ["a", "b"], "left_anti"), "compared")
-
-    def joined(found: DataFrame) -> None:
-        nonlocal edges, labels
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = components(edges)
-
-    near = fresh(read_by_key(shared).mapInArrow(_neighbours(compatible, agree), PAIR).distinct())
-    joined(edges_of(near))
-    compared = compared.unionByName(near)
-
-    per_key = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("size", "node")).alias("first"))
-    large = saved(per_key.where(F.col("n") > hot).select("key", F.col("first.node").alias("pivot")), "hot")
-    if not large.isEmpty():
-        groups = saved(labelled(shared.join(large, "key").select("pivot", "node", "size").distinct()), "hot-groups")
-        texts = texts_of(saved(groups.select("node").distinct(), "nodes"))
-        joined(saved(_hot_links(groups, texts, prepare, similar, compatible, agree), "edges"))
-        shared = saved(shared.join(large, "key", "left_anti"), "unclear")
-
-    pairs = read_by_key(shared).mapInArrow(_all_pairs(compatible, agree, needed), COUNTED)
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
-    joined(edges_of(fresh(pairs.where("n >= need").select("a", "b"))))
-    return labels
-
-
-def _sketches(sketches: pa.Array) -> list[bytes]:
-    return sketches.to_pylist()
+    members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = across(members, payloads, matcher, block_bytes).join(known, ["a", "b"], "left_anti")
+    found = saved(found, "edges")
+    if confirm is not None and not found.isEmpty():
+        found = confirm(found)
+    return labels if found.isEmpty() else components(edges.unionByName(found))

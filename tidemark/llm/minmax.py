@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.links import few, verified
+from tidemark.llm.links import BLOCK_BYTES, across, as_bytes, few, matched, verified
+from tidemark.llm.sketches import Sketches, sketch
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
 
@@ -45,14 +46,11 @@ BAND = 4
 SEED = 42
 #: Cells of a sketch for each shingle, at least.
 CELLS = 16
-#: Bytes of sketches in a block of members that are compared with each other.
-BLOCK_BYTES = 16 << 20
 #: Shingles that are scrambled together.
 AT_ONCE = 1 << 16
 
 SETS = "last_id boolean, id long, digest long, n_shingles long, node long, bands array<long>"
 SKETCH = "node long, size long, text binary"
-PAIR = "a long, b long"
 NAMES = [field.split()[0] for field in SETS.split(", ")]
 
 
@@ -137,91 +135,16 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """The size of a set and a bit for each cell that it fills; the cells are ranges of hashes."""
-    cells = 64
-    while cells < CELLS * len(tokens):
-        cells *= 2
-    filled = np.zeros(cells, dtype=bool)
-    filled[(tokens >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)] = True
-    return len(tokens).to_bytes(4, "little") + np.packbits(filled).tobytes()
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, end in chunks(batch.column("text")):
             part = batch.slice(begin, end - begin)
             sets = shingle_sets(part.column("text"))
             sizes = pa.array(np.array([len(s) for s in sets], dtype=np.int64))
-            columns = [part.column("node"), sizes, pa.array([sketch(s) for s in sets], pa.binary())]
+            columns = [part.column("node"), sizes, pa.array([sketch(s, CELLS) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "text"])
 
 
-def _halved(bits: np.ndarray) -> np.ndarray:
-    """Sketches with half as many cells: neighbours become one."""
-    pairs = bits | bits << 1  # the left one of each two cells is filled if one of them is
-    packed = np.zeros_like(bits)
-    for i in range(4):
-        packed |= ((pairs >> (7 - 2 * i)) & 1) << (7 - i)
-    return packed[..., 0::2] | packed[..., 1::2] >> 4
-
-
-def allowed(x: np.ndarray, x_size, y: np.ndarray, y_size) -> np.ndarray:
-    """Which sets with the cells ``x`` and ``y`` (of one number of cells) could link."""
-    x_only = np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64)
-    y_only = np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64)
-    both = np.minimum(x_size - x_only, y_size - y_only)
-    return 100 * both >= SIMILARITY * (x_size + y_size - both)
-
-
-class Sketches:
-    """Some sketches as arrays, by their number of cells."""
-
-    def __init__(self, sketches: list[bytes]):
-        self.size = np.array([int.from_bytes(s[:4], "little") for s in sketches], dtype=np.int64)
-        self.width = np.array([len(s) - 4 for s in sketches], dtype=np.int64)
-        self.place = np.zeros(len(sketches), dtype=np.int64)
-        self.bits: dict[int, np.ndarray] = {}
-        for width in np.unique(self.width).tolist():
-            at = np.flatnonzero(self.width == width)
-            self.place[at] = np.arange(len(at))
-            joined_bits = b"".join([sketches[i][4:] for i in at.tolist()])
-            self.bits[width] = np.frombuffer(joined_bits, np.uint8).reshape(len(at), width)
-
-    def linkable(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` that the one at ``i`` could link with."""
-        size, width = self.size[i], int(self.width[i])
-        low, high = np.minimum(self.size[others], size), np.maximum(self.size[others], size)
-        others = others[100 * low >= SIMILARITY * high]
-        own = self.bits[width][self.place[i]]
-        found = []
-        # Sizes that fit differ by less than two, so cells by one halving at most.
-        for of in (width // 2, width, 2 * width):
-            some = others[self.width[others] == of]
-            if len(some):
-                x, y = own, self.bits[of][self.place[some]]
-                if of > width:
-                    y = _halved(y)
-                elif of < width:
-                    x = _halved(x)
-                found.append(some[allowed(x, size, y, self.size[some])])
-        return np.concatenate(found) if found else others[:0]
-
-
-def plausible(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
-    """Which pairs of sketches allow a link; equal pivots stand in a row on the left."""
-    flags = np.zeros(len(lefts), dtype=bool)
-    begin = 0
-    while begin < len(lefts):
-        end = begin
-        while end < len(lefts) and lefts[end] is lefts[begin]:
-            end += 1
-        held = Sketches([lefts[begin], *rights[begin:end]])
-        flags[begin + held.linkable(0, np.arange(1, end - begin + 1)) - 1] = True
-        begin = end
-    return flags
-
-
 def similar(pivots: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Which full sets link with their pivot; equal pivots stand in a row."""
     flags = np.zeros(len(others), dtype=bool)
@@ -249,60 +172,6 @@ def stars(sets: DataFrame) -> DataFrame:
     return pairs.where("a != b").distinct()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (pivot, i, j, block, node, component, sketch): pairs of blocks i and j in different components."""
-
-    def of_blocks(i: int, j: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        block, node, component = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[:3])
-        sketches = Sketches([row[3] for row in rows])
-        right = np.flatnonzero(block == j)
-        a, b = [], []
-        for x in np.flatnonzero(block == i).tolist():
-            others = right[component[right] != component[x]]
-            others = others[others > x] if i == j else others
-            found = sketches.linkable(x, others) if len(others) else others
-            a.append(np.full(len(found), node[x]))
-            b.append(node[found])
-        if a:
-            left, other = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(left, other)), pa.array(np.maximum(left, other))], names=["a", "b"]
-            )
-
-    group, held = None, []
-    for batch in batches:
-        for pivot, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
-            if (pivot, i, j) != group:
-                if held:
-                    yield from of_blocks(*group[1:], held)
-                group, held = (pivot, i, j), []
-            held.append(row)
-    if held:
-        yield from of_blocks(*group[1:], held)
-
-
-def across(members: DataFrame, sketches: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs that could link, of members of one ``pivot`` in different components.
-
-    The members of a pivot are cut into blocks by the bytes of their sketches; every two
-    blocks meet in a task.
-    """
-    rows = members.join(sketches.select("node", F.col("text").alias("sketch")), "node")
-    rows = saved(rows, "members")
-    sizes = rows.groupBy("pivot").agg(
-        F.ceil(F.sum(F.length("sketch")) / block_bytes).cast("int").alias("blocks"),
-        F.min("component").alias("least"),
-        F.max("component").alias("most"),
-    )
-    sizes = saved(sizes.where("least != most").select("pivot", "blocks"), "member-blocks")
-    dealt = rows.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    dealt = dealt.select("pivot", i, j, "block", "node", "component", "sketch")
-    ordered = dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node")
-    return ordered.mapInArrow(_across, PAIR).distinct()
-
-
 def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``node`` and ``component`` of every node that links with another."""
     pairs = saved(stars(sets), "stars")
@@ -317,7 +186,10 @@ def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     def confirmed(pairs: DataFrame) -> DataFrame:
         return saved(verified(pairs, held, _prepare, similar), "edges")
 
-    likely = saved(verified(pairs, bits, lambda column: column.to_pylist(), plausible), "likely")
+    def matcher(held: list[bytes]) -> Sketches:
+        return Sketches(held, SIMILARITY)
+
+    likely = saved(verified(pairs, bits, as_bytes, matched(matcher)), "likely")
     edges = confirmed(likely)
     labels = components(edges)
 
@@ -326,7 +198,8 @@ def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     )
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(across(members, bits, block_bytes).join(known, ["a", "b"], "left_anti"), "likely")
+    open_pairs = across(members, bits, matcher, block_bytes)
+    more = saved(open_pairs.join(known, ["a", "b"], "left_anti"), "likely")
     if not more.isEmpty():
         found = confirmed(more)
         if not found.isEmpty():

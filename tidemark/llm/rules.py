@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemark.llm.storage import saved
 from tidemark.llm.words import Words, chunks, inside, mix, windows
@@ -154,13 +154,32 @@ def judge(docs: DataFrame, host: str, most_failing: float = MOST_FAILING) -> Dat
     return verdicts.withColumn("kept", kept).drop("host", "bad_host")
 
 
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (host, document): host, ``base_failed``, and the document if it passes the base rules."""
+    for batch in batches:
+        texts = batch.column(1).field("text").fill_null("")
+        for first, last in chunks(texts):
+            part = batch.slice(first, last - first)
+            found = [column.to_numpy() for column in measured(texts.slice(first, last - first))]
+            n_words, n_repeat = found[0], found[MEASURES.index("n_repeat_words")]
+            failed = (n_words < LEAST_WORDS) | (100 * n_repeat > MOST_REPEATED * n_words)
+            document = part.column(1).take(pa.array(np.where(failed, None, np.arange(len(failed))), pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(failed), document], names=["host", "base_failed", "document"]
+            )
+
+
 def accepted(docs: DataFrame, host: str, most_failing: float = MOST_FAILING) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    The texts are measured once for the hosts and once to be filtered, where they are, so
-    that no text is shuffled.
+    Each text is read and measured once: the documents that pass the base rules are written, with
+    their hosts' failures, and those of rejected hosts are left out when they are read back. A null
+    text is empty and fails; a null host is never rejected; repeated rows are judged one by one.
+    An empty table gives an empty one. Other columns go along, whatever their names.
     """
-    texts = docs.select(F.col(host).alias("host"), "text", F.struct(*docs.columns).alias("document"))
-    bad = rejected_hosts(measure(texts.select("host", "text")), "host", most_failing)
-    passed = measure(texts).where(~F.col("base_failed"))
-    return passed.join(bad, "host", "left_anti").select("document.*")
+    rows = docs.select(F.col(host).alias("host"), F.struct(*docs.columns).alias("document"))
+    document = StructField("document", rows.schema["document"].dataType)
+    schema = StructType([rows.schema["host"], StructField("base_failed", BooleanType()), document])
+    judged = saved(rows.mapInArrow(_passing, schema), "judged")
+    bad = rejected_hosts(judged.select("host", "base_failed"), "host", most_failing)
+    return judged.where(~F.col("base_failed")).join(bad, "host", "left_anti").select("document.*")
