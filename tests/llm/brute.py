@@ -104,7 +104,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def line_dedup(rows, edits=2, least=24):
+def line_dedup(rows, edits=2, per_edit=8):
     """(doc_id, n_lines, n_removed, kept_sha256) of each row."""
     places = defaultdict(set)
     for row in rows:
@@ -112,15 +112,15 @@ def line_dedup(rows, edits=2, least=24):
             if WORD.search(line):
                 places[line].add((key(row), i))
     union = Union()
-    lines = [line.encode() for line in places]
-    long = [line for line in lines if len(line) >= least]
-    for i, a in enumerate(long):
-        for b in long[:i]:
-            if abs(len(a) - len(b)) <= edits and edit_distance(a, b) <= edits:
+    lines = list(places)
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            most = min(edits, min(len(a), len(b)) // per_edit)
+            if abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most:
                 union.join(a, b)
     first = {}
     for line, at in places.items():
-        root = union.find(line.encode())
+        root = union.find(line)
         first[root] = min(first.get(root, min(at)), min(at))
     result = []
     for row in rows:
@@ -128,7 +128,7 @@ def line_dedup(rows, edits=2, least=24):
         kept = [
             line
             for i, line in enumerate(found)
-            if not WORD.search(line) or first[union.find(line.encode())] == (key(row), i)
+            if not WORD.search(line) or first[union.find(line)] == (key(row), i)
         ]
         result.append((row["doc_id"], len(found), len(found) - len(kept), sha("\n".join(kept))))
     return result

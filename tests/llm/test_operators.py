@@ -225,8 +225,8 @@ def test_line_dedup(odd, same):
     same(found, ["doc_id", "n_lines", "n_removed", "kept_sha256"], brute.line_dedup(rows))
 
 
-@pytest.mark.parametrize("edits", [1, 3])
-def test_line_dedup_with_other_edits(spark, same, edits):
+@pytest.mark.parametrize("edits, per_edit", [(1, 8), (3, 10), (2, 2)])
+def test_line_dedup_with_other_edits(spark, same, edits, per_edit):
     rng = random.Random(edits)
     base = ["".join(rng.choice("abcdé ") for _ in range(30)) for _ in range(6)]
     rows = []
@@ -236,8 +236,31 @@ def test_line_dedup_with_other_edits(spark, same, edits):
             at = rng.randrange(len(line))
             line[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
         rows.append((i, "".join(line) + "\nown line of text number %d" % i, None))
-    found = lines.remove_lines(frame_of(spark, rows), edits=edits, least=10)
-    expected = brute.line_dedup([dict(zip(("doc_id", "text", "source"), r)) for r in rows], edits, 10)
+    found = lines.remove_lines(frame_of(spark, rows), edits=edits, per_edit=per_edit)
+    expected = brute.line_dedup([dict(zip(("doc_id", "text", "source"), r)) for r in rows], edits, per_edit)
+    same(found, ["doc_id", "n_lines", "n_removed", "kept_sha256"], expected)
+
+
+def test_lines_of_every_length_and_script(spark, same):
+    """Lines of 1 to 40 code points, each with copies one and two edits away, also by characters of many bytes."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(1, 41):
+        for letters in ("abcdef", "日本語の文章を書", "éàüß😀😁ñ"):
+            line = [rng.choice(letters) for _ in range(n)]
+            copies = [line]
+            for edits in (1, 2, 3):
+                copy = list(line)
+                for _ in range(edits):
+                    at = rng.randrange(len(copy) + 1)
+                    copy[at : at + rng.randint(0, 1)] = [rng.choice("xyz語é")] * rng.randint(0, 1)
+                copies.append(copy)
+            rows += [(len(rows) + i, "".join(copy), None) for i, copy in enumerate(copies)]
+    rows += [(9000, "short heading one", None), (9001, "short heading onx", None), (9002, "1.", None), (9003, "2.", None)]
+    found = lines.remove_lines(frame_of(spark, rows))
+    expected = brute.line_dedup([dict(zip(("doc_id", "text", "source"), r)) for r in rows])
+    removed = {i for i, _, gone, _ in expected if gone}
+    assert 9001 in removed and 9003 not in removed and len(removed) > 60
     same(found, ["doc_id", "n_lines", "n_removed", "kept_sha256"], expected)
 
 
@@ -257,11 +280,14 @@ def test_edit_distance_and_segments():
         for b, flag in zip(others, flags):
             assert flag == (brute.edit_distance(a, b) <= edits)
             if flag:
-                both = np.array(a + b, dtype=np.uint8)
-                hints = lines.hints_of(both, np.array([0, len(a)]), np.array([len(a), len(both)])).view(np.int64)
-                assert lines.hints_agree(edits)(hints[:1], hints[1:])[0]
+                # As many edits as the lines may have, if they have one for each code point.
+                most = min(edits, len(a), len(b))
+                held = lines.Lines([bytes(a), bytes(b)], most, 1)
+                assert held.linkable(0, np.array([1])).tolist() == [1]
+                assert held.matches(np.array([0]), np.array([1]))[0]
                 begin, end = np.array([0, len(a)]), np.array([len(a), len(a) + len(b)])
-                keys, owner = lines.signatures_of(begin, end, lines.Pieces(np.array(a + b, dtype=np.uint8)), edits)
+                pieces = lines.Pieces(np.array(a + b, dtype=np.uint8))
+                keys, owner = lines.signatures_of(begin, end, pieces, edits, 1)
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 

@@ -1,13 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are near copies if one turns into the other by at most ``EDITS`` (2) insertions,
-deletions or substitutions of UTF-8 bytes; shorter lines than ``LEAST_BYTES`` only if they
-are equal. A line is cut into EDITS + 1 segments of even length. If two lines are near
+Lines are near copies if one turns into the other by insertions, deletions or substitutions
+of code points, one for each ``PER_EDIT`` (8) code points of the shorter line and ``EDITS`` (2) at
+most. So two lines of 16 code points or more may differ by two edits, shorter ones by one,
+and those under 8 are near copies only if they are equal: ``1.`` and ``2.`` are different lines.
+
+A line that may have e edits is cut into e + 1 segments of even length. If two lines are near
 copies, one of the shorter's segments stands unchanged in the longer one, and at a place
 that its number and the lines' lengths leave only a few choices for. Segments are indexed
 by (length of the line, number, content); a line looks up, for every length from its own
-down to EDITS less, the pieces of it at those places. Lines that meet there are compared
-by a banded bit-parallel edit distance, for all pairs of a pivot at once.
+down to e less, the pieces of it at those places. Lines that meet there are compared by a
+banded bit-parallel edit distance, many pairs at once.
 
 Of every component of near copies the first line stays (smallest document id, then first
 in its text) and the others are removed from their texts. Lines without a word stay.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.links import PACKED, buckets_for, few, linked, packed_signatures
@@ -37,12 +40,15 @@ from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, mix
 
 EDITS = 2
-LEAST_BYTES = 24
+#: A line may have an edit for each so many code points.
+PER_EDIT = 8
 #: Distinct lines that a task remembers before it starts afresh; results do not depend on it.
 REMEMBERED = 500_000
 
-LINES = "last_id boolean, id long, digest long, line int, node long, bytes int, hint long"
-TEXTS = "node long, text string"
+LINES = "last_id boolean, id long, digest long, line int, node long"
+TEXTS = "node long, text binary"
+#: Bytes of lines in a block that is compared with others.
+LINE_BLOCK = 4 << 20
 #: Cells of text that one pass of the edit distance holds, unless a single line is longer.
 CELLS = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -73,29 +79,30 @@ def _names(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.fromiter((digest(view[a:b]) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
 
 
-def hints_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Counts of 8 kinds of bytes in each line, as the digits of a number to base 256.
+def allowed(length: np.ndarray, edits: int, per_edit: int) -> np.ndarray:
+    """How many edits lines whose shorter one has so many code points may be apart."""
+    return np.minimum(length // per_edit, edits)
 
-    An edit changes two digits by one at most, whatever carries there are.
-    """
-    one = np.uint64(1) << (np.uint64(8) * (np.arange(256, dtype=np.uint64) & np.uint64(7)))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(one[data], out=sums[1:])
-    return sums[end] - sums[begin]
 
+def code_points(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes as numbers of code points, with the places of lines among these."""
+    lead = (data & 0xC0) != 0x80
+    if lead.all():
+        return data, begin, end
+    places = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(lead, out=places[1:])
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    if len(codes) != places[-1]:  # not UTF-8: the bytes as they are
+        return data, begin, end
+    return codes, places[begin], places[end]
 
-def hints_agree(edits: int):
-    def agree(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        rest = left.view(np.uint64) - right.view(np.uint64)
-        changes = np.zeros(len(rest), dtype=np.int64)
-        for _ in range(8):
-            # The lowest digit as one of -128 to 127; what is left has one digit less.
-            digit = (rest & np.uint64(255)).astype(np.uint8).view(np.int8).astype(np.int64)
-            changes += np.abs(digit)
-            rest = (rest - digit.view(np.uint64)) >> np.uint64(8)
-        return changes <= 2 * edits
 
-    return agree
+def counts_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many code points of each of 8 kinds are in each line; an edit changes two counts by one at most."""
+    kind = (data & 7).astype(np.int64)
+    owner = np.repeat(np.arange(len(begin)), end - begin)
+    at = np.arange(int((end - begin).sum())) + np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin)
+    return np.bincount(owner * 8 + kind[at], minlength=8 * len(begin)).reshape(-1, 8)
 
 
 class Pieces:
@@ -103,7 +110,8 @@ class Pieces:
 
     def __init__(self, data: np.ndarray):
         with np.errstate(over="ignore"):
-            codes = mix(np.arange(1, 257, dtype=np.uint64))[data]
+            # Each code point's number, scrambled; bytes stand for themselves in plain text.
+            codes = mix(np.arange(1, 257, dtype=np.uint64))[data] if data.itemsize == 1 else mix(data + np.uint64(1))
             codes *= self._powers(BASE, len(data))
             self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum(codes, out=self.sums[1:])
@@ -131,23 +139,31 @@ def _segment(length: np.ndarray, number: int, edits: int) -> tuple[np.ndarray, n
     return begin, short + (number >= before)
 
 
-def signatures_of(begin: np.ndarray, end: np.ndarray, pieces: Pieces, edits: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures_of(
+    begin: np.ndarray, end: np.ndarray, pieces: Pieces, edits: int, per_edit: int
+) -> tuple[np.ndarray, np.ndarray]:
     """The keys that lines are indexed by and look up, and for each key the line's number."""
     length = end - begin
     rows = np.arange(len(begin))
     keys, owners = [], []
     for less in range(edits + 1):
         target = length - less
-        for number in range(edits + 1):
-            at, size = _segment(target, number, edits)
-            # A segment's number bounds the edits before it, and what is left those after it.
-            after = edits - number
-            for shift in range(max(-number, less - after), min(number, less + after) + 1):
-                ok = (at + shift >= 0) & (at + shift + size <= length) & (target > edits)
-                content = pieces.hashes(begin[ok] + at[ok] + shift, size[ok])
-                label = (target[ok].astype(np.uint64) << np.uint64(8)) | np.uint64(number)
-                keys.append(mix(content + mix(label)))
-                owners.append(rows[ok])
+        most = allowed(np.maximum(target, 0), edits, per_edit)
+        for apart in range(max(less, 1), edits + 1):
+            # Lines whose shorter one may be ``apart`` edits away have one segment more than that.
+            some = np.flatnonzero((most == apart) & (target > apart))
+            for number in range(apart + 1):
+                at, size = _segment(target[some], number, apart)
+                # A segment's number bounds the edits before it, and what is left those after it.
+                after = apart - number
+                for shift in range(max(-number, less - after), min(number, less + after) + 1):
+                    ok = (at + shift >= 0) & (at + shift + size <= length[some])
+                    content = pieces.hashes(begin[some[ok]] + at[ok] + shift, size[ok])
+                    label = (target[some[ok]].astype(np.uint64) << np.uint64(8)) | np.uint64(number)
+                    keys.append(mix(content + mix(label)))
+                    owners.append(some[ok])
+    if not keys:
+        return np.zeros(0, dtype=np.uint64), rows[:0]
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -163,21 +179,18 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     *(part.column(name).take(pa.array(row[at])) for name in ("last_id", "id", "digest")),
                     pa.array(line[at].astype(np.int32)),
                     pa.array(_names(data, begin[at], end[at]).view(np.int64)),
-                    pa.array((end[at] - begin[at]).astype(np.int32)),
-                    pa.array(hints_of(data, begin[at], end[at]).view(np.int64)),
                 ],
                 names=[field.split()[0] for field in LINES.split(", ")],
             )
 
 
-def _distinct(batches: Iterator[pa.RecordBatch], least: int):
-    """Lines with a word and of at least ``least`` bytes, mostly once in a task: data, begin, end, names."""
+def _distinct(batches: Iterator[pa.RecordBatch]):
+    """Lines with a word, mostly once in a task: data, begin, end, names."""
     seen: set[int] = set()
     for batch in batches:
         for first, last in chunks(batch.column("text")):
             data, begin, end, _, has_word = lines_of(batch.column("text").slice(first, last - first))
-            wanted = has_word & (end - begin >= least)
-            begin, end = begin[wanted], end[wanted]
+            begin, end = begin[has_word], end[has_word]
             names = _names(data, begin, end)
             names, where = np.unique(names, return_index=True)
             new = np.array([name not in seen for name in names.tolist()], dtype=bool)
@@ -187,29 +200,58 @@ def _distinct(batches: Iterator[pa.RecordBatch], least: int):
             yield data, begin[where[new]], end[where[new]], names[new]
 
 
-def _signatures(edits: int, least: int, buckets: int):
+def _signatures(edits: int, per_edit: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, begin, end, names in _distinct(batches, least):
-            if len(names):
-                keys, owner = signatures_of(begin, end, Pieces(data), edits)
+        for data, begin, end, names in _distinct(batches):
+            if not len(names):
+                continue
+            codes, begin, end = code_points(data, begin, end)
+            keys, owner = signatures_of(begin, end, Pieces(codes), edits, per_edit)
+            if len(keys):
                 yield from packed_signatures(keys, (end - begin)[owner], names[owner], buckets)
 
     return run
 
 
-def _texts(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, begin, end, names in _distinct(batches, least):
-            view = memoryview(data)
-            lines = [bytes(view[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
-            columns = [pa.array(names.view(np.int64)), pa.array(lines, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "text"])
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for data, begin, end, names in _distinct(batches):
+        view = memoryview(data)
+        lines = [bytes(view[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(lines, pa.binary())], names=["node", "text"])
 
-    return run
+
+class Lines:
+    """Some lines in UTF-8, compared by their edit distance."""
+
+    def __init__(self, lines: list[bytes], edits: int, per_edit: int):
+        self.edits, self.per_edit = edits, per_edit
+        size = np.array([len(line) for line in lines], dtype=np.int64)
+        end = np.cumsum(size)
+        data = np.frombuffer(b"".join(lines), np.uint8)
+        codes, begin, end = code_points(data, end - size, end)
+        self.length = end - begin
+        self.counts = counts_of(codes, begin, end)
+        self.lines = [codes[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
+    def linkable(self, i: int, others: np.ndarray) -> np.ndarray:
+        most = allowed(np.minimum(self.length[others], self.length[i]), self.edits, self.per_edit)
+        near = (np.abs(self.length[others] - self.length[i]) <= most) & (most > 0)
+        others, most = others[near], most[near]
+        near = np.abs(self.counts[others] - self.counts[i]).sum(axis=1) <= 2 * most
+        return others[near]
+
+    def matches(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        most = allowed(np.minimum(self.length[left], self.length[right]), self.edits, self.per_edit)
+        flags = np.zeros(len(left), dtype=bool)
+        for edits in np.unique(most).tolist():
+            at = np.flatnonzero(most == edits)
+            x, y = left[at].tolist(), right[at].tolist()
+            flags[at] = within_edits([self.lines[i] for i in x], [self.lines[i] for i in y], edits)
+        return flags
 
 
 def within_edits(lefts: list[np.ndarray], rights: list[np.ndarray], edits: int) -> np.ndarray:
-    """Which pairs of byte arrays (of at least ``edits`` bytes) are at most ``edits`` edits apart."""
+    """Which pairs of arrays (of more than ``edits`` numbers) are at most ``edits`` edits apart."""
     rows, columns = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
     result = np.abs(rows - columns) <= edits
     chosen = np.flatnonzero(result)
@@ -234,10 +276,10 @@ def _banded(lefts: list[np.ndarray], rights: list[np.ndarray], edits: int) -> np
     """
     rows, sizes = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
     count, width, columns = len(lefts), 2 * edits + 2, int(sizes.max())
-    text = np.full((columns, count), 256, dtype=np.int16)
+    text = np.full((columns, count), -2, dtype=np.int32)
     # Bit r of column j is row j + edits - (width - 1) + r; there is nothing outside the table.
     above = width - 1 - edits
-    padded = np.full((above + max(int(rows.max()), columns) + width, count), -1, dtype=np.int16)
+    padded = np.full((above + max(int(rows.max()), columns) + width, count), -1, dtype=np.int32)
     for i in range(count):
         text[: sizes[i], i] = rights[i]
         padded[above : above + rows[i], i] = lefts[i]
@@ -264,15 +306,6 @@ def _banded(lefts: list[np.ndarray], rights: list[np.ndarray], edits: int) -> np
     return final
 
 
-def compatible(edits: int):
-    return lambda small, large: large - small <= edits
-
-
-def _prepare(texts: pa.Array) -> list[np.ndarray]:
-    texts = texts.cast(pa.large_binary())
-    return [np.frombuffer(text.as_buffer(), dtype=np.uint8) for text in texts]
-
-
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept_texts, counts, removed = [], [], []
@@ -289,37 +322,37 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def line_components(docs: DataFrame, lines: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
+def line_components(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, lines: int = 0) -> DataFrame:
     """``node`` and ``component`` of every line that is a near copy of a different one.
 
-    ``lines`` has the rows of ``LINES`` of the same documents.
+    ``lines`` is about how many there are.
     """
+    if per_edit < 2:
+        raise ValueError("a line must be longer than the edits that it may have")
     texts = docs.select(whole_text())
     # Segments of a line's own length, and pieces at some places for every shorter one.
-    buckets = buckets_for(docs.sparkSession, lines.count() * (edits + 1) * (edits + 2))
-    hints = lines.where(F.col("bytes") >= least).select("node", "hint").distinct()
-    signatures = texts.mapInArrow(_signatures(edits, least, buckets), PACKED)
+    buckets = buckets_for(docs.sparkSession, lines * (edits + 1) * (edits + 2))
+    signatures = texts.mapInArrow(_signatures(edits, per_edit, buckets), PACKED)
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        found = texts.mapInArrow(_texts(least), TEXTS).join(few(nodes), "node", "left_semi")
+        found = texts.mapInArrow(_texts, TEXTS).join(few(nodes), "node", "left_semi")
         return saved(found.dropDuplicates(["node"]), "texts")
 
-    return linked(
-        signatures,
-        texts_of,
-        compatible(edits),
-        _prepare,
-        lambda lefts, rights: within_edits(lefts, rights, edits),
-        hints=saved(hints, "hints"),
-        agree=hints_agree(edits),
-    )
+    def fits(left: Column, right: Column) -> Column:
+        return F.abs(left - right) <= edits
+
+    return linked(signatures, fits, texts_of, lambda held: Lines(held, edits, per_edit), block_bytes=LINE_BLOCK)
 
 
-def remove_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_BYTES) -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``."""
+def remove_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """``doc_id``, ``n_lines``, ``n_removed``, ``kept_sha256`` and ``kept_text`` of each row of ``docs``.
+
+    Texts and lines are taken whole, however long; an empty table gives an empty one; other
+    columns are left alone, whatever their names.
+    """
     texts = keyed(docs, whole_text())
     lines = saved(texts.mapInArrow(_line_rows, LINES), "lines")
-    labels = line_components(texts, lines, edits, least)
+    labels = line_components(texts, edits, per_edit, lines.count())
     component = F.coalesce("component", "node").alias("component")
     lines = saved(lines.join(labels, "node", "left").select(*KEY, "line", component), "lines")
     place = F.struct(*KEY, "line")

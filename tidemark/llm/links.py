@@ -37,6 +37,8 @@ from tidemark.llm.storage import saved
 PIVOT_ROWS = 256
 #: Bytes in a block of members that are compared with each other.
 BLOCK_BYTES = 16 << 20
+#: Pairs that wait to be tested together.
+TESTED = 1 << 15
 #: Signatures in a bucket, about.
 BUCKET_SIGNATURES = 1 << 20
 #: A table of nodes (of a few numbers a row) with more rows is not broadcast.
@@ -52,7 +54,10 @@ class Matcher(Protocol):
     """Some payloads, held for comparing them with each other."""
 
     def linkable(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of the numbers ``others`` whose payloads match the one numbered ``i``."""
+        """Those of the numbers ``others`` whose payloads may match the one numbered ``i``."""
+
+    def matches(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which of some such pairs do match, as far as the payloads tell."""
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -208,14 +213,16 @@ def matched(matcher: Callable[[list[bytes]], Matcher]) -> Callable:
 
     def similar(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
         flags = np.zeros(len(lefts), dtype=bool)
-        begin = 0
-        while begin < len(lefts):
-            end = begin
-            while end < len(lefts) and lefts[end] is lefts[begin]:
-                end += 1
-            held = matcher([lefts[begin], *rights[begin:end]])
-            flags[begin + held.linkable(0, np.arange(1, end - begin + 1)) - 1] = True
-            begin = end
+        starts = [i for i in range(len(lefts)) if i == 0 or lefts[i] is not lefts[i - 1]]
+        # The pivots' payloads stand behind the others'.
+        held = matcher([*rights, *(lefts[i] for i in starts)])
+        pivots, found = [], []
+        for number, (begin, end) in enumerate(zip(starts, [*starts[1:], len(lefts)]), len(rights)):
+            found.append(held.linkable(number, np.arange(begin, end)))
+            pivots.append(np.full(len(found[-1]), number))
+        if found:
+            at = np.concatenate(found)
+            flags[at] = held.matches(np.concatenate(pivots), at)
         return flags
 
     return similar
@@ -232,16 +239,26 @@ def _across(matcher: Callable[[list[bytes]], Matcher]) -> Callable:
         block, node, component = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[:3])
         held = matcher([row[3] for row in rows])
         right = np.flatnonzero(block == j)
-        a, b = [], []
+        a, b, waiting = [], [], 0
+
+        def tested() -> pa.RecordBatch:
+            x, y = np.concatenate(a), np.concatenate(b)
+            flags = held.matches(x, y)
+            left, other = node[x[flags]], node[y[flags]]
+            return _batch(PAIR, np.minimum(left, other), np.maximum(left, other))
+
         for x in np.flatnonzero(block == i).tolist():
             others = right[component[right] != component[x]]
             others = others[others > x] if i == j else others
             found = held.linkable(x, others) if len(others) else others
-            a.append(np.full(len(found), node[x]))
-            b.append(node[found])
-        if a:
-            left, other = np.concatenate(a), np.concatenate(b)
-            yield _batch(PAIR, np.minimum(left, other), np.maximum(left, other))
+            a.append(np.full(len(found), x))
+            b.append(found)
+            waiting += len(found)
+            if waiting > TESTED:
+                yield tested()
+                a, b, waiting = [], [], 0
+        if waiting:
+            yield tested()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
