@@ -18,11 +18,13 @@ both kinds every score is the share of label 1 (0.5 with no label).
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,14 +251,16 @@ def learn(docs: DataFrame, labels: DataFrame, texts: int = TRAIN_TEXTS, passages
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # With its class by value: the workers need no copy of this package.
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pickle.loads(shared.value)
         for batch in batches:
             for begin, end in chunks(batch.column("text")):
                 part = batch.slice(begin, end - begin)
                 rows, passages = encode_passages(part.column("text"))
-                scores = shared.value.score(rows.astype(np.float64), passages)
+                scores = held.score(rows.astype(np.float64), passages)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text())
