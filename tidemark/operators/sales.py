@@ -32,18 +32,13 @@ def order_chain(orders: DataFrame, customers: DataFrame, organizations: DataFram
 def order_customer_list(
     orders: DataFrame, customers: DataFrame, names: list[str], limit: int = 20
 ) -> DataFrame:
-    """The first orders by id with the customer's name columns.
+    """The first orders by id that have a customer, with the customer's name columns.
 
-    The lowest ids are joined first; only if some of them have no customer are more looked
-    at, so the answer stays whole without joining all orders.
+    Which orders have one is decided by keys alone; the names are looked up for ``limit`` orders.
     """
-    wanted = limit
-    while True:
-        first = orders.orderBy("order_id").limit(wanted)
-        listed = first.join(customers.select("customer_id", *names), "customer_id")
-        if listed.count() >= limit or first.count() < wanted:
-            break
-        wanted *= 4
+    known = orders.join(customers.select("customer_id"), "customer_id", "left_semi")
+    first = known.select("order_id", "customer_id", "total_amount").orderBy("order_id").limit(limit)
+    listed = first.join(customers.select("customer_id", *names), "customer_id")
     return listed.select("order_id", *names, "total_amount").orderBy("order_id").limit(limit)
 
 
