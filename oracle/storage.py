@@ -102,6 +102,9 @@ ORACLE = {
                CASE WHEN table_name <> 'products' THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS sync_status,
                CASE WHEN table_name = 'products' THEN 'failed' END AS error_message
         FROM {COUNTS}""",
+    "audit_times": f"SELECT table_name, true AS in_time FROM {COUNTS}",
+    "namespace_tables": f"SELECT table_name, row_count FROM {COUNTS}",
+    "unordered_preview": "SELECT least(10, count(*)) AS rows FROM orders",
     "refresh_partial_failure": f"""
         SELECT 'PARTIAL FAILURE' AS overall_status, CAST(4 AS BIGINT) AS ok_tables,
                CAST(0 AS BIGINT) AS mismatched_tables, CAST(1 AS BIGINT) AS failed_tables,

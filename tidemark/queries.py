@@ -104,6 +104,14 @@ def customers_preview(spark: SparkSession, folder: str) -> DataFrame:
     return sales.preview(Star(spark, folder).customers, 10, ["customer_id"])
 
 
+@query
+def unordered_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows a preview without an order has, all of them rows of the orders."""
+    orders = Star(spark, folder).orders
+    some = sales.preview(orders, 10)
+    return some.join(orders.select("order_id"), "order_id", "left_semi").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # Generated data, one row or order per row of a given table
 
 
@@ -422,6 +430,29 @@ def audit_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(f"{target}.audit_stats").withColumns(names).withColumn("error_message", failed)
 
 
+@query
+def audit_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the audit rows of a refresh bear the time at which it ran."""
+    source = _sources(spark, folder, "source")
+    target, location = _namespace(spark, "timed")
+    began = datetime.datetime.now(datetime.UTC)
+    refresh.refresh_with_audit(spark, source, target, f"{target}.audit_stats", "run-now", location=location)
+    ended = datetime.datetime.now(datetime.UTC)
+    in_time = F.col("audit_ts").between(F.lit(began), F.lit(ended))
+    names = F.substring_index("source_table", ".", -1).alias("table_name")
+    return spark.table(f"{target}.audit_stats").select(names, in_time.alias("in_time"))
+
+
+@query
+def namespace_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of a namespace with their row counts."""
+    name = _sources(spark, folder, "listed")
+    spark.range(1).createOrReplaceTempView("not_a_table_of_the_namespace")
+    tables = [row["tableName"] for row in lake.list_tables(spark, name).collect()]
+    counts = sales.table_row_counts({table: spark.table(f"{name}.{table}") for table in tables})
+    return lake.list_tables(spark, name).select(F.col("tableName").alias("table_name")).join(counts, "table_name")
+
+
 @query
 def refresh_partial_failure(spark: SparkSession, folder: str) -> DataFrame:
     """The overall status of a refresh in which one table is missing, with the rows copied."""
