@@ -547,7 +547,7 @@ def test_packed_signatures_round_trip():
 
 
 def test_sketches_never_lose_a_link():
-    plausible = links.matched(lambda held: sketches.Sketches(held, jaccard.SIMILARITY))
+    plausible = links.matched(lambda held: sketches.CountingSketches(held, jaccard.SIMILARITY))
     rng = np.random.default_rng(7)
     for size in (3, 40, 700, 9000):
         base = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
@@ -555,9 +555,9 @@ def test_sketches_never_lose_a_link():
         for _ in range(40):
             kept = base[rng.random(len(base)) < rng.choice((0.7, 0.85, 0.95))]
             others.append(np.unique(np.append(kept, rng.integers(0, 2**64, size // 10, dtype=np.uint64))))
-        flags = plausible([sketches.sketch(base, jaccard.CELLS)] * 40, [sketches.sketch(o, jaccard.CELLS) for o in others])
+        flags = plausible([sketches.counting_sketch(base)] * 40, [sketches.counting_sketch(o) for o in others])
         linked = jaccard._similar([base] * 40, others)
         assert not (linked & ~flags).any()
     unlike = [np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64)) for _ in range(50)]
-    one, *rest = [sketches.sketch(u, jaccard.CELLS) for u in unlike]
+    one, *rest = [sketches.counting_sketch(u) for u in unlike]
     assert not plausible([one] * 49, rest).any()

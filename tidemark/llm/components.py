@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import saved
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, rows: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return saved(least.select("u", F.least("m", "u").alias("m")), "least")
+    return saved(least.select("u", F.least("m", "u").alias("m")), "least", rows)
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = saved(large.distinct(), "large")
-    joined = large.join(_least(large), "u")
+    large = both.join(_least(both, rows), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = saved(large.distinct(), "large", rows)
+    joined = large.join(_least(large, rows), "u")
     small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-    return saved(small.unionByName(joined.select("u", F.col("m").alias("v"))).distinct(), "small")
+    return saved(small.unionByName(joined.select("u", F.col("m").alias("v"))).distinct(), "small", rows)
 
 
 def _finished(edges: DataFrame) -> bool:
@@ -42,8 +42,10 @@ def _finished(edges: DataFrame) -> bool:
 def components(pairs: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node in the pairs ``a``, ``b``."""
     ends = pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    edges = saved(ends.distinct(), "edges")
+    # No round has more than two rows for each edge, and the components one for each end.
+    rows = 2 * pairs.count()
+    edges = saved(ends.distinct(), "edges", rows)
     while not _finished(edges):
-        edges = _round(edges)
+        edges = _round(edges, rows)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components", rows)

@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.links import BLOCK_BYTES, PACKED, buckets_for, few, linked, packed_signatures, verified
-from tidemark.llm.sketches import Sketches, sketch
+from tidemark.llm.links import BLOCK_BYTES, PACKED, buckets_for, ends_of, few, linked, packed_signatures, verified
+from tidemark.llm.sketches import CountingSketches, counting_sketch
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
 
@@ -50,8 +50,6 @@ SHINGLE = 5
 FREQUENT_SHARE = 1000
 #: The intersection is at least so many hundredths of the union.
 SIMILARITY = 75
-#: Cells of a sketch for each shingle, at least.
-CELLS = 4
 #: Shingles that are counted together before the counts are sent.
 COUNT_AT_ONCE = 2_000_000
 
@@ -101,7 +99,7 @@ def _collect(share: int):
                 none = pa.nulls(len(sets), pa.int64())
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 key = [part.column(name) for name in names[:3]]
-                drawn = pa.array([sketch(s, CELLS) for s in sets], pa.binary())
+                drawn = pa.array([counting_sketch(s) for s in sets], pa.binary())
                 columns = [*key, pa.array(sizes), pa.array(nodes.view(np.int64)), drawn, none, none]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 for tokens, node in zip(sets, nodes.tolist()):
@@ -222,10 +220,9 @@ def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE, block
         return saved(sketches.join(few(nodes), "node", "left_semi").dropDuplicates(["node"]), "sketches")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-        return saved(verified(pairs, texts_of(saved(ends.distinct(), "nodes")), _prepare, _similar), "edges")
+        return verified(pairs, texts_of(ends_of(pairs)), _prepare, _similar)
 
-    labels = linked(signatures, fits, sketches_of, lambda held: Sketches(held, SIMILARITY), confirm, block_bytes)
+    labels = linked(signatures, fits, sketches_of, lambda held: CountingSketches(held, SIMILARITY), confirm, block_bytes)
     # Equal sets are one node; sets that are linked with no other are their own component.
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")
     labelled = saved(sets.join(labels, "node", "left").select(*KEY, "n_shingles", component), "labelled")

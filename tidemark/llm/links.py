@@ -35,6 +35,8 @@ from tidemark.llm.storage import saved
 
 #: Members that one task compares with one pivot in a row; more are spread over salts.
 PIVOT_ROWS = 256
+#: Rows of a small table that stand for one pair whose texts are compared, so that a task has 5,000 of these.
+PAIR_WORK = 50
 #: Bytes in a block of members that are compared with each other.
 BLOCK_BYTES = 16 << 20
 #: Pairs that wait to be tested together.
@@ -166,15 +168,16 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, similar: Callable) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts are similar. ``texts`` has ``node`` and ``text``.
+    """The pairs ``a``, ``b`` of a written table whose texts are similar. ``texts`` has ``node`` and ``text``.
 
     A pivot's text is sent once for every ``PIVOT_ROWS`` texts that it is compared with.
     ``prepare`` turns an Arrow array of texts into a list, ``similar`` takes a list of pivots,
     the same one in a row, and a list of what each is compared with, and gives flags.
     """
+    total = pairs.count()
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PIVOT_ROWS))
-    counted = pairs.join(saved(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "pivots"), "a")
-    salted = saved(counted.select("a", "b", salt.alias("salt")), "salted")
+    counted = pairs.join(saved(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "pivots", total), "a")
+    salted = saved(counted.select("a", "b", salt.alias("salt")), "salted", total)
     rows = salted.select(F.col("a").alias("pivot"), "salt", F.col("b").alias("node")).unionByName(
         salted.select(F.col("a").alias("pivot"), "salt", F.col("a").alias("node")).distinct()
     )
@@ -199,13 +202,14 @@ def verified(pairs: DataFrame, texts: DataFrame, prepare: Callable, similar: Cal
             pivots = batch.column(0).to_numpy()[is_other]
             yield _batch(PAIR, pivots[flags], nodes[is_other][flags])
 
-    return (
+    compared = (
         rows.join(texts, "node")
         .select("pivot", "salt", "node", (F.col("pivot") != F.col("node")).alias("other"), "text")
         .repartition("pivot", "salt")
         .sortWithinPartitions("pivot", "salt", "other")
         .mapInArrow(run, PAIR)
     )
+    return saved(compared, "edges", PAIR_WORK * total)
 
 
 def matched(matcher: Callable[[list[bytes]], Matcher]) -> Callable:
@@ -287,11 +291,13 @@ def across(
     of a pivot are cut into blocks by the bytes of their payloads; every two blocks meet in a task.
     """
     ends = members.groupBy("pivot").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    unclear = saved(ends.where("least != most").select("pivot"), "unclear")
+    total = members.count()
+    unclear = saved(ends.where("least != most").select("pivot"), "unclear", total)
     rows = members.join(unclear, "pivot").join(payloads.select("node", F.col("text").alias("payload")), "node")
-    rows = saved(rows, "members")
+    # Payloads are some hundred bytes.
+    rows = saved(rows, "members", 10 * total)
     blocks = F.ceil(F.sum(F.length("payload")) / block_bytes).cast("int")
-    sizes = saved(rows.groupBy("pivot").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "member-blocks")
+    sizes = saved(rows.groupBy("pivot").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "member-blocks", total)
     dealt = rows.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
@@ -310,15 +316,26 @@ def few(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= FEW_ROWS else frame
 
 
-def _central(shared: DataFrame) -> DataFrame:
-    """Pairs of a pivot ``a`` and another node ``b`` of one of its signatures, with their sizes."""
-    sizes = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    company = saved(shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")), "company")
-    ranked = saved(shared.join(company, "node").select("key", "node", "size", "company"), "ranked")
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The nodes of a written table of pairs, written."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return saved(ends.distinct(), "nodes", 2 * pairs.count())
+
+
+def central(shared: DataFrame) -> DataFrame:
+    """Pairs of a pivot ``a`` and another node ``b`` of one of its signatures, with their sizes, written.
+
+    ``shared`` is a written table of ``key``, ``node`` and ``size``, one row for each node of a key.
+    """
+    total = shared.count()
+    sizes = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes", total)
+    company = saved(shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")), "company", total)
+    ranked = saved(shared.join(company, "node").select("key", "node", "size", "company"), "ranked", total)
     pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "node", "size")).alias("pivot"))
-    pivots = saved(pivots.select("key", F.col("pivot.node").alias("a"), F.col("pivot.size").alias("a_size")), "pivots")
-    pairs = ranked.join(pivots, "key").select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
-    return pairs.where("a != b").distinct()
+    pivots = pivots.select("key", F.col("pivot.node").alias("a"), F.col("pivot.size").alias("a_size"))
+    pairs = ranked.join(saved(pivots, "pivots", total), "key")
+    pairs = pairs.select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
+    return saved(pairs.where("a != b").distinct(), "pairs", total)
 
 
 def linked(
@@ -334,19 +351,18 @@ def linked(
     ``signatures`` has the rows of ``packed_signatures``. ``fits`` says of two sizes whether nodes of
     them could be similar. ``payloads_of`` gives ``node`` and ``text`` (some bytes) for a written
     table of distinct nodes, and ``matcher`` compares these. With ``confirm`` the matcher only rules
-    out: it takes pairs and gives those that are similar, written.
+    out: it takes written pairs and gives those that are similar, written as well.
     """
     stars = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, STAR)
     stars = saved(stars, "stars")
     shared = stars.select("key", F.col("a").alias("node"), F.col("a_size").alias("size")).unionByName(
         stars.select("key", F.col("b").alias("node"), F.col("b_size").alias("size"))
     )
-    pairs = saved(_central(saved(shared.distinct(), "shared")), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    payloads = payloads_of(saved(ends.distinct(), "nodes"))
+    pairs = central(saved(shared.distinct(), "shared", 2 * stars.count()))
+    payloads = payloads_of(ends_of(pairs))
 
-    close = pairs.where(fits(F.col("a_size"), F.col("b_size"))).select("a", "b")
-    edges = saved(verified(close, payloads, as_bytes, matched(matcher)), "edges")
+    close = saved(pairs.where(fits(F.col("a_size"), F.col("b_size"))).select("a", "b"), "close", pairs.count())
+    edges = verified(close, payloads, as_bytes, matched(matcher))
     if confirm is not None:
         edges = confirm(edges)
     labels = components(edges)
@@ -357,7 +373,7 @@ def linked(
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = across(members, payloads, matcher, block_bytes).join(known, ["a", "b"], "left_anti")
-    found = saved(found, "edges")
+    found = saved(found, "edges", PAIR_WORK * pairs.count())
     if confirm is not None and not found.isEmpty():
         found = confirm(found)
     return labels if found.isEmpty() else components(edges.unionByName(found))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.links import BLOCK_BYTES, across, as_bytes, few, matched, verified
+from tidemark.llm.links import BLOCK_BYTES, PAIR_WORK, across, as_bytes, central, ends_of, few, matched, verified
 from tidemark.llm.sketches import Sketches, sketch
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
@@ -162,20 +162,13 @@ def stars(sets: DataFrame) -> DataFrame:
     ends = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     keys = saved(ends.where("least != most").select("key"), "keys")
     alike = saved(rows.join(keys, "key").distinct(), "alike")
-    sizes = saved(alike.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    shared = saved(alike.join(sizes, "key"), "buckets")
-    company = saved(shared.groupBy("node").agg(F.sum("n").alias("company")), "company")
-    ranked = saved(shared.join(company, "node").select("key", "node", "company"), "ranked")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "node")).alias("pivot"))
-    pivots = saved(pivots.select("key", F.col("pivot.node").alias("a")), "pivots")
-    pairs = ranked.join(pivots, "key").select("a", F.col("node").alias("b"))
-    return pairs.where("a != b").distinct()
+    return central(alike.withColumn("size", F.lit(0))).select("a", "b")
 
 
 def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``node`` and ``component`` of every node that links with another."""
-    pairs = saved(stars(sets), "stars")
-    nodes = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    pairs = stars(sets)
+    nodes = ends_of(pairs)
     # One row of each node has its text.
     one = sets.join(few(nodes), "node").groupBy("node").agg(F.min(F.struct(*KEY)).alias("one"))
     one = saved(one.select("node", "one.*"), "nodes")
@@ -184,12 +177,12 @@ def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     bits = sketches.select("node", "text")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return saved(verified(pairs, held, _prepare, similar), "edges")
+        return verified(pairs, held, _prepare, similar)
 
     def matcher(held: list[bytes]) -> Sketches:
         return Sketches(held, SIMILARITY)
 
-    likely = saved(verified(pairs, bits, as_bytes, matched(matcher)), "likely")
+    likely = verified(pairs, bits, as_bytes, matched(matcher))
     edges = confirmed(likely)
     labels = components(edges)
 
@@ -199,7 +192,7 @@ def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     open_pairs = across(members, bits, matcher, block_bytes)
-    more = saved(open_pairs.join(known, ["a", "b"], "left_anti"), "likely")
+    more = saved(open_pairs.join(known, ["a", "b"], "left_anti"), "likely", PAIR_WORK * pairs.count())
     if not more.isEmpty():
         found = confirmed(more)
         if not found.isEmpty():

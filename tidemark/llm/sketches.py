@@ -21,7 +21,6 @@ def sketch(tokens: np.ndarray, per_hash: int) -> bytes:
 
 
 def _halved(bits: np.ndarray) -> np.ndarray:
-    """Sketches with half as many cells: neighbours become one."""
     pairs = bits | bits << 1  # the left one of each two cells is filled if one of them is
     packed = np.zeros_like(bits)
     for i in range(4):
@@ -57,12 +56,17 @@ class Sketches:
             if len(some):
                 x, y = own, self.bits[of][self.place[some]]
                 if of > width:
-                    y = _halved(y)
+                    y = self._fewer(y)
                 elif of < width:
-                    x = _halved(x)
+                    x = self._fewer(x)
                 found.append(some[self._allowed(x, size, y, self.size[some])])
         return np.concatenate(found) if found else others[:0]
 
+    @staticmethod
+    def _fewer(cells: np.ndarray) -> np.ndarray:
+        """Sketches with half as many cells: neighbours become one."""
+        return _halved(cells)
+
     def matches(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """A sketch tells no more than ``linkable`` has looked at."""
         return np.ones(len(left), dtype=bool)
@@ -74,3 +78,38 @@ class Sketches:
         y_only = np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64)
         both = np.minimum(x_size - x_only, y_size - y_only)
         return 100 * both >= self.similarity * (x_size + y_size - both)
+
+
+def counting_sketch(tokens: np.ndarray) -> bytes:
+    """The size of a set, and how many of its hashes are in each cell, up to 3: 1 to 2 bits for each hash."""
+    cells = 64
+    while 2 * cells < len(tokens):
+        cells *= 2
+    place = (tokens >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=cells), 3).astype(np.uint8)
+    packed = counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6
+    return len(tokens).to_bytes(4, "little") + packed.tobytes()
+
+
+class CountingSketches(Sketches):
+    """The same for counting sketches: what is over in a cell of one set is not in the other."""
+
+    def __init__(self, sketches: list[bytes], similarity: int):
+        super().__init__(sketches, similarity)
+        self.bits = {4 * width: self._counts(packed) for width, packed in self.bits.items()}
+        self.width = 4 * self.width
+
+    @staticmethod
+    def _counts(packed: np.ndarray) -> np.ndarray:
+        found = np.stack([packed >> shift & 3 for shift in (0, 2, 4, 6)], axis=2)
+        return found.reshape(len(packed), -1).astype(np.int8)
+
+    @staticmethod
+    def _fewer(cells: np.ndarray) -> np.ndarray:
+        return np.minimum(cells[..., 0::2] + cells[..., 1::2], 3)
+
+    def _allowed(self, x: np.ndarray, x_size, y: np.ndarray, y_size) -> np.ndarray:
+        over = np.maximum(x - y, 0).sum(axis=-1, dtype=np.int64)
+        under = np.maximum(y - x, 0).sum(axis=-1, dtype=np.int64)
+        both = np.minimum(x_size - over, y_size - under)
+        return 100 * both >= self.similarity * (x_size + y_size - both)

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.session import workspace
 
 
-def saved(frame: DataFrame, purpose: str) -> DataFrame:
+#: Rows of a few numbers that make a file worth its while.
+FILE_ROWS = 250_000
+
+
+def saved(frame: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
     """Write ``frame`` below ``spark.checkpoint.dir`` and read it back.
 
-    This cuts the lineage: what follows reads files, whichever executors are lost.
+    This cuts the lineage: what follows reads files, whichever executors are lost. ``rows`` is about
+    how many there are, if that is known: small tables then go to few files, written by few tasks.
     """
     spark = frame.sparkSession
     folder = workspace(spark, purpose)
+    if rows is not None:
+        frame = frame.coalesce(max(1, -(-rows // FILE_ROWS)))
     frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
 
