@@ -14,6 +14,8 @@ in one task; examples are rendered one at a time from it.
 Results for odd input: null texts and roles are empty; turns are ordered by number (null
 first), role and text; rows that repeat a turn are turns of their own; rows with a null
 conversation id are one conversation.
+Texts are taken whole, however long; an empty table gives an empty result; other columns are
+left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ shuffle, where adaptive execution splits a name that many rows share.
 
 Results for odd input: null counts as the empty text. A null id is smaller than every
 other. Of rows that repeat id and text exactly one stays.
+Texts are read whole, a very long one as many blocks; an empty table gives an empty
+result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -29,6 +29,8 @@ Results for odd input: null and empty texts have an empty set and are a componen
 text with fewer words than a shingle has its whole sequence as one; rows that repeat a
 document are in its component; a null id takes no part in the smallest id, and a component
 of null ids alone has a null id.
+Texts are read whole, however long; an empty table gives an empty result; other columns
+are left alone, whatever their names.
 """
 
 from __future__ import annotations

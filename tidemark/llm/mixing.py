@@ -14,6 +14,8 @@ The key is a hash of seed and id, so reruns agree. Results for odd input: null a
 texts have size 0 and none of their words are taken; a null source is a source of its own,
 the last; a null id is drawn for like any other; rows that repeat an id have equal keys and
 are taken in the order of their size.
+Texts are counted whole, however long; an empty table gives an empty result; other
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

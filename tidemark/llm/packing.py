@@ -13,6 +13,8 @@ that a third of all pieces have does not meet in one task.
 
 Results for odd input: null and empty texts are the end id alone; rows that repeat a
 document are packed one by one; with no documents there are no sequences.
+Texts are encoded whole, and only those longer than a sequence are cut; pieces of one length
+take its slots in the order of a hash; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ Only the text is an input. Fitting is seeded, so reruns agree.
 Results for odd input: a text without words is one empty passage; rows that repeat an id
 get a score each; a null id is never held out and never learned from; without labels of
 both kinds every score is the share of label 1 (0.5 with no label).
+All passages of a text are scored, however long it is; an empty table gives an empty
+result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

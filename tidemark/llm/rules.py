@@ -11,6 +11,8 @@ that holds a third of all rows reaches the shuffle once from each task.
 
 Results for odd input: null and empty texts have no words and fail the base rules. Rows
 with a null host are judged by the base rules alone. Repeated rows are measured one by one.
+Texts are measured whole, however long; an empty table gives an empty result; other
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -25,6 +25,8 @@ Results for odd input: null, empty and separator-only texts have no words and ke
 empty text. A null id counts as larger than every other. Rows of one id and different texts
 are different documents, in the order of a hash of the text. Rows that repeat id and text
 are one document and each get its result.
+Texts are read whole, however long; of equal passages the earliest stays; an empty table
+gives an empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,6 +19,8 @@ an id do not land in one task. ``start`` is summed from one row for each shard.
 
 Results for odd input: null and empty texts have the end id alone; a null id comes last;
 rows that repeat an id are in the order of a hash of the text.
+Texts are encoded whole, a very long one as a block of its own; an empty table gives files
+without documents; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
