@@ -341,7 +341,7 @@ def line_components(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDI
     def fits(left: Column, right: Column) -> Column:
         return F.abs(left - right) <= edits
 
-    return linked(signatures, fits, texts_of, lambda held: Lines(held, edits, per_edit), block_bytes=LINE_BLOCK)
+    return linked(signatures, fits, texts_of, lambda held: Lines(held, edits, per_edit), block_bytes=LINE_BLOCK, by_key=True)
 
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:

@@ -345,12 +345,15 @@ def linked(
     matcher: Callable[[list[bytes]], Matcher],
     confirm: Callable[[DataFrame], DataFrame] | None = None,
     block_bytes: int = BLOCK_BYTES,
+    by_key: bool = False,
 ) -> DataFrame:
     """``node`` and ``component`` of every node that is similar to another.
 
     ``signatures`` has the rows of ``packed_signatures``. ``fits`` says of two sizes whether nodes of
     them could be similar. ``payloads_of`` gives ``node`` and ``text`` (some bytes) for a written
-    table of distinct nodes, and ``matcher`` compares these. With ``confirm`` the matcher only rules
+    table of distinct nodes, and ``matcher`` compares these. What is left after the first step is
+    compared by pivot, which has each node once for all the signatures of a pivot, or ``by_key``, which
+    has only nodes that share a signature and suits short signatures that much has in common. With ``confirm`` the matcher only rules
     out: it takes written pairs and gives those that are similar, written as well.
     """
     stars = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, STAR)
@@ -358,7 +361,8 @@ def linked(
     shared = stars.select("key", F.col("a").alias("node"), F.col("a_size").alias("size")).unionByName(
         stars.select("key", F.col("b").alias("node"), F.col("b_size").alias("size"))
     )
-    pairs = central(saved(shared.distinct(), "shared", 2 * stars.count()))
+    shared = saved(shared.distinct(), "shared", 2 * stars.count())
+    pairs = central(shared)
     payloads = payloads_of(ends_of(pairs))
 
     close = saved(pairs.where(fits(F.col("a_size"), F.col("b_size"))).select("a", "b"), "close", pairs.count())
@@ -367,9 +371,12 @@ def linked(
         edges = confirm(edges)
     labels = components(edges)
 
-    members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")).unionByName(
-        pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node")).distinct()
-    )
+    if by_key:
+        members = shared.select(F.col("key").alias("pivot"), "node")
+    else:
+        members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")).unionByName(
+            pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node")).distinct()
+        )
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = across(members, payloads, matcher, block_bytes).join(known, ["a", "b"], "left_anti")
