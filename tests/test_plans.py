@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from tidemark.queries import REGISTRY
+from tidemark.plans import governance
+from tidemark.queries import REGISTRY, _directory_catalog
 from tidemark.sources.star import Star
 
 FOLDER = "/root/testdata/sf0.001"
@@ -152,3 +153,14 @@ def test_generated_orders_need_no_shuffle(spark):
     plan = optimized(REGISTRY["gen_orders"](spark, FOLDER))
     assert "Join" not in plan.split("Subquery")[0]
     assert "Exchange hashpartitioning" not in physical(REGISTRY["gen_orders"](spark, FOLDER))
+
+
+def test_tags_and_documents_are_not_broadcast(spark):
+    """What the planner expects of parsed and exploded rows says nothing; they would go through the driver."""
+    for name in ("property_classification", "property_tags", "property_tag_totals", "retagged_columns", "tag_references"):
+        assert "BroadcastHashJoin" not in physical(REGISTRY[name](spark, FOLDER)), name
+    star = Star(spark, FOLDER)
+    tags = REGISTRY["property_tags"](spark, FOLDER)
+    plan = physical(governance.of_existing_columns(tags, _directory_catalog(star)))
+    # The schemas alone, one row each.
+    assert plan.count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in plan.split("LeftSemi")[0].splitlines()[-1]

@@ -183,7 +183,8 @@ def property_tags(documents: DataFrame, catalog: DataFrame, database: str) -> Da
 
     A map that is not valid JSON gives no tags, names match whatever their case, classes
     outside the allowed set and names of no column are dropped. When two spellings of a
-    name give different classes the stricter one counts.
+    name give different classes the stricter one counts. The joins of tags shuffle both
+    sides: the planner expects far too little of exploded rows and would broadcast them.
     """
     entries = (
         documents.select(
@@ -198,7 +199,7 @@ def property_tags(documents: DataFrame, catalog: DataFrame, database: str) -> Da
         .agg(F.max_by("_class", F.array_position(F.array(*map(F.lit, CLASSES)), F.col("_class"))).alias("_class"))
     )
     matched = catalog.where(F.lower("table_schema") != "information_schema").join(
-        entries, (F.lower("table_name") == F.col("_table")) & (F.lower("column_name") == F.col("_column"))
+        entries.hint("merge"), (F.lower("table_name") == F.col("_table")) & (F.lower("column_name") == F.col("_column"))
     )
     return _tag_rows(matched, database, PROPERTY_TAG, F.col("_class"))
 
@@ -206,7 +207,7 @@ def property_tags(documents: DataFrame, catalog: DataFrame, database: str) -> Da
 def retag(existing: DataFrame, tags: DataFrame) -> DataFrame:
     """``existing`` with the tags of the columns in ``tags`` set anew; no column loses a tag."""
     owner = ["tag_name", "object_database", "object_schema", "object_name", "column_name"]
-    return existing.join(tags.select(*owner).distinct(), owner, "left_anti").unionByName(tags)
+    return existing.join(tags.select(*owner).distinct().hint("merge"), owner, "left_anti").unionByName(tags)
 
 
 def of_existing_columns(tags: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def of_existing_columns(tags: DataFrame, catalog: DataFrame) -> DataFrame:
         same_schema & (F.lower("object_name") == F.col("_table")) & (F.lower("column_name") == F.col("_column"))
     )
     elsewhere = tags.join(named.select("_schema").distinct(), same_schema, "left_anti")
-    return elsewhere.unionByName(tags.join(named, same_column, "left_semi"))
+    return elsewhere.unionByName(tags.join(named.hint("merge"), same_column, "left_semi"))
 
 
 def store_tags(tags: DataFrame, name: str, catalog: DataFrame | None = None, location: str | None = None) -> str:

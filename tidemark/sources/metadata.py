@@ -58,7 +58,8 @@ def newest_per_table(documents: DataFrame, table: str, modified: str, body: str
     """The newest document of every table; of several at that time, the one with the largest hash.
 
     The newest is found from time and hash alone, so no body is sorted or kept in an
-    aggregation; the bodies are then joined to it.
+    aggregation; the bodies are then joined to it by a shuffle. What the planner expects of
+    texts that were parsed or put together is far too little, so it would send them all to the driver.
     """
     return _one_per_table(documents, table, modified, body, F.max)
 
@@ -72,7 +73,7 @@ def _one_per_table(documents: DataFrame, table: str, modified: str, body: str, p
     ranked = documents.select(table, modified, body, F.xxhash64(body).alias("_rank"))
     chosen = ranked.groupBy(table).agg(pick(F.struct(modified, "_rank")).alias("_chosen")).select(table, "_chosen.*")
     # Equal documents of the same time are one.
-    return ranked.join(chosen, [table, modified, "_rank"]).drop("_rank").distinct()
+    return ranked.join(chosen.hint("merge"), [table, modified, "_rank"]).drop("_rank").distinct()
 
 
 def json_property(properties: str | Column, key: str) -> Column:
