@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tidemark.plans import audit, layout
 from tidemark.sources import lake
@@ -78,6 +79,28 @@ def test_a_filter_on_the_sort_order_skips_files(spark, table):
     assert spark.table(table).count() == 8000
 
 
+@pytest.mark.parametrize("target", [128 << 20, 20000])
+def test_no_task_sorts_a_whole_file_of_rows_that_compress_well(spark, table, monkeypatch, target):
+    """A file's rows are sorted in parts by tasks of their own; the file is still one, and in order."""
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{layout.TARGET_PROPERTY}' = '{target}')")
+    for run in range(20):
+        run_rows(spark, run % 7, 400).coalesce(1).write.insertInto(table)
+    monkeypatch.setattr(layout, "SORT_BYTES", 300_000)
+    ranges, real = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *by: (ranges.append(n), real(self, n, *by))[1])
+    before = spark.table(table).groupBy("audit_ts", "source_table", "job_run_id").count().collect()
+    _, after = layout.compact_table(spark, table, least_saved=1)
+    assert ranges[0] >= 4 and ranges[0] % after == 0 and (after == 1) == (target > 20000)
+    assert sorted(spark.table(table).groupBy("audit_ts", "source_table", "job_run_id").count().collect()) == sorted(before)
+    bounds = []
+    for path, _ in lake.table_files(spark, table):
+        times = [row[0] for row in spark.read.parquet(path).select("audit_ts").collect()]
+        assert times == sorted(times, reverse=True)
+        bounds.append((times[0], times[-1]))
+    bounds.sort(reverse=True)
+    assert all(last >= first for (_, last), (first, _) in zip(bounds, bounds[1:]))
+
+
 def test_nothing_is_rewritten_for_few_files(spark, table):
     audit.write_audit(run_rows(spark, 1), table)
     files = lake.table_files(spark, table)

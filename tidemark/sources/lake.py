@@ -138,8 +138,13 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
 
 def table_files(spark: SparkSession, name: str) -> list[tuple[str, int]]:
     """Path and bytes of each data file of a session-catalog table; no file is opened."""
-    system, folder = _files(spark, table_place(spark, name)[0])
-    found, listing = [], system.listFiles(folder, True)
+    return files_below(spark, table_place(spark, name)[0])
+
+
+def files_below(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Path and bytes of each data file of a folder; no file is opened."""
+    system, path = _files(spark, folder)
+    found, listing = [], system.listFiles(path, True)
     while listing.hasNext():
         status = listing.next()
         if not status.getPath().getName().startswith(("_", ".")):
