@@ -206,6 +206,21 @@ def test_links_between_pivots(spark, same, block_bytes):
     same(found.select(doc_id(), "component_id"), ["doc_id", "component_id"], [(e[0], e[2]) for e in expected])
 
 
+@pytest.mark.parametrize("block_bytes", [200, links.BLOCK_BYTES])
+def test_members_that_match_come_out_in_proportion(spark, block_bytes):
+    """A group whose members all match gives fewer pairs than its blocks have members, not all pairs."""
+    rows = [(1, node, node, ("x" * 40 + f"{node:02}").encode()) for node in range(60)]
+    held = spark.createDataFrame(rows, "pivot long, node long, component long, text binary")
+    members, payloads = held.drop("text"), held.select("node", "text")
+    found = links.across(members, payloads, lambda lines_: lines.Lines(lines_, 2, 8), block_bytes).collect()
+    blocks = -(-42 * 60 // block_bytes)
+    assert 59 <= len(found) <= 59 * max(1, blocks)
+    union = brute.Union()
+    for a, b in found:
+        union.join(a, b)
+    assert len({union.find(node) for node in range(60)}) == 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)]

@@ -189,6 +189,17 @@ def _similar(pivots: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return flags
 
 
+class Sets:
+    """The sets of some texts, compared in full; their sketches rule out first."""
+
+    def __init__(self, texts: list[str]):
+        self.sets = _prepare(pa.array(texts, pa.string()))
+        self.linkable = CountingSketches([counting_sketch(s) for s in self.sets], SIMILARITY).linkable
+
+    def matches(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return _similar([self.sets[i] for i in left.tolist()], [self.sets[i] for i in right.tolist()])
+
+
 def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns of ``KEY``, ``n_shingles``, ``component_id`` and ``component`` of each row of ``docs``.
 
@@ -224,7 +235,10 @@ def near_duplicates(docs: DataFrame, frequent_share: int = FREQUENT_SHARE, block
     def confirm(pairs: DataFrame) -> DataFrame:
         return verified(pairs, texts_of(ends_of(pairs)), _prepare, _similar)
 
-    labels = linked(signatures, fits, sketches_of, lambda held: CountingSketches(held, SIMILARITY), confirm, block_bytes)
+    def matcher(held: list[bytes]) -> CountingSketches:
+        return CountingSketches(held, SIMILARITY)
+
+    labels = linked(signatures, fits, sketches_of, matcher, confirm, texts_of, Sets, block_bytes)
     # Equal sets are one node; sets that are linked with no other are their own component.
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")
     labelled = saved(sets.join(labels, "node", "left").select(*KEY, "n_shingles", component), "labelled")

@@ -9,7 +9,8 @@ listing all pairs of those that share one:
    with its pivots, and the similar ones are joined into components.
 2. Where the nodes of a pivot are then in different components, those of different
    components are compared inside tasks, in blocks of bounded size, by a matcher that works
-   on arrays. What it finds comes out, and is confirmed where the matcher only rules out.
+   on arrays. Of what it finds only pairs that join components come out. Where the matcher only
+   rules out, the nodes that it leaves come out, and their texts are compared in the same way.
 
 Two nodes that share a signature share its pivot. So a pair that is never compared is in one
 component already, and the components are exactly those of all similar pairs. The first step
@@ -50,6 +51,7 @@ FEW_ROWS = 300_000
 PACKED = "bucket int, packed binary"
 STAR = "key long, a long, a_size int, b long, b_size int"
 PAIR = "a long, b long"
+MEMBER = "pivot long, node long, component long"
 
 
 class Matcher(Protocol):
@@ -236,74 +238,131 @@ def as_bytes(payloads: pa.Array) -> list[bytes]:
     return payloads.to_pylist()
 
 
-def _across(matcher: Callable[[list[bytes]], Matcher]) -> Callable:
-    """Of rows (pivot, i, j, block, node, component, payload): pairs of blocks i and j in different components."""
-
-    def of_blocks(i: int, j: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        block, node, component = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[:3])
-        held = matcher([row[3] for row in rows])
-        right = np.flatnonzero(block == j)
-        a, b, waiting = [], [], 0
-
-        def tested() -> pa.RecordBatch:
-            x, y = np.concatenate(a), np.concatenate(b)
-            flags = held.matches(x, y)
-            left, other = node[x[flags]], node[y[flags]]
-            return _batch(PAIR, np.minimum(left, other), np.maximum(left, other))
-
-        for x in np.flatnonzero(block == i).tolist():
-            others = right[component[right] != component[x]]
-            others = others[others > x] if i == j else others
-            found = held.linkable(x, others) if len(others) else others
-            a.append(np.full(len(found), x))
-            b.append(found)
-            waiting += len(found)
-            if waiting > TESTED:
-                yield tested()
-                a, b, waiting = [], [], 0
-        if waiting:
-            yield tested()
+def _blocks(matcher: Callable[[list], Matcher], of_blocks: Callable) -> Callable:
+    """``of_blocks`` over rows (pivot, i, j, block, node, component, payload) of each two blocks i and j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(pivot: int, i: int, j: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            block, node, component = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[:3])
+            held = matcher([row[3] for row in rows])
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            yield from of_blocks(pivot, i == j, left, right, node, component, held)
+
         group, held = None, []
         for batch in batches:
             for pivot, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 if (pivot, i, j) != group:
                     if held:
-                        yield from of_blocks(*group[1:], held)
+                        yield from compared(*group, held)
                     group, held = (pivot, i, j), []
                 held.append(row)
         if held:
-            yield from of_blocks(*group[1:], held)
+            yield from compared(*group, held)
 
     return run
 
 
-def across(
-    members: DataFrame,
-    payloads: DataFrame,
-    matcher: Callable[[list[bytes]], Matcher],
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """Pairs that match, of members of one ``pivot`` in different components.
-
-    ``members`` has ``pivot``, ``node`` and ``component``, ``payloads`` ``node`` and ``text``. The members
-    of a pivot are cut into blocks by the bytes of their payloads; every two blocks meet in a task.
+def _joining(pivot, within, left, right, node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
+    """Pairs that match and join components which no earlier pair of these blocks has joined."""
+    label = np.unique(component, return_inverse=True)[1]
+    a, b, waiting = [], [], 0
+
+    def tested() -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        flags, found = held.matches(x, y) if len(x) else np.zeros(0, dtype=bool), []
+        for one, other in zip(x[flags].tolist(), y[flags].tolist()):
+            if label[one] != label[other]:
+                label[label == label[other]] = label[one]
+                found.append((min(node[one], node[other]), max(node[one], node[other])))
+        return _batch(PAIR, *np.array(found, dtype=np.int64).reshape(-1, 2).T)
+
+    for x in left.tolist():
+        others = right[label[right] != label[x]]
+        others = others[others > x] if within else others
+        found = held.linkable(x, others) if len(others) else others
+        a.append(np.full(len(found), x))
+        b.append(found)
+        waiting += len(found)
+        if waiting > TESTED:
+            yield tested()
+            a, b, waiting = [], [], 0
+    if waiting:
+        yield tested()
+
+
+def _plausible(pivot, within, left, right, node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
+    """Members that may match one of another component, each once."""
+    marked = np.zeros(len(node), dtype=bool)
+    for x in left.tolist():
+        others = right[component[right] != component[x]]
+        others = others[others > x] if within else others
+        # Members that are both marked will be compared anyway.
+        others = others[~marked[others]] if marked[x] else others
+        found = held.linkable(x, others) if len(others) else others
+        if len(found):
+            marked[x] = marked[found] = True
+    at = np.flatnonzero(marked)
+    yield _batch(MEMBER, np.full(len(at), pivot), node[at], component[at])
+
+
+def _dealt(members: DataFrame, payloads: DataFrame, block_bytes: int, weight: int) -> DataFrame:
+    """Members of pivots that have several components, in blocks by the bytes of their payloads, every two together.
+
+    ``weight`` rows of a small table stand for one payload.
     """
     ends = members.groupBy("pivot").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     total = members.count()
     unclear = saved(ends.where("least != most").select("pivot"), "unclear", total)
     rows = members.join(unclear, "pivot").join(payloads.select("node", F.col("text").alias("payload")), "node")
-    # Payloads are some hundred bytes.
-    rows = saved(rows, "members", 10 * total)
-    blocks = F.ceil(F.sum(F.length("payload")) / block_bytes).cast("int")
+    rows = saved(rows, "members", weight * total)
+    blocks = F.ceil(F.sum(F.octet_length("payload")) / block_bytes).cast("int")
     sizes = saved(rows.groupBy("pivot").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "member-blocks", total)
     dealt = rows.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     dealt = dealt.select("pivot", i, j, "block", "node", "component", "payload")
-    ordered = dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node")
-    return ordered.mapInArrow(_across(matcher), PAIR).distinct()
+    return dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node")
+
+
+def across(
+    members: DataFrame,
+    payloads: DataFrame,
+    matcher: Callable[[list], Matcher],
+    block_bytes: int = BLOCK_BYTES,
+    weight: int = 10,
+) -> DataFrame:
+    """Pairs that match and join all members of one ``pivot`` in different components that matches join.
+
+    ``members`` has ``pivot``, ``node`` and ``component``, ``payloads`` ``node`` and ``text``. The members
+    of a pivot are cut into blocks by the bytes of their payloads; every two blocks meet in a task.
+    Two blocks give fewer pairs than they have members, however many match.
+    """
+    return _dealt(members, payloads, block_bytes, weight).mapInArrow(_blocks(matcher, _joining), PAIR).distinct()
+
+
+def across_whole(
+    members: DataFrame,
+    payloads: DataFrame,
+    matcher: Callable[[list], Matcher],
+    texts_of: Callable[[DataFrame], DataFrame],
+    whole: Callable[[list[str]], Matcher],
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame | None:
+    """The same where ``matcher`` only rules out, written; None if it rules out all.
+
+    Members that it does not rule out come out once for two blocks, without pairs, and ``whole``
+    compares their texts, in blocks again.
+    """
+    dealt = _dealt(members, payloads, block_bytes, 10)
+    # A member comes out of each two blocks of its pivot.
+    left = saved(dealt.mapInArrow(_blocks(matcher, _plausible), MEMBER).distinct(), "plausible")
+    total = left.count()
+    if not total:
+        return None
+    nodes = saved(left.select("node").distinct(), "nodes", total)
+    return saved(across(left, texts_of(nodes), whole, block_bytes, 100), "edges", PAIR_WORK * total)
 
 
 def buckets_for(spark: SparkSession, signatures: int) -> int:
@@ -344,6 +403,8 @@ def linked(
     payloads_of: Callable[[DataFrame], DataFrame],
     matcher: Callable[[list[bytes]], Matcher],
     confirm: Callable[[DataFrame], DataFrame] | None = None,
+    texts_of: Callable[[DataFrame], DataFrame] | None = None,
+    whole: Callable[[list[str]], Matcher] | None = None,
     block_bytes: int = BLOCK_BYTES,
     by_key: bool = False,
 ) -> DataFrame:
@@ -354,7 +415,8 @@ def linked(
     table of distinct nodes, and ``matcher`` compares these. What is left after the first step is
     compared by pivot, which has each node once for all the signatures of a pivot, or ``by_key``, which
     has only nodes that share a signature and suits short signatures that much has in common. With ``confirm`` the matcher only rules
-    out: it takes written pairs and gives those that are similar, written as well.
+    out: it takes written pairs and gives those that are similar, written as well. Then ``texts_of`` gives
+    ``node`` and ``text`` (the text) for a written table of distinct nodes, and ``whole`` compares these.
     """
     stars = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, STAR)
     stars = saved(stars, "stars")
@@ -374,13 +436,11 @@ def linked(
     if by_key:
         members = shared.select(F.col("key").alias("pivot"), "node")
     else:
-        members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")).unionByName(
-            pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node")).distinct()
-        )
+        # They have been compared with their pivot.
+        members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = across(members, payloads, matcher, block_bytes).join(known, ["a", "b"], "left_anti")
-    found = saved(found, "edges", PAIR_WORK * pairs.count())
-    if confirm is not None and not found.isEmpty():
-        found = confirm(found)
-    return labels if found.isEmpty() else components(edges.unionByName(found))
+    if whole is None:
+        found = saved(across(members, payloads, matcher, block_bytes), "edges", PAIR_WORK * pairs.count())
+    else:
+        found = across_whole(members, payloads, matcher, texts_of, whole, block_bytes)
+    return labels if found is None or found.isEmpty() else components(edges.unionByName(found))

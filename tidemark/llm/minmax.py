@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.links import BLOCK_BYTES, PAIR_WORK, across, as_bytes, central, ends_of, few, matched, verified
+from tidemark.llm.links import BLOCK_BYTES, across_whole, as_bytes, central, ends_of, few, matched, verified
 from tidemark.llm.sketches import Sketches, sketch
 from tidemark.llm.storage import KEY, doc_id, keyed, saved, whole_text
 from tidemark.llm.words import Words, chunks, joined, mix, windows
@@ -155,6 +155,17 @@ def similar(pivots: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return flags
 
 
+class Sets:
+    """The sets of some texts, compared in full; their sketches rule out first."""
+
+    def __init__(self, texts: list[str]):
+        self.sets = _prepare(pa.array(texts, pa.string()))
+        self.linkable = Sketches([sketch(s, CELLS) for s in self.sets], SIMILARITY).linkable
+
+    def matches(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return similar([self.sets[i] for i in left.tolist()], [self.sets[i] for i in right.tolist()])
+
+
 def stars(sets: DataFrame) -> DataFrame:
     """Pairs of a pivot ``a`` and another member ``b`` of one of its buckets."""
     rows = sets.select("node", F.explode("bands").alias("key"))
@@ -186,18 +197,15 @@ def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     edges = confirmed(likely)
     labels = components(edges)
 
-    members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node")).unionByName(
-        pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node")).distinct()
-    )
+    # They have been compared with their pivot.
+    members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    open_pairs = across(members, bits, matcher, block_bytes)
-    more = saved(open_pairs.join(known, ["a", "b"], "left_anti"), "likely", PAIR_WORK * pairs.count())
-    if not more.isEmpty():
-        found = confirmed(more)
-        if not found.isEmpty():
-            labels = components(edges.unionByName(found))
-    return labels
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return held.join(few(nodes), "node", "left_semi")
+
+    found = across_whole(members, bits, matcher, texts_of, Sets, block_bytes)
+    return labels if found is None or found.isEmpty() else components(edges.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
