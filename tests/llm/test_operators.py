@@ -221,6 +221,54 @@ def test_members_that_match_come_out_in_proportion(spark, block_bytes):
     assert len({union.find(node) for node in range(60)}) == 1
 
 
+def test_small_groups_are_compared_together(spark, tmp_path):
+    """Many pivots of three members take few matchers, and a pair that meets twice comes out once."""
+    rng = random.Random(4)
+    rows, expected = [], set()
+    for group in range(400):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+        # The second and third are one edit apart, the first is not near them; every third group meets again.
+        for i, text in enumerate((line[::-1], line, line[:30] + "x" + line[31:])):
+            for pivot in (group, 1000 + group) if group % 3 == 0 else (group,):
+                rows.append((pivot, 3 * group + i, 3 * group + i, text.encode()))
+        expected.add((3 * group + 1, 3 * group + 2))
+    held = spark.createDataFrame(rows, "pivot long, node long, component long, text binary")
+    members, payloads = held.drop("text"), held.select("node", "text").distinct()
+    log = str(tmp_path / "held")
+
+    def matcher(payloads):
+        with open(log, "a") as file:
+            file.write(f"{len(payloads)}\n")
+        return lines.Lines(payloads, 2, 8)
+
+    found = links.across(members, payloads, matcher).collect()
+    assert sorted(tuple(row) for row in found) == sorted(expected)
+    with open(log) as file:
+        sizes = [int(size) for size in file]
+    # At most one for each task.
+    assert len(sizes) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(sizes) >= 1200
+
+
+def test_a_key_of_two_lines_is_compared_once(spark, same, monkeypatch):
+    """Lines that share a segment have been compared with its pivot, which does not come in again."""
+    rng = random.Random(6)
+    texts, across, left = [], links.across, []
+    for _ in range(40):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+        texts += [line, line[:20] + line[:19:-1]]  # the first of three segments is the same
+
+    def noted(members, *more):
+        left.extend(row["count"] for row in members.groupBy("pivot").count().collect())
+        return across(members, *more)
+
+    monkeypatch.setattr(links, "across", noted)
+    rows = [(i, text, None) for i, text in enumerate(texts)]
+    expected = brute.line_dedup([dict(zip(("doc_id", "text", "source"), r)) for r in rows])
+    found = lines.remove_lines(frame_of(spark, rows))
+    same(found, ["doc_id", "n_lines", "n_removed", "kept_sha256"], expected)
+    assert left and set(left) == {1}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)]

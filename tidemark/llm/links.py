@@ -238,31 +238,43 @@ def as_bytes(payloads: pa.Array) -> list[bytes]:
     return payloads.to_pylist()
 
 
-def _blocks(matcher: Callable[[list], Matcher], of_blocks: Callable) -> Callable:
-    """``of_blocks`` over rows (pivot, i, j, block, node, component, payload) of each two blocks i and j."""
+def _blocks(matcher: Callable[[list], Matcher], of_blocks: Callable, block_bytes: int) -> Callable:
+    """``of_blocks`` over rows (pivot, i, j, block, node, component, payload) of each two blocks i and j.
+
+    Most pivots have a few members, and a matcher works best on many. So groups are held together
+    until they have a quarter of a block's bytes, each node once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(pivot: int, i: int, j: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def compared(groups: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = [row for _, of_group in groups for row in of_group]
             block, node, component = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[:3])
-            held = matcher([row[3] for row in rows])
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            yield from of_blocks(pivot, i == j, left, right, node, component, held)
-
-        group, held = None, []
+            node, first, place = np.unique(node, return_index=True, return_inverse=True)
+            held = matcher([rows[at][3] for at in first.tolist()])
+            parts, end = [], 0
+            for (pivot, i, j), of_group in groups:
+                begin, end = end, end + len(of_group)
+                at, of = place[begin:end], block[begin:end]
+                parts.append((pivot, i == j, at[of == i], at[of == j]))
+            yield from of_blocks(parts, node, component[first], held)
+
+        groups, size = [], 0
         for batch in batches:
             for pivot, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                if (pivot, i, j) != group:
-                    if held:
-                        yield from compared(*group, held)
-                    group, held = (pivot, i, j), []
-                held.append(row)
-        if held:
-            yield from compared(*group, held)
+                if not groups or groups[-1][0] != (pivot, i, j):
+                    if 4 * size >= block_bytes:
+                        yield from compared(groups)
+                        groups, size = [], 0
+                    groups.append(((pivot, i, j), []))
+                groups[-1][1].append(row)
+                size += len(row[3])
+        if groups:
+            yield from compared(groups)
 
     return run
 
 
-def _joining(pivot, within, left, right, node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
+def _joining(groups: list[tuple], node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
     """Pairs that match and join components which no earlier pair of these blocks has joined."""
     label = np.unique(component, return_inverse=True)[1]
     a, b, waiting = [], [], 0
@@ -271,6 +283,9 @@ def _joining(pivot, within, left, right, node, component, held: Matcher) -> Iter
         x, y = np.concatenate(a), np.concatenate(b)
         apart = label[x] != label[y]
         x, y = x[apart], y[apart]
+        # Two nodes may meet in several groups.
+        pairs = np.unique(np.minimum(x, y) * len(node) + np.maximum(x, y))
+        x, y = pairs // len(node), pairs % len(node)
         flags, found = held.matches(x, y) if len(x) else np.zeros(0, dtype=bool), []
         for one, other in zip(x[flags].tolist(), y[flags].tolist()):
             if label[one] != label[other]:
@@ -278,33 +293,41 @@ def _joining(pivot, within, left, right, node, component, held: Matcher) -> Iter
                 found.append((min(node[one], node[other]), max(node[one], node[other])))
         return _batch(PAIR, *np.array(found, dtype=np.int64).reshape(-1, 2).T)
 
-    for x in left.tolist():
-        others = right[label[right] != label[x]]
-        others = others[others > x] if within else others
-        found = held.linkable(x, others) if len(others) else others
-        a.append(np.full(len(found), x))
-        b.append(found)
-        waiting += len(found)
-        if waiting > TESTED:
-            yield tested()
-            a, b, waiting = [], [], 0
+    for _, within, left, right in groups:
+        for x in left.tolist():
+            others = right[label[right] != label[x]]
+            others = others[others > x] if within else others
+            found = held.linkable(x, others) if len(others) else others
+            if len(found):
+                a.append(np.full(len(found), x))
+                b.append(found)
+                waiting += len(found)
+            if waiting > TESTED:
+                yield tested()
+                a, b, waiting = [], [], 0
     if waiting:
         yield tested()
 
 
-def _plausible(pivot, within, left, right, node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
-    """Members that may match one of another component, each once."""
+def _plausible(groups: list[tuple], node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
+    """Members that may match one of another component, each once for its pivot in these blocks."""
     marked = np.zeros(len(node), dtype=bool)
-    for x in left.tolist():
-        others = right[component[right] != component[x]]
-        others = others[others > x] if within else others
-        # Members that are both marked will be compared anyway.
-        others = others[~marked[others]] if marked[x] else others
-        found = held.linkable(x, others) if len(others) else others
-        if len(found):
-            marked[x] = marked[found] = True
-    at = np.flatnonzero(marked)
-    yield _batch(MEMBER, np.full(len(at), pivot), node[at], component[at])
+    pivots, members = [], []
+    for pivot, within, left, right in groups:
+        for x in left.tolist():
+            others = right[component[right] != component[x]]
+            others = others[others > x] if within else others
+            # Members that are both marked will be compared anyway.
+            others = others[~marked[others]] if marked[x] else others
+            found = held.linkable(x, others) if len(others) else others
+            if len(found):
+                marked[x] = marked[found] = True
+        at = np.flatnonzero(marked)
+        marked[at] = False
+        pivots.append(np.full(len(at), pivot))
+        members.append(at)
+    at = np.concatenate(members)
+    yield _batch(MEMBER, np.concatenate(pivots), node[at], component[at])
 
 
 def _dealt(members: DataFrame, payloads: DataFrame, block_bytes: int, weight: int) -> DataFrame:
@@ -339,7 +362,8 @@ def across(
     of a pivot are cut into blocks by the bytes of their payloads; every two blocks meet in a task.
     Two blocks give fewer pairs than they have members, however many match.
     """
-    return _dealt(members, payloads, block_bytes, weight).mapInArrow(_blocks(matcher, _joining), PAIR).distinct()
+    dealt = _dealt(members, payloads, block_bytes, weight)
+    return dealt.mapInArrow(_blocks(matcher, _joining, block_bytes), PAIR).distinct()
 
 
 def across_whole(
@@ -357,7 +381,7 @@ def across_whole(
     """
     dealt = _dealt(members, payloads, block_bytes, 10)
     # A member comes out of each two blocks of its pivot.
-    left = saved(dealt.mapInArrow(_blocks(matcher, _plausible), MEMBER).distinct(), "plausible")
+    left = saved(dealt.mapInArrow(_blocks(matcher, _plausible, block_bytes), MEMBER).distinct(), "plausible")
     total = left.count()
     if not total:
         return None
@@ -381,10 +405,10 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return saved(ends.distinct(), "nodes", 2 * pairs.count())
 
 
-def central(shared: DataFrame) -> DataFrame:
+def central(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of a pivot ``a`` and another node ``b`` of one of its signatures, with their sizes, written.
 
-    ``shared`` is a written table of ``key``, ``node`` and ``size``, one row for each node of a key.
+    Also each signature's pivot, as ``key``, ``a`` and ``a_size``, written. ``shared`` is a written table of ``key``, ``node`` and ``size``, one row for each node of a key.
     """
     total = shared.count()
     sizes = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes", total)
@@ -392,9 +416,10 @@ def central(shared: DataFrame) -> DataFrame:
     ranked = saved(shared.join(company, "node").select("key", "node", "size", "company"), "ranked", total)
     pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "node", "size")).alias("pivot"))
     pivots = pivots.select("key", F.col("pivot.node").alias("a"), F.col("pivot.size").alias("a_size"))
-    pairs = ranked.join(saved(pivots, "pivots", total), "key")
+    pivots = saved(pivots, "pivots", total)
+    pairs = ranked.join(pivots, "key")
     pairs = pairs.select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
-    return saved(pairs.where("a != b").distinct(), "pairs", total)
+    return saved(pairs.where("a != b").distinct(), "pairs", total), pivots
 
 
 def linked(
@@ -424,7 +449,7 @@ def linked(
         stars.select("key", F.col("b").alias("node"), F.col("b_size").alias("size"))
     )
     shared = saved(shared.distinct(), "shared", 2 * stars.count())
-    pairs = central(shared)
+    pairs, pivots = central(shared)
     payloads = payloads_of(ends_of(pairs))
 
     close = saved(pairs.where(fits(F.col("a_size"), F.col("b_size"))).select("a", "b"), "close", pairs.count())
@@ -433,10 +458,10 @@ def linked(
         edges = confirm(edges)
     labels = components(edges)
 
+    # They have been compared with their pivot.
     if by_key:
-        members = shared.select(F.col("key").alias("pivot"), "node")
+        members = shared.join(pivots, "key").where("node != a").select(F.col("key").alias("pivot"), "node")
     else:
-        # They have been compared with their pivot.
         members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if whole is None:

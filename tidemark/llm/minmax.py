@@ -173,7 +173,8 @@ def stars(sets: DataFrame) -> DataFrame:
     ends = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     keys = saved(ends.where("least != most").select("key"), "keys")
     alike = saved(rows.join(keys, "key").distinct(), "alike")
-    return central(alike.withColumn("size", F.lit(0))).select("a", "b")
+    pairs, _ = central(alike.withColumn("size", F.lit(0)))
+    return pairs.select("a", "b")
 
 
 def links(sets: DataFrame, texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
