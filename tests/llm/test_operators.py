@@ -191,6 +191,75 @@ def test_signatures_meet():
         assert found[0] & found[1]
 
 
+def test_links_are_in_reach():
+    """Of the entries that two sets that link share, one lets each set reach the other's size, in any order."""
+    rng = random.Random(8)
+    linked = 0
+    for _ in range(4000):
+        x = set(rng.sample(range(90), rng.randint(3, 60)))
+        y = set(rng.sample(sorted(x), rng.randint(max(1, int(len(x) * 0.75)), len(x))))
+        y |= set(rng.sample(range(90), rng.randint(0, 8)))
+        if x == y or 100 * len(x & y) < 75 * len(x | y):
+            continue
+        linked += 1
+        frequent = set(rng.sample(range(90), rng.choice((0, 15, 60, 80, 90))))
+        order, reaches = rng.sample(range(90), 90), []
+        for tokens in (x, y):
+            values = np.array([t for t in order if t in tokens], dtype=np.uint64)
+            is_frequent = np.array([t in frequent for t in values.tolist()])
+            entries = jaccard.signature(values, is_frequent)
+            steps = jaccard.steps_of(len(tokens), int((~is_frequent).sum()), len(entries))
+            assert steps.max() < 32
+            reach = len(tokens) * (4 * links.STEPS - 7 * steps) // (3 * links.STEPS)
+            reaches.append(dict(zip(entries.tolist(), reach.tolist())))
+        shared = reaches[0].keys() & reaches[1].keys()
+        assert any(reaches[0][e] >= len(y) and reaches[1][e] >= len(x) for e in shared)
+    assert linked > 500
+
+
+def test_a_shared_passage_brings_no_sets_together(spark, same, monkeypatch):
+    """Texts of their own words with one passage in all: what the passage gives stands last, so nothing is compared."""
+    passage = " ".join(f"p{i}" for i in range(16))
+    own = [" ".join(f"o{n}-{i}" for i in range(60)) for n in range(80)]
+    rows = [(n, f"{text} {passage}", None) for n, text in enumerate(own)]
+    rows.append((100, rows[7][1] + " more", None))
+    shared, linked = [], jaccard.linked
+
+    def noted(signatures, *more, **others):
+        stars = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(links._stars, links.STAR)
+        shared.extend(row["a"] for row in stars.select("a").unionByName(stars.select(F.col("b").alias("a"))).distinct().collect())
+        return linked(signatures, *more, **others)
+
+    monkeypatch.setattr(jaccard, "linked", noted)
+    found = jaccard.near_duplicates(frame_of(spark, rows), frequent_share=1)
+    same(found.select(doc_id(), "component_id"), ["doc_id", "component_id"], [(r[0], 7 if r[0] == 100 else r[0]) for r in rows])
+    assert len(shared) == 2
+
+
+def test_members_out_of_reach_are_not_compared(spark, tmp_path):
+    """Of a family those that stand far from its origin are not compared with each other, nor with larger ones."""
+    payload = ("x" * 60).encode()
+    # A component of 50, which reach the sizes of all; 150 others of their size, which reach smaller ones only; one small.
+    rows = [(1, node, node if node >= 50 else 0, 100, 130 if node < 50 else 90, payload) for node in range(200)]
+    rows.append((1, 200, 200, 80, 106, payload))
+    held = spark.createDataFrame(rows, "pivot long, node long, component long, size long, reach long, text binary")
+    log = str(tmp_path / "pairs")
+
+    class Counting:
+        def __init__(self, payloads):
+            self.payloads = payloads
+
+        def linkable(self, i, others):
+            with open(log, "a") as file:
+                file.write(f"{len(others)}\n")
+            return others[:0]
+
+    assert links.across(held.drop("text"), held.select("node", "text"), Counting).collect() == []
+    with open(log) as file:
+        # The small one with all others.
+        assert sum(int(n) for n in file) == 200
+
+
 @pytest.mark.parametrize("block_bytes", [300, links.BLOCK_BYTES])
 def test_links_between_pivots(spark, same, block_bytes):
     """A chain whose ends are not similar, and a shared passage that many unlike texts have."""
@@ -609,6 +678,19 @@ def test_packed_signatures_round_trip():
     assert set(heads) == set(key.tolist())
 
 
+def test_packed_signatures_keep_their_steps():
+    key = np.array([5, 5, 9, 2**60, 2**60], dtype=np.uint64)
+    node = np.array([1, 2, 1, 1, 3], dtype=np.uint64)
+    size = np.array([7, 400, 7, 7, 9]) + (np.array([0, 31, 3, 17, 1]) << links.STEP_BITS)
+    found = set()
+    for batch in links.packed_signatures(key, size, node, 4):
+        for packed in batch.column(1).to_pylist():
+            keys, nodes, sizes = links._unpack(packed)
+            half = len(keys) if len(nodes) > len(keys) else 0
+            found.update(zip(keys.tolist(), nodes[half:].tolist(), sizes[half:].tolist()))
+    assert found == set(zip(key.tolist(), node.tolist(), size.tolist()))
+
+
 def test_sketches_never_lose_a_link():
     plausible = links.matched(lambda held: sketches.CountingSketches(held, jaccard.SIMILARITY))
     rng = np.random.default_rng(7)

@@ -19,6 +19,9 @@ but lists no pairs that the matcher rules out.
 
 Signatures are sent packed, in buckets of about a million by their high bits; a task holds one
 bucket at a time.
+
+A signature may say how large a node can be that is similar by it, its reach. Two members of a
+pivot are not compared in the second step if one is larger than the other one's signatures there reach.
 """
 
 from __future__ import annotations
@@ -49,9 +52,13 @@ FEW_ROWS = 300_000
 
 #: Signatures of one chunk that go to one bucket, packed.
 PACKED = "bucket int, packed binary"
-STAR = "key long, a long, a_size int, b long, b_size int"
+STAR = "key long, a long, a_size long, b long, b_size long"
 PAIR = "a long, b long"
-MEMBER = "pivot long, node long, component long"
+MEMBER = "pivot long, node long, component long, size long, reach long"
+#: How far back in its node a signature stands, in steps of which the node's size has so many, up to a quarter.
+STEPS = 124
+#: The steps stand over so many bits of a size; in a packed signature over the 27 bits of its place among the nodes.
+STEP_BITS = 32
 
 
 class Matcher(Protocol):
@@ -73,10 +80,11 @@ def packed_signatures(key: np.ndarray, size: np.ndarray, node: np.ndarray, bucke
 
     Of the nodes that share a signature only the first by size, the head, goes to the
     signature's bucket; the others are packed with their heads and go anywhere. A bucket gets
-    its signatures in order, with the places of their nodes in a list of the nodes.
+    its signatures in order, with the places of their nodes in a list of the nodes. A
+    signature's steps stand over its size.
     """
     order = np.lexsort((node, size, key))
-    key, size, node = key[order], size[order].astype(np.int32), node[order]
+    key, size, node = key[order], size[order].astype(np.int64), node[order]
     head = np.ones(len(key), dtype=bool)
     head[1:] = key[1:] != key[:-1]
     new = head.copy()
@@ -107,7 +115,7 @@ def _pack(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> bytes:
     planes = steps.view(np.uint8).reshape(-1, 8).T
     head = np.array([len(key), len(nodes), len(node)], dtype=np.uint32)
     sizes = size[first].astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    places = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+    places = (place | size >> STEP_BITS << 27).astype(np.uint32).view(np.uint8).reshape(-1, 4).T
     raw = b"".join((head.tobytes(), planes.tobytes(), nodes.tobytes(), sizes.tobytes(), places.tobytes()))
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -124,7 +132,8 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     node = np.frombuffer(raw, np.uint64, nodes, 12 + 8 * keys)
     at = 12 + 8 * keys + 8 * nodes
     size, place = planes(at, nodes, 4), planes(at + 4 * nodes, rows, 4)
-    return key, node[place], size[place].astype(np.int32)
+    steps, place = (place >> np.uint32(27)).astype(np.int64), place & np.uint32((1 << 27) - 1)
+    return key, node[place], size[place] + (steps << STEP_BITS)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +250,8 @@ def as_bytes(payloads: pa.Array) -> list[bytes]:
 def _blocks(matcher: Callable[[list], Matcher], of_blocks: Callable, block_bytes: int) -> Callable:
     """``of_blocks`` over rows (pivot, i, j, block, node, component, payload) of each two blocks i and j.
 
+    ``size`` and ``reach`` may follow.
+
     Most pivots have a few members, and a matcher works best on many. So groups are held together
     until they have a quarter of a block's bytes, each node once.
     """
@@ -248,19 +259,21 @@ def _blocks(matcher: Callable[[list], Matcher], of_blocks: Callable, block_bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(groups: list[tuple]) -> Iterator[pa.RecordBatch]:
             rows = [row for _, of_group in groups for row in of_group]
-            block, node, component = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[:3])
+            block, node, component, _, *more = zip(*rows)
+            block, node, component, *more = (np.array(c, dtype=np.int64) for c in (block, node, component, *more))
             node, first, place = np.unique(node, return_index=True, return_inverse=True)
             held = matcher([rows[at][3] for at in first.tolist()])
+            size, reach = more or (np.zeros(len(rows), dtype=np.int64),) * 2
             parts, end = [], 0
             for (pivot, i, j), of_group in groups:
                 begin, end = end, end + len(of_group)
-                at, of = place[begin:end], block[begin:end]
-                parts.append((pivot, i == j, at[of == i], at[of == j]))
-            yield from of_blocks(parts, node, component[first], held)
+                at, of, far = place[begin:end], block[begin:end], reach[begin:end]
+                parts.append((pivot, i == j, (at[of == i], far[of == i]), (at[of == j], far[of == j])))
+            yield from of_blocks(parts, node, component[first], size[first], held)
 
         groups, size = [], 0
         for batch in batches:
-            for pivot, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
+            for pivot, i, j, *row in zip(*(column.to_pylist() for column in batch.columns)):
                 if not groups or groups[-1][0] != (pivot, i, j):
                     if 4 * size >= block_bytes:
                         yield from compared(groups)
@@ -274,7 +287,23 @@ def _blocks(matcher: Callable[[list], Matcher], of_blocks: Callable, block_bytes
     return run
 
 
-def _joining(groups: list[tuple], node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
+def _met(groups: list[tuple], label: np.ndarray, size: np.ndarray) -> Iterator[Iterator[tuple]]:
+    """For each group its members, each with those of other labels that it is compared with.
+
+    Members are not compared if one's size is over the other's reach. The labels may change meanwhile.
+    """
+
+    def pairs(within: bool, left: np.ndarray, left_reach: np.ndarray, right: np.ndarray, right_reach: np.ndarray):
+        sizes = size[right]
+        for x, reach in zip(left.tolist(), left_reach.tolist()):
+            others = right[(label[right] != label[x]) & (sizes <= reach) & (right_reach >= size[x])]
+            yield x, others[others > x] if within else others
+
+    for _, within, left, right in groups:
+        yield pairs(within, *left, *right)
+
+
+def _joining(groups: list[tuple], node, component, size, held: Matcher) -> Iterator[pa.RecordBatch]:
     """Pairs that match and join components which no earlier pair of these blocks has joined."""
     label = np.unique(component, return_inverse=True)[1]
     a, b, waiting = [], [], 0
@@ -293,10 +322,8 @@ def _joining(groups: list[tuple], node, component, held: Matcher) -> Iterator[pa
                 found.append((min(node[one], node[other]), max(node[one], node[other])))
         return _batch(PAIR, *np.array(found, dtype=np.int64).reshape(-1, 2).T)
 
-    for _, within, left, right in groups:
-        for x in left.tolist():
-            others = right[label[right] != label[x]]
-            others = others[others > x] if within else others
+    for met in _met(groups, label, size):
+        for x, others in met:
             found = held.linkable(x, others) if len(others) else others
             if len(found):
                 a.append(np.full(len(found), x))
@@ -309,14 +336,14 @@ def _joining(groups: list[tuple], node, component, held: Matcher) -> Iterator[pa
         yield tested()
 
 
-def _plausible(groups: list[tuple], node, component, held: Matcher) -> Iterator[pa.RecordBatch]:
+def _plausible(groups: list[tuple], node, component, size, held: Matcher) -> Iterator[pa.RecordBatch]:
     """Members that may match one of another component, each once for its pivot in these blocks."""
-    marked = np.zeros(len(node), dtype=bool)
-    pivots, members = [], []
-    for pivot, within, left, right in groups:
-        for x in left.tolist():
-            others = right[component[right] != component[x]]
-            others = others[others > x] if within else others
+    marked, reach = np.zeros(len(node), dtype=bool), np.zeros(len(node), dtype=np.int64)
+    pivots, members, reaches = [], [], []
+    for (pivot, _, *sides), met in zip(groups, _met(groups, component, size)):
+        for at, far in sides:
+            reach[at] = far
+        for x, others in met:
             # Members that are both marked will be compared anyway.
             others = others[~marked[others]] if marked[x] else others
             found = held.linkable(x, others) if len(others) else others
@@ -326,8 +353,9 @@ def _plausible(groups: list[tuple], node, component, held: Matcher) -> Iterator[
         marked[at] = False
         pivots.append(np.full(len(at), pivot))
         members.append(at)
+        reaches.append(reach[at])
     at = np.concatenate(members)
-    yield _batch(MEMBER, np.concatenate(pivots), node[at], component[at])
+    yield _batch(MEMBER, np.concatenate(pivots), node[at], component[at], size[at], np.concatenate(reaches))
 
 
 def _dealt(members: DataFrame, payloads: DataFrame, block_bytes: int, weight: int) -> DataFrame:
@@ -335,6 +363,7 @@ def _dealt(members: DataFrame, payloads: DataFrame, block_bytes: int, weight: in
 
     ``weight`` rows of a small table stand for one payload.
     """
+    more = ["size", "reach"] if "reach" in members.columns else []
     ends = members.groupBy("pivot").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     total = members.count()
     unclear = saved(ends.where("least != most").select("pivot"), "unclear", total)
@@ -345,7 +374,7 @@ def _dealt(members: DataFrame, payloads: DataFrame, block_bytes: int, weight: in
     dealt = rows.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    dealt = dealt.select("pivot", i, j, "block", "node", "component", "payload")
+    dealt = dealt.select("pivot", i, j, "block", "node", "component", "payload", *more)
     return dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "node")
 
 
@@ -358,8 +387,9 @@ def across(
 ) -> DataFrame:
     """Pairs that match and join all members of one ``pivot`` in different components that matches join.
 
-    ``members`` has ``pivot``, ``node`` and ``component``, ``payloads`` ``node`` and ``text``. The members
-    of a pivot are cut into blocks by the bytes of their payloads; every two blocks meet in a task.
+    ``members`` has ``pivot``, ``node`` and ``component``, and may have ``size`` and ``reach``, which
+    is the largest size that a member matches; ``payloads`` has ``node`` and ``text``. The members of a
+    pivot are cut into blocks by the bytes of their payloads; every two blocks meet in a task.
     Two blocks give fewer pairs than they have members, however many match.
     """
     dealt = _dealt(members, payloads, block_bytes, weight)
@@ -399,6 +429,11 @@ def few(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= FEW_ROWS else frame
 
 
+def reach(size: Column, steps: Column) -> Column:
+    """How large a node can be that is similar by a signature so many steps back: (4 - 7 steps / STEPS) / 3 of the size."""
+    return F.floor(size * (4 * STEPS - 7 * steps) / (3 * STEPS))
+
+
 def ends_of(pairs: DataFrame) -> DataFrame:
     """The nodes of a written table of pairs, written."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -408,18 +443,21 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 def central(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of a pivot ``a`` and another node ``b`` of one of its signatures, with their sizes, written.
 
-    Also each signature's pivot, as ``key``, ``a`` and ``a_size``, written. ``shared`` is a written table of ``key``, ``node`` and ``size``, one row for each node of a key.
+    Also each signature's pivot, as ``key``, ``a`` and ``a_size``, written. ``shared`` is a written table of ``key``, ``node`` and ``size``, one row for each node of a key,
+    and may have ``reach``; of a pair ``b`` has the farthest.
     """
+    reach = ["reach"] if "reach" in shared.columns else []
     total = shared.count()
     sizes = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes", total)
     company = saved(shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company")), "company", total)
-    ranked = saved(shared.join(company, "node").select("key", "node", "size", "company"), "ranked", total)
+    ranked = saved(shared.join(company, "node").select("key", "node", "size", "company", *reach), "ranked", total)
     pivots = ranked.groupBy("key").agg(F.max(F.struct("company", "node", "size")).alias("pivot"))
     pivots = pivots.select("key", F.col("pivot.node").alias("a"), F.col("pivot.size").alias("a_size"))
     pivots = saved(pivots, "pivots", total)
     pairs = ranked.join(pivots, "key")
-    pairs = pairs.select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
-    return saved(pairs.where("a != b").distinct(), "pairs", total), pivots
+    pairs = pairs.select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"), *reach).where("a != b")
+    once = pairs.groupBy("a", "a_size", "b", "b_size").agg(F.max("reach").alias("reach")) if reach else pairs.distinct()
+    return saved(once, "pairs", total), pivots
 
 
 def linked(
@@ -432,6 +470,7 @@ def linked(
     whole: Callable[[list[str]], Matcher] | None = None,
     block_bytes: int = BLOCK_BYTES,
     by_key: bool = False,
+    reaching: bool = False,
 ) -> DataFrame:
     """``node`` and ``component`` of every node that is similar to another.
 
@@ -442,12 +481,16 @@ def linked(
     has only nodes that share a signature and suits short signatures that much has in common. With ``confirm`` the matcher only rules
     out: it takes written pairs and gives those that are similar, written as well. Then ``texts_of`` gives
     ``node`` and ``text`` (the text) for a written table of distinct nodes, and ``whole`` compares these.
+    ``reaching`` says that signatures have steps.
     """
     stars = signatures.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, STAR)
     stars = saved(stars, "stars")
     shared = stars.select("key", F.col("a").alias("node"), F.col("a_size").alias("size")).unionByName(
         stars.select("key", F.col("b").alias("node"), F.col("b_size").alias("size"))
     )
+    if reaching:
+        size = F.col("size").bitwiseAND((1 << STEP_BITS) - 1)
+        shared = shared.select("key", "node", size.alias("size"), reach(size, F.shiftright("size", STEP_BITS)).alias("reach"))
     shared = saved(shared.distinct(), "shared", 2 * stars.count())
     pairs, pivots = central(shared)
     payloads = payloads_of(ends_of(pairs))
@@ -462,7 +505,8 @@ def linked(
     if by_key:
         members = shared.join(pivots, "key").where("node != a").select(F.col("key").alias("pivot"), "node")
     else:
-        members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+        more = [F.col("b_size").alias("size"), "reach"] if reaching else []
+        members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"), *more)
     members = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if whole is None:
         found = saved(across(members, payloads, matcher, block_bytes), "edges", PAIR_WORK * pairs.count())
