@@ -38,6 +38,9 @@ CAPACITY = 4096
 SPREAD = 1 << 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Bytes of text that are encoded together; results do not depend on it.
+TEXT_BYTES = 1 << 20
+
 PLAN = "length long, first long, sequence_id long, offset long, count long"
 
 
@@ -47,7 +50,7 @@ def _cut(definition, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(definition.value)
         for batch in batches:
-            for begin, stop in chunks(batch.column("text")):
+            for begin, stop in chunks(batch.column("text"), TEXT_BYTES):
                 part = batch.slice(begin, stop - begin)
                 ids, counts = encoder.encode(part.column("text"), end)
                 pieces = -(-counts // capacity)
